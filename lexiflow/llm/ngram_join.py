@@ -7,16 +7,20 @@ itself, pairs of nodes first: a pair goes no further when the largest overlap th
 and sizes allow can't reach the threshold, or when all its sets are linked already. What is
 left is verified on the sets.
 
-Families: with a threshold of t percent, two sets that link share one of their first
-n - ceil(t n / 100) + 1 tokens in any order common to all sets. The order here is by hash,
-but tokens that are frequent in a bounded sample come last; it only decides how much work
-there is. Tokens of one set alone fall out; the others connect sets, and connected
-components are the families. No link can join two of them.
-
-Scale: a prefix of each set is shuffled by token, pre-aggregated on the map side. Equal sets
-are one node. Only sets of families with two or more move as a whole, once. A family over
-``family`` sets is dealt out as pairs of blocks with compatible sizes, so no task holds it.
-Links come back as spanning edges, never as all pairs.
+Candidates: with a threshold of t percent, a set has at most (100 - t) percent tokens that a set
+it links with lacks. So a set with more tokens of its own alone can't link. That is counted
+twice: over the tokens with a hash below ``share`` of the range for all sets, then over the
+other tokens for the sets that passed. Few but true near copies are left.
+
+Families: two sets that link share one of their first n - ceil(t n / 100) + 1 tokens in any
+order common to all sets. The order here is by hash, but tokens that are frequent in a bounded
+sample of the candidates come last; it only decides how much work there is. Connected
+components over shared first tokens are the families. No link can join two of them.
+
+Scale: a part of each set is shuffled by token, pre-aggregated on the map side. Equal sets are
+one node. Text moves once, sets of candidates only. A family over ``family`` sets is dealt out
+as pairs of blocks with compatible sizes, so no task holds it. Links come back as spanning
+edges, never as all pairs.
 """
 
 from __future__ import annotations
@@ -38,12 +42,14 @@ from lexiflow.session import stash
 
 @dataclass(frozen=True)
 class Similar:
-    """``gram`` words a shingle, links from ``percent`` of the union; ``sample`` documents, of
+    """``gram`` words a shingle, links from ``percent`` of the union; ``share`` of the hash range that
+    is counted for all; ``sample`` candidates, of
     which tokens with ``frequent`` or more (``last`` at most) come last in the order; ``family``
     sets a task at most, ``bits`` of a bitmap, ``leaf`` sets a leaf, ``fan`` children a node."""
 
     gram: int = 5
     percent: int = 75
+    share: float = 0.34
     sample: int = 10_000
     frequent: int = 6
     last: int = 50_000
@@ -100,17 +106,11 @@ def _described(docs: DataFrame, p: Similar) -> DataFrame:
     return docs.select("rid", "doc_id", "text").mapInArrow(run, "rid long, doc_id long, n long, sid long, sid2 long")
 
 
-def _frequent(docs: DataFrame, n_docs: int, p: Similar) -> np.ndarray:
-    """Sorted hashes of tokens that are frequent in a sample of about ``p.sample`` documents, ``p.last`` at most."""
-    keep = min(1.0, p.sample / max(n_docs, 1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in shingle_sets(batch.column(0).cast(pa.binary()).to_pylist(), p.gram):
-                yield pa.record_batch([pa.array(s.view(np.int64))], names=["token"])
-
-    some = docs.where(F.pmod(F.xxhash64("rid"), F.lit(1 << 20)) < int(keep * (1 << 20)) + 1).select("text")
-    found = some.mapInArrow(run, "token long").groupBy("token").count().where(F.col("count") >= p.frequent)
+def _frequent(sets: DataFrame, p: Similar) -> np.ndarray:
+    """Sorted hashes of tokens that are frequent in a sample of about ``p.sample`` sets, ``p.last`` at most."""
+    keep = min(1.0, p.sample / max(sets.count(), 1))
+    some = sets.where(F.pmod(F.xxhash64("sid"), F.lit(1 << 20)) < int(keep * (1 << 20)) + 1)
+    found = _dealt(some, lambda s: s, False).groupBy("token").count().where(F.col("count") >= p.frequent)
     rows = found.orderBy(F.desc("count"), "token").limit(p.last).select("token").collect()
     return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
@@ -126,23 +126,62 @@ def prefix(s: np.ndarray, last: np.ndarray, percent: int) -> np.ndarray:
     return s[:n]
 
 
-def _tokens(docs: DataFrame, last: np.ndarray, p: Similar, sets: bool) -> DataFrame:
+def _owned(docs: DataFrame, p: Similar) -> DataFrame:
+    """(rid, own): tokens below ``p.share`` of the hash range that stand in this row alone."""
+    cut = np.uint64(int(p.share * 2**64))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).cast(pa.binary()).to_pylist()
+            texts, rid = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(0).to_numpy(zero_copy_only=False)
             for lo in range(0, len(texts), 256):
-                found, ids = [], []
-                for s in shingle_sets(texts[lo : lo + 256], p.gram):
-                    if len(s):
-                        t = prefix(s, last, p.percent)
-                        found.append(t)
-                        if sets:
-                            ids.append(np.full(len(t), set_id(s)[0], np.int64))
-                if found:
-                    cols = [pa.array(np.concatenate(found).view(np.int64))] + ([pa.array(np.concatenate(ids))] if sets else [])
-                    yield pa.record_batch(cols, names=["token", "sid"][: 1 + sets])
+                part = [s[: int(np.searchsorted(s, cut))] for s in shingle_sets(texts[lo : lo + 256], p.gram)]
+                yield pa.record_batch(
+                    [pa.array(np.concatenate(part).view(np.int64)), pa.array(np.repeat(rid[lo : lo + 256], [len(s) for s in part]))], names=["token", "id"]
+                )
+
+    return _alone(docs.select("rid", "text").mapInArrow(run, "token long, id long"))
+
+
+def _alone(tokens: DataFrame) -> DataFrame:
+    """(id, own): how many of its tokens no other id has."""
+    ends = tokens.groupBy("token").agg(F.min("id").alias("id"), F.max("id").alias("top"))
+    return ends.where("id = top").groupBy("id").agg(F.count("*").alias("own"))
+
 
-    return docs.select("text").mapInArrow(run, "token long" + ", sid long" * sets)
+def _dealt(sets: DataFrame, part, ids: bool) -> DataFrame:
+    """(token, id) of ``part`` of each of ``sets`` (sid, tokens), without the id if ``ids`` is off."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [part(np.frombuffer(t, np.uint64)) for t in batch.column(1).to_pylist()]
+            cols = [pa.array(np.concatenate(found).view(np.int64))] if found else [pa.array([], pa.int64())]
+            if ids:
+                cols.append(pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(f) for f in found])))
+            yield pa.record_batch(cols, names=["token", "id"][: 1 + ids])
+
+    return sets.select("sid", "tokens").mapInArrow(run, "token long" + ", id long" * ids)
+
+
+def _candidates(docs: DataFrame, facts: DataFrame, p: Similar) -> DataFrame:
+    """(sid, n, tokens): each set once that has enough tokens in common with others to link."""
+    spare = lambda own: 100 * own <= (100 - p.percent) * F.col("n")
+    # one row that stands for each set; a second hash must agree wherever the first does
+    same = facts.where("n > 0").groupBy("sid").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.min("sid2").alias("lo"), F.max("sid2").alias("hi"))
+    same = same.where(F.when(F.col("lo") != F.col("hi"), F.raise_error(F.lit("two sets share a 64-bit name"))).otherwise(F.lit(True)))
+    first = same.join(_owned(docs, p).withColumnRenamed("id", "rid"), "rid", "left").select("rid", "sid", "n", F.coalesce("own", F.lit(0)).alias("own"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                sets = [s.tobytes() for s in shingle_sets(part.column(3).cast(pa.binary()).to_pylist(), p.gram)]
+                yield pa.record_batch([*part.columns[:3], pa.array(sets, pa.binary())], names=["sid", "n", "own", "tokens"])
+
+    texts = docs.select("rid", "text").join(first.where(spare(F.col("own"))), "rid").select("sid", "n", "own", "text")
+    sets = stash(texts.mapInArrow(run, "sid long, n long, own long, tokens binary"))
+    cut = np.uint64(int(p.share * 2**64))
+    more = _alone(_dealt(sets, lambda s: s[int(np.searchsorted(s, cut)) :], True)).select(F.col("id").alias("sid"), F.col("own").alias("more"))
+    return stash(sets.join(more, "sid", "left").where(spare(F.col("own") + F.coalesce("more", F.lit(0)))).select("sid", "n", "tokens"))
 
 
 class Tree:
@@ -294,29 +333,14 @@ def ngram_components(docs: DataFrame, p: Similar = Similar()) -> DataFrame:
     """
     rows = numbered(docs)
     facts = stash(_described(rows, p))
-    last = _frequent(rows, facts.count(), p)
-    shared = _tokens(rows, last, p, False).groupBy("token").count().where("count > 1").select("token")
-    common = stash(_tokens(rows, last, p, True).join(shared, "token"))
-    ends = common.groupBy("token").agg(F.min("sid").alias("b"), F.max("sid").alias("top")).where("b != top").select("token", "b")
-    fams = components(common.join(ends, "token").select(F.col("sid").alias("a"), "b"))
-    # one row that stands for each set; a second hash must agree wherever the first does
-    same = facts.where("n > 0").groupBy("sid").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.min("sid2").alias("lo"), F.max("sid2").alias("hi"))
-    same = same.where(F.when(F.col("lo") != F.col("hi"), F.raise_error(F.lit("two sets share a 64-bit name"))).otherwise(F.lit(True)))
-    members = stash(same.select("sid", "rid", "n").join(fams.select(F.col("node").alias("sid"), F.col("root").alias("fam")), "sid"))
-    tasks = _blocks(members, p)
-    asked = tasks.join(members.select("sid", "rid"), "sid").groupBy("rid").agg(F.first("sid").alias("sid"), F.collect_list(F.struct("task", "left")).alias("tasks"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                sets = [s.tobytes() for s in shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), p.gram)]
-                yield pa.record_batch([part.column(0), part.column(2), pa.array(sets, pa.binary())], names=["sid", "tasks", "tokens"])
-
-    kind = "sid long, tasks array<struct<task:string,left:boolean>>, tokens binary"
-    sets = rows.select("rid", "text").join(asked, "rid").select("sid", "text", "tasks").mapInArrow(run, kind)
-    dealt = sets.select("sid", "tokens", F.explode("tasks").alias("t")).select("t.task", "t.left", "sid", "tokens")
-    links = _links(dealt, max(1, members.count() // 500), p)
+    sets = _candidates(rows, facts, p)
+    last = _frequent(sets, p)
+    tokens = _dealt(sets, lambda s: prefix(s, last, p.percent), True)
+    ends = tokens.groupBy("token").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b != top").select("token", "b")
+    fams = components(tokens.join(ends, "token").select(F.col("id").alias("a"), "b"))
+    members = stash(sets.select("sid", "n").join(fams.select(F.col("node").alias("sid"), F.col("root").alias("fam")), "sid"))
+    dealt = sets.select("sid", "tokens").join(_blocks(members, p), "sid").select("task", "left", "sid", "tokens")
+    links = _links(dealt, max(1, members.count() // 300), p)
     comp = components(links)
     named = facts.join(comp.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     ids = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
