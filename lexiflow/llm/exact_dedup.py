@@ -73,10 +73,11 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     rows = numbered(docs)
     keys = rows.select("rid", "doc_id", F.sha2("text", 256).alias("text_sha256"))
     marked = rows.withColumn("size", F.octet_length("text")).withColumn("mark", F.xxhash64("text"))
-    twins = marked.groupBy("size", "mark").agg(F.count("*").alias("n_same")).where("n_same > 1").select("size", "mark")
+    # twins and groups are written down, so that the joins deal rows anew and can split a hot key
+    twins = stash(marked.groupBy("size", "mark").agg(F.count("*").alias("n_same")).where("n_same > 1").select("size", "mark"))
     named = identities(marked.join(twins, ["size", "mark"], "left_semi").select("rid", "doc_id", "text"), block_bytes)
     last = F.max(F.struct("doc_id", "rid"))
-    groups = named.groupBy("level", "name").agg(last.alias("last"), F.count("*").alias("group_size"))
+    groups = stash(named.groupBy("level", "name").agg(last.alias("last"), F.count("*").alias("group_size")))
     found = named.join(groups, ["level", "name"]).select(
         "rid", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("last.rid") == F.col("rid")).alias("kept")
     )

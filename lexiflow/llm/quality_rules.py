@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.llm.common import SPACES, let, words
+from lexiflow.session import stash
 
 
 @dataclass(frozen=True)
@@ -110,14 +111,14 @@ def line_flags(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
         F.explode(F.transform(_lines(text), lambda x: F.struct(F.xxhash64(norm(x)).alias("line"), n_of(x).alias("w")))).alias("l"),
     ).select("rid", F.xxhash64(F.col("host")).alias("host"), "body", "l.line", "l.w")
     #: A line of one document only has equal ends here and never needs an exact count.
-    wide = (
+    wide = stash(
         line.groupBy("host", "line")
         .agg(F.count("*").alias("n"), F.min("body").alias("lo"), F.max("body").alias("hi"))
         .where((F.col("n") > rules.max_docs) & (F.col("lo") != F.col("hi")))
         .select("host", "line")
     )
     frequent = line.join(wide, ["host", "line"], "left_semi")
-    limit = (
+    limit = stash(
         frequent.groupBy("host", "line", "body")
         .agg(F.sum("w").alias("w"))
         .groupBy("host", "line")
