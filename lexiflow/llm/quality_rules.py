@@ -33,14 +33,13 @@ class LineRules:
     max_repeat_pct: int = 30
 
 
-SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
+SYMBOLS = "[#*$%&|<>]+"
 WINDOW = 8
 
 
 def _lines(text: Column) -> Column:
     """The lines that have a word."""
-    return F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x09-\\x0D ]"))
 
 
 def _covered(starts: Column, width: int) -> Column:
@@ -88,8 +87,8 @@ def text_rules(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     return out.withColumns(
         {
             "n_words": n,
-            "word_chars": F.length(F.translate(text, BLANKS, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            "word_chars": F.length(F.regexp_replace(text, SPACES + "+", "")).cast("long"),
+            "n_symbols": (F.length(text) - F.length(F.regexp_replace(text, SYMBOLS, ""))).cast("long"),
             "n_repeat_words": r,
             "base_failed": (n < rules.min_words) | (100 * r > rules.max_repeat_pct * n),
         }
@@ -102,22 +101,22 @@ def line_flags(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     ``docs`` has rid, text and host. A host that is null is a host of its own.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    norm = lambda x: F.lower(F.trim(F.regexp_replace(x, SPACES + "+", " ")))
-    n_of = lambda x: F.size(words(x))
-    line = docs.select(
-        "rid",
-        "host",
-        F.xxhash64(text).alias("body"),
-        F.explode(F.transform(_lines(text), lambda x: F.struct(F.xxhash64(norm(x)).alias("line"), n_of(x).alias("w")))).alias("l"),
-    ).select("rid", F.xxhash64(F.col("host")).alias("host"), "body", "l.line", "l.w")
-    #: A line of one document only has equal ends here and never needs an exact count.
+    name = lambda x: F.xxhash64(F.lower(F.trim(F.regexp_replace(x, SPACES + "+", " "))))
+    own = [F.xxhash64(F.col("host")).alias("host"), F.xxhash64(text).alias("body")]
+    line = docs.select(*own, F.explode(F.transform(_lines(text), name)).alias("line"))
+    #: A line of one text only has equal ends here and never needs an exact count.
     wide = stash(
         line.groupBy("host", "line")
         .agg(F.count("*").alias("n"), F.min("body").alias("lo"), F.max("body").alias("hi"))
         .where((F.col("n") > rules.max_docs) & (F.col("lo") != F.col("hi")))
         .select("host", "line")
     )
-    frequent = line.join(wide, ["host", "line"], "left_semi")
+    counted = docs.select("rid", *own, F.explode(F.transform(_lines(text), lambda x: F.struct(name(x).alias("line"), x.alias("x")))).alias("l"))
+    frequent = stash(
+        counted.select("rid", "host", "body", "l.line", "l.x")
+        .join(wide, ["host", "line"], "left_semi")
+        .select("rid", "host", "body", "line", F.size(words(F.col("x"))).alias("w"))
+    )
     limit = stash(
         frequent.groupBy("host", "line", "body")
         .agg(F.sum("w").alias("w"))
