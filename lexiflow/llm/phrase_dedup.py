@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lexiflow.llm.common import SPACES, numbered, words
 from lexiflow.llm.repeats import Windows, covered, repeated_runs
 
-WORDS = Windows("word", length=20, reach=15, seed=4, slice_units=5, shard=3000)
+WORDS = Windows("word", length=20, reach=15, seed=4, slice_units=5, shard=1000)
 #: Stands for a null id, which ranks before all others.
 NO_ID = -(1 << 63)
 

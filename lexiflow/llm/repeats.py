@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ class Windows:
     seed: int
     slice_units: int
     hot: int = 1000
-    shard: int = 1500
+    shard: int = 500
 
     def __post_init__(self) -> None:
         if self.reach + self.seed - 1 > self.length:
@@ -79,15 +80,20 @@ class Batch:
             end[:-1] &= gap[1:]
             self.first, self.last = np.flatnonzero(start), np.flatnonzero(end) + 1
             self.base = np.concatenate([[0], np.cumsum(n_words)])
-            sums = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(WEIGHTS[raw] * _powers(len(raw)), out=sums[1:])
-            self.hash = (sums[self.last] - sums[self.first]) * _powers(len(raw), inverse=True)[self.first]
         else:
             self.data = b"".join(texts)
-            raw = np.frombuffer(self.data, np.uint8)
             self.first = self.last = None
             self.base = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
-            self.hash = WEIGHTS[raw]
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        """A hash of each unit; a word's is the same wherever it stands."""
+        raw = np.frombuffer(self.data, np.uint8)
+        if self.first is None:
+            return WEIGHTS[raw]
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(WEIGHTS[raw] * _powers(len(raw)), out=sums[1:])
+        return (sums[self.last] - sums[self.first]) * _powers(len(raw), inverse=True)[self.first]
 
     def cut(self, lo: int, hi: int) -> bytes:
         """The bytes of units lo to hi (exclusive)."""
@@ -190,7 +196,8 @@ def repeated_runs(docs: DataFrame, w: Windows, shard: Callable, earlier: bool) -
     ``shard(contexts, w)`` gets dicts with data, lo, hi, n, doc, rid and gives a mask for each.
     """
     keys = run_keys(docs, w, False).groupBy("key").agg(F.count("*").alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b"))
-    keys = keys.where("n > 1").select("key", (F.col("a") != F.col("b")).alias("mixed"))
+    # written down, so that the join deals its other side anew and can split a hot key
+    keys = stash(keys.where("n > 1").select("key", (F.col("a") != F.col("b")).alias("mixed")))
     runs = stash(run_keys(docs, w, True).join(keys, "key"))
     place = F.struct("doc", "rid", "lo", "hi")
     ctxs = stash(runs.groupBy("key", "ctx", "mixed").agg(F.count("*").alias("n"), F.min(place).alias("rep")))
@@ -245,12 +252,20 @@ def _masks(rows: list[dict], masks: list[np.ndarray]) -> dict:
 
 
 def _sharded(contexts: DataFrame, w: Windows, shard: Callable) -> DataFrame:
-    """Shards of whole keys, about ``w.shard`` contexts each."""
+    """Shards of whole keys, about ``w.shard`` contexts each; large keys that meet are compared apart."""
     n = max(1, contexts.count() // w.shard)
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        return pa.table(_masks(rows, shard(rows, w)))
+        rows = sorted(table.to_pylist(), key=lambda r: r["key"])
+        edges = [i for i in range(1, len(rows)) if rows[i]["key"] != rows[i - 1]["key"]] + [len(rows)]
+        masks, lo, last = [], 0, 0
+        for hi in edges:
+            if hi - lo > w.shard and last > lo:
+                masks += shard(rows[lo:last], w)
+                lo = last
+            last = hi
+        masks += shard(rows[lo:], w) if lo < len(rows) else []
+        return pa.table(_masks(rows, masks))
 
     return contexts.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n))).groupBy("shard").applyInArrow(run, MASKS)
 
@@ -263,7 +278,7 @@ def _sliced(contexts: DataFrame, w: Windows, earlier: bool) -> DataFrame:
     out = None
     for part in (coarse, fine):
         equal = part.groupBy("part").agg(F.sum("n").alias("total"), F.min("whole").alias("a"), F.max("whole").alias("b"), F.min(keep).alias("first"))
-        equal = equal.where("a = b and total > 1").select("part", "first")
+        equal = stash(equal.where("a = b and total > 1").select("part", "first"))
         got = part.join(equal, "part")
         if earlier:
             got = got.where((F.col("first.doc") != F.col("doc")) | (F.col("first.rid") != F.col("rid")) | (F.col("first.at") != F.col("at")))
@@ -291,7 +306,7 @@ def _slices(contexts: DataFrame, w: Windows, size: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, 64) for whole in batches for i in range(0, whole.num_rows, 64)):
             rows = []
             for r in batch.to_pylist():
                 b, last, t = Batch([r["data"]], w.unit), r["hi"] - r["lo"], r["trigger"]

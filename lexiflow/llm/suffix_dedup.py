@@ -25,24 +25,50 @@ from lexiflow.llm.repeats import WEIGHTS, Windows, _power, covered, repeated_run
 BYTES = Windows("byte", length=400, reach=192, seed=16, slice_units=16)
 #: Phrases end where the rolling hash of ``OVERLAP`` bytes is 0 modulo ``MODULUS``.
 OVERLAP, MODULUS = 8, 32
+#: Letters that one sort key holds.
+LEADING = 7
 
 
-def doubled(names: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def suffix_ranks(first: np.ndarray, width: int, ends: np.ndarray) -> np.ndarray:
     """Rank of each suffix among suffixes that run to their own row's end; equal suffixes, equal ranks.
 
-    ``ends``: exclusive end of the row each place belongs to. Prefix doubling: ranks by 2 k
-    letters come from pairs of ranks by k.
+    ``first`` orders suffixes by their first ``width`` letters, ``ends`` has the exclusive end of
+    the row each place belongs to. Prefix doubling: ranks by 2 k letters come from pairs of ranks
+    by k, for places that others still share a rank with.
     """
-    place = np.arange(len(names))
-    rank = np.unique(names, return_inverse=True)[1].astype(np.int64) + 1
-    k, longest = 1, int((ends - place).max(initial=1))
-    while k < longest:
-        nxt = np.zeros(len(rank), np.int64)
-        ok = place + k < ends
-        nxt[ok] = rank[place[ok] + k]
-        rank = np.unique(rank * (len(rank) + 2) + nxt, return_inverse=True)[1].astype(np.int64) + 1
+    n = len(first)
+    rank, k = np.zeros(n + 1, np.int64), width
+    here = np.argsort(first, kind="stable")
+    new = np.concatenate([[True], first[here[1:]] != first[here[:-1]]])[:n]
+    rank[here] = np.maximum.accumulate(np.where(new, np.arange(n), 0)) + 1
+    while len(here):
+        size = np.diff(np.append(np.flatnonzero(new), len(here)))
+        here = here[np.repeat(size > 1, size)]
+        here = here[here + k < ends[here]]  # the others have ended: equal to the end
+        # those that ended have the lowest rank of their group; the rest follow behind them
+        r, nxt = rank[here], rank[here + k]
+        by = np.argsort(r * (n + 2) + nxt, kind="stable")
+        here, r, nxt = here[by], r[by], nxt[by]
+        if not len(here):
+            break
+        group = np.concatenate([[True], r[1:] != r[:-1]])
+        new = group | np.concatenate([[True], nxt[1:] != nxt[:-1]])
+        start = np.maximum.accumulate(np.where(group, np.arange(len(here)), 0))
+        total = np.bincount(rank[:n], minlength=n + 2)  # members of each group, ended ones included
+        inside = np.bincount(r, minlength=n + 2)
+        sub = np.maximum.accumulate(np.where(new, np.arange(len(here)), 0)) - start
+        rank[here] = r + (total - inside)[r] + sub
         k *= 2
-    return rank
+    return rank[:n]
+
+
+def _leading(letters: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first ``LEADING`` letters at each place as one number; what lies past the row's end is below all letters."""
+    place, key = np.arange(len(letters)), np.zeros(len(letters), np.uint64)
+    for k in range(LEADING):
+        ok = place + k < ends
+        key[ok] += (letters[place[ok] + k].astype(np.uint64) + np.uint64(1)) << np.uint64(9 * (LEADING - 1 - k))
+    return key
 
 
 class Parsing:
@@ -71,38 +97,37 @@ class Parsing:
         self.dictionary = list(numbers)
         self.parse, self.owner = parse, own
 
-    def order(self) -> tuple[np.ndarray, np.ndarray]:
-        """All places in corpus order, and the dictionary rank of each place."""
+    def order(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``places`` in corpus order, and the dictionary rank of each."""
         if not len(self.parse):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
+            return places[:0], places[:0]
         sizes = np.array([len(p) for p in self.dictionary], np.int64)
         ends = np.cumsum(sizes)
-        letters = np.frombuffer(b"".join(self.dictionary), np.uint8).astype(np.int64)
-        inner = doubled(letters, np.repeat(ends, sizes))  # suffixes of dictionary phrases
+        row_ends = np.repeat(ends, sizes)
+        letters = np.frombuffer(b"".join(self.dictionary), np.uint8)
+        inner = suffix_ranks(_leading(letters, row_ends), LEADING, row_ends)  # suffixes of dictionary phrases
         begin = ends - sizes
-        whole = inner[begin]  # phrases in order of their text
         row_end = np.searchsorted(self.begin, self.owner)
-        outer = doubled(whole[self.parse], row_end)  # suffixes of the parse
-        length = np.diff(np.append(self.begin, len(self.data)))
-        phrase = np.repeat(np.arange(len(self.parse)), length)
-        offset = np.arange(len(self.data)) - self.begin[phrase]
-        first = inner[begin[self.parse[phrase]] + offset]
+        outer = suffix_ranks(inner[begin][self.parse], 1, row_end)  # suffixes of the parse, phrases in order of their text
+        phrase = np.searchsorted(self.begin, places, side="right") - 1
+        first = inner[begin[self.parse[phrase]] + places - self.begin[phrase]]
         rest = np.append(outer, 0)[np.where(phrase + 1 < row_end[phrase], phrase + 1, len(outer))]
-        return np.lexsort((rest, first)), first
+        by = np.argsort(first * (len(outer) + 2) + rest, kind="stable")
+        return places[by], first[by]
 
 
 def repeated_places(texts: list[bytes], length: int) -> np.ndarray:
     """For each byte of the joined texts: does a ``length``-byte string start here that also starts elsewhere?"""
     parsing = Parsing(texts)
-    order, first = parsing.order()
     out = np.zeros(len(parsing.data), bool)
     if len(parsing.data) < length:
         return out
-    order = order[order + length <= parsing.text_end[order]]
+    places = np.flatnonzero(np.arange(len(out)) + length <= parsing.text_end)
+    order, first = parsing.order(places)
     raw = np.frombuffer(parsing.data, np.uint8)
     view = np.lib.stride_tricks.sliding_window_view(raw, length)
     # neighbours with another rest of the phrase differ within it, as no such rest begins another
-    twins = np.flatnonzero(first[order[:-1]] == first[order[1:]]) if parsing_is_short(parsing, length) else np.arange(max(0, len(order) - 1))
+    twins = np.flatnonzero(first[:-1] == first[1:]) if parsing_is_short(parsing, length) else np.arange(max(0, len(order) - 1))
     for lo in range(0, len(twins), 1 << 14):
         t = twins[lo : lo + (1 << 14)]
         same = t[(view[order[t]] == view[order[t + 1]]).all(axis=1)]
