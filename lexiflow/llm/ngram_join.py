@@ -336,13 +336,14 @@ def ngram_components(docs: DataFrame, p: Similar = Similar()) -> DataFrame:
     sets = _candidates(rows, facts, p)
     last = _frequent(sets, p)
     tokens = _dealt(sets, lambda s: prefix(s, last, p.percent), True)
-    ends = tokens.groupBy("token").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b != top").select("token", "b")
+    # written down, like ids below, so that the join deals its other side anew and can split a hot key
+    ends = stash(tokens.groupBy("token").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b != top").select("token", "b"))
     fams = components(tokens.join(ends, "token").select(F.col("id").alias("a"), "b"))
     members = stash(sets.select("sid", "n").join(fams.select(F.col("node").alias("sid"), F.col("root").alias("fam")), "sid"))
     dealt = sets.select("sid", "tokens").join(_blocks(members, p), "sid").select("task", "left", "sid", "tokens")
     links = _links(dealt, max(1, members.count() // 300), p)
     comp = components(links)
     named = facts.join(comp.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    ids = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    ids = stash(named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")))
     found = named.where("n > 0").join(ids, "root").select("rid", "doc_id", F.col("n").alias("n_shingles"), "component_id")
     return found.unionByName(facts.where("n = 0").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
