@@ -13,33 +13,34 @@ from lexiflow.llm.mixing import mix
 from lexiflow.llm.ngram_join import ngram_components
 from lexiflow.llm.quality_rules import quality_rules
 from lexiflow.llm.queries import vocabulary
-from lexiflow.session import scratch_dir
+from lexiflow.session import scratch_dir, stash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _kept(docs: DataFrame, rids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose number is in ``rids``; numbers follow file order."""
+def _without(docs: DataFrame, rids: DataFrame) -> DataFrame:
+    """``docs`` but the rows with these numbers, which follow file order. What goes is less than what
+    stays, so the join moves text only where even that list is too long for Spark to broadcast."""
     rows = docs.withColumn("rid", F.monotonically_increasing_id())
-    return rows.join(rids, "rid", "left_semi").select(*COLUMNS)
+    return rows.join(stash(rids.select("rid")), "rid", "left_anti").select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return quality_rules(docs).where("kept").select(*COLUMNS)
+    return _without(docs, quality_rules(docs).where("not kept"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays."""
-    return _kept(docs, exact_dedup(docs).where("kept").select("rid"))
+    return _without(docs, exact_dedup(docs).where("not kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays (the first such row)."""
-    found = ngram_components(docs)
+    found = stash(ngram_components(docs)).where("n_shingles > 0")
     first = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    own = found.where(first & (F.col("n_shingles") > 0)).groupBy("component_id").agg(F.min("rid").alias("rid"))
-    return _kept(docs, own.select("rid").unionByName(found.where("n_shingles = 0").select("rid")))
+    own = found.where(first).groupBy("component_id").agg(F.min("rid").alias("rid"))
+    return _without(docs, found.join(own.select("rid"), "rid", "left_anti"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

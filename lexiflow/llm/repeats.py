@@ -171,7 +171,6 @@ def run_keys(docs: DataFrame, w: Windows, places: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rid, doc = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             for at, texts in batches_of(batch.column(2).cast(pa.binary()).to_pylist()):
                 b = Batch(texts, w.unit)
                 text, lo, hi, trigger = b.runs(w)
@@ -180,8 +179,8 @@ def run_keys(docs: DataFrame, w: Windows, places: bool) -> DataFrame:
                 ctx = _signed([digest(cut(x, y + w.length), seed=t - x) for x, y, t in zip(lo.tolist(), hi.tolist(), trigger.tolist(), strict=True)])
                 cols = [pa.array(key), pa.array(ctx)]
                 if places:
-                    base = b.base[text]
-                    cols += [pa.array(rid[at + text]), pa.array(doc[at + text]), pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))]
+                    base, own = b.base[text], pa.array(at + text)
+                    cols += [batch.column(0).take(own), batch.column(1).take(own), pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))]
                 yield pa.record_batch(cols, names=names)
 
     kind = "key long, ctx long" + ", rid long, doc long, lo int, hi int" * places
