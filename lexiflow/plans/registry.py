@@ -2,13 +2,242 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexiflow.functions import text as T
+from lexiflow.operators import cleaning, report, scores, spans
+from lexiflow.plans import sql
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(oracle: str | None = None):
+    """Register a query under its function's name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
+    """The documents with the highest scores."""
+    return scores.scores(documents(spark, sf_dir)).orderBy(F.desc("score"), "doc_id").limit(20)
+
+
+def _score_query(name: str, cols: list[str]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: scores.scores(documents(spark, sf_dir)).select("doc_id", *cols)
+    ORACLES[name] = f"select doc_id, {', '.join(cols)} from ({sql.score_sql()})"
+
+
+for _name, _cols in {
+    "doc_language": ["language"], "doc_word_counts": ["n_words"], "doc_sentence_counts": ["n_sentences"], "score_emdash": ["n_dashes", "em_dash"],
+    "score_burstiness": ["burstiness"], "score_cliche": ["cliche"], "score_antithesis": ["antithesis"], "score_flatness": ["flatness"],
+    "score_discourse": ["discourse"], "score_opener_repeat": ["opener_repeat"], "score_hedge": ["hedge"], "score_paragraphs": ["paragraphs"],
+    "score_total": ["language", "score"],
+}.items():
+    _score_query(_name, _cols)
+
+
+def _metric_query(name: str, metric: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: report.metrics_wide(documents(spark, sf_dir)).select("doc_id", F.col(metric).alias("value"))
+    if metric != "nominalizationDensity":
+        ORACLES[name] = f'select doc_id, "{metric}" as value from ({sql.metric_sql()})'
+
+
+for _name, _metric in {
+    "metric_sentence_cv": "sentenceCv", "metric_short_sentences": "shortPerParagraph", "metric_discourse_share": "discourseShare",
+    "metric_hedge_density": "hedgeDensity", "metric_nominalization": "nominalizationDensity", "metric_paragraph_cv": "paragraphCv",
+    "metric_opener_repeat": "openerRepeat", "metric_ngram_repeat": "ngramRepeat", "metric_abstract_share": "abstractShare",
+    "metric_dash_share": "dashShare", "metric_punct_inventory": "punctInventory", "metric_long_sentences": "longSentences",
+    "metric_triad_share": "triadShare",
+}.items():
+    _metric_query(_name, _metric)
+
+_TALL = sql.tall_sql()
+
+
+def _tall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.metrics_tall(report.metrics_wide(documents(spark, sf_dir))).where("metric_id <> 'nominalizationDensity'")
+
+
+@query(_TALL)
+def metrics_tall_with_zones(spark, sf_dir):
+    return _tall(spark, sf_dir)
+
+
+@query(
+    "select doc_id, " + ", ".join(f"count(*) filter (status = '{s}') as n_{s}" for s in ("ok", "low", "high", "overshoot", "unknown")) + f" from ({_TALL}) group by doc_id"
+)
+def metric_status_counts(spark, sf_dir):
+    return report.status_counts(_tall(spark, sf_dir))
+
+
+@query(f"select language, metric_id, count(*) as texts, {', '.join(f'quantile_cont(value, {p}) as p{round(100 * p)}' for p in (0.1, 0.5, 0.9))} from ({_TALL}) where value is not null group by language, metric_id")
+def calibration_percentiles(spark, sf_dir):
+    return report.calibration(report.metrics_wide(documents(spark, sf_dir))).where("metric_id <> 'nominalizationDensity'")
+
+
+@query(f"""with t as ({_TALL}) select a.doc_id, a.metric_id, a.value as before, b.value as after, b.value - a.value as delta
+from t a join t b on b.doc_id = a.doc_id + 1 and b.metric_id = a.metric_id where abs(b.value - a.value) >= 1e-4""")
+def report_diff_join(spark, sf_dir):
+    """Each document against the next one."""
+    tall = _tall(spark, sf_dir)
+    return report.report_diff(tall, tall.withColumn("doc_id", F.col("doc_id") - 1))
+
+
+_CLEAN_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(x), '[\s\x{00A0}\p{P}]+', ' ', 'g'), '^ +', ''), ' +$', ''), '^\s+', ''), '\s+$', '')"
+
+
+@query(f"select doc_id, {_CLEAN_SQL.replace('lower(x)', 'lower(coalesce(text, {q}))').replace('{q}', chr(39) * 2)} as key from documents")
+def dedup_key_normalize(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", cleaning.dedup_key(F.coalesce("text", F.lit(""))).alias("key"))
+
+
+@query(f"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as pos from documents),
+k as (select doc_id, pos, {_CLEAN_SQL} as k from l), p as (select *, lag(k) over (partition by doc_id order by pos) as b from k)
+select doc_id, count(*) as n_lines, count(*) filter (length(k) > 24 and b = k) as duplicates from p group by doc_id""")
+def dedup_adjacent_lines(spark, sf_dir):
+    return cleaning.adjacent_lines(documents(spark, sf_dir))
+
+
+@query()
+def dedup_adjacent_blocks(spark, sf_dir):
+    return cleaning.drop_adjacent(documents(spark, sf_dir), "\n")
+
+
+@query()
+def clean_text(spark, sf_dir):
+    return cleaning.clean(documents(spark, sf_dir))
+
+
+@query(r"""with a as (select doc_id, coalesce(text, '') as t from documents), b as (select doc_id, regexp_replace(t, '\.{3}', '…', 'g') as t, len(regexp_extract_all(t, '\.{3}')) as ellipsis from a),
+c as (select doc_id, ellipsis, t as o, regexp_replace(t, '"([^"\n]{1,400})"', '“\1”', 'g') as t from b),
+d as (select doc_id, ellipsis, len(regexp_extract_all(o, '"([^"\n]{1,400})"')) + len(regexp_extract_all(t, '(\p{L})''(\p{L})')) as quotes, regexp_replace(t, '(\p{L})''(\p{L})', '\1’\2', 'g') as t from c)
+select doc_id, regexp_replace(t, '([0-9])\s*[-—]\s*([0-9])', '\1–\2', 'g') as text, ellipsis, quotes, len(regexp_extract_all(t, '([0-9])\s*[-—]\s*([0-9])')) as ranges from d""")
+def typography(spark, sf_dir):
+    return cleaning.typography(documents(spark, sf_dir))
+
+
+def _anchors_sql(name: str = "documents") -> str:
+    norm = r"lower(regexp_replace(regexp_replace(regexp_replace(v, '[\s\x{00A0}]+', ' ', 'g'), '[«»\"''“”]', '', 'g'), '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g'))"
+    norm = norm.replace('\\"', '"')
+    each = " union all ".join(f"select doc_id, '{k}' as type, unnest(regexp_extract_all(coalesce(text, ''), {sql.q(p)})) as v from {name}" for k, p in spans.ANCHORS.items())
+    return f"select doc_id, type, {norm} as value from ({each})"
+
+
+@query(f"select doc_id, type, count(*) as n from ({_anchors_sql()}) group by doc_id, type")
+def anchor_counts_by_type(spark, sf_dir):
+    return spans.anchor_counts(documents(spark, sf_dir))
+
+
+@query(f"""with a as (select doc_id, type, value, count(*) as n from ({_anchors_sql()}) group by all), s as (select doc_id - 1 as doc_id, text from documents),
+b as (select doc_id, type, value, count(*) as n from ({_anchors_sql("s")}) group by all)
+select doc_id, type, value, greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0)::bigint as lost, greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0)::bigint as added
+from a full join b using (doc_id, type, value) where coalesce(a.n, 0) <> coalesce(b.n, 0)""")
+def anchor_multiset_diff(spark, sf_dir):
+    """Each document against the next one."""
+    d = documents(spark, sf_dir)
+    return spans.anchor_diff(d, d.withColumn("doc_id", F.col("doc_id") - 1))
+
+
+@query()
+def qualifier_guard(spark, sf_dir):
+    """Which groups of qualifiers differ between each text and its first half."""
+    d = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("source"))
+    return spans.qualifiers_kept(d.withColumn("candidate", F.left("source", F.floor(F.length("source") / 2).cast("int")))).select("doc_id", "changed")
+
+
+_RANGES = "select l_orderkey as doc_id, (l_linenumber * 7 + l_partkey % 11)::bigint as s, (l_linenumber * 7 + l_partkey % 11 + l_suppkey % 9 + 1)::bigint as e from lineitem"
+
+
+def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = F.col("l_linenumber") * 7 + F.col("l_partkey") % 11
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        F.col("l_orderkey").alias("doc_id"), start.cast("long").alias("start"), (start + F.col("l_suppkey") % 9 + 1).cast("long").alias("end")
+    )
+
+
+@query(f"""with r as (select *, row_number() over (partition by doc_id order by s, e desc) as rn from ({_RANGES})),
+m as (select *, max(e) over (partition by doc_id order by rn rows between unbounded preceding and 1 preceding) as reach from r),
+i as (select *, sum(case when reach is null or s >= reach then 1 else 0 end) over (partition by doc_id order by rn rows between unbounded preceding and current row) as island from m)
+select doc_id, min(s) as "start", max(e) as "end" from i group by doc_id, island""")
+def merge_ranges_islands(spark, sf_dir):
+    return spans.merge_ranges(_ranges(spark, sf_dir))
+
+
+@query(f"""with r as ({_RANGES}) select a.doc_id, a.s as "start", a.e as "end" from r a where not exists (select 1 from r b where b.doc_id = a.doc_id and b.s > a.s and a.s < b.e and a.e > b.s)""")
+def interval_overlap_filter(spark, sf_dir):
+    """Ranges that overlap no range of their order that starts later."""
+    a, b = _ranges(spark, sf_dir).alias("a"), _ranges(spark, sf_dir).alias("b")
+    hit = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("b.start") > F.col("a.start")) & (F.col("a.start") < F.col("b.end")) & (F.col("a.end") > F.col("b.start"))
+    return a.join(b, hit, "left_anti")
+
+
+@query()
+def weak_spots_worst_share(spark, sf_dir):
+    """The longest sentences of each document, a third of them and eight at most."""
+    s = spans.sentence_table(documents(spark, sf_dir))
+    return spans.worst(s.withColumn("score", F.col("words"))).select("doc_id", "pos", "score", "rank")
+
+
+@query("""with s as (select e.event_type, e.event_id as id, e.value::double as value from events e where e.event_id % 97 = 0), h as (select event_type, value::double as past from events where event_id % 89 = 0)
+select s.event_type, s.id, s.value, median(past) as median, (count(*) filter (past < s.value) + count(*) filter (past = s.value) / 2.0) / count(past) as share
+from s join h on h.event_type = s.event_type group by s.event_type, s.id, s.value having count(past) >= 5""")
+def history_midrank_median(spark, sf_dir):
+    """Some events against a history of others of their type."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.col("event_id").alias("id"), F.col("value").cast("double").alias("value"))
+    return spans.mid_rank(e.where("id % 89 = 0"), e.where("id % 97 = 0"), ["event_type"])
+
+
+@query("select user_id, event_id from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id desc) as k from events) where k <= 20")
+def revisions_keep_last_n(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "ts")
+    return spans.keep_last(e, "user_id", [F.desc("ts"), F.desc("event_id")], 20).select("user_id", "event_id")
+
+
+@query("""select a.vec_id, round(list_dot_product(a.embedding::double[], b.embedding::double[]) / sqrt(list_dot_product(a.embedding::double[], a.embedding::double[]) * list_dot_product(b.embedding::double[], b.embedding::double[])), 9) as similarity
+from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""")
+def embedding_cosine_pairs(spark, sf_dir):
+    """Each vector and the next one."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(nxt, "vec_id").select("vec_id", F.round(spans.cosine(F.col("embedding"), F.col("other")), 9).alias("similarity"))
+
+
+@query(r"""with w as (select unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}-]{4,}')) as form from documents), t as (select form, count(*) as n from w group by form)
+select replace(form, '-', '') as key, list_sort(list(form)) as forms, sum(n)::bigint as n from t group by 1 having count(*) > 1""")
+def terminology_drift(spark, sf_dir):
+    return spans.terminology(documents(spark, sf_dir))
+
+
+_GRAMS = r"select {id}, unnest(list_distinct(list_transform(range(1, greatest(len(ws) - 3, 1)), lambda i: array_to_string(ws[i:i + 4], ' ')))) as g from (select {id}, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_-]+') as ws from {t}) where len(ws) >= 5"
+
+
+@query(f"""with d as ({_GRAMS.format(id="doc_id", t="documents")}), b as ({_GRAMS.format(id="item_id", t="benchmark")})
+select doc_id, item_id, count(*) as shared from d join b on b.g = d.g group by doc_id, item_id""")
+def benchmark_overlap_ngrams(spark, sf_dir):
+    """How many distinct five-word sequences a document shares with a benchmark item."""
+    ws = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(T.WORD), F.lit(0))
+    grams = T.let(ws, lambda w: F.when(F.size(w) >= 5, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.array_join(F.slice(w, i, 5), " ")))))
+    one = lambda df, key: df.select(key, F.explode(grams).alias("g"))
+    d, b = one(documents(spark, sf_dir), "doc_id"), one(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id")
+    return d.join(b, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+
+
+@query()
+def html_to_blocks(spark, sf_dir):
+    from lexiflow.sources.readers import html_blocks
+
+    return html_blocks(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html")
+
+
