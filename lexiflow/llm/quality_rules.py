@@ -24,8 +24,9 @@ from lexiflow.session import stash
 
 @dataclass(frozen=True)
 class LineRules:
-    """``max_docs``: distinct texts of one host that may share a line. ``min_left``: share of
-    its words that a document must keep, and ``min_words`` how many, once such lines are gone."""
+    """``max_docs``: distinct texts of one host that may share a line. ``min_left``: share of its
+    words that a document must keep once such lines are gone. ``min_words`` and ``max_repeat_pct``
+    are the base rule's limits on words and repeated words."""
 
     max_docs: int = 100
     min_left: float = 0.3
@@ -136,8 +137,8 @@ def quality_rules(docs: DataFrame, host: str = "source", rules: LineRules = Line
     """Every row of ``docs`` with its counts, ``boiler_words``, ``boiler_lines`` and ``kept``.
 
     ``kept`` is false where ``base_failed`` is, or where the lines that more than
-    ``rules.max_docs`` distinct texts of the host share leave fewer than ``min_words`` words or
-    less than ``min_left`` of them. Exact copies count as one document. Empty and null texts
+    ``rules.max_docs`` distinct texts of the host share leave less than ``min_left`` of its words;
+    a short text that merely has such a line stays. Exact copies count as one document. Empty and null texts
     have zero counts and fail; repeated rows are judged alike; an empty table stays empty.
     ``docs`` must be a scan (row numbers follow file order); columns of ours are overwritten.
     """
@@ -146,5 +147,5 @@ def quality_rules(docs: DataFrame, host: str = "source", rules: LineRules = Line
     flags = line_flags(rows.select("rid", "text", F.col(host).alias("host")), rules)
     out = text_rules(rows, rules).join(flags, "rid", "left").fillna(0, ["boiler_words", "boiler_lines"])
     left = F.col("n_words") - F.col("boiler_words")
-    depleted = (F.col("boiler_words") > 0) & ((left < rules.min_words) | (left < rules.min_left * F.col("n_words")))
+    depleted = (F.col("boiler_words") > 0) & (left < rules.min_left * F.col("n_words"))
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)

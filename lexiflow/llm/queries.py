@@ -130,5 +130,5 @@ m as (select w.doc_id, len(ws)::bigint as n_words, len(array_to_string(ws, '')):
       from w left join r on r.doc_id = w.doc_id left join b on b.doc_id = w.doc_id),
 j as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and not (boiler_words > 0 and (n_words - boiler_words < 20 or n_words - boiler_words < 0.3 * n_words)) as kept, boiler_words from j""",
+  not base_failed and not (boiler_words > 0 and n_words - boiler_words < 0.3 * n_words) as kept, boiler_words from j""",
 }
