@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiflow.functions import text as T
-from lexiflow.operators import cleaning, report, scores, spans
+from lexiflow.operators import cleaning, edits, report, scores, spans, structure
 from lexiflow.plans import sql
 
 QUERIES: dict = {}
@@ -241,3 +241,56 @@ def html_to_blocks(spark, sf_dir):
     return html_blocks(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "html")
 
 
+
+
+@query("select conv_id, turn, sum(case when role = 'user' then 1 else 0 end) over (partition by conv_id order by turn)::bigint as segment from conversations")
+def segment_running_sum(spark, sf_dir):
+    """Turns segmented at each user's turn."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return structure.segments(c, F.col("role") == "user", "conv_id", "turn").select("conv_id", "turn", "segment")
+
+
+@query("select l_orderkey as doc_id, l_linenumber as pos, l_returnflag as kind, row_number() over (partition by l_orderkey, l_returnflag order by l_linenumber)::integer as number from lineitem")
+def caption_numbering(spark, sf_dir):
+    """Lines as captions, their flags as kinds."""
+    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("kind"))
+    return structure.number_captions(x)
+
+
+@query("""select l_orderkey as doc_id, l_linenumber as pos, row_number() over (partition by l_orderkey order by l_linenumber) <= greatest(1, floor(count(*) over (partition by l_orderkey) * 0.3::double + 0.5)) as kept_for_zone from lineitem""")
+def connective_budget_window(spark, sf_dir):
+    """The first third of each order's lines."""
+    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"))
+    return edits.within_budget(x, 0.3)
+
+
+@query("""select user_id as doc_id, event_id as cand_no, event_type as text, value::double as score from (select *, row_number() over (partition by user_id order by value, event_id) as k from events where value is not null and not isnan(value::double)) where k = 1""")
+def candidate_select(spark, sf_dir):
+    """The lowest value of each user's events."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return edits.select_best(e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("cand_no"), F.col("event_type").alias("text"), F.col("value").cast("double").alias("score")))
+
+
+@query()
+def edit_resolve(spark, sf_dir):
+    """Each order's ranges as edits, resolved greedily."""
+    r = _ranges(spark, sf_dir)
+    return edits.resolve(r.withColumns({"priority": F.lit(0), "after": F.lit("")})).select("doc_id", "start", "end")
+
+
+@query()
+def repeated_thesis_selfjoin(spark, sf_dir):
+    return edits.repeated_thesis(documents(spark, sf_dir))
+
+
+@query()
+def lexical_novelty_lcs(spark, sf_dir):
+    """Each conversation turn against the one before it."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return c.withColumn("before", before).where("before is not null").select("conv_id", "turn", edits.lexical_novelty("before", "text").alias("novelty"))
+
+
+@query()
+def stable_text_hash(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", edits.stable_hash("text").alias("hash"))
