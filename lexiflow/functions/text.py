@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = "[\\p{L}\\p{N}_-]+"
@@ -20,7 +20,18 @@ def count(text: Column, pattern: str) -> Column:
 
 def language(text: Column) -> Column:
     """ru where Cyrillic letters outnumber Latin ones, else en."""
-    return F.when(count(text, "\\p{IsCyrillic}") > count(text, "\\p{IsLatin}"), "ru").otherwise("en")
+    return F.when(letters(text, "\\p{IsCyrillic}") > letters(text, "\\p{IsLatin}"), "ru").otherwise("en")
+
+
+def letters(text: Column, kind: str) -> Column:
+    """How many letters of a kind there are, found a run at a time."""
+    return F.length(text) - F.length(F.regexp_replace(text, kind + "+", ""))
+
+
+def once(frame: DataFrame, key: str, **columns: Column) -> DataFrame:
+    """``key`` and ``columns``, each evaluated once a row: a plain projection would be merged into those above it."""
+    row = F.struct(*(c.alias(k) for k, c in columns.items()))
+    return frame.select(key, F.explode(F.array(row)).alias("_row")).select(key, "_row.*")
 
 
 def by_language(lang: Column, values: dict) -> Column:

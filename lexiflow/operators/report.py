@@ -10,7 +10,8 @@ from lexiflow.functions import text as T
 from lexiflow.operators.scores import RANGE, inventory
 
 EDGES = ("(?<![\\p{L}\\p{N}_-])", "(?![\\p{L}\\p{N}_-])")
-TRIAD = "(?iU)[^,;:()]{3,},[^,;:()]{3,},\\s*(?:and|or|и|или|а также)\\s"
+#: Three letters before the first comma are enough to look for: more would only make the search go back.
+TRIAD = "(?iU)[^,;:()]{3},[^,;:()]{3,},\\s*(?:and|or|и|или|а также)\\s"
 
 
 def shaped(text: Column, lang: Column, patterns: dict[str, str]) -> Column:
@@ -64,7 +65,7 @@ def metrics_wide(docs: DataFrame) -> DataFrame:
     """doc_id, language, n_words, n_sentences and a column for each metric; null where it can't be measured."""
     text = F.col("_text")
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
-    base = base.select("doc_id", "_text", T.language(text).alias("language"), T.n_words(text).cast("long").alias("n_words"), T.flat_sentences(text).alias("_sentences"))
+    base = T.once(base, "doc_id", _text=text, language=T.language(text), n_words=T.n_words(text).cast("long"), _sentences=T.flat_sentences(text))
     return base.select("doc_id", "language", "n_words", F.size("_sentences").cast("long").alias("n_sentences"), *(c.cast("double").alias(k) for k, c in metric_columns(text).items()))
 
 

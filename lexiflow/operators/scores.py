@@ -65,7 +65,7 @@ def scores(docs: DataFrame) -> DataFrame:
     """doc_id, language, n_words, n_sentences, n_dashes, the components and ``score``; a null text counts as empty."""
     text = F.col("_text")
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
-    base = base.select("doc_id", "_text", T.language(text).alias("language"), F.lower(text).alias("_lower"), T.sentences(text).alias("_sentences"))
+    base = T.once(base, "doc_id", _text=text, language=T.language(text), _lower=F.lower(text), _sentences=T.sentences(text))
     out = base.select(
         "doc_id",
         "language",

@@ -32,7 +32,7 @@ def block_counts(blocks: DataFrame, kinds: list[str], key: str = "doc_id") -> Da
 
 def table_rows(lines: Column) -> Column:
     """Tab-separated lines as rows of trimmed cells, short rows padded to the widest."""
-    rows = F.transform(lines, lambda x: F.transform(F.split(x, "\t"), F.trim))
+    rows = F.transform(lines, lambda x: F.transform(F.split(x, "\t"), lambda c: F.trim(c)))
     width = F.array_max(F.transform(rows, F.size))
     return F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), F.greatest(width - F.size(r), F.lit(0)))))
 
