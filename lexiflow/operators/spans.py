@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiflow.functions import lexicon as L
 from lexiflow.functions import text as T
+from lexiflow.session import stash
 
 # What counts as a verifiable anchor.
 ANCHORS = {
@@ -81,11 +82,27 @@ def sentence_table(docs: DataFrame) -> DataFrame:
 
 
 def mid_rank(history: DataFrame, now: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
-    """(keys, id, value, median, share): where a value stands among its key's history; silent below ``least`` samples."""
-    h, n = history.select(*keys, F.col("value").alias("past")), now.select(*keys, "id", "value")
-    both = n.join(h, keys)
-    share = (F.count_if(F.col("past") < F.col("value")) + F.count_if(F.col("past") == F.col("value")) / 2) / F.count("past")
-    return both.groupBy(*keys, "id", "value").agg(F.median("past").alias("median"), share.alias("share"), F.count("past").alias("n")).where(F.col("n") >= least).drop("n")
+    """(keys, id, value, median, share): where a value stands among its key's history; silent below ``least`` samples.
+
+    Values are counted first, then ranked in ranges of the sort order, so that a key with most rows is
+    never in one task: only totals per range and key meet. Null values are left out on both sides.
+    """
+    mine = now.where("value is not null").select(*keys, "id", "value")
+    seen = history.where("value is not null").select(*keys, "value", F.lit(1).alias("n")).unionByName(mine.select(*keys, "value", F.lit(0).alias("n")))
+    counts = seen.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
+    parts = stash(counts.repartitionByRange(*keys, "value").withColumn("part", F.spark_partition_id()))
+    totals = parts.groupBy(*keys, "part").agg(F.sum("n").alias("in_part"))
+    by_key = Window.partitionBy(*keys)
+    earlier = by_key.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "part", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("base"), F.sum("in_part").over(by_key).alias("all"))
+    inside = Window.partitionBy(*keys, "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = parts.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(totals, [*keys, "part"])
+    ranked = stash(ranked.select(*keys, "value", "n", "all", (F.col("base") + F.col("inside")).alias("below")))
+    holds = lambda pos: (F.col("below") <= pos) & (pos < F.col("below") + F.col("n"))
+    low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
+    middle = ranked.where(holds(low) | holds(high)).groupBy(*keys).agg(F.avg("value").alias("median"))
+    out = mine.join(ranked, [*keys, "value"]).join(middle, keys).where(F.col("all") >= least)
+    return out.select(*keys, "id", "value", "median", ((F.col("below") + F.col("n") / 2) / F.col("all")).alias("share"))
 
 
 def keep_last(rows: DataFrame, key: str, order: list, n: int) -> DataFrame:
