@@ -104,3 +104,38 @@ QUALIFIERS = {
     "ability": ["can", "able", "способен", "способна", "способны"],
     "association": ["associated", "correlated", "correlation", "корреляция", "коррелирует", "связано", "связаны"],
 }
+# Dates, versions, and units after a digit (\\b bounds ASCII words).
+EVIDENCE = {
+    "date": "\\b(?:[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}\\s+(?:янв|фев|мар|апр|мая|май|июн|июл|авг|сен|окт|ноя|дек)[а-я]*\\s+[0-9]{4}|"
+    "(?:january|february|march|april|may|june|july|august|september|october|november|december)\\s+[0-9]{1,2},?\\s+[0-9]{4}|[0-9]{4}\\s*(?:г\\.|году|year)|Q[1-4]\\s*[0-9]{4})",
+    "version": "\\bv?[0-9]+(?:\\.[0-9]+){1,4}\\b",
+}
+UNITS = (
+    "%|₽|\\$|€|руб\\.?|долл\\.?|тыс\\.?|млн|млрд|трлн|шт\\.?|чел\\.?|кг|г(?=\\b)|т(?=\\b)|км|мм|см|м(?=\\b)|л(?=\\b)|ч(?=\\b)|мин|сек|"
+    "дн(?:ей|я)?|мес(?:яц[ае]в?)?|лет|год[а]?|p\\.?p\\.?|bn|mn|k(?=\\b)|kg|km|USD|EUR|RUB|GB|MB|pt|px"
+)
+# Words that start sentences, so that a capital says nothing.
+OPENER_STOP = [
+    "the", "a", "an", "this", "that", "these", "those", "it", "we", "they", "he", "she", "in", "on", "at", "for", "to", "by", "with", "as",
+    "if", "when", "while", "however", "moreover", "furthermore", "therefore", "thus", "also", "but", "and", "such",
+    "и", "а", "но", "в", "во", "на", "по", "при", "для", "как", "что", "это", "этот", "эта", "эти", "тот", "та", "те", "он", "она", "они",
+    "мы", "вы", "так", "таким", "кроме", "однако", "поэтому", "если", "когда", "чтобы", "после", "перед", "затем", "далее", "первый",
+    "второй", "третий", "также", "более", "менее", "все", "всё", "весь",
+]
+# Words of a claim, for a whole text and for one sentence.
+CLAIMS = {
+    "ru": "(?:позволя|обеспечива|улучша|повыша|снижа|способству|гарантиру)[ею]т?|(?:значительн|существенн|эффективн|ключев|важн|комплексн|современн|инновационн|успешн|устойчив)\\p{L}*",
+    "en": "provides?|ensures?|enables?|delivers?|improves?|increases?|reduces?|supports?|drives?|allows?|helps?|significant|comprehensive|robust|effective|efficient|strategic|innovative|"
+    "successful|seamless|scalable|sustainable|critical|essential|key",
+}
+SENTENCE_CLAIMS = {
+    "ru": "(?:позволя|обеспечива|улучша|повыша|снижа|способству)[ею]т?|(?:значительн|эффективн|ключев|важн|комплексн|успешн)\\p{L}*",
+    "en": "provides?|ensures?|enables?|delivers?|improves?|increases?|reduces?|supports?|significant|comprehensive|robust|effective|efficient|strategic|key",
+}
+WEAK_WEIGHTS = {"discourse": 25, "cliche": 20, "hedge": 15, "empty_claim": 25, "repeated_opener": 15, "average_length": 10, "concrete": -20}
+# Abbreviations that need no expansion.
+COMMON_ABBREVIATIONS = [
+    "AI", "B2B", "B2C", "B2G", "CAGR", "CAPEX", "CEO", "CFO", "CRM", "DCF", "EBIT", "EBITDA", "ERP", "ESG", "EU", "FCF", "GDP", "GMV", "GPS",
+    "HR", "IRR", "IT", "KPI", "LLC", "LTV", "MVP", "NPV", "OPEX", "PR", "R&D", "ROI", "SEO", "SME", "SWOT", "UK", "URL", "USA", "USD", "VAT",
+    "WACC", "ВВП", "ГОСТ", "ЕС", "ИП", "НДС", "ООО", "РФ", "СМИ", "США", "ЦБ",
+]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiflow.functions import lexicon as L
 from lexiflow.functions import text as T
-from lexiflow.operators import cleaning, edits, report, scores, spans, structure
+from lexiflow.operators import cleaning, edits, evidence, report, scores, spans, structure
 from lexiflow.plans import sql
 
 QUERIES: dict = {}
@@ -187,11 +188,16 @@ def interval_overlap_filter(spark, sf_dir):
     return a.join(b, hit, "left_anti")
 
 
+@query()
+def weak_spots_rank(spark, sf_dir):
+    return evidence.weak_spots(documents(spark, sf_dir)).drop("sentence")
+
+
 @query()
 def weak_spots_worst_share(spark, sf_dir):
-    """The longest sentences of each document, a third of them and eight at most."""
-    s = spans.sentence_table(documents(spark, sf_dir))
-    return spans.worst(s.withColumn("score", F.col("words"))).select("doc_id", "pos", "score", "rank")
+    """The weakest sentences of each document, 15 in a hundred and eight at most."""
+    s = evidence.weak_spots(documents(spark, sf_dir)).where("score > 0")
+    return spans.worst(s, 0.15).select("doc_id", "pos", "score", "rank")
 
 
 @query("""with h as (select event_type, event_id as id, value::double as value from events where value is not null),
@@ -298,3 +304,90 @@ def lexical_novelty_lcs(spark, sf_dir):
 @query()
 def stable_text_hash(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", edits.stable_hash("text").alias("hash"))
+
+
+def _evidence_count(kind: str) -> str:
+    return sql.n("coalesce(text, '')", "(?i)" + L.EVIDENCE[kind].replace("\\s", "[\\s\\x{00A0}]"))
+
+
+@query(f"select doc_id, {_evidence_count('date')} as n_dates, {_evidence_count('version')} as n_versions from documents")
+def anchor_dates_versions(spark, sf_dir):
+    t = F.coalesce("text", F.lit(""))
+    return documents(spark, sf_dir).select("doc_id", *(F.size(evidence.dated(t, k)).cast("long").alias(f"n_{k}s") for k in ("date", "version")))
+
+
+@query()
+def anchor_units(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.size(evidence.units(F.coalesce("text", F.lit("")))).cast("long").alias("n_units"))
+
+
+_STOP = ", ".join(map(sql.q, L.OPENER_STOP))
+
+
+@query(r"""with d as (select doc_id, coalesce(text, '') as t from documents),
+w as (select doc_id, unnest(regexp_extract_all(t, '[\p{L}\p{N}_-]+')) as w from d),
+s as (select doc_id, unnest(string_split(regexp_replace(t, '([.!?…])[\s\x{00A0}]+', '\1' || chr(1), 'g'), chr(1))) as s from d),
+i as (select doc_id, unnest(regexp_extract_all(s, '\p{L}[\p{L}\p{N}''’-]+')[2:]) as w from s),
+x as (select doc_id, lower(w) as value, 'a' as kind from w where regexp_full_match(w, '\p{Lu}{2,}(-\p{Lu}\p{N}*)?')
+union all select doc_id, lower(w), 's' from w where length(w) > 1 and left(w, 1) = lower(left(w, 1))
+union all select doc_id, lower(w), 'c' from i where left(w, 1) = upper(left(w, 1)) and w <> upper(w)),
+n as (select doc_id, value, count(*) filter (kind = 'a') as a, count(*) filter (kind = 's') as s, count(*) filter (kind = 'c') as c from x group by doc_id, value)
+select doc_id, value, a + case when s = 0 and value not in (STOP) then c else 0 end as n from n where a + case when s = 0 and value not in (STOP) then c else 0 end > 0""".replace("STOP", _STOP))
+def anchor_proper_nouns(spark, sf_dir):
+    return evidence.proper_nouns(documents(spark, sf_dir))
+
+
+@query()
+def metric_anchor_density(spark, sf_dir):
+    return evidence.anchor_density(documents(spark, sf_dir))
+
+
+@query()
+def metric_empty_claims(spark, sf_dir):
+    return evidence.empty_claims(documents(spark, sf_dir))
+
+
+_STYLE = r"""select doc_id, coalesce(list_avg(s), 0) as sentence_words, coalesce(sqrt(list_avg(list_transform(s, lambda x: (x - list_avg(s)) * (x - list_avg(s))))) / list_avg(s), 0) as sentence_spread,
+len(list_filter(s, lambda x: x <= 12)) / greatest(1, len(s)) as short_share, coalesce(list_avg(p), 0) as paragraph_words from (
+select doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^.!?…]+[.!?…]+|[^.!?…]+$'), lambda x: len(regexp_extract_all(x, '[\p{L}\p{N}]+'))), lambda x: x > 0) as s,
+list_filter(list_transform(string_split_regex(coalesce(text, ''), '\n\s*\n'), lambda x: len(regexp_extract_all(x, '[\p{L}\p{N}]+'))), lambda x: x > 0) as p from documents)"""
+
+
+@query(_STYLE)
+def author_style_measure(spark, sf_dir):
+    return evidence.style(documents(spark, sf_dir))
+
+
+@query(f"select doc_id, least(1.0, abs(sentence_words - 14.0) / 14.0) as distance from ({_STYLE})")
+def author_style_distance(spark, sf_dir):
+    """Against an author whose sentences have fourteen words."""
+    return evidence.style_distance(evidence.style(documents(spark, sf_dir)), 14.0)
+
+
+@query(r"""select doc_id, len(regexp_extract_all(coalesce(text, ''), '\([^()\n]{2,80}?,[\s\x{00A0}]*[0-9]{4}[a-z]?(?:,[\s\x{00A0}]*[0-9]{4}[a-z]?)*\)')) as cited,
+len(regexp_extract_all(coalesce(text, ''), '\[\s*[0-9]+(?:\s*[,–-]\s*[0-9]+)*\s*\]')) as "foreign", greatest(1, floor(length(coalesce(text, '')) / 2000.0::double + 0.5))::bigint as pages from documents""")
+def citations_and_pages(spark, sf_dir):
+    return evidence.compliance(documents(spark, sf_dir))
+
+
+@query()
+def abbreviations_unexpanded(spark, sf_dir):
+    return evidence.abbreviations(documents(spark, sf_dir))
+
+
+@query()
+def heading_parallelism(spark, sf_dir):
+    return evidence.heading_schemas(documents(spark, sf_dir))
+
+
+@query(f"""select doc_id, list_filter([case when em_dash >= 30 then 'em_dash' end, case when burstiness >= 30 then 'burstiness' end, case when cliche >= 30 then 'cliche' end,
+case when antithesis >= 30 then 'antithesis' end], lambda x: x is not null) as notes from ({sql.score_sql()})""")
+def score_notes(spark, sf_dir):
+    return evidence.notes(scores.scores(documents(spark, sf_dir)))
+
+
+@query(f"""with r as ({ORACLES["history_midrank_median"]}), k as (select *, row_number() over (partition by event_type order by abs(share - 0.5) desc, id) as k from r where share <= 0.2 or share >= 0.8)
+select event_type, id, value, median, share from k where k <= 3""")
+def history_highlights(spark, sf_dir):
+    """The three events of each type that stand furthest from the middle."""
+    return evidence.highlights(history_midrank_median(spark, sf_dir), "event_type")
