@@ -37,14 +37,14 @@ MARK = "\ue000"
 COUNTERS = ("artifacts", "punctuation", "spacing", "joined_breaks")
 
 
-def clean(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a counter per kind of change; a null text is empty.
+def clean(docs: DataFrame, *carry: str) -> DataFrame:
+    """doc_id, text and a counter per kind of change, with columns to ``carry``; a null text is empty.
 
     URLs become private-use tokens before the steps and come back after them.
     """
     raw = F.coalesce("text", F.lit(""))
     urls = F.transform(F.regexp_extract_all(raw, F.lit(URL), F.lit(0)), lambda u: F.regexp_replace(u, "[.,!?;:]+$", ""))
-    now = docs.select("doc_id", raw.alias("t"), urls.alias("urls"), *(F.lit(0).cast("long").alias(c) for c in COUNTERS))
+    now = docs.select("doc_id", *carry, raw.alias("t"), urls.alias("urls"), *(F.lit(0).cast("long").alias(c) for c in COUNTERS))
     hidden = F.regexp_replace("t", "(?i)https?://[^\\s<>()]*[^\\s<>().,!?;:]", MARK)
     now = now.withColumn("t", F.when(F.size("urls") > 0, hidden).otherwise(F.col("t")))
     for pattern, to, counter in STEPS:
@@ -54,7 +54,7 @@ def clean(docs: DataFrame) -> DataFrame:
         now = now.withColumns(new)
     parts = F.split(T.strip(F.col("t")), MARK)
     back = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get("urls", i), F.lit("")))), "")
-    return now.select("doc_id", F.when(F.size("urls") > 0, back).otherwise(T.strip(F.col("t"))).alias("text"), *COUNTERS)
+    return now.select("doc_id", F.when(F.size("urls") > 0, back).otherwise(T.strip(F.col("t"))).alias("text"), *COUNTERS, *carry)
 
 
 def dedup_key(text: Column) -> Column:
@@ -62,16 +62,20 @@ def dedup_key(text: Column) -> Column:
     return T.strip(F.regexp_replace(F.lower(text), "(?U)[\\s\\p{P}]+", " "))
 
 
+def _unrepeated(text: Column, separator: str, least: int) -> Column:
+    """(kept, n): blocks whose key isn't that of the block before, and how many blocks there were."""
+    blocks = F.filter(F.transform(F.split(text, separator), T.strip), lambda b: b != "")
+    pairs = F.transform(blocks, lambda b: F.struct(b.alias("b"), dedup_key(b).alias("k")))
+    fresh = lambda s: F.filter(s, lambda x, i: ~F.coalesce((F.length(x["k"]) > least) & (F.get(s, i - 1)["k"] == x["k"]), F.lit(False)))
+    return T.let(pairs, lambda s: F.struct(F.transform(fresh(s), lambda x: x["b"]).alias("kept"), F.size(s).alias("n")))
+
+
 def drop_adjacent(docs: DataFrame, separator: str = "\n\n", least: int = 24) -> DataFrame:
     """doc_id, text, duplicates: a block goes where the block kept before it has the same key of over ``least`` letters.
 
     A narrow fold within each text: no rows move.
     """
-    blocks = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), separator), T.strip), lambda b: b != "")
-    pairs = F.transform(blocks, lambda b: F.struct(b.alias("b"), dedup_key(b).alias("k")))
-    fresh = lambda s: F.filter(s, lambda x, i: ~F.coalesce((F.length(x["k"]) > least) & (F.get(s, i - 1)["k"] == x["k"]), F.lit(False)))
-    both = T.let(pairs, lambda s: F.struct(F.transform(fresh(s), lambda x: x["b"]).alias("kept"), F.size(s).alias("n")))
-    out = docs.select("doc_id", both.alias("f"))
+    out = docs.select("doc_id", _unrepeated(F.coalesce("text", F.lit("")), separator, least).alias("f"))
     return out.select("doc_id", F.array_join("f.kept", separator).alias("text"), (F.col("f.n") - F.size("f.kept")).cast("long").alias("duplicates"))
 
 
@@ -95,3 +99,122 @@ def typography(docs: DataFrame) -> DataFrame:
     now = now.withColumns({"quotes": F.col("quotes") + F.when(curly, T.count(F.col("t"), apostrophe)).otherwise(0), "t": F.when(curly, F.regexp_replace("t", apostrophe, "$1’$2")).otherwise(F.col("t"))})
     span = "([0-9])\\s*[-—]\\s*([0-9])"
     return now.select("doc_id", F.regexp_replace("t", span, "$1–$2").alias("text"), "ellipsis", "quotes", T.count(F.col("t"), span).cast("long").alias("ranges"))
+
+
+# List lines, sentence openings that may start a paragraph, sizes of paragraphs in words, and
+# units and abbreviations that stay with their number.
+LIST_LINE = "^(?:[-*•▪◦]|[0-9]+[.)])\\s+"
+TRANSITION = (
+    "(?iu)^(?:однако|при этом|кроме того|вместе с тем|следовательно|таким образом|итак|например|так(?:,|\\s+как)|важно|особ(?:ое|ую|ая)|следующ|"
+    "перв(?:ая|ое|ый)|наряду|с другой стороны|в то же время|наконец|несмотря|поскольку|благодаря|отдельно)"
+)
+REFLOW = {"from": 190, "soft": 55, "hard": 80, "most": 170, "tail": 35}
+UNIT_AFTER = (
+    "([0-9])[\\s\\x{00A0}]+(млн|млрд|тыс|руб|коп|шт|ед|чел|кг|км|см|мм|га|мин|сек|м|ч|mln|bn|RUB|USD|EUR|CNY|km|kg|ha|pp|units|years|%|₽|\\$|€|"
+    "руб\\.|коп\\.|тыс\\.|млн\\.|млрд\\.)(?!\\p{L})"
+)
+NUMBER_SIGN = "((?<=[A-Za-z0-9_])(?:с|стр|рис|табл|п|гл)\\.|№|§)[\\s\\x{00A0}]+([0-9])"
+
+
+def nonbreaking(text: Column) -> Column:
+    """Blanks between a number and its unit, and after a number sign, as no-break spaces."""
+    return F.regexp_replace(F.regexp_replace(text, UNIT_AFTER, "$1\u00a0$2"), NUMBER_SIGN, "$1\u00a0$2")
+
+
+def nonbreaking_count(text: Column) -> Column:
+    return T.count(text, UNIT_AFTER) + T.count(text, NUMBER_SIGN)
+
+
+def is_structural(block: Column) -> Column:
+    """Lists, tab-separated rows and heading-like single lines."""
+    lines = F.filter(F.transform(F.split(block, "\n"), T.strip), lambda x: x != "")
+    alone = lambda x: (T.n_words(x) <= 12) & (F.startswith(x, F.lit("#")) | ~x.rlike("[.!?…]$"))
+    listed = lambda v: F.exists(v, lambda x: x.rlike(LIST_LINE))
+    tabbed = lambda v: (F.size(v) > 1) & F.forall(v, lambda x: F.contains(x, F.lit("\t")))
+    return T.let(lines, lambda v: listed(v) | tabbed(v) | ((F.size(v) == 1) & F.coalesce(alone(F.get(v, F.lit(0))), F.lit(False))))
+
+
+def block_sentences(block: Column) -> Column:
+    """Sentences of a block read as one line; a mark inside a word ends none."""
+    flat = T.strip(F.regexp_replace(block, "(?U)\\s+", " "))
+    found = F.regexp_extract_all(flat, F.lit("(?s).+?(?:[.!?…]+[\"»”')\\]]*|$)(?=\\s|$)"), F.lit(0))
+    return F.filter(F.transform(found, T.strip), lambda x: x != "")
+
+
+def _thin_sentences(block: Column) -> Column:
+    """(text, dropped): a block without sentences that repeat the one before; structural blocks stay."""
+    keyed = F.transform(block_sentences(block), lambda x: F.struct(x.alias("s"), dedup_key(x).alias("k")))
+    twin = lambda v, x, i: F.coalesce((F.length(x["k"]) > 24) & (F.get(v, i - 1)["k"] == x["k"]), F.lit(False))
+    kept = lambda v: F.transform(F.filter(v, lambda x, i: ~twin(v, x, i)), lambda x: x["s"])
+    thin = T.let(keyed, lambda v: T.let(kept(v), lambda k: F.struct(F.array_join(k, " ").alias("text"), (F.size(v) - F.size(k)).alias("dropped"))))
+    return F.when(is_structural(block), F.struct(T.strip(block).alias("text"), F.lit(0).alias("dropped"))).otherwise(thin)
+
+
+def _reflow(block: Column) -> Column:
+    """A block's paragraphs: over 190 words it is cut where a transition opens a sentence, or where it grows too long."""
+    sized = F.transform(block_sentences(block), lambda x: F.struct(x.alias("s"), T.n_words(x).cast("int").alias("n")))
+    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("n"))
+
+    def step(a: Column, x: Column) -> Column:
+        soft = (a["n"] >= REFLOW["soft"]) & x["s"].rlike(TRANSITION)
+        hard = (a["n"] >= REFLOW["hard"]) & (a["n"] + x["n"] > REFLOW["most"])
+        cut = F.struct(F.concat(a["done"], F.array(a["open"])).alias("done"), x["s"].alias("open"), x["n"].alias("n"))
+        on = F.struct(a["done"].alias("done"), F.concat(a["open"], F.when(a["open"] == "", "").otherwise(" "), x["s"]).alias("open"), (a["n"] + x["n"]).alias("n"))
+        return F.when((a["open"] != "") & (soft | hard), cut).otherwise(on)
+
+    def close(a: Column) -> Column:
+        k = F.size(a["done"])
+        joined = F.concat(F.slice(a["done"], F.lit(1), F.greatest(k - 1, F.lit(0))), F.array(F.concat(F.get(a["done"], k - 1), F.lit(" "), a["open"])))
+        return F.when((k > 0) & (a["n"] < REFLOW["tail"]), joined).otherwise(F.concat(a["done"], F.array(a["open"])))
+
+    flat = T.strip(F.regexp_replace(block, "(?U)\\s+", " "))
+    cut = T.let(sized, lambda v: F.when(F.size(v) > 1, F.aggregate(v, empty, step, close)).otherwise(F.array(flat)))
+    return F.when(is_structural(block), F.array(block)).when(T.n_words(flat) <= REFLOW["from"], F.array(flat)).otherwise(cut)
+
+
+def facts(text: Column, pattern: str) -> Column:
+    """The set of a pattern's matches, in small letters and in order."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lower)))
+
+
+def integrity(source: Column, result: Column) -> Column:
+    """What an edit broke: nothing left, other numbers, other URLs."""
+    number = "[0-9]+(?:[.,][0-9]+)?"
+    return F.array_compact(
+        F.array(
+            F.when(T.strip(result) == "", F.lit("empty")),
+            F.when(facts(source, number) != facts(result, number), F.lit("numbers")),
+            F.when(facts(source, URL) != facts(result, URL), F.lit("urls")),
+        )
+    )
+
+
+def process(docs: DataFrame) -> DataFrame:
+    """The whole cleaning stage: doc_id, text, counters, duplicates, paragraphs_created, issues.
+
+    Steps: clean, drop repeated paragraphs, drop repeated sentences, cut long paragraphs, clean again. Where
+    numbers or URLs would change, the text after the first step stays and ``issues`` says why. All of it works
+    within a row; a null or empty text stays empty without issues.
+    """
+    first = clean(docs).withColumnsRenamed({"text": "normal"} | {c: f"first_{c}" for c in COUNTERS})
+    keep = ["normal", *(f"first_{c}" for c in COUNTERS)]
+    row = first.select("doc_id", *keep, _unrepeated(F.col("normal"), "\n{2,}", 24).alias("p"))
+    row = row.select("doc_id", *keep, (F.col("p.n") - F.size("p.kept")).alias("gone"), F.transform("p.kept", _thin_sentences).alias("thin"))
+    blocks = F.filter(F.transform("thin", lambda x: x["text"]), lambda x: x != "")
+    dropped = F.aggregate("thin", F.lit(0), lambda a, x: a + x["dropped"])
+    row = row.select("doc_id", *keep, (F.col("gone") + dropped).cast("long").alias("duplicates"), F.transform(blocks, _reflow).alias("flow"))
+    created = F.aggregate("flow", F.lit(0), lambda a, x: a + F.size(x) - 1).cast("long")
+    row = row.select("doc_id", *keep, "duplicates", created.alias("paragraphs_created"), F.array_join(F.flatten("flow"), "\n\n").alias("text"))
+    carry = [*keep, "duplicates", "paragraphs_created"]
+    last = clean(row, *carry)
+    issues = F.when(F.col("normal") == "", F.array().cast("array<string>")).otherwise(integrity(F.col("normal"), F.col("text")))
+    last = last.withColumn("issues", issues)
+    text = F.when(F.size("issues") > 0, F.col("normal")).otherwise(F.col("text"))
+    return last.select("doc_id", text.alias("text"), *((F.col(c) + F.col(f"first_{c}")).alias(c) for c in COUNTERS), "duplicates", "paragraphs_created", "issues")
+
+
+def redact(message: Column, most: int = 1200) -> Column:
+    """An error message fit to show: URLs without user, query and fragment, credentials hidden, no control marks; at most ``most`` long."""
+    url = F.regexp_replace(F.regexp_replace(message, "(?i)(https?://)[^\\s<>\"'/@]*@", "$1"), "(?i)(https?://[^\\s<>\"'?#]+)[?#][^\\s<>\"']*", "$1")
+    hidden = F.regexp_replace(url, "(?iu)(?:bearer\\s+|(?:token|api[_-]?key|password|secret)\\s*[:=]\\s*)[^\\s,;]+", "[hidden]")
+    return F.left(F.regexp_replace(hidden, "[\\x00-\\x1F\\x7F]", " "), F.lit(most))

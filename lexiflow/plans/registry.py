@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiflow.functions import lexicon as L
 from lexiflow.functions import text as T
-from lexiflow.operators import cleaning, edits, evidence, report, scores, spans, structure
+from lexiflow.operators import candidates, cleaning, edits, evidence, references, report, scores, spans, structure
 from lexiflow.plans import sql
 
 QUERIES: dict = {}
@@ -391,3 +391,60 @@ select event_type, id, value, median, share from k where k <= 3""")
 def history_highlights(spark, sf_dir):
     """The three events of each type that stand furthest from the middle."""
     return evidence.highlights(history_midrank_median(spark, sf_dir), "event_type")
+
+
+@query()
+def clean_process(spark, sf_dir):
+    """The whole cleaning stage with rollback."""
+    return cleaning.process(documents(spark, sf_dir))
+
+
+@query()
+def typography_nbsp(spark, sf_dir):
+    t = F.coalesce("text", F.lit(""))
+    return documents(spark, sf_dir).select("doc_id", cleaning.nonbreaking(t).alias("text"), cleaning.nonbreaking_count(t).cast("long").alias("nbsp"))
+
+
+@query()
+def reference_ranges(spark, sf_dir):
+    return references.reference_ranges(documents(spark, sf_dir))
+
+
+@query()
+def reference_sequence_guard(spark, sf_dir):
+    """Each document's references against those of its cleaned text."""
+    d = documents(spark, sf_dir).select("doc_id", "text")
+    cleaned = cleaning.clean(d).select("doc_id", F.col("text").alias("candidate"))
+    return references.references_kept(d.withColumnRenamed("text", "source").join(cleaned, "doc_id"))
+
+
+@query(f"""with l as (select doc_id, unnest(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\s\\x{{00A0}}]'))) as x,
+unnest(range(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\s\\x{{00A0}}]'))))) as pos from documents),
+e as (select doc_id, pos, case when regexp_matches(trim(x), {sql.q("(?i)" + references.OPENS)}) then true when regexp_matches(trim(x), {sql.q("(?i)" + references.CLOSES)}) then false end as ev from l)
+select doc_id, pos::integer as pos, coalesce(last_value(ev ignore nulls) over (partition by doc_id order by pos), false) as in_bibliography from e""")
+def bibliography_state(spark, sf_dir):
+    """Each line: within a list of sources or not."""
+    return references.bibliography_blocks(references.paragraph_rows(documents(spark, sf_dir))).drop("text")
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation turn after the one before it."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.col("text").alias("candidate"))
+    return c.withColumn("source", F.lag("candidate").over(Window.partitionBy("conv_id").orderBy("turn"))).where("source is not null")
+
+
+@query()
+def candidate_quality_check(spark, sf_dir):
+    return candidates.check(_turns(spark, sf_dir)).select("conv_id", "turn", "reasons", "ok")
+
+
+@query()
+def candidate_profile(spark, sf_dir):
+    return candidates.profile(_turns(spark, sf_dir)).drop("source", "candidate")
+
+
+@query(r"""with t as (select conv_id, turn, len(regexp_extract_all(text, '[\p{L}\p{N}_-]+')) as n, text is null as gone, lag(text) over (partition by conv_id order by turn) as source from conversations),
+w as (select *, len(regexp_extract_all(source, '[\p{L}\p{N}_-]+')) as m from t where source is not null)
+select conv_id, turn, case when m > 0 and n::double / m < 0.85::double then 'shrunk' when m > 0 and n::double / m > 1.25::double then 'grown' end as issue from w""")
+def volume_guard(spark, sf_dir):
+    return _turns(spark, sf_dir).select("conv_id", "turn", candidates.volume(F.col("source"), F.col("candidate")).alias("issue"))
