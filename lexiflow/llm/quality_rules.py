@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import SPACES, let, words
+from lexiflow.llm.common import SPACES, identified, let, words
 from lexiflow.session import stash
 
 
@@ -140,10 +140,10 @@ def quality_rules(docs: DataFrame, host: str = "source", rules: LineRules = Line
     ``rules.max_docs`` distinct texts of the host share leave less than ``min_left`` of its words;
     a short text that merely has such a line stays. Exact copies count as one document. Empty and null texts
     have zero counts and fail; repeated rows are judged alike; an empty table stays empty.
-    ``docs`` must be a scan (row numbers follow file order); columns of ours are overwritten.
+    Columns of ours are overwritten.
     """
     ours = ["rid", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "boiler_words", "boiler_lines", "kept"]
-    rows = docs.drop(*ours).withColumn("rid", F.monotonically_increasing_id())
+    rows = identified(docs.drop(*ours))
     flags = line_flags(rows.select("rid", "text", F.col(host).alias("host")), rules)
     out = text_rules(rows, rules).join(flags, "rid", "left").fillna(0, ["boiler_words", "boiler_lines"])
     left = F.col("n_words") - F.col("boiler_words")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiflow.llm import html_extract, licenses, ngram_join, phrase_dedup, queries, secrets, suffix_dedup
+from lexiflow.llm import common, html_extract, licenses, ngram_join, phrase_dedup, queries, secrets, suffix_dedup
 from lexiflow.llm.bpe import Bpe, bpe_codec
 from lexiflow.llm.exact_dedup import exact_dedup
 from lexiflow.llm.mixing import mix, probabilities, rake
@@ -225,3 +225,22 @@ def test_pipeline(spark, tmp_path):
     assert ids(few) == sorted({c for _, c in kept.values()})
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert set(ids(final)) <= set(ids(few)) and final.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+def test_row_numbers_do_not_follow_splits(spark, tmp_path):
+    """Two scans planned for different numbers of cores give each row the same number."""
+    path = f"{tmp_path}/a b%20c"
+    spark.range(20_000).selectExpr("id doc_id", "concat('t', id, repeat(md5(string(id)), 4)) text").repartition(3).write.option("parquet.block.size", "65536").parquet(path)
+    seen, parts = [], []
+    held = {k: spark.conf.get(k, None) for k in ("spark.sql.files.minPartitionNum", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        for n in (1, 40):
+            spark.conf.set("spark.sql.files.minPartitionNum", str(n))
+            rows = common.numbered(spark.read.parquet(path))
+            parts.append(spark.read.parquet(path).rdd.getNumPartitions())
+            seen.append({r.rid: r.doc_id for r in rows.select("rid", "doc_id").collect()})
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert parts[0] != parts[1] and len(seen[0]) == 20_000 and seen[0] == seen[1]
