@@ -36,11 +36,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays (the first such row)."""
+    """Of each group of linked documents the one with the smallest id stays (the first such row, null last)."""
     found = stash(ngram_components(docs)).where("n_shingles > 0")
-    first = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    own = found.where(first).groupBy("component_id").agg(F.min("rid").alias("rid"))
-    return _without(docs, found.join(own.select("rid"), "rid", "left_anti"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
+    own = found.groupBy("root").agg(least.alias("least")).select(F.col("least.rid").alias("rid"))
+    return _without(docs, found.join(own, "rid", "left_anti"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

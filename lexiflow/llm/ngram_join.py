@@ -323,8 +323,9 @@ def _links(sets: DataFrame, n_tasks: int, p: Similar) -> DataFrame:
 
 
 def ngram_components(docs: DataFrame, p: Similar = Similar()) -> DataFrame:
-    """One row per document: rid, doc_id, n_shingles, component_id.
+    """One row per document: rid, doc_id, n_shingles, component_id, root.
 
+    ``root`` is the component's own key, whatever ids its rows have; null for an empty set.
     ``component_id`` is the smallest ``doc_id`` that links reach. Equal sets always link, but a
     document without words, or with a null text, has an empty set and links with nothing: its
     component is its own id. Null ids are no candidates for ``component_id`` (null only if all
@@ -345,5 +346,6 @@ def ngram_components(docs: DataFrame, p: Similar = Similar()) -> DataFrame:
     comp = components(links)
     named = facts.join(comp.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     ids = stash(named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    found = named.where("n > 0").join(ids, "root").select("rid", "doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return found.unionByName(facts.where("n = 0").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    found = named.where("n > 0").join(ids, "root").select("rid", "doc_id", F.col("n").alias("n_shingles"), "component_id", "root")
+    none = F.lit(None).cast("long").alias("root")
+    return found.unionByName(facts.where("n = 0").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), none))

@@ -38,7 +38,7 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(_documents(spark, sf_dir)).drop("rid")
+    return ngram_components(_documents(spark, sf_dir)).drop("rid", "root")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -244,3 +244,14 @@ def test_row_numbers_do_not_follow_splits(spark, tmp_path):
         for k, v in held.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert parts[0] != parts[1] and len(seen[0]) == 20_000 and seen[0] == seen[1]
+
+
+def test_near_keeps_one_of_each_group_whatever_the_ids(spark, tmp_path):
+    """Unrelated texts without ids, and unrelated texts that share an id, all stay."""
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"w{k * 100 + j}" for j in range(40))
+    rows = [(None, text(k)) for k in range(4)] + [(None, text(0) + " tail"), (5, text(5)), (5, text(6)), (7, text(6) + " tail"), (8, text(8)), (None, text(8) + " tail")]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/d")
+    got = corpus_pipeline.near(spark, spark.read.parquet(f"{tmp_path}/d"), "").collect()
+    assert sorted(r.text for r in got) == sorted(text(k) for k in (0, 1, 2, 3, 5, 6, 8))
