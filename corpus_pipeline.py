@@ -26,8 +26,12 @@ def _without(docs: DataFrame, rids: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return _without(docs, quality_rules(docs).where("not kept"))
+    """Documents that the quality rules reject go; of the others the lines that too many texts share go."""
+    judged = quality_rules(docs).where("kept")
+    shorter = F.col("boiler_lines") > 0
+    return judged.withColumns(
+        {"text": F.col("clean_text"), "n_chars": F.when(shorter, F.length("clean_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)}
+    ).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,11 +36,17 @@ class LineRules:
 
 SYMBOLS = "[#*$%&|<>]+"
 WINDOW = 8
+#: What a line with a word has.
+WORDED = "[^\\x09-\\x0D ]"
 
 
 def _lines(text: Column) -> Column:
     """The lines that have a word."""
-    return F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x09-\\x0D ]"))
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(WORDED))
+
+
+def _line_name(line: Column) -> Column:
+    return F.xxhash64(F.lower(F.trim(F.regexp_replace(line, SPACES + "+", " "))))
 
 
 def _covered(starts: Column, width: int) -> Column:
@@ -97,12 +103,12 @@ def text_rules(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
 
 
 def line_flags(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """(rid, boiler_words, boiler_lines): what frequent lines take from each document that has any.
+    """(rid, boiler_words, boiler_lines, boiler): what frequent lines take from each document that has any.
 
-    ``docs`` has rid, text and host. A host that is null is a host of its own.
+    ``boiler`` names the lines. ``docs`` has rid, text and host. A host that is null is a host of its own.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    name = lambda x: F.xxhash64(F.lower(F.trim(F.regexp_replace(x, SPACES + "+", " "))))
+    name = _line_name
     own = [F.xxhash64(F.col("host")).alias("host"), F.xxhash64(text).alias("body")]
     line = docs.select(*own, F.explode(F.transform(_lines(text), name)).alias("line"))
     #: A line of one text only has equal ends here and never needs an exact count.
@@ -129,12 +135,14 @@ def line_flags(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     return (
         frequent.join(limit, ["host", "line"], "left_semi")
         .groupBy("rid")
-        .agg(F.sum("w").cast("long").alias("boiler_words"), F.count("*").alias("boiler_lines"))
+        .agg(F.sum("w").cast("long").alias("boiler_words"), F.count("*").alias("boiler_lines"), F.collect_set("line").alias("boiler"))
     )
 
 
 def quality_rules(docs: DataFrame, host: str = "source", rules: LineRules = LineRules()) -> DataFrame:
-    """Every row of ``docs`` with its counts, ``boiler_words``, ``boiler_lines`` and ``kept``.
+    """Every row of ``docs`` with its counts, ``boiler_words``, ``boiler_lines``, ``clean_text`` and ``kept``.
+
+    ``clean_text`` is the text without the frequent lines; its other lines stay as they are.
 
     ``kept`` is false where ``base_failed`` is, or where the lines that more than
     ``rules.max_docs`` distinct texts of the host share leave less than ``min_left`` of its words;
@@ -142,10 +150,12 @@ def quality_rules(docs: DataFrame, host: str = "source", rules: LineRules = Line
     have zero counts and fail; repeated rows are judged alike; an empty table stays empty.
     Columns of ours are overwritten.
     """
-    ours = ["rid", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "boiler_words", "boiler_lines", "kept"]
+    ours = ["rid", "boiler", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "boiler_words", "boiler_lines", "clean_text", "kept"]
     rows = identified(docs.drop(*ours))
     flags = line_flags(rows.select("rid", "text", F.col(host).alias("host")), rules)
     out = text_rules(rows, rules).join(flags, "rid", "left").fillna(0, ["boiler_words", "boiler_lines"])
     left = F.col("n_words") - F.col("boiler_words")
     depleted = (F.col("boiler_words") > 0) & (left < rules.min_left * F.col("n_words"))
-    return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
+    others = F.filter(F.split("text", "\n"), lambda x: ~x.rlike(WORDED) | ~F.array_contains("boiler", _line_name(x)))
+    clean = F.when(F.col("boiler").isNull(), F.col("text")).otherwise(F.array_join(others, "\n"))
+    return out.withColumns({"clean_text": clean, "kept": ~F.col("base_failed") & ~depleted}).drop("boiler")

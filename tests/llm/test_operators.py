@@ -255,3 +255,18 @@ def test_near_keeps_one_of_each_group_whatever_the_ids(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/d")
     got = corpus_pipeline.near(spark, spark.read.parquet(f"{tmp_path}/d"), "").collect()
     assert sorted(r.text for r in got) == sorted(text(k) for k in (0, 1, 2, 3, 5, 6, 8))
+
+
+def test_quality_takes_frequent_lines_out(spark, tmp_path):
+    import corpus_pipeline
+
+    own = lambda k: "\n\n" + " ".join(f"w{k * 100 + j}" for j in range(25)) + "\n"
+    rows = [(k, f"All  rights RESERVED{own(k)} all rights reserved \nend {k}") for k in range(101)] + [(200, own(200)), (201, None), (202, "all rights reserved" + own(202))]
+    table = [(i, t, "en", "s" if i != 202 else "other", len(t or "")) for i, t in rows]
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.quality(spark, docs, "").collect()}
+    plain = {k: f"{own(k)[1:]}end {k}" for k in range(101)} | {200: own(200), 202: rows[-1][1]}
+    assert got == {k: (t, len(t)) for k, t in plain.items()}
+    whole = quality_rules(docs).where("doc_id = 7").first()
+    assert (whole.text, whole.clean_text, whole.boiler_lines) == (rows[7][1], plain[7], 2)
