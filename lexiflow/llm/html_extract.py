@@ -4,8 +4,9 @@ Tokens of a page are its tags, told apart by their path of containers. Over the
 host each token has an occurrence vector: how often it stands on each page. Tokens with the
 same vector form a class; a class is valid if enough pages hold it and its tokens are nested
 in one order. Valid classes, nested, are the host's template; what stands between template
-tokens are its slots. The slot that holds the most text beyond what roles tell to be menu,
-notice or advert is the main one, and extraction returns the blocks in it.
+tokens are its slots. Beyond what roles tell to be menu, notice or advert, text that is the
+same wherever its container stands is template too. The smallest container that holds all
+other text is the main slot, and extraction returns the blocks in it.
 
 Scale: pages are parsed twice, in narrow stages. Vectors are folded into one number by an
 order-free hash, so a host's tokens are aggregated on the map side, whichever share of all
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,9 @@ from lexiflow.session import stash
 
 @dataclass(frozen=True)
 class Deduction:
-    """``support``: share of a host's pages that hold a class. ``main``: share of the text that the
-    main slot must hold. ``pages``: pages a host needs for a template of its own."""
+    """``support``: share of a host's pages that hold a class. ``main``: share of the text that must
+    differ between pages, or else none counts as template (pages that are copies but for a line).
+    ``pages``: pages a host needs for a template of its own."""
 
     support: float = 0.5
     main: float = 0.7
@@ -158,8 +161,9 @@ def deduce(tokens: list[dict], pages: int, rule: Deduction) -> str | None:
     """The main slot's container path of a host, or None.
 
     ``tokens``: path, support (pages that hold it), total, vector, chars (text in reach of no
-    role) of the host's paths. Classes group equal vectors; the skeleton is made of valid
-    classes whose tokens stand once on each page that has them.
+    role), told (pages with such text), lo and hi (ends of that text's hashes) of the host's
+    paths. Classes group equal vectors; the skeleton is made of valid classes whose tokens stand
+    once on each page that has them.
     """
     if pages < rule.pages:
         return None
@@ -173,13 +177,17 @@ def deduce(tokens: list[dict], pages: int, rule: Deduction) -> str | None:
             skeleton |= {t["path"] for t in members}
     # nested: a container belongs to the template only below others of it
     valid = {p for p in skeleton if all(q in skeleton for q in _above(p))}
+    whole = sum(t["chars"] for t in tokens)
+    fixed = [t for t in tokens if t["chars"] and t["lo"] == t["hi"] and t["told"] >= max(rule.pages, rule.support * pages)]
+    if sum(t["chars"] for t in fixed) > (1 - rule.main) * whole:
+        fixed = []
     inside = dict.fromkeys(valid, 0)
-    whole = 0
-    for t in tokens:
-        whole += t["chars"]
+    rest = [t for t in tokens if t not in fixed]
+    need = sum(t["chars"] for t in rest)
+    for t in rest:
         for p in {t["path"], *_above(t["path"])} & valid:
             inside[p] += t["chars"]
-    best = [p for p, n in inside.items() if whole and n >= rule.main * whole and not _is_text(p)]
+    best = [p for p, n in inside.items() if need and n == need and not _is_text(p)]
     return max(best, key=lambda p: (p.count("/"), p), default=None)
 
 
@@ -219,27 +227,30 @@ def templates(pages: DataFrame, rule: Deduction = Deduction()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for host, rid, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 found, opened = blocks(page)
-                chars: dict[tuple[str, ...], int] = {}
+                texts: dict[tuple[str, ...], list[str]] = {}
                 for b in found:
                     if not b.outside:
-                        chars[b.path] = chars.get(b.path, 0) + len(b.text)
+                        texts.setdefault(b.path, []).append(b.text)
                 for path, n in opened.items():
-                    for c, v in zip(cols, (host, "/".join(path), rid, n, chars.get(path, 0)), strict=True):
+                    own = texts.get(path, ())
+                    mark = xxhash.xxh3_64_intdigest("\n".join(own).encode("utf-8", "surrogatepass")) - (1 << 63) if own else None
+                    for c, v in zip(cols, (host, "/".join(path), rid, n, sum(map(len, own)), mark), strict=True):
                         c.append(v)
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "path", "rid", "n", "chars"])
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "path", "rid", "n", "chars", "mark"])
 
-    tokens = pages.select("host", "rid", "html").mapInArrow(run, "host string, path string, rid long, n long, chars long")
+    tokens = pages.select("host", "rid", "html").mapInArrow(run, "host string, path string, rid long, n long, chars long, mark long")
     stats = tokens.groupBy("host", "path").agg(
-        F.count("*").alias("support"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("rid", "n")).alias("vector"), F.sum("chars").alias("chars")
-    )
+        F.count("*").alias("support"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("rid", "n")).alias("vector"), F.sum("chars").alias("chars"),
+        F.count("mark").alias("told"), F.min("mark").alias("lo"), F.max("mark").alias("hi"),
+    )
     n_pages = pages.groupBy("host").agg(F.count("*").alias("pages"))
     # what too few pages hold can't be template, and its text counts where it stands: with its nearest common container
     common = stats.join(n_pages, "host").where(F.col("support") >= rule.support * F.col("pages"))
-    hosts = common.groupBy("host", "pages").agg(F.collect_list(F.struct("path", "support", "total", "vector", "chars")).alias("tokens"))
+    hosts = common.groupBy("host", "pages").agg(F.collect_list(F.struct("path", "support", "total", "vector", "chars", "told", "lo", "hi")).alias("tokens"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -270,3 +270,18 @@ def test_quality_takes_frequent_lines_out(spark, tmp_path):
     assert got == {k: (t, len(t)) for k, t in plain.items()}
     whole = quality_rules(docs).where("doc_id = 7").first()
     assert (whole.text, whole.clean_text, whole.boiler_lines) == (rows[7][1], plain[7], 2)
+
+
+def extracted(spark, pages):
+    rows = [(i, f"http://host.example/{i}", p) for i, p in enumerate(pages)]
+    return [(r.text, r.slot) for r in html_extract.html_text(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+def test_html_keeps_text_beside_the_largest_container(spark):
+    """A heading, a standfirst and a second body are main text; what is the same everywhere is template."""
+    long = lambda k: f"body {k} " + "word " * 60
+    page = "<body><div class=top>Welcome</div><article><h1>T{0}</h1><p>Lead {0}</p><div class=body><p>{1}</p></div><div class=more><p>More {0}</p></div></article></body>"
+    got = extracted(spark, [page.format(k, long(k)) for k in range(4)])
+    assert got == [(f"T{k}\nLead {k}\n{long(k).strip()}\nMore {k}", "body/article") for k in range(4)]
+    copies = "<body><div class=date>{0}</div><article><p>" + long(0) + "</p></article></body>"
+    assert [t for t, _ in extracted(spark, [copies.format(k) for k in range(4)])] == [f"{k}\n{long(0).strip()}" for k in range(4)]
