@@ -160,10 +160,11 @@ def _open(stack: list[tuple[str, str, bool]], tags: set[str]) -> int | None:
 def deduce(tokens: list[dict], pages: int, rule: Deduction) -> str | None:
     """The main slot's container path of a host, or None.
 
-    ``tokens``: path, support (pages that hold it), total, vector, chars (text in reach of no
-    role), told (pages with such text), lo and hi (ends of that text's hashes) of the host's
-    paths. Classes group equal vectors; the skeleton is made of valid classes whose tokens stand
-    once on each page that has them.
+    ``tokens``: path, support (pages that hold it), total, vector, chars (own text in reach of no
+    role), inside (that and such text of all containers below, rare ones too), told (pages with
+    such own text), lo and hi (ends of its hashes) of the host's paths; the empty path stands for
+    the page. Classes group equal vectors; the skeleton is made of valid classes whose tokens
+    stand once on each page that has them.
     """
     if pages < rule.pages:
         return None
@@ -177,17 +178,15 @@ def deduce(tokens: list[dict], pages: int, rule: Deduction) -> str | None:
             skeleton |= {t["path"] for t in members}
     # nested: a container belongs to the template only below others of it
     valid = {p for p in skeleton if all(q in skeleton for q in _above(p))}
-    whole = sum(t["chars"] for t in tokens)
+    inside = {t["path"]: t["inside"] for t in tokens}
+    need = inside.get("", 0)
     fixed = [t for t in tokens if t["chars"] and t["lo"] == t["hi"] and t["told"] >= max(rule.pages, rule.support * pages)]
-    if sum(t["chars"] for t in fixed) > (1 - rule.main) * whole:
-        fixed = []
-    inside = dict.fromkeys(valid, 0)
-    rest = [t for t in tokens if t not in fixed]
-    need = sum(t["chars"] for t in rest)
-    for t in rest:
-        for p in {t["path"], *_above(t["path"])} & valid:
-            inside[p] += t["chars"]
-    best = [p for p, n in inside.items() if need and n == need and not _is_text(p)]
+    if sum(t["chars"] for t in fixed) <= (1 - rule.main) * need:
+        for t in fixed:
+            need -= t["chars"]
+            for p in {"", t["path"], *_above(t["path"])} & set(inside):
+                inside[p] -= t["chars"]
+    best = [p for p in valid if p and need and inside[p] == need and not _is_text(p)]
     return max(best, key=lambda p: (p.count("/"), p), default=None)
 
 
@@ -227,30 +226,34 @@ def templates(pages: DataFrame, rule: Deduction = Deduction()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], []]
             for host, rid, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 found, opened = blocks(page)
                 texts: dict[tuple[str, ...], list[str]] = {}
                 for b in found:
                     if not b.outside:
                         texts.setdefault(b.path, []).append(b.text)
-                for path, n in opened.items():
+                inside: dict[tuple[str, ...], int] = {}
+                for path, own in texts.items():
+                    for k in range(len(path) + 1):
+                        inside[path[:k]] = inside.get(path[:k], 0) + sum(map(len, own))
+                for path, n in [((), 1), *opened.items()]:
                     own = texts.get(path, ())
                     mark = xxhash.xxh3_64_intdigest("\n".join(own).encode("utf-8", "surrogatepass")) - (1 << 63) if own else None
-                    for c, v in zip(cols, (host, "/".join(path), rid, n, sum(map(len, own)), mark), strict=True):
+                    for c, v in zip(cols, (host, "/".join(path), rid, n, sum(map(len, own)), inside.get(path, 0), mark), strict=True):
                         c.append(v)
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "path", "rid", "n", "chars", "mark"])
+            kinds = (pa.string(), pa.string(), *[pa.int64()] * 5)
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "path", "rid", "n", "chars", "inside", "mark"])
 
-    tokens = pages.select("host", "rid", "html").mapInArrow(run, "host string, path string, rid long, n long, chars long, mark long")
+    tokens = pages.select("host", "rid", "html").mapInArrow(run, "host string, path string, rid long, n long, chars long, inside long, mark long")
     stats = tokens.groupBy("host", "path").agg(
-        F.count("*").alias("support"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("rid", "n")).alias("vector"), F.sum("chars").alias("chars"),
+        F.count("*").alias("support"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("rid", "n")).alias("vector"), F.sum("chars").alias("chars"), F.sum("inside").alias("inside"),
         F.count("mark").alias("told"), F.min("mark").alias("lo"), F.max("mark").alias("hi"),
     )
     n_pages = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    # what too few pages hold can't be template, and its text counts where it stands: with its nearest common container
+    # what too few pages hold can't be template; its text is in ``inside`` of the containers around it
     common = stats.join(n_pages, "host").where(F.col("support") >= rule.support * F.col("pages"))
-    hosts = common.groupBy("host", "pages").agg(F.collect_list(F.struct("path", "support", "total", "vector", "chars", "told", "lo", "hi")).alias("tokens"))
+    hosts = common.groupBy("host", "pages").agg(F.collect_list(F.struct("path", "support", "total", "vector", "chars", "inside", "told", "lo", "hi")).alias("tokens"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -285,3 +285,12 @@ def test_html_keeps_text_beside_the_largest_container(spark):
     assert got == [(f"T{k}\nLead {k}\n{long(k).strip()}\nMore {k}", "body/article") for k in range(4)]
     copies = "<body><div class=date>{0}</div><article><p>" + long(0) + "</p></article></body>"
     assert [t for t, _ in extracted(spark, [copies.format(k) for k in range(4)])] == [f"{k}\n{long(0).strip()}" for k in range(4)]
+
+
+def test_html_counts_text_of_containers_with_ids_of_their_own(spark):
+    """A body whose container has another id on each page counts with the container around it."""
+    page = "<body><div class=wrap><div class=lead><p>Lead {0}</p></div><div id='post-{1}'><p>Body {0} " + "word " * 40 + "</p></div></div></body>"
+    got = extracted(spark, [page.format(k, "abcdef"[k] * 3) for k in range(6)])
+    assert got == [(f"Lead {k}\nBody {k} " + "word " * 39 + "word", "body/div.wrap") for k in range(6)]
+    bare = "<div class=lead><p>Lead {0}</p></div>tail {0}"
+    assert extracted(spark, [bare.format(k) for k in range(4)]) == [(f"Lead {k}\ntail {k}", None) for k in range(4)]
