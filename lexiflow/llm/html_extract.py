@@ -54,6 +54,13 @@ ROLE = re.compile(
     "recommended|trending|widget|tags|pagination|pager|skip|hidden)(?:$|[\\s_-])",
     re.I,
 )
+#: Classes that tell a state, not a role: no-sidebar, has-menu, comments-open.
+STATE = re.compile("(?:no|not|has|have|with|without)[-_].*|.*[-_](?:open|opened|closed|enabled|disabled)", re.I)
+#: Elements whose class and id tell nothing about the role of all they hold.
+ROLELESS = frozenset("html body main article".split())
+#: Excluded elements that may wrap a whole page, and those that tell that one does.
+WRAPS = frozenset("form fieldset".split())
+CHIEF = frozenset("h1 main".split())
 ROLE_ATTR = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 TOKEN = re.compile("<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 ATTR = re.compile("\\b(class|id|role|hidden|aria-hidden)\\b(?:\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'|([^\\s\"'>]+)))?", re.I)
@@ -76,20 +83,26 @@ class Block:
     outside: bool
 
 
-def _attributes(raw: str) -> tuple[str, bool]:
-    """(class and id as part of a path, is the element outside the main text)."""
+def _attributes(tag: str, raw: str) -> tuple[str, bool, bool]:
+    """(class and id as part of a path, is the element hidden, is its role not main text)."""
     if not raw or not raw.strip(" /"):
-        return "", False
+        return "", False, False
     got = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in ATTR.finditer(raw)}
     name = " ".join(x for x in (got.get("class", ""), got.get("id", "")) if x)
-    out = "hidden" in got or got.get("aria-hidden", "").lower() == "true" or got.get("role", "").lower() in ROLE_ATTR or bool(name and ROLE.search(name))
-    return re.sub("\\d+", "0", ".".join(name.split())[:80]), out
+    hidden = "hidden" in got or got.get("aria-hidden", "").lower() == "true"
+    told = () if tag in ROLELESS else (x for x in name.split() if not STATE.fullmatch(x))
+    role = got.get("role", "").lower() in ROLE_ATTR or any(map(ROLE.search, told))
+    return re.sub("\\d+", "0", ".".join(name.split())[:80]), hidden, role
 
 
 def blocks(page: str) -> tuple[list[Block], dict[tuple[str, ...], int]]:
     """(blocks in page order, how often each container path was opened)."""
-    stack: list[tuple[str, str, bool]] = []  # tag, part of the path, outside
+    stack: list[tuple[str, str, int]] = []  # tag, part of the path, number among the excluded elements or 0
     out: list[Block] = []
+    within: list[set[int]] = []  # the excluded elements around each block
+    loose: dict[int, bool] = {}  # those that could be a wrapper, not menu or hidden; is it by their tag alone?
+    chief: set[int] = set()  # those that hold the page's first heading or main element
+    excluded = 0
     opened: dict[tuple[str, ...], int] = {}
     text: list[str] = []
 
@@ -97,7 +110,8 @@ def blocks(page: str) -> tuple[list[Block], dict[tuple[str, ...], int]]:
         joined = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if joined:
-            out.append(Block(tuple(s[1] for s in stack), joined, any(s[2] for s in stack)))
+            within.append({s[2] for s in stack if s[2]})
+            out.append(Block(tuple(s[1] for s in stack), joined, bool(within[-1])))
 
     def pop_to(k: int) -> None:
         flush()
@@ -137,17 +151,42 @@ def blocks(page: str) -> tuple[list[Block], dict[tuple[str, ...], int]]:
             continue
         if m[3].rstrip().endswith("/") and tag in ("svg", "math", "path"):
             continue
-        name, outside = _attributes(m[3])
-        stack.append((tag, f"{tag}.{name}" if name else tag, outside or tag in OUTSIDE))
+        name, hidden, role = _attributes(tag, m[3])
+        if tag in CHIEF:
+            chief.update(s[2] for s in stack)
+        number = 0
+        if hidden or role or tag in OUTSIDE:
+            number = excluded = excluded + 1
+            if not hidden and (tag in WRAPS or tag not in OUTSIDE):
+                loose[number] = not role
+        stack.append((tag, f"{tag}.{name}" if name else tag, number))
         path = tuple(s[1] for s in stack)
         opened[path] = opened.get(path, 0) + 1
     if at < len(page):
         text.append(page[at:])
     flush()
+    _unwrap(out, within, loose, chief)
     return out, opened
 
 
-def _open(stack: list[tuple[str, str, bool]], tags: set[str]) -> int | None:
+def _unwrap(found: list[Block], within: list[set[int]], loose: dict[int, bool], chief: set[int]) -> None:
+    """Where roles exclude most of a page's text, an element with most of it is a wrapper and its own role
+    doesn't count, if its tag is all that speaks for it, the first heading or main element is in it, or no
+    text is left without it. Elements in it keep theirs."""
+    whole = sum(len(b.text) for b in found)
+    left = sum(len(b.text) for b in found if not b.outside)
+    if 2 * left >= whole:
+        return
+    held = dict.fromkeys(loose, 0)
+    for b, numbers in zip(found, within, strict=True):
+        for k in numbers & loose.keys():
+            held[k] += len(b.text)
+    lifted = {k for k, n in held.items() if 2 * n > whole and (loose[k] or k in chief or not left)}
+    for b, numbers in zip(found, within, strict=True):
+        b.outside = bool(numbers - lifted)
+
+
+def _open(stack: list[tuple[str, str, int]], tags: set[str]) -> int | None:
     """Where one of ``tags`` is open that a new sibling would end."""
     for i in range(len(stack) - 1, -1, -1):
         if stack[i][0] in tags:

@@ -294,3 +294,25 @@ def test_html_counts_text_of_containers_with_ids_of_their_own(spark):
     assert got == [(f"Lead {k}\nBody {k} " + "word " * 39 + "word", "body/div.wrap") for k in range(6)]
     bare = "<div class=lead><p>Lead {0}</p></div>tail {0}"
     assert extracted(spark, [bare.format(k) for k in range(4)]) == [(f"Lead {k}\ntail {k}", None) for k in range(4)]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='no-sidebar menu'><nav>menu</nav><article><h1>T</h1>{}</article></body>",
+        "<body><nav>menu</nav><div class='content has-sidebar'><h1>T</h1>{}</div></body>",
+        "<body><nav>menu</nav><article class='post comments-open'><h1>T</h1>{}</article></body>",
+        "<body><form id=f><nav>menu</nav><div><h1>T</h1>{}</div><div class=comments>reader</div></form>out</body>",
+        "<body><nav>menu</nav><div class='side'><h1>T</h1>{}<div class=share>share</div></div>small</body>",
+    ],
+)
+def test_html_roles_do_not_empty_a_page(page):
+    """Classes of a state, of the page as a whole or of a wrapper exclude nothing."""
+    text = html_extract.main_text(page.format("<p>" + "word " * 50 + "</p>"), None)
+    assert [x for x in text.split("\n") if x not in ("out", "small")] == ["T", " ".join(["word"] * 50)]
+
+
+def test_html_long_comments_and_menus_stay_out():
+    page = "<body><article><h1>T</h1><p>short</p></article><div class=comments><p>" + "reader " * 50 + "</p></div></body>"
+    assert html_extract.main_text(page, None) == "T\nshort"
+    assert html_extract.main_text("<body><nav>" + "menu " * 50 + "</nav><p>short</p></body>", None) == "short"
