@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
 from lexiflow.functions import text as T
-from lexiflow.operators.spans import sentence_table
 
 
 def resolve(edits: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -59,9 +58,19 @@ def select_best(candidates: DataFrame, key: str = "doc_id") -> DataFrame:
     return fine.groupBy(key).agg(F.min(F.struct("score", "cand_no", "text")).alias("b")).select(key, "b.cand_no", "b.text", "b.score")
 
 
+#: Words that say nothing of a sentence's content.
+STOP_WORDS = "и в на с по для что как это все или the and for with that this from are was were has have".split()
+#: Words of the edit passes; unlike ``T.WORD`` without the underscore.
+EDIT_WORD = "[\\p{L}\\p{N}-]+"
+#: The gap after a sentence; a closing quote or bracket belongs to it.
+BOUNDARY = "(?<=[.!?…][\"»”')\\]]?)[\\s\\u00a0\\ufeff\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+
+
 def content_words(text: Column) -> Column:
-    """Distinct five-letter stems of words of four letters or more."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{N}]{4,}"), F.lit(0)), lambda w: F.left(w, F.lit(5))))
+    """Distinct five-letter stems of words of four letters or more that are no stop words."""
+    found = F.regexp_extract_all(F.lower(text), F.lit(EDIT_WORD), F.lit(0))
+    told = F.filter(found, lambda w: (F.length(w) >= 4) & ~w.isin(*STOP_WORDS))
+    return F.array_distinct(F.transform(told, lambda w: F.left(w, F.lit(5))))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -73,12 +82,17 @@ def overlap(a: Column, b: Column) -> Column:
 def repeated_thesis(docs: DataFrame, least: float = 0.6, words: int = 8) -> DataFrame:
     """(doc_id, earlier, later): sentences of ``words`` or more that repeat an earlier one's content words.
 
-    The pairs come from shared stems within a document, not from all pairs of its sentences.
+    Only sentences of one paragraph are compared; the numbers count a document's sentences. The
+    pairs come from shared stems within a paragraph, not from all pairs of its sentences.
     """
-    s = sentence_table(docs).where(F.col("words") >= words).select("doc_id", "pos", content_words(F.col("sentence")).alias("c"))
-    sized = s.select("doc_id", "pos", F.size("c").alias("n"), F.explode("c").alias("w"))
+    split = lambda p, i: F.transform(F.filter(F.split(p, BOUNDARY), lambda s: s.rlike("(?U)\\S")), lambda s: F.struct(i.alias("para"), s.alias("sentence")))
+    told = F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), "\n{2,}"), split))
+    s = docs.select("doc_id", F.posexplode(told).alias("pos", "x")).where(T.count(F.col("x.sentence"), EDIT_WORD) >= words)
+    s = s.select("doc_id", "pos", "x.para", content_words(F.col("x.sentence")).alias("c"))
+    sized = s.select("doc_id", "para", "pos", F.size("c").alias("n"), F.explode("c").alias("w"))
     a, b = sized.alias("a"), sized.alias("b")
-    both = a.join(b, (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.pos") < F.col("b.pos")))
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("doc_id", "para", "w")]
+    both = a.join(b, [*same, F.col("a.pos") < F.col("b.pos")])
     n = both.groupBy("a.doc_id", F.col("a.pos").alias("earlier"), F.col("b.pos").alias("later")).agg(F.count("*").alias("both"), F.min(F.least("a.n", "b.n")).alias("least"))
     return n.where(F.col("both") >= least * F.col("least")).select("doc_id", "earlier", "later")
 

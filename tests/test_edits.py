@@ -1,6 +1,10 @@
 """Edits, candidates and structure on small literal tables."""
 
+import random
+import re
+
 import numpy as np
+import regex
 from pyspark.sql import functions as F
 
 from lexiflow.operators import edits, structure
@@ -34,6 +38,35 @@ def test_repeated_thesis(spark):
     assert [(r.doc_id, r.earlier, r.later) for r in edits.repeated_thesis(docs).collect()] == [(1, 0, 2)]
 
 
+def plain_repeats(text):
+    """The pairs of one text by comparing all sentences of each paragraph."""
+    word, out, at = regex.compile(r"[\p{L}\p{N}-]+"), [], 0
+    for p in re.split("\n{2,}", text or ""):
+        s = [x for x in regex.split("(?<=[.!?…][\"»”')\\]]?)\\s+", p) if x.strip()]
+        c = [{w[:5] for w in word.findall(x.lower()) if len(w) >= 4 and w not in edits.STOP_WORDS} for x in s]
+        long = [k for k, x in enumerate(s) if len(word.findall(x)) >= 8]
+        out += [(at + i, at + j) for i in long for j in long if i < j and c[i] and c[j] and len(c[i] & c[j]) >= 0.6 * min(len(c[i]), len(c[j]))]
+        at += len(s)
+    return out
+
+
+def test_repeated_thesis_is_the_plain_version(spark):
+    r = random.Random(5)
+    vocabulary = ["that", "this", "with", "from", "have", "were", "a", "of", "it", "well-known", "expansion", "expanding", "mill", "river", "stone_wall", "это", "слово", "словами", "7000", "что"]
+    end = [". ", "! ", '." ', "? ", ".\n", ".\n\n", "… "]
+    sentence = lambda: " ".join(r.choice(vocabulary) for _ in range(r.randint(5, 11)))
+    texts = [None, "", *("".join(sentence() + r.choice(end) for _ in range(8)) for _ in range(60))]
+    stop = "that this with from have were {0}one {0}two {0}six {0}ten"
+    own = "quick brown foxes jumped over several lazy sleeping dogs today"
+    texts += [f"{stop.format('aaaa')}. {stop.format('bbbb')}.", f"{own}.\n\n{own}.", f"{own}.\n{own}."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for x in edits.repeated_thesis(docs).collect():
+        got.setdefault(x.doc_id, []).append((x.earlier, x.later))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(p) for k, t in enumerate(texts) if (p := plain_repeats(t))}
+    assert [got.get(k) for k in (62, 63, 64)] == [None, None, [(0, 1)]]
+
+
 def test_perplexity_of_uniform_logits_is_the_vocabulary():
     assert np.isclose(edits.perplexity(np.zeros((5, 11)), np.array([1, 4, 2, 0, 3])), 11)
     assert np.isnan(edits.perplexity(np.zeros((1, 3)), np.array([0])))
