@@ -91,11 +91,12 @@ class Finder:
                     spans.append([lo, hi])
         out = set()
         for k, spans in around.items():
-            for lo, hi in spans:
-                at = lo
-                while m := self.fuzzy[k].search(norm, at, hi):
+            rest = list(spans)
+            while rest:  # the best match of a window first, then what stands before and after it
+                lo, hi = rest.pop()
+                if lo < hi and (m := self.fuzzy[k].search(norm, lo, hi)):
                     out.add((k, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    at = max(m.end(), at + 1)
+                    rest += [(lo, m.start() - 1), (max(m.end(), lo + 1), hi)]
         return sorted(out)
 
 

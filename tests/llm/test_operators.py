@@ -316,3 +316,10 @@ def test_html_long_comments_and_menus_stay_out():
     page = "<body><article><h1>T</h1><p>short</p></article><div class=comments><p>" + "reader " * 50 + "</p></div></body>"
     assert html_extract.main_text(page, None) == "T\nshort"
     assert html_extract.main_text("<body><nav>" + "menu " * 50 + "</nav><p>short</p></body>", None) == "short"
+
+
+def test_licenses_finds_a_worse_match_before_a_better_one():
+    notices = licenses.BASE + licenses.ADDED
+    for text in ("undr the mit licens and under the mit license", "under the mit license and undr the mit licens"):
+        spans = licenses.scan_text(text, licenses.BASE, notices)["spans"]
+        assert [(x["label"], x["first_word"], x["last_word"]) for x in spans] == [("mit", 0, 3), ("mit", 5, 8)]
