@@ -12,7 +12,7 @@ from lexiflow.llm.common import identified
 from lexiflow.llm.exact_dedup import exact_dedup
 from lexiflow.llm.mixing import mix
 from lexiflow.llm.ngram_join import ngram_components
-from lexiflow.llm.quality_rules import quality_rules
+from lexiflow.llm.quality_rules import clean_rows
 from lexiflow.llm.queries import vocabulary
 from lexiflow.session import scratch_dir, stash
 
@@ -27,11 +27,9 @@ def _without(docs: DataFrame, rids: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go; of the others the lines that too many texts share go."""
-    judged = quality_rules(docs).where("kept")
-    shorter = F.col("boiler_lines") > 0
-    return judged.withColumns(
-        {"text": F.col("clean_text"), "n_chars": F.when(shorter, F.length("clean_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)}
-    ).select(*COLUMNS)
+    shorter = ~F.col("clean_text").eqNullSafe(F.col("text"))
+    n_chars = F.when(shorter, F.length("clean_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return clean_rows(docs).withColumns({"n_chars": n_chars, "text": F.col("clean_text")}).select(*COLUMNS)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

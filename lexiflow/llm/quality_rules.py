@@ -102,10 +102,10 @@ def text_rules(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     ).drop("_facts")
 
 
-def line_flags(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """(rid, boiler_words, boiler_lines, boiler): what frequent lines take from each document that has any.
+def line_flags(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[DataFrame, DataFrame]:
+    """(rid, boiler_words, boiler_lines): what frequent lines take from each document that has any; and (host, line): these lines by hash.
 
-    ``boiler`` names the lines. ``docs`` has rid, text and host. A host that is null is a host of its own.
+    ``docs`` has rid, text and host. A host that is null is a host of its own.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     name = _line_name
@@ -132,11 +132,12 @@ def line_flags(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
         .where(F.col("n_docs") > rules.max_docs)
         .select("host", "line")
     )
-    return (
+    flags = (
         frequent.join(limit, ["host", "line"], "left_semi")
         .groupBy("rid")
-        .agg(F.sum("w").cast("long").alias("boiler_words"), F.count("*").alias("boiler_lines"), F.collect_set("line").alias("boiler"))
+        .agg(F.sum("w").cast("long").alias("boiler_words"), F.count("*").alias("boiler_lines"))
     )
+    return flags, limit
 
 
 def quality_rules(docs: DataFrame, host: str = "source", rules: LineRules = LineRules()) -> DataFrame:
@@ -150,12 +151,40 @@ def quality_rules(docs: DataFrame, host: str = "source", rules: LineRules = Line
     have zero counts and fail; repeated rows are judged alike; an empty table stays empty.
     Columns of ours are overwritten.
     """
-    ours = ["rid", "boiler", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "boiler_words", "boiler_lines", "clean_text", "kept"]
+    ours = ["rid", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "boiler_words", "boiler_lines", "clean_text", "kept"]
     rows = identified(docs.drop(*ours))
-    flags = line_flags(rows.select("rid", "text", F.col(host).alias("host")), rules)
+    flags, limit = line_flags(rows.select("rid", "text", F.col(host).alias("host")), rules)
+    return _judged(without_lines(rows, limit, host), flags, rules)
+
+
+def clean_rows(docs: DataFrame, host: str = "source", rules: LineRules = LineRules()) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with rid and ``clean_text``. Only the numbers of the others are joined, so text stays where it is."""
+    rows = identified(docs)
+    flags, limit = line_flags(rows.select("rid", "text", F.col(host).alias("host")), rules)
+    rejected = stash(_judged(rows.select("rid", "text"), flags, rules).where("not kept").select("rid"))
+    return without_lines(rows.join(rejected, "rid", "left_anti"), limit, host)
+
+
+def _judged(rows: DataFrame, flags: DataFrame, rules: LineRules) -> DataFrame:
     out = text_rules(rows, rules).join(flags, "rid", "left").fillna(0, ["boiler_words", "boiler_lines"])
     left = F.col("n_words") - F.col("boiler_words")
     depleted = (F.col("boiler_words") > 0) & (left < rules.min_left * F.col("n_words"))
-    others = F.filter(F.split("text", "\n"), lambda x: ~x.rlike(WORDED) | ~F.array_contains("boiler", _line_name(x)))
-    clean = F.when(F.col("boiler").isNull(), F.col("text")).otherwise(F.array_join(others, "\n"))
-    return out.withColumns({"clean_text": clean, "kept": ~F.col("base_failed") & ~depleted}).drop("boiler")
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
+
+
+def without_lines(docs: DataFrame, limit: DataFrame, host: str) -> DataFrame:
+    """``docs`` with ``clean_text``: the text without its host's lines in ``limit``; text stays where it is.
+
+    A host's lines are a list of at most a ``max_docs``-th of its lines; each text meets it once.
+    """
+    lists = limit.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line").alias("_lines"))
+    named = F.transform(F.split("text", "\n"), lambda x: F.struct(F.when(x.rlike(WORDED), _line_name(x)).alias("h"), x.alias("x")))
+
+    def cut(lines: Column) -> Column:
+        hit = F.array_intersect(F.col("_lines"), F.transform(lines, lambda x: x["h"]))
+        kept = lambda h: F.filter(lines, lambda x: x["h"].isNull() | ~F.array_contains(h, x["h"]))
+        return let(hit, lambda h: F.when(F.size(h) > 0, F.array_join(F.transform(kept(h), lambda x: x["x"]), "\n")).otherwise(F.col("text")))
+
+    clean = F.when(F.col("_lines").isNull() | F.col("text").isNull(), F.col("text")).otherwise(let(named, cut))
+    joined = docs.withColumn("_host", F.xxhash64(F.col(host))).join(F.broadcast(lists), "_host", "left")
+    return joined.withColumn("clean_text", clean).drop("_host", "_lines")
