@@ -62,7 +62,7 @@ class Similar:
 def shingle_sets(texts: list[bytes], gram: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; A-Z counts as a-z."""
     mix = np.uint64(0xD6E8FEB86659FD93)
-    for _, part in batches_of([t.lower() for t in texts]):
+    for _, _, part in batches_of([t.lower() for t in texts]):
         b = Batch(part, "word")
         n = len(b.hash) - gram + 1
         h = np.zeros(max(n, 0), np.uint64)

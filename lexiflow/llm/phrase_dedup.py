@@ -3,7 +3,8 @@
 Passages that recur are confirmed word for word, compiled into Aho-Corasick automata, one a
 shard, and the text is streamed through to locate every occurrence; all but the earliest
 are removed. Shards hold whole keys (see ``lexiflow.llm.repeats``), so each stretch of text
-is streamed through just the automaton that can know it.
+is streamed through just the automaton that can know it, and a stretch that stands many times
+is streamed once: what is located in it holds for each of its places.
 """
 
 from __future__ import annotations
@@ -18,20 +19,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.llm.common import SPACES, numbered, words
-from lexiflow.llm.repeats import Windows, covered, repeated_runs
+from lexiflow.llm.repeats import Phrases, Windows, covered, repeated_runs
 
-WORDS = Windows("word", length=20, reach=15, seed=4, slice_units=5, shard=1000)
+WORDS = Windows("word", length=20, reach=15, seed=4, fan=3, shard=1000)
 #: Stands for a null id, which ranks before all others.
 NO_ID = -(1 << 63)
 
 
-def recurring(texts: list[list[int]], length: int) -> dict[tuple[int, ...], int]:
-    """The word sequences of ``length`` that stand more than once, numbered."""
+def recurring(texts: list[list[int]], times: list[int], length: int) -> dict[tuple[int, ...], int]:
+    """The word sequences of ``length`` that stand more than once, numbered; ``times``: how often each text stands."""
     seen: dict[tuple[int, ...], int] = {}
-    for t in texts:
+    for t, n in zip(texts, times, strict=True):
         for i in range(len(t) - length + 1):
             p = tuple(t[i : i + length])
-            seen[p] = seen.get(p, 0) + 1
+            seen[p] = seen.get(p, 0) + n
     return {p: k for k, p in enumerate(p for p, n in seen.items() if n > 1)}
 
 
@@ -48,19 +49,21 @@ def occurrences(texts: list[list[int]], passages: dict[tuple[int, ...], int], le
             yield i, end - length + 1, k
 
 
-def shard_masks(rows: list[dict], w: Windows) -> list[np.ndarray]:
-    """Which windows at each context's first place have an earlier occurrence in the shard."""
+def shard_masks(p: Phrases, w: Windows) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The windows that the shard's automaton locates: at each text's first place those that stand earlier
+    somewhere, and all of them at its later places."""
     numbers: dict[bytes, int] = {}
-    texts = [[numbers.setdefault(x, len(numbers)) for x in r["data"].split(b" ")] for r in rows]
-    places = list(occurrences(texts, recurring(texts, w.length), w.length))
-    at = lambda i, s: (rows[i]["doc"], rows[i]["rid"], rows[i]["lo"] + s)
+    texts = [[numbers.setdefault(x, len(numbers)) for x in data.split(b" ")] for data in p.data]
+    located = list(occurrences(texts, recurring(texts, p.n, w.length), w.length))
+    at = lambda i, s: (*p.place[i][:2], p.place[i][2] + s)
     first: dict[int, tuple] = {}
-    for i, s, k in places:
+    for i, s, k in located:
         if k not in first or at(i, s) < first[k]:
             first[k] = at(i, s)
-    out = [np.zeros(r["hi"] - r["lo"] + 1, bool) for r in rows]
-    for i, s, k in places:
-        out[i][s] = at(i, s) != first[k]
+    out = [(np.zeros(n, bool), np.zeros(n, bool)) for n in p.windows]
+    for i, s, k in located:
+        out[i][0][s] = at(i, s) != first[k]
+        out[i][1][s] = True
     return out
 
 

@@ -4,31 +4,36 @@ A unit is a byte or a word, a window ``length`` consecutive units of one text. E
 is assigned to a trigger: the unit with the least rolling hash among its first ``reach``
 units. That depends on the window's content alone, so equal windows have triggers at the
 same offset, and the ``length - reach + 1`` units from the trigger on (the trigger's key)
-are equal too. Windows of one trigger in a row form a run, and the units they span are its
-context.
+are equal too. Windows of one trigger in a row form a run; the units they span are a phrase.
+Phrases overlap so far that every window lies within one.
 
 1. Count keys. A key that stands once proves its windows unique; they are gone from here.
-2. Runs with the same key and context are equal as a whole and are settled by counting.
-3. A key with several contexts is left to shards that compare real text: ``Shard.run`` gets
-   all distinct contexts of its keys and tells which windows occur in others.
-4. A key with more than ``hot`` distinct contexts is not one shard's work. Its windows are
-   dealt out by slices of their offset: a slice's key holds all units that its windows have
-   in common, first for ``slice_units`` offsets at a time and then, where contexts still
-   differ, for each.
-
-Scale: keys, not text, are shuffled (one row a run), pre-aggregated on the map side. Text
-moves by row number twice: to cut out distinct contexts and to apply the result. No step
-gathers a key's occurrences; groups are bounded by ``hot`` or pre-aggregated.
+2. The parse of the rest is a table of phrase names and places, its dictionary the distinct
+   phrases with their number and first place. Text is cut out once for each distinct phrase.
+3. Shards hold all phrases of their keys and compare real text: ``shard`` is the method of the
+   operator and tells for each phrase which windows stand elsewhere too. The verdict goes to
+   every place of the phrase through the parse.
+4. A key with more than ``hot`` distinct phrases is not one shard's work. Its phrases are
+   parsed again into ``fan`` parts by the window's offset from the trigger: a part's key holds
+   all units that its windows have in common. Step 3 follows for the parts, and step 4 again for
+   keys that are still too large; a part of one window has one phrase, so that ends.
+
+Scale: names, not text, are shuffled (one row a run), pre-aggregated on the map side. Text
+moves by row number twice: to cut out distinct phrases and to apply the result. No step
+gathers a key's occurrences. Step 4 makes at most ``fan`` rows of a phrase, without text.
+Texts over ``SEGMENT`` bytes are taken in overlapping segments, so no array grows with them.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,20 +45,19 @@ _RNG = np.random.default_rng(20)
 WEIGHTS = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 BATCH_BYTES = 1 << 20
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
+SEGMENT = 1 << 20
 
 
 @dataclass(frozen=True)
 class Windows:
-    """What a window is. ``seed``: units that a rolling hash covers."""
+    """What a window is. ``seed``: units that a rolling hash covers; ``shard``: phrases of a shard."""
 
     unit: str
     length: int
     reach: int
     seed: int
-    slice_units: int
-    hot: int = 1000
+    fan: int = 4
+    hot: int = 5000
     shard: int = 500
 
     def __post_init__(self) -> None:
@@ -150,40 +154,62 @@ def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
-def batches_of(texts: list[bytes | None], limit: int = BATCH_BYTES) -> Iterator[tuple[int, list[bytes]]]:
-    """(number of the first, texts as UTF-8) in slices of about ``limit`` bytes."""
-    at, part, size = 0, [], 0
+def segments_of(raw: bytes, unit: str, length: int, size: int = 0) -> Iterator[tuple[int, bytes]]:
+    """(first unit, bytes) of segments of one text: each of its windows lies in exactly one of them."""
+    size = size or SEGMENT
+    if len(raw) <= size + size // 8:
+        yield 0, raw
+    elif unit == "byte":
+        for at in range(0, max(1, len(raw) - length + 1), size):
+            yield at, raw[at : at + size + length - 1]
+    else:
+        lo, seen, carry = 0, 0, []
+        while lo < len(raw):
+            hi = min(lo + size, len(raw))
+            while hi < len(raw) and raw[hi] not in b"\t\n\v\f\r ":
+                hi += 1
+            own = carry + raw[lo:hi].split()
+            yield seen, b" ".join(own)
+            carry = own[max(0, len(own) - length + 1) :]
+            seen += len(own) - len(carry)
+            lo = hi
+
+
+def batches_of(texts: list[bytes | None], unit: str = "", length: int = 1) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """(text numbers, first units, bytes) in slices of about ``BATCH_BYTES``; with ``unit``, long texts in segments."""
+    own, base, part, size = [], [], [], 0
     for i, t in enumerate(texts):
-        raw = t or b""
-        if part and size + len(raw) > limit:
-            yield at, part
-            at, part, size = i, [], 0
-        part.append(raw)
-        size += len(raw)
+        for at, raw in segments_of(t or b"", unit, length) if unit else [(0, t or b"")]:
+            if part and size + len(raw) > BATCH_BYTES:
+                yield own, base, part
+                own, base, part, size = [], [], [], 0
+            own.append(i)
+            base.append(at)
+            part.append(raw)
+            size += len(raw)
     if part:
-        yield at, part
+        yield own, base, part
 
 
 def run_keys(docs: DataFrame, w: Windows, places: bool) -> DataFrame:
-    """One row a run: key, ctx and, with ``places``, rid, doc, lo, hi (windows by first unit of the text)."""
-    names = ["key", "ctx"] + ["rid", "doc", "lo", "hi"] * places
+    """One row a run: key and, with ``places``, ctx, rid, doc, lo, hi (windows by first unit of the text)."""
+    names = ["key", *(["ctx", "rid", "doc", "lo", "hi"] if places else [])]
     core = w.length - w.reach + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, texts in batches_of(batch.column(2).cast(pa.binary()).to_pylist()):
+            for own, base, texts in batches_of(batch.column(2).cast(pa.binary()).to_pylist(), w.unit, w.length):
                 b = Batch(texts, w.unit)
                 text, lo, hi, trigger = b.runs(w)
                 digest, cut = xxhash.xxh3_64_intdigest, b.cut
-                key = _signed([digest(cut(t, t + core)) for t in trigger.tolist()])
-                ctx = _signed([digest(cut(x, y + w.length), seed=t - x) for x, y, t in zip(lo.tolist(), hi.tolist(), trigger.tolist(), strict=True)])
-                cols = [pa.array(key), pa.array(ctx)]
+                cols = [pa.array(_signed([digest(cut(t, t + core)) for t in trigger.tolist()]))]
                 if places:
-                    base, own = b.base[text], pa.array(at + text)
-                    cols += [batch.column(0).take(own), batch.column(1).take(own), pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))]
+                    ctx = [digest(cut(x, y + w.length), seed=t - x) for x, y, t in zip(lo.tolist(), hi.tolist(), trigger.tolist(), strict=True)]
+                    off, row = np.array(base, np.int64)[text] - b.base[text], pa.array(np.array(own, np.int64)[text])
+                    cols += [pa.array(_signed(ctx)), batch.column(0).take(row), batch.column(1).take(row), pa.array((lo + off).astype(np.int32)), pa.array((hi + off).astype(np.int32))]
                 yield pa.record_batch(cols, names=names)
 
-    kind = "key long, ctx long" + ", rid long, doc long, lo int, hi int" * places
+    kind = "key long" + ", ctx long, rid long, doc long, lo int, hi int" * places
     return docs.select("rid", "doc", "text").mapInArrow(run, kind)
 
 
@@ -192,151 +218,163 @@ def repeated_runs(docs: DataFrame, w: Windows, shard: Callable, earlier: bool) -
 
     Without ``earlier`` every window that also occurs elsewhere; with it, those that occur
     earlier by (doc, rid, place). ``mask`` null: all windows from lo to hi; else one byte a window.
-    ``shard(contexts, w)`` gets dicts with data, lo, hi, n, doc, rid and gives a mask for each.
+    ``shard(phrases, w)`` gets ``Phrases`` and gives for each two masks: of the windows to remove at its
+    first place, and of those at each of its other places.
     """
-    keys = run_keys(docs, w, False).groupBy("key").agg(F.count("*").alias("n"), F.min("ctx").alias("a"), F.max("ctx").alias("b"))
-    # written down, so that the join deals its other side anew and can split a hot key
-    keys = stash(keys.where("n > 1").select("key", (F.col("a") != F.col("b")).alias("mixed")))
-    runs = stash(run_keys(docs, w, True).join(keys, "key"))
-    place = F.struct("doc", "rid", "lo", "hi")
-    ctxs = stash(runs.groupBy("key", "ctx", "mixed").agg(F.count("*").alias("n"), F.min(place).alias("rep")))
-    here = (F.col("rid") == F.col("rep.rid")) & (F.col("lo") == F.col("rep.lo"))
-    settled = ~here if earlier else F.col("n") > 1
-    whole = (
-        runs.join(ctxs.where("n > 1").select("key", "ctx", "n", "rep"), ["key", "ctx"])
-        .where(settled)
-        .select("rid", "lo", "hi", F.lit(None).cast("binary").alias("mask"))
-    )
-    mixed = ctxs.where("mixed")
-    hot = mixed.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > w.hot).select("key", F.lit(True).alias("hot"))
-    asked = (
-        mixed.join(hot, "key", "left")
-        .groupBy(F.col("rep.rid").alias("rid"))
-        .agg(F.collect_list(F.struct("key", "ctx", F.coalesce("hot", F.lit(False)).alias("hot"), "n", "rep.doc", "rep.lo", "rep.hi")).alias("asked"))
-    )
-    contexts = stash(_contexts(docs.join(asked, "rid"), w))
-    cold = _sharded(contexts.where("not hot"), w, shard)
-    return whole.unionByName(cold).unionByName(_sliced(contexts.where("hot"), w, earlier))
-
-
-CONTEXT = "key long, ctx long, hot boolean, n long, doc long, rid long, lo int, hi int, trigger int, data binary"
-
-
-def _contexts(docs: DataFrame, w: Windows) -> DataFrame:
-    """The text of each context asked for; a hot one's trigger is an offset from its first window."""
+    keys = stash(run_keys(docs, w, False).groupBy("key").count().where("count > 1").select("key"))
+    none = F.lit(0).cast("long")
+    found = run_keys(docs, w, True).join(keys, "key").withColumns({"n": F.lit(1).cast("long"), "t": F.lit(-1), "skey": none, "sctx": none})
+    source, on, size, out = docs.select("rid", F.lit(0).alias("base"), F.col("text").cast("binary").alias("data")), ["rid"], w.reach, None
+    while True:
+        parse = stash(found)
+        phrases = parse.groupBy("key", "ctx").agg(F.sum("n").alias("n"), F.min(F.struct("doc", "rid", "lo", "hi", "t", "skey", "sctx")).alias("rep"))
+        phrases = stash(phrases.select("key", "ctx", "n", "rep.*"))
+        crowded = stash(phrases.groupBy("key").count().where(F.col("count") > (w.hot if size > 1 else 1 << 62)).select("key", F.lit(True).alias("hot")))
+        phrases = phrases.join(crowded, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        asked = phrases.groupBy(*on).agg(F.collect_list(F.struct(*(c for c in PHRASE if c not in ("data", *on)))).alias("asked"))
+        texts = stash(_cut_out(source.join(asked, on), on, w))
+        verdicts = stash(_sharded(texts.where("not hot"), w, shard))
+        own = verdicts.where("marked").select("rid", "lo", "hi", "mask")
+        # a phrase that stands again repeats as a whole, whatever the parts of its first place turn out to be
+        again = texts.where("hot and n > 1").select("key", "ctx", "rid", "lo", "hi", F.lit(None).cast("binary").alias("further"))
+        if not earlier:
+            own = own.unionByName(again.select("rid", "lo", "hi", F.col("further").alias("mask")))
+        again = verdicts.where("n > 1").select("key", "ctx", "rid", "lo", "further").unionByName(again.drop("hi"))
+        again = again.select("key", "ctx", F.col("rid").alias("first_rid"), F.col("lo").alias("first_lo"), F.col("further").alias("mask"))
+        others = parse.join(again, ["key", "ctx"]).where("rid != first_rid or lo != first_lo").select("rid", "lo", "hi", "mask")
+        out = own.unionByName(others) if out is None else out.unionByName(own).unionByName(others)
+        if size == 1 or crowded.isEmpty():
+            return out
+        size = -(-size // w.fan)
+        source, on = texts.where("hot").select(F.col("key").alias("skey"), F.col("ctx").alias("sctx"), F.col("lo").alias("base"), "data", "n", "doc", "rid", "hi", "t"), ["skey", "sctx"]
+        found, source = _parts(source, w, size), source.select("skey", "sctx", "base", "data")
+
+
+#: A phrase: its names, how often it stands, its first place, the trigger's distance from its first window, where its text is.
+PHRASE = {"key": "long", "ctx": "long", "n": "long", "doc": "long", "rid": "long", "lo": "int", "hi": "int", "t": "int", "hot": "boolean", "skey": "long", "sctx": "long", "data": "binary"}
+KINDS = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
+def _ddl(names: dict[str, str]) -> str:
+    return ", ".join(f"{n} {k}" for n, k in names.items())
+
+
+def _cut_out(rows: DataFrame, on: list[str], w: Windows) -> DataFrame:
+    """The phrases asked for, with their text; a hot one's ``t`` is found if it isn't known yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                b = Batch([(batch.column(1)[i].as_py() or "").encode("utf-8", "surrogatepass")], w.unit)
-                rows = []
-                for x in batch.column(2)[i].as_py():
-                    data = b.cut(x["lo"], x["hi"] + w.length)
-                    trigger = int(Batch([data], w.unit).runs(w)[3][0]) if x["hot"] else 0
-                    rows.append(x | {"rid": batch.column(0)[i].as_py(), "data": data, "trigger": trigger})
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
-    schema = pa.schema([(n, kinds[k]) for n, k in (c.split(" ") for c in CONTEXT.split(", "))])
-    return docs.select("rid", "text", "asked").mapInArrow(run, CONTEXT)
-
-
-MASKS = "rid long, lo int, hi int, mask binary"
-
-
-def _masks(rows: list[dict], masks: list[np.ndarray]) -> dict:
-    got = [(r["rid"], r["lo"], r["hi"], m.astype(np.uint8).tobytes()) for r, m in zip(rows, masks, strict=True) if m.any()]
-    rid, lo, hi, mask = zip(*got, strict=True) if got else ((), (), (), ())
-    return {"rid": pa.array(rid, pa.int64()), "lo": pa.array(lo, pa.int32()), "hi": pa.array(hi, pa.int32()), "mask": pa.array(mask, pa.binary())}
-
-
-def _sharded(contexts: DataFrame, w: Windows, shard: Callable) -> DataFrame:
-    """Shards of whole keys, about ``w.shard`` contexts each; large keys that meet are compared apart."""
-    n = max(1, contexts.count() // w.shard)
+        for whole in batches:
+            for batch in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
+                lists = batch.column(len(on) + 2)
+                got = dict(zip((f.name for f in lists.type.value_type), lists.flatten().flatten(), strict=True))
+                sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+                got |= {c: batch.column(k).take(row) for k, c in enumerate(on)}
+                lo, hi, at, data = got["lo"].to_pylist(), got["hi"].to_pylist(), 0, []
+                for raw, base, n in zip(batch.column(len(on) + 1).to_pylist(), batch.column(len(on)).to_pylist(), sizes.tolist(), strict=True):
+                    if w.unit == "word":
+                        units = (raw or b"").split()
+                        data += [b" ".join(units[lo[k] - base : hi[k] - base + w.length]) for k in range(at, at + n)]
+                    else:
+                        data += [raw[lo[k] - base : hi[k] - base + w.length] for k in range(at, at + n)]
+                    at += n
+                got["data"] = pa.array(data, pa.binary())
+                t = zip(got["t"].to_pylist(), got["hot"].to_pylist(), data, strict=True)
+                got["t"] = pa.array([int(Batch([d], w.unit).runs(w)[3][0]) if hot and k < 0 else k for k, hot, d in t], pa.int32())
+                yield pa.record_batch([got[c].cast(KINDS[k]) for c, k in PHRASE.items()], names=list(PHRASE))
+
+    return rows.select(*on, "base", "data", "asked").mapInArrow(run, _ddl(PHRASE))
+
+
+@dataclass
+class Phrases:
+    """Phrases of whole keys: their text, number of windows, number of places, and first place."""
+
+    data: list[bytes]
+    windows: list[int]
+    n: list[int]
+    place: list[tuple[int, int, int]]
+
+
+VERDICT = {"key": "long", "ctx": "long", "n": "long", "rid": "long", "lo": "int", "hi": "int", "marked": "boolean", "mask": "binary", "further": "binary"}
+
+
+def _sharded(phrases: DataFrame, w: Windows, shard: Callable) -> DataFrame:
+    """Verdicts from shards of whole keys, about ``w.shard`` phrases each; large keys that meet are compared apart.
+
+    A mask that is null stands for all windows.
+    """
+    n = max(1, phrases.count() // w.shard)
+    packed = lambda m: None if m.all() else m.astype(np.uint8).tobytes()
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["key"])
-        edges = [i for i in range(1, len(rows)) if rows[i]["key"] != rows[i - 1]["key"]] + [len(rows)]
+        table = table.sort_by("key").combine_chunks()
+        key = table["key"].to_numpy()
+        edges = [*(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)] if len(key) else []
+        cols = {c: table[c].to_pylist() for c in ("data", "n", "doc", "rid", "lo", "hi")}
+        windows = [b - a + 1 for a, b in zip(cols["lo"], cols["hi"], strict=True)]
+        place = list(zip(cols["doc"], cols["rid"], cols["lo"], strict=True))
+        asked = lambda a, b: shard(Phrases(cols["data"][a:b], windows[a:b], cols["n"][a:b], place[a:b]), w)
         masks, lo, last = [], 0, 0
         for hi in edges:
             if hi - lo > w.shard and last > lo:
-                masks += shard(rows[lo:last], w)
+                masks += asked(lo, last)
                 lo = last
             last = hi
-        masks += shard(rows[lo:], w) if lo < len(rows) else []
-        return pa.table(_masks(rows, masks))
-
-    return contexts.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n))).groupBy("shard").applyInArrow(run, MASKS)
-
-
-def _sliced(contexts: DataFrame, w: Windows, earlier: bool) -> DataFrame:
-    """Contexts of hot keys, by slices of the offset and then by single windows."""
-    coarse = _slices(contexts, w, w.slice_units)
-    fine = _slices(_unsettled(coarse, w, earlier), w, 1)
-    keep = F.struct("doc", "rid", "at")
-    out = None
-    for part in (coarse, fine):
-        equal = part.groupBy("part").agg(F.sum("n").alias("total"), F.min("whole").alias("a"), F.max("whole").alias("b"), F.min(keep).alias("first"))
-        equal = stash(equal.where("a = b and total > 1").select("part", "first"))
-        got = part.join(equal, "part")
-        if earlier:
-            got = got.where((F.col("first.doc") != F.col("doc")) | (F.col("first.rid") != F.col("rid")) | (F.col("first.at") != F.col("at")))
-        got = got.select("rid", F.col("at").alias("lo"), F.col("upto").alias("hi"), F.lit(None).cast("binary").alias("mask"))
-        out = got if out is None else out.unionByName(got)
-    return out
+        masks += asked(lo, len(key)) if lo < len(key) else []
+        marked = [bool(m.any()) for m, _ in masks]
+        keep = pa.array([a or n > 1 for a, n in zip(marked, cols["n"], strict=True)], pa.bool_())
+        extra = [pa.array(marked, pa.bool_()), pa.array([packed(m) for m, _ in masks], pa.binary()), pa.array([packed(f) for _, f in masks], pa.binary())]
+        names = ["key", "ctx", "n", "rid", "lo", "hi"]
+        out = pa.table([*(table[c] for c in names), *extra], names=list(VERDICT))
+        return out.filter(keep)
 
+    dealt = phrases.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n))).select("shard", "key", "ctx", "n", "doc", "rid", "lo", "hi", "data")
+    return dealt.groupBy("shard").applyInArrow(run, _ddl(VERDICT))
 
-def _unsettled(part: DataFrame, w: Windows, earlier: bool) -> DataFrame:
-    """Slices whose key several different texts have."""
-    open_ = part.groupBy("part").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a != b").select("part")
-    return part.join(open_, "part").select(
-        "key", "ctx", "n", "doc", "rid", F.col("at").alias("lo"), F.col("upto").alias("hi"), F.col("left").alias("trigger"), "data"
-    )
 
+PART = {k: v for k, v in PHRASE.items() if k not in ("hot", "data")}
 
-SLICE = "key long, ctx long, n long, doc long, rid long, at int, upto int, left int, part string, whole string, data binary"
 
+def _parts(phrases: DataFrame, w: Windows, size: int) -> DataFrame:
+    """The parse of hot phrases (skey, sctx, base, data, n, doc, rid, hi, t): a row for each part, without its text.
 
-def _slices(contexts: DataFrame, w: Windows, size: int) -> DataFrame:
-    """A row for each slice of a context's windows.
-
-    ``part`` names what all windows at these offsets have in common, ``whole`` what they span;
-    slices are cut at fixed offsets from the trigger, so equal windows are in slices alike.
+    Parts are cut where a window's distance to the trigger is a multiple of ``size``, so equal windows are
+    in parts alike; the key names the units that all windows of such a part have in common.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(i, 64) for whole in batches for i in range(0, whole.num_rows, 64)):
+        for batch in batches:
             rows = []
-            for r in batch.to_pylist():
-                b, last, t = Batch([r["data"]], w.unit), r["hi"] - r["lo"], r["trigger"]
+            for skey, sctx, base, data, n, doc, rid, hi, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                units = data.split(b" ") if w.unit == "word" else data
+                cut = (lambda a, b, u=units: b" ".join(u[a:b])) if w.unit == "word" else (lambda a, b, u=units: u[a:b])
                 s = 0
-                while s <= last:
-                    d = (t - s) // size  # windows with this distance to the trigger, in slices
-                    e = min(last, t - d * size)
-                    near, far = t - d * size, t - (d + 1) * size + 1  # the slice's window range if the context had it all
-                    name = f"{r['key']}:{size}:{d}:"
-                    lo, hi = near, far + w.length  # units that every window of the slice has
-                    part = name + xxhash.xxh3_128_hexdigest(b.cut(lo, hi))
-                    whole = f"{s - near}:{e - near}:" + xxhash.xxh3_128_hexdigest(b.cut(s, e + w.length))
-                    rows.append({"key": r["key"], "ctx": r["ctx"], "n": r["n"], "doc": r["doc"], "rid": r["rid"], "at": r["lo"] + s, "upto": r["lo"] + e, "left": t - s, "part": part, "whole": whole, "data": b.cut(s, e + w.length)})
+                while s <= hi - base:
+                    block = (t - s) // size
+                    near = t - block * size
+                    e = min(hi - base, near)
+                    named = struct.pack("<qii", skey, size, block)
+                    key = xxhash.xxh3_64_intdigest(named + cut(near, near - size + 1 + w.length))
+                    ctx = xxhash.xxh3_64_intdigest(named + struct.pack("<i", near - s) + cut(s, e + w.length), seed=1)
+                    rows.append((key, ctx, n, doc, rid, base + s, base + e, t - s, skey, sctx))
                     s = e + 1
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            cols = list(zip(*rows, strict=True)) if rows else [()] * len(PART)
+            arrays = [pa.array(_signed(list(c))) for c in cols[:2]] + [pa.array(c, KINDS[k]) for c, k in zip(cols[2:], list(PART.values())[2:], strict=True)]
+            yield pa.record_batch(arrays, names=list(PART))
 
-    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
-    schema = pa.schema([(n, kinds[k]) for n, k in (c.split(" ") for c in SLICE.split(", "))])
-    return contexts.select("key", "ctx", "n", "doc", "rid", "lo", "hi", "trigger", "data").mapInArrow(run, SLICE)
+    return phrases.select("skey", "sctx", "base", "data", "n", "doc", "rid", "hi", "t").mapInArrow(run, _ddl(PART))
 
 
 def covered(n: int, runs: list[dict], length: int) -> np.ndarray:
     """Which of ``n`` units the removed windows cover."""
-    step = np.zeros(n + 1, np.int64)
+    out = np.zeros(n, bool)
     for r in runs:
         lo, hi, mask = r["lo"], r["hi"], r["mask"]
         if mask is None:
-            step[lo] += 1
-            step[hi + length] -= 1
+            out[lo : hi + length] = True
         else:
-            at = lo + np.flatnonzero(np.frombuffer(mask, np.uint8))
-            np.add.at(step, at, 1)
-            np.add.at(step, at + length, -1)
-    return np.cumsum(step[:-1]) > 0
+            edge = np.flatnonzero(np.diff(np.frombuffer(b"\0" + mask + b"\0", np.int8)))
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                out[lo + a : lo + b - 1 + length] = True
+    return out

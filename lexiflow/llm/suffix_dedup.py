@@ -1,12 +1,14 @@
 """Suffix-array deduplication through prefix-free parsing.
 
-Rolling-hash triggers cut text into phrases. Within a shard the distinct phrases form a
-dictionary and each text is a parse, a row of phrase numbers. Suffix arrays of dictionary
-and parse are built apart; together they give all suffixes in corpus order: first by the
-rest of the phrase, then by the parse that follows. Strings that repeat stand side by side
-there. The more a corpus repeats itself, the smaller its dictionary.
-
-``lexiflow.llm.repeats`` finds the shards: text that can't repeat never reaches one.
+Rolling-hash triggers cut the corpus into overlapping phrases; each text is a parse, a row of
+phrase names (``lexiflow.llm.repeats``), and every 400-byte string lies within one phrase. The
+dictionary's phrases are dealt to shards by their trigger, so strings that could be equal meet.
+A shard parses once more: rolling-hash triggers cut its phrases into short ones, whose distinct
+forms make a dictionary and whose numbers make a parse. Suffix arrays of both are built apart;
+together they give all suffixes in corpus order: first by the rest of the short phrase, then by
+the parse that follows. Strings that repeat stand side by side there, and a phrase's number of
+places in the corpus's parse tells how often. The more a corpus repeats itself, the smaller its
+dictionaries.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.llm.common import numbered
-from lexiflow.llm.repeats import WEIGHTS, Windows, _power, covered, repeated_runs
+from lexiflow.llm.repeats import WEIGHTS, Phrases, Windows, _power, covered, repeated_runs
 
-BYTES = Windows("byte", length=400, reach=192, seed=16, slice_units=16)
+BYTES = Windows("byte", length=400, reach=192, seed=16)
 #: Phrases end where the rolling hash of ``OVERLAP`` bytes is 0 modulo ``MODULUS``.
 OVERLAP, MODULUS = 8, 32
 #: Letters that one sort key holds.
@@ -140,14 +142,14 @@ def parsing_is_short(parsing: Parsing, length: int) -> bool:
     return max(map(len, parsing.dictionary), default=0) < length
 
 
-def shard_masks(rows: list[dict], w: Windows) -> list[np.ndarray]:
-    """Which windows of each context occur in another one, or again in the same."""
-    found = repeated_places([r["data"] for r in rows], w.length)
+def shard_masks(p: Phrases, w: Windows) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Which windows of each phrase the suffix order puts beside an equal one, or the parse holds again."""
+    found = repeated_places(p.data, w.length)
     out, at = [], 0
-    for r in rows:
-        n = r["hi"] - r["lo"] + 1
-        out.append(found[at : at + n] if r["n"] == 1 else np.zeros(n, bool))  # a context that occurs twice is settled already
-        at += len(r["data"])
+    for data, windows, n in zip(p.data, p.windows, p.n, strict=True):
+        mask = found[at : at + windows] | (n > 1)
+        out.append((mask, mask))
+        at += len(data)
     return out
 
 

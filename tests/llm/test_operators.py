@@ -53,7 +53,7 @@ def test_empty_tables(none, spark):
     assert [x.count() for x in got] == [0] * 10
 
 
-@pytest.mark.parametrize("change", [{}, {"hot": 1}, {"shard": 2}])
+@pytest.mark.parametrize("change", [{}, {"hot": 1}, {"hot": 1, "fan": 2}, {"shard": 2}])
 def test_suffix_dedup(docs, change):
     w = replace(suffix_dedup.BYTES, **change)
     got = [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.suffix_dedup(docs, w).orderBy("rid").collect()]
@@ -73,7 +73,7 @@ def test_corpus_order(seed):
     assert suffix_dedup.repeated_places(texts, 12).tolist() == [i + 12 <= len(t) and n[t[i : i + 12]] > 1 for t in texts for i in range(len(t))]
 
 
-@pytest.mark.parametrize("change", [{}, {"hot": 1}, {"shard": 2}])
+@pytest.mark.parametrize("change", [{}, {"hot": 1}, {"hot": 1, "fan": 2}, {"shard": 2}])
 def test_phrase_dedup(docs, change):
     w = replace(phrase_dedup.WORDS, **change)
     got = [(r.n_words, r.n_removed, r.kept_sha256) for r in phrase_dedup.phrase_dedup(docs, w).orderBy("rid").collect()]
