@@ -3,7 +3,8 @@
 Words are lower-cased and joined by one space. A notice that may have k errors is cut into
 k + 1 pieces; by the pigeonhole principle one of them stands unchanged wherever the notice
 matches, so an automaton over all pieces locates the candidates. Around each, the regex
-library's bounded-error matching verifies the notice and gives the span and the errors.
+library's bounded-error matching verifies the notice and gives the span and the errors; of
+spans of one notice that overlap the one with the fewest errors stays.
 
 Scale: a narrow stage without shuffle; the notices are parameters of fixed size.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -77,26 +79,36 @@ class Finder:
 
     def find(self, norm: str) -> list[tuple[int, int, int, int]]:
         """(notice, start, end, errors) of the matches in text whose words one space parts."""
-        around: dict[int, list[list[int]]] = {}
+        windows: dict[int, set[tuple[int, int, int]]] = {}
         for end, (size, users) in self.seeds.iter(norm):
             for k, off in users:
                 n = self.notices[k]
-                lo = max(0, end + 1 - size - off - n.errors)
-                hi = min(len(norm), end + 1 - size - off + len(n.phrase) + n.errors)
-                lo, hi = norm.rfind(" ", 0, lo + 1) + 1, hi + max(0, (norm + " ").find(" ", hi) - hi)
-                spans = around.setdefault(k, [])
-                if spans and spans[-1][0] <= lo <= spans[-1][1]:
-                    spans[-1][1] = max(hi, spans[-1][1])
-                else:
-                    spans.append([lo, hi])
-        out = set()
-        for k, spans in around.items():
-            rest = list(spans)
-            while rest:  # the best match of a window first, then what stands before and after it
-                lo, hi = rest.pop()
-                if lo < hi and (m := self.fuzzy[k].search(norm, lo, hi)):
-                    out.add((k, m.start(), m.end(), sum(m.fuzzy_counts)))
-                    rest += [(lo, m.start() - 1), (max(m.end(), lo + 1), hi)]
+                at = end + 1 - size - off
+                lo, hi = max(0, at - n.errors), min(len(norm), at + len(n.phrase) + n.errors)
+                after = norm.find(" ", hi)
+                windows.setdefault(k, set()).add((norm.rfind(" ", 0, lo + 1) + 1, after if after >= 0 else len(norm), at))
+        out = []
+        for k, found in windows.items():
+            phrase, matches = self.notices[k].phrase, set()
+            for lo, hi, at in found:
+                end = at + len(phrase)
+                if at >= 0 and norm.startswith(phrase, at) and (not at or norm[at - 1] == " ") and (end == len(norm) or norm[end] == " "):
+                    matches.add((0, at, end))
+                    continue
+                rest = [(lo, hi)]
+                while rest:  # the best match of a window first, then what stands before and after it
+                    lo, hi = rest.pop()
+                    if lo < hi and (m := self.fuzzy[k].search(norm, lo, hi)):
+                        matches.add((sum(m.fuzzy_counts), m.start(), m.end()))
+                        rest += [(lo, m.start() - 1), (max(m.end(), lo + 1), hi)]
+            starts: list[int] = []
+            ends: list[int] = []
+            for errors, a, b in sorted(matches):  # those with the fewest errors first; of what overlaps one stays
+                i = bisect.bisect_left(starts, b)
+                if i == 0 or ends[i - 1] <= a:
+                    starts.insert(i, a)
+                    ends.insert(i, b)
+                    out.append((k, a, b, errors))
         return sorted(out)
 
 
@@ -119,11 +131,14 @@ def exact_places(norm: str, phrase: str) -> list[int]:
 def scan_text(text: str, base: tuple[Notice, ...], notices: tuple[Notice, ...]) -> dict:
     found = WORD.findall(text.translate(LOWER))
     norm = " ".join(found)
-    exact = [(norm.count(" ", 0, at), n.label) for n in base for at in exact_places(norm, n.phrase)]
-    spans = []
-    for k, a, b, e in _finder(notices).find(norm):
-        first = norm.count(" ", 0, a)
-        spans.append({"label": notices[k].label, "first_word": first, "last_word": first + norm.count(" ", a, b), "errors": e, "score": 1 - e / len(notices[k].phrase)})
+    exact = [(at, n.label) for n in base for at in exact_places(norm, n.phrase)]
+    matches = _finder(notices).find(norm)
+    starts = list(itertools.accumulate((len(w) + 1 for w in found), initial=0)) if exact or matches else []
+    word = lambda at: bisect.bisect_right(starts, at) - 1
+    exact = [(word(at), label) for at, label in exact]
+    spans = [
+        {"label": notices[k].label, "first_word": word(a), "last_word": word(b - 1), "errors": e, "score": 1 - e / len(notices[k].phrase)} for k, a, b, e in matches
+    ]
     at = [w for w, _ in exact]
     labels = {x for _, x in exact}
     return {
