@@ -24,11 +24,12 @@ from lexiflow.session import stash
 
 @dataclass(frozen=True)
 class LineRules:
-    """``max_docs``: distinct texts of one host that may share a line. ``min_left``: share of its
-    words that a document must keep once such lines are gone. ``min_words`` and ``max_repeat_pct``
-    are the base rule's limits on words and repeated words."""
+    """A line may stand in ``max_docs`` distinct texts of a host, or in ``max_pct`` percent of them if
+    that is more. ``min_left``: share of its words that a document must keep once such lines are gone.
+    ``min_words`` and ``max_repeat_pct`` are the base rule's limits on words and repeated words."""
 
-    max_docs: int = 100
+    max_docs: int = 10
+    max_pct: int = 1
     min_left: float = 0.3
     min_words: int = 20
     max_repeat_pct: int = 30
@@ -87,10 +88,10 @@ def text_rules(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
         F.transform(ws, lambda w: F.xxhash64(w)),
         lambda h: F.struct(F.size(h).alias("n"), _repeated(spans(h), WINDOW).alias("r")),
     )
-    out = docs.withColumn("_facts", facts).withColumn(
+    out = docs.withColumn("__facts", facts).withColumn(
         "n_dup_lines", let(_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
     )
-    n, r = F.col("_facts.n").cast("long"), F.col("_facts.r").cast("long")
+    n, r = F.col("__facts.n").cast("long"), F.col("__facts.r").cast("long")
     return out.withColumns(
         {
             "n_words": n,
@@ -99,7 +100,7 @@ def text_rules(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
             "n_repeat_words": r,
             "base_failed": (n < rules.min_words) | (100 * r > rules.max_repeat_pct * n),
         }
-    ).drop("_facts")
+    ).drop("__facts")
 
 
 def line_flags(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[DataFrame, DataFrame]:
@@ -110,26 +111,31 @@ def line_flags(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[DataFra
     text = F.coalesce(F.col("text"), F.lit(""))
     name = _line_name
     own = [F.xxhash64(F.col("host")).alias("host"), F.xxhash64(text).alias("body")]
+    # the most texts of each host that may hold a line
+    hosts = docs.select(*own).distinct().groupBy("host").agg(F.greatest(F.lit(rules.max_docs), F.floor(F.count("*") * rules.max_pct / 100)).alias("most"))
+    hosts = stash(hosts)
     line = docs.select(*own, F.explode(F.transform(_lines(text), name)).alias("line"))
     #: A line of one text only has equal ends here and never needs an exact count.
     wide = stash(
         line.groupBy("host", "line")
         .agg(F.count("*").alias("n"), F.min("body").alias("lo"), F.max("body").alias("hi"))
         .where((F.col("n") > rules.max_docs) & (F.col("lo") != F.col("hi")))
-        .select("host", "line")
+        .join(hosts, "host")
+        .where("n > most")
+        .select("host", "line", "most")
     )
     counted = docs.select("rid", *own, F.explode(F.transform(_lines(text), lambda x: F.struct(name(x).alias("line"), x.alias("x")))).alias("l"))
     frequent = stash(
         counted.select("rid", "host", "body", "l.line", "l.x")
-        .join(wide, ["host", "line"], "left_semi")
-        .select("rid", "host", "body", "line", F.size(words(F.col("x"))).alias("w"))
+        .join(wide, ["host", "line"])
+        .select("rid", "host", "body", "line", "most", F.size(words(F.col("x"))).alias("w"))
     )
     limit = stash(
         frequent.groupBy("host", "line", "body")
-        .agg(F.sum("w").alias("w"))
+        .agg(F.first("most").alias("most"))
         .groupBy("host", "line")
-        .agg(F.count("*").alias("n_docs"))
-        .where(F.col("n_docs") > rules.max_docs)
+        .agg(F.count("*").alias("n_docs"), F.first("most").alias("most"))
+        .where("n_docs > most")
         .select("host", "line")
     )
     flags = (
@@ -145,8 +151,8 @@ def quality_rules(docs: DataFrame, host: str = "source", rules: LineRules = Line
 
     ``clean_text`` is the text without the frequent lines; its other lines stay as they are.
 
-    ``kept`` is false where ``base_failed`` is, or where the lines that more than
-    ``rules.max_docs`` distinct texts of the host share leave less than ``min_left`` of its words;
+    ``kept`` is false where ``base_failed`` is, or where the lines that more distinct texts of the
+    host share than ``rules`` let leave less than ``min_left`` of its words;
     a short text that merely has such a line stays. Exact copies count as one document. Empty and null texts
     have zero counts and fail; repeated rows are judged alike; an empty table stays empty.
     Columns of ours are overwritten.
@@ -173,18 +179,18 @@ def _judged(rows: DataFrame, flags: DataFrame, rules: LineRules) -> DataFrame:
 
 
 def without_lines(docs: DataFrame, limit: DataFrame, host: str) -> DataFrame:
-    """``docs`` with ``clean_text``: the text without its host's lines in ``limit``; text stays where it is.
+    """``docs`` with ``clean_text``: the text without its host's lines in ``limit``.
 
-    A host's lines are a list of at most a ``max_docs``-th of its lines; each text meets it once.
+    Text stays where it is while Spark finds the lists small enough to broadcast. A host's lines are a list of at most a ``max_docs``-th of its lines; each text meets it once.
     """
-    lists = limit.groupBy(F.col("host").alias("_host")).agg(F.collect_set("line").alias("_lines"))
+    lists = stash(limit.groupBy(F.col("host").alias("__host")).agg(F.collect_set("line").alias("__lines")))
     named = F.transform(F.split("text", "\n"), lambda x: F.struct(F.when(x.rlike(WORDED), _line_name(x)).alias("h"), x.alias("x")))
 
     def cut(lines: Column) -> Column:
-        hit = F.array_intersect(F.col("_lines"), F.transform(lines, lambda x: x["h"]))
+        hit = F.array_intersect(F.col("__lines"), F.transform(lines, lambda x: x["h"]))
         kept = lambda h: F.filter(lines, lambda x: x["h"].isNull() | ~F.array_contains(h, x["h"]))
         return let(hit, lambda h: F.when(F.size(h) > 0, F.array_join(F.transform(kept(h), lambda x: x["x"]), "\n")).otherwise(F.col("text")))
 
-    clean = F.when(F.col("_lines").isNull() | F.col("text").isNull(), F.col("text")).otherwise(let(named, cut))
-    joined = docs.withColumn("_host", F.xxhash64(F.col(host))).join(F.broadcast(lists), "_host", "left")
-    return joined.withColumn("clean_text", clean).drop("_host", "_lines")
+    clean = F.when(F.col("__lines").isNull() | F.col("text").isNull(), F.col("text")).otherwise(let(named, cut))
+    joined = docs.withColumn("__host", F.xxhash64(F.col(host))).join(lists, "__host", "left")
+    return joined.withColumn("clean_text", clean).drop("__host", "__lines")

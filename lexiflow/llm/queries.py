@@ -47,7 +47,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_documents(spark, sf_dir)).select(
-        "doc_id", "cell_source", "cell_lang", "cell_topic", "n_tokens", "target_weight", "probability", "sampled"
+        "doc_id", "cell_source", "cell_lang", "cell_topic", "n_tokens", "target_weight", "probability", "wanted", "reached", "sampled"
     )
 
 
@@ -123,7 +123,8 @@ with w as (select doc_id, source, coalesce(text, '') as t, {_WORDS} as ws, list_
 g as (select doc_id, i, md5(array_to_string(ws[i:i + 7], ' ')) as h from (select doc_id, ws, unnest(range(1, len(ws) - 6)) as i from w)),
 r as (select doc_id, count(distinct j) as n from (select doc_id, unnest(range(i, i + 8)) as j from (select *, count(*) over (partition by doc_id, h) as c from g) where c > 1) group by doc_id),
 l as (select doc_id, source, md5(t) as body, lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))) as x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) as n from (select doc_id, source, t, unnest(ls) as x from w)),
-f as (select source, x from l group by source, x having count(distinct body) > 100),
+h as (select source, greatest(10, count(distinct md5(t)) // 100) as most from w group by source),
+f as (select l.source, x from l join h on l.source is not distinct from h.source group by l.source, x, most having count(distinct body) > most),
 b as (select doc_id, sum(n) as n from l join f on l.x = f.x and l.source is not distinct from f.source group by doc_id),
 m as (select w.doc_id, len(ws)::bigint as n_words, len(array_to_string(ws, ''))::bigint as word_chars, len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
       (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words, coalesce(b.n, 0)::bigint as boiler_words

@@ -1,18 +1,22 @@
 """Each operator against a plain version, on small tables with nulls, ties, repeats and long texts."""
 
+import os
 import random
 import re
+import time
 from collections import Counter
 from dataclasses import replace
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexiflow.llm import common, html_extract, licenses, ngram_join, phrase_dedup, queries, secrets, suffix_dedup
 from lexiflow.llm.bpe import Bpe, bpe_codec
 from lexiflow.llm.exact_dedup import exact_dedup
-from lexiflow.llm.mixing import mix, probabilities, rake
+from lexiflow.llm.mixing import LANGUAGES, SOURCES, TOPICS, calibrate, mix, rake
 from lexiflow.llm.quality_rules import LineRules, quality_rules
 from tests.llm import brute
 
@@ -133,12 +137,42 @@ def test_rake_meets_marginals():
     r = np.random.default_rng(0)
     axes = [np.repeat(np.arange(3), 8), np.tile(np.repeat(np.arange(4), 2), 3), np.tile(np.arange(2), 12)]
     targets = [np.array(t) for t in ([0.2, 0.5, 0.3], [0.1, 0.2, 0.3, 0.4], [0.6, 0.4])]
-    w = rake(r.integers(1, 100, 24).astype(float), axes, targets)
-    for axis, t in zip(axes, targets, strict=True):
-        assert np.allclose(np.bincount(axis, w), t)
     n = r.integers(1, 100, 24).astype(float)
-    p = probabilities(n, w, 0.3)
-    assert 0 <= p.min() and p.max() <= 1 and np.isclose((p * n).sum(), 0.3 * n.sum())
+    for got in (rake(n, axes, targets), rake(n, axes, targets, 0.1, bounded=True), calibrate(n, axes, targets, 1.0, 1e-6)):
+        for axis, t in zip(axes, targets, strict=True):
+            assert np.allclose(np.bincount(axis, got.take) / got.take.sum(), t, atol=1e-5)
+    assert (got.take <= n + 1e-9).all() and 0.1 < got.share < 1
+
+
+@given(st.lists(st.tuples(st.integers(0, 50), st.integers(0, 2), st.integers(0, 1)), min_size=1, max_size=12), st.floats(0.05, 1))
+@settings(deadline=None, max_examples=60)
+def test_calibrate_stays_in_bounds(cells, share):
+    n = np.array([float(c[0]) for c in cells])
+    got = calibrate(n, [np.array([c[k] for c in cells]) for k in (1, 2)], [np.array([0.5, 0.3, 0.2]), np.array([0.4, 0.6])], share)
+    assert (got.take >= 0).all() and (got.take <= n + 1e-6).all() and got.take.sum() <= share * n.sum() + 1e-6
+    assert 0 <= got.share <= share + 1e-9
+
+
+def test_mix_meets_its_targets_on_a_real_table(spark):
+    """Expected tokens by source, language and topic; what is drawn comes near them."""
+    table = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(table):
+        pytest.skip("needs the generated tables")
+    rows = mix(spark.read.parquet(table))
+    total = rows.agg(F.sum("n_tokens")).first()[0]
+    for axis, (name, targets) in enumerate((("cell_source", SOURCES), ("cell_lang", LANGUAGES), ("cell_topic", TOPICS))):
+        found = rows.groupBy(name).agg(
+            F.sum(F.col("n_tokens") * F.col("probability")).alias("want"), F.sum(F.when(F.col("sampled"), F.col("n_tokens"))).alias("drawn"),
+            F.first(F.col("reached")[axis]).alias("reached"), F.first(F.col("wanted")[axis]).alias("wanted"),
+        ).collect()
+        want, drawn = sum(r.want for r in found), sum(r.drawn or 0 for r in found)
+        there = sum(targets.get(r[name], 0) for r in found)
+        for r in found:
+            assert abs(r.want / want - r.reached) < 1e-6
+            if r[name] in targets:
+                assert abs(r.reached - targets[r[name]] / there) < 3e-3 or r[name] == "(rest)"
+                assert abs((r.drawn or 0) / drawn - r.reached) < 0.05
+    assert 0.05 < want / total <= 0.5 + 1e-9
 
 
 def test_mix_covers_every_row(docs):
@@ -318,6 +352,53 @@ def test_html_long_comments_and_menus_stay_out():
     assert html_extract.main_text("<body><nav>" + "menu " * 50 + "</nav><p>short</p></body>", None) == "short"
 
 
+def distance(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_licenses_against_all_word_ranges(seed):
+    """Spans are matches, and wherever a range of words matches a notice a span of that notice touches it."""
+    r = random.Random(seed)
+    notices = licenses.BASE + licenses.ADDED
+    found: list[str] = []
+    for _ in range(6):
+        phrase = list(r.choice(notices).phrase)
+        for _ in range(r.choice([0, 0, 1, 2, 3])):
+            k = r.randrange(len(phrase))
+            phrase[k : k + 1] = r.choice([[], ["x"], ["x", phrase[k]]])
+        found += "".join(phrase).split() + [r.choice(["a", "the", "gnu", "license"]) for _ in range(r.randint(0, 3))]
+    text = " ".join(found)
+    spans = licenses.scan_text(text, licenses.BASE, notices)["spans"]
+    finder = licenses.Finder(notices)
+    for k, a, b, e in finder.find(text):
+        assert distance(text[a:b], notices[k].phrase) <= e <= notices[k].errors
+    for n in notices:
+        own = [(s["first_word"], s["last_word"]) for s in spans if s["label"] == n.label]
+        size = n.phrase.count(" ") + 1
+        for i in range(len(found)):
+            for j in range(max(i, i + size - 3), min(len(found), i + size + 3)):
+                if distance(" ".join(found[i : j + 1]), n.phrase) <= n.errors:
+                    assert any(a <= j and i <= b for a, b in own), (n, found[i : j + 1])
+
+
+def test_license_scan_of_long_texts_is_linear():
+    notices = licenses.BASE + licenses.ADDED
+    took = []
+    for n in (2_000, 16_000):
+        text = "some words under the mit license and gnu genral public license " * n
+        began = time.perf_counter()
+        got = licenses.scan_text(text, licenses.BASE, notices)
+        took.append(time.perf_counter() - began)
+        assert got["n_base"] == n and len(got["spans"]) >= 2 * n
+    assert took[1] < 24 * took[0]
+
+
 def test_licenses_finds_a_worse_match_before_a_better_one():
     notices = licenses.BASE + licenses.ADDED
     for text in ("undr the mit licens and under the mit license", "under the mit license and undr the mit licens"):
