@@ -18,20 +18,25 @@ sample of the candidates come last; it only decides how much work there is. Conn
 components over shared first tokens are the families. No link can join two of them.
 
 Scale: a part of each set is shuffled by token, pre-aggregated on the map side. Equal sets are
-one node. Text moves once, sets of candidates only. A family over ``family`` sets is dealt out
-as pairs of blocks with compatible sizes, so no task holds it. Links come back as spanning
-edges, never as all pairs.
+one node, named by its first row, so names never clash. Text moves once, sets of candidates
+only. Links come back as spanning edges, never as all pairs. A family over ``family`` sets is
+no one task's work. Its sets are dealt to blocks of similar size, twice and differently, and
+each block is joined in itself; that grows large groups of copies together. What is in its
+family's largest group then need not meet others of that group, so only the remaining sets
+are paired with all blocks of compatible size. The work left is the number of such sets times
+the family, which is small where the family is one group of copies.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.llm.common import numbered
@@ -60,22 +65,30 @@ class Similar:
 
 
 def shingle_sets(texts: list[bytes], gram: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; A-Z counts as a-z."""
+    """The sorted distinct shingle hashes of each text; A-Z counts as a-z. Long texts are taken in segments."""
     mix = np.uint64(0xD6E8FEB86659FD93)
-    for _, _, part in batches_of([t.lower() for t in texts]):
+    open_, parts = 0, []
+    for own, base, part in batches_of([t.lower() for t in texts], "word", gram):
         b = Batch(part, "word")
         n = len(b.hash) - gram + 1
         h = np.zeros(max(n, 0), np.uint64)
         for k in range(gram):
             h = (h ^ (h >> np.uint64(32))) * mix + b.hash[k : k + max(n, 0)] if n > 0 else h
         h = _mixed(h)
-        for lo, hi in zip(b.base[:-1].tolist(), b.base[1:].tolist(), strict=True):
+        for text, at, lo, hi in zip(own, base, b.base[:-1].tolist(), b.base[1:].tolist(), strict=True):
+            if text != open_:
+                yield _united(parts)
+                open_, parts = text, []
             if hi - lo >= gram:
-                yield np.unique(h[lo : hi - gram + 1])
-            elif hi > lo:  # fewer words: the whole sequence, told apart from any shingle by its length
-                yield np.array([xxhash.xxh3_64_intdigest(b.cut(lo, hi), seed=hi - lo)], np.uint64)
-            else:
-                yield np.empty(0, np.uint64)
+                parts.append(np.unique(h[lo : hi - gram + 1]))
+            elif hi > lo and not at:  # fewer words: the whole sequence, told apart from any shingle by its length
+                parts.append(np.array([xxhash.xxh3_64_intdigest(b.cut(lo, hi), seed=hi - lo)], np.uint64))
+    if texts:
+        yield _united(parts)
+
+
+def _united(parts: list[np.ndarray]) -> np.ndarray:
+    return parts[0] if len(parts) == 1 else np.unique(np.concatenate([np.empty(0, np.uint64), *parts]))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -85,7 +98,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def set_id(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that name a set, as two signed integers; the second checks the first."""
+    """128 bits that name a set, as two signed integers."""
     d = xxhash.xxh3_128_digest(s.tobytes())
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
@@ -162,13 +175,10 @@ def _dealt(sets: DataFrame, part, ids: bool) -> DataFrame:
     return sets.select("sid", "tokens").mapInArrow(run, "token long" + ", id long" * ids)
 
 
-def _candidates(docs: DataFrame, facts: DataFrame, p: Similar) -> DataFrame:
-    """(sid, n, tokens): each set once that has enough tokens in common with others to link."""
+def _candidates(docs: DataFrame, same: DataFrame, p: Similar) -> DataFrame:
+    """(sid, n, tokens): each of the sets ``same`` (rid, n) that has enough tokens in common with others to link, by the row that stands for it."""
     spare = lambda own: 100 * own <= (100 - p.percent) * F.col("n")
-    # one row that stands for each set; a second hash must agree wherever the first does
-    same = facts.where("n > 0").groupBy("sid").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.min("sid2").alias("lo"), F.max("sid2").alias("hi"))
-    same = same.where(F.when(F.col("lo") != F.col("hi"), F.raise_error(F.lit("two sets share a 64-bit name"))).otherwise(F.lit(True)))
-    first = same.join(_owned(docs, p).withColumnRenamed("id", "rid"), "rid", "left").select("rid", "sid", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    first = same.join(_owned(docs, p).withColumnRenamed("id", "rid"), "rid", "left").select("rid", "n", F.coalesce("own", F.lit(0)).alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +187,7 @@ def _candidates(docs: DataFrame, facts: DataFrame, p: Similar) -> DataFrame:
                 sets = [s.tobytes() for s in shingle_sets(part.column(3).cast(pa.binary()).to_pylist(), p.gram)]
                 yield pa.record_batch([*part.columns[:3], pa.array(sets, pa.binary())], names=["sid", "n", "own", "tokens"])
 
-    texts = docs.select("rid", "text").join(first.where(spare(F.col("own"))), "rid").select("sid", "n", "own", "text")
+    texts = docs.select("rid", "text").join(first.where(spare(F.col("own"))), "rid").select("rid", "n", "own", "text")
     sets = stash(texts.mapInArrow(run, "sid long, n long, own long, tokens binary"))
     cut = np.uint64(int(p.share * 2**64))
     more = _alone(_dealt(sets, lambda s: s[int(np.searchsorted(s, cut)) :], True)).select(F.col("id").alias("sid"), F.col("own").alias("more"))
@@ -187,7 +197,7 @@ def _candidates(docs: DataFrame, facts: DataFrame, p: Similar) -> DataFrame:
 class Tree:
     """A signature tree over sets, and the traversal that links them."""
 
-    def __init__(self, sets: list[np.ndarray], p: Similar) -> None:
+    def __init__(self, sets: list[np.ndarray], p: Similar, groups: list[int] | None = None) -> None:
         self.p = p
         # neighbours in this order share their least token, so leaves hold similar sets
         self.order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]) if len(sets[i]) else 0, len(sets[i])))
@@ -200,7 +210,8 @@ class Tree:
             np.bitwise_or.at(self.bits[i], (b >> np.uint64(6)).astype(np.int64), np.uint64(1) << (b & np.uint64(63)))
         #: tokens that share a bit with another of their set
         self.hidden = self.n - np.bitwise_count(self.bits).sum(axis=1).astype(np.int64)
-        self.label = np.arange(len(sets))
+        #: sets with equal labels are linked already; ``groups`` has what is known at the start
+        self.label = np.arange(len(sets)) if groups is None else np.array([groups[i] for i in self.order])
         self.links: list[tuple[int, int]] = []
 
     def join(self, left: int | None = None) -> list[tuple[int, int]]:
@@ -268,42 +279,12 @@ class Tree:
         return 100 * both >= self.p.percent * (len(x) + len(y) - both)
 
 
-def _blocks(members: DataFrame, p: Similar) -> DataFrame:
-    """(sid, task, left): the tasks that a set takes part in; ``left`` tells the sides of a pair of blocks apart.
+def _links(sets: DataFrame, tasks: DataFrame, p: Similar) -> DataFrame:
+    """(a, b): spanning links within each of ``tasks`` (task, left, grp, sid), written down.
 
-    Families of at most ``p.family`` are one task. Larger ones are cut by set size (steps of 15
-    percent, so that links reach three steps at most) and then by hash, and each pair of blocks
-    is a task.
+    ``left`` null: the sets of a task are joined with each other; else those on the left with the others.
+    Sets with the same ``grp`` are linked already.
     """
-    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.15))).cast("int")
-    sized = members.withColumn("step", step)
-    total = sized.groupBy("fam").agg(F.count("*").alias("size"))
-    sized = sized.join(total, "fam")
-    small = sized.where(F.col("size") <= p.family).select("sid", F.concat_ws(":", "fam").alias("task"), F.lit(None).cast("boolean").alias("left"))
-    big = sized.where(F.col("size") > p.family)
-    parts = big.groupBy("fam", "step").agg(F.ceil(F.count("*") / (p.family // 2)).cast("int").alias("parts"))
-    #: the steps of a family with their numbers of parts are a short list: sizes up to 1.15 ** 300
-    around = parts.groupBy("fam").agg(F.map_from_entries(F.collect_list(F.struct("step", "parts"))).alias("parts"))
-    big = big.join(around, "fam").withColumn("part", F.pmod(F.xxhash64("sid"), F.element_at("parts", F.col("step")).cast("long")).cast("int"))
-    others = F.flatten(
-        F.transform(
-            F.sequence(F.col("step") - 3, F.col("step") + 3),
-            lambda s: F.when(
-                F.array_contains(F.map_keys("parts"), s),
-                F.transform(F.sequence(F.lit(0), F.coalesce(F.try_element_at("parts", s), F.lit(1)) - 1), lambda k: F.struct(s.alias("step"), k.alias("part"))),
-            ).otherwise(F.array().cast("array<struct<step:int,part:int>>")),
-        )
-    )
-    paired = big.withColumn("other", F.explode(others)).withColumn("own", F.struct("step", "part"))
-    name = lambda x: F.concat_ws(".", x["step"], x["part"])
-    task = F.concat_ws(":", "fam", name(F.least("own", "other")), name(F.greatest("own", "other")))
-    same = F.col("own") == F.col("other")
-    side = F.when(~same, F.col("own") < F.col("other"))
-    return small.unionByName(paired.select("sid", task.alias("task"), side.alias("left")))
-
-
-def _links(sets: DataFrame, n_tasks: int, p: Similar) -> DataFrame:
-    """(a, b): spanning links within each task of ``sets`` (task, left, sid, tokens)."""
 
     def run(table: pa.Table) -> pa.Table:
         by: dict[str, list[dict]] = {}
@@ -312,14 +293,78 @@ def _links(sets: DataFrame, n_tasks: int, p: Similar) -> DataFrame:
         a, b = [], []
         for rows in by.values():
             rows.sort(key=lambda r: (r["left"] is not True, r["sid"]))
-            left = sum(r["left"] is True for r in rows) if any(r["left"] is not None for r in rows) else None
-            tree = Tree([np.frombuffer(r["tokens"], np.uint64) for r in rows], p)
+            left = sum(r["left"] is True for r in rows) if rows[0]["left"] is not None else None
+            number: dict[int, int] = {}
+            groups = [number.setdefault(r["grp"], len(number)) for r in rows]
+            tree = Tree([np.frombuffer(r["tokens"], np.uint64) for r in rows], p, groups)
             for i, j in tree.join(left):
                 a.append(rows[i]["sid"])
                 b.append(rows[j]["sid"])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return sets.withColumn("shard", F.pmod(F.xxhash64("task"), F.lit(n_tasks))).groupBy("shard").applyInArrow(run, "a long, b long")
+    n_tasks = max(1, tasks.count() // 300)
+    dealt = sets.select("sid", "tokens").join(tasks, "sid").withColumn("shard", F.pmod(F.xxhash64("task"), F.lit(n_tasks)))
+    return stash(dealt.select("shard", "task", "left", "grp", "sid", "tokens").groupBy("shard").applyInArrow(run, "a long, b long"))
+
+
+def _task(*parts) -> Column:
+    return F.concat_ws(":", *parts)
+
+
+def _joined(sets: DataFrame, members: DataFrame, p: Similar) -> DataFrame:
+    """(a, b): spanning links of all ``members`` (sid, n, fam) of families."""
+    counts = stash(members.groupBy("fam").agg(F.count("*").alias("size")))
+    sized = members.join(counts, "fam")
+    alone = F.lit(None).cast("boolean").alias("left")
+    small = stash(sized.where(F.col("size") <= p.family).select(F.col("fam").cast("string").alias("task"), alone, F.col("sid").alias("grp"), "sid"))
+    links = _links(sets, small, p)
+    if counts.where(F.col("size") > p.family).isEmpty():
+        return links
+    # sets that link differ in size by 100 / percent at most, which is so many steps of 15 percent
+    reach = math.floor(math.log(100 / p.percent) / math.log(1.15)) + 1
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.15))).cast("int")
+    big = stash(sized.where(F.col("size") > p.family).select("sid", "n", "fam", step.alias("step"), F.col("sid").alias("grp")))
+    block = max(1, p.family // 2)
+    for turn in (0, 1):
+        band = F.floor((F.col("step") + 2 * turn) / 4).cast("int")
+        rows = big.withColumn("band", band)
+        parts = stash(rows.groupBy("fam", "band").agg(F.ceil(F.count("*") / block).cast("long").alias("parts")))
+        part = F.pmod(F.xxhash64("sid", F.lit(turn)), F.col("parts"))
+        links = links.unionByName(_links(sets, stash(rows.join(parts, ["fam", "band"]).select(_task("fam", "band", part).alias("task"), alone, "grp", "sid")), p))
+        big = _grouped(big, links)
+    most = big.groupBy("fam", "grp").count().groupBy("fam").agg(F.max(F.struct("count", "grp"))["grp"].alias("main"))
+    big = stash(big.join(stash(most), "fam").withColumn("rest", F.col("grp") != F.col("main")).drop("main"))
+    return links.unionByName(_links(sets, stash(_pairs(big, reach, block)), p))
+
+
+def _grouped(big: DataFrame, links: DataFrame) -> DataFrame:
+    comp = components(links)
+    return stash(big.join(comp.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "n", "fam", "step", F.coalesce("root", "sid").alias("grp")))
+
+
+def _pairs(big: DataFrame, reach: int, block: int) -> DataFrame:
+    """(task, left, grp, sid): blocks of the ``rest`` of each family against each other and against blocks of its main group, by compatible size."""
+    parts = big.groupBy("fam", "rest", "step").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    #: the steps of a family with their numbers of parts are a short list: sizes up to 1.15 ** 300
+    around = stash(parts.groupBy("fam").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("rest", "step"), "parts"))).alias("parts")))
+    dealt = big.join(around, "fam")
+    own = F.element_at("parts", F.struct("rest", "step"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("sid"), own.cast("long")).cast("int"))
+
+    def others(rest: bool):
+        key = lambda s: F.struct(F.lit(rest).alias("rest"), s.alias("step"))
+        count = lambda s: F.coalesce(F.try_element_at("parts", key(s)), F.lit(0))
+        numbers = lambda s: F.when(count(s) > 0, F.sequence(F.lit(0), count(s) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.flatten(F.transform(F.sequence(F.col("step") - reach, F.col("step") + reach), lambda s: F.transform(numbers(s), lambda k: F.struct(F.lit(rest).alias("rest"), s.alias("step"), k.alias("part")))))
+
+    # a block of the rest meets all blocks; one of the main group meets those of the rest only
+    met = F.when(F.col("rest"), F.concat(others(True), others(False))).otherwise(others(True))
+    paired = dealt.withColumn("other", F.explode(met)).withColumn("own", F.struct("rest", "step", "part"))
+    name = lambda x: F.concat_ws(".", x["rest"].cast("string"), x["step"], x["part"])
+    same = F.col("own") == F.col("other")
+    return paired.select(
+        _task("fam", name(F.least("own", "other")), name(F.greatest("own", "other"))).alias("task"), F.when(~same, F.col("own") < F.col("other")).alias("left"), "grp", "sid"
+    )
 
 
 def ngram_components(docs: DataFrame, p: Similar = Similar()) -> DataFrame:
@@ -334,18 +379,18 @@ def ngram_components(docs: DataFrame, p: Similar = Similar()) -> DataFrame:
     """
     rows = numbered(docs)
     facts = stash(_described(rows, p))
-    sets = _candidates(rows, facts, p)
+    # one row stands for each set; written down, so that joins with it deal their other side anew and can split a hot key
+    same = stash(facts.where("n > 0").groupBy("sid", "sid2").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.count("*").alias("rows")))
+    sets = _candidates(rows, same.select("rid", "n"), p)
     last = _frequent(sets, p)
     tokens = _dealt(sets, lambda s: prefix(s, last, p.percent), True)
-    # written down, like ids below, so that the join deals its other side anew and can split a hot key
     ends = stash(tokens.groupBy("token").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b != top").select("token", "b"))
     fams = components(tokens.join(ends, "token").select(F.col("id").alias("a"), "b"))
     members = stash(sets.select("sid", "n").join(fams.select(F.col("node").alias("sid"), F.col("root").alias("fam")), "sid"))
-    dealt = sets.select("sid", "tokens").join(_blocks(members, p), "sid").select("task", "left", "sid", "tokens")
-    links = _links(dealt, max(1, members.count() // 300), p)
-    comp = components(links)
-    named = facts.join(comp.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    ids = stash(named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    found = named.where("n > 0").join(ids, "root").select("rid", "doc_id", F.col("n").alias("n_shingles"), "component_id", "root")
+    comp = components(_joined(sets, members, p)).select(F.col("node").alias("rid"), "root")
+    shared = stash(same.join(comp, "rid", "left").where("rows > 1 or root is not null").select("sid", "sid2", F.coalesce("root", "rid").alias("root")))
+    named = facts.where("n > 0").join(shared, ["sid", "sid2"], "left").withColumn("root", F.coalesce("root", "rid"))
+    ids = stash(named.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    found = named.join(ids, "root").select("rid", "doc_id", F.col("n").alias("n_shingles"), "component_id", "root")
     none = F.lit(None).cast("long").alias("root")
     return found.unionByName(facts.where("n = 0").select("rid", "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), none))
