@@ -1,16 +1,17 @@
 """Exact deduplication by deterministic block naming (DataFrame functions only).
 
 Texts are cut into blocks of fixed size. All distinct blocks are sorted and numbered; the
-number is the block's name. Adjacent pairs of names are sorted and numbered in turn, level
-by level, until one name is left for each text. Equal names mean equal bytes by
-construction: no hash decides, so nothing can collide.
+number is the block's name. Sorting goes by the block's hash bucket first and by its bytes
+within the bucket, so no range of blocks has to be sampled. Adjacent pairs of names are sorted
+and numbered in turn, level by level, until one name is left for each text. Equal names mean
+equal bytes by construction: no hash decides, so nothing can collide.
 
 A text whose (length, hash) occurs once cannot have a twin, so only the others are cut into
 blocks; that prefilter can let a false candidate through but can't hide a true one.
 
 Scale: text moves twice (prefilter, naming), in groups that adaptive execution can split;
 names of hot blocks are pre-aggregated where they are read. Each level halves the rows, and
-there are log2(longest text / block) of them. The driver sees one number per level.
+there are log2(longest text / block) of them. The driver sees one yes or no per level.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from pyspark.sql import functions as F
 from lexiflow.llm.common import numbered
 from lexiflow.session import stash
 
-BLOCK_BYTES = 8192
+BLOCK_BYTES = 512
 
 
 def _named(values: DataFrame, *cols: str) -> DataFrame:
-    """Distinct ``values`` in sorted order with an integer name each, written down."""
-    return stash(values.select(*cols).distinct().orderBy(*cols).withColumn("name", F.monotonically_increasing_id()))
+    """Distinct ``values`` with an integer name each, sorted within the buckets that ``distinct`` deals them to, written down."""
+    return stash(values.select(*cols).distinct().sortWithinPartitions(*cols).withColumn("name", F.monotonically_increasing_id()))
 
 
 def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
