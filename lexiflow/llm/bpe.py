@@ -29,6 +29,8 @@ CACHE_WORDS = 300_000
 #: Cells of a batch of trees, and documents of an output batch.
 TREE_CELLS, OUT_DOCS = 1 << 22, 256
 NONE = np.int64(1) << 62
+#: Words of more bytes than ``LONG`` are encoded one by one where a batch has less than ``FEW`` of their length.
+LONG, FEW = 128, 32
 
 
 class Bpe:
@@ -52,6 +54,8 @@ class Bpe:
         self.pair, self.rank, self.made = pair[order], order.astype(np.int64), made[order]
         self.by_rank = made
         self.cache: dict[str, tuple[bytes, str]] = {}
+        self.rank_of: dict[int, int] | None = None
+        self.made_by: list[int] = []
 
     def words(self, text: str) -> list[str]:
         """Normalised pre-tokens: NFC, lower case letter by letter, white space dropped."""
@@ -72,6 +76,10 @@ class Bpe:
         width = np.where(sizes > 2, 1 << np.ceil(np.log2(np.maximum(sizes - 1, 1))).astype(int), 1)
         for p in np.unique(width[sizes > 0]):
             rows = np.flatnonzero((width == p) & (sizes > 0))
+            if p >= LONG and len(rows) < FEW:  # too few to step together
+                for i in rows:
+                    out[i] = self._encode_one(raw[i], int(p))
+                continue
             step = max(1, TREE_CELLS // int(2 * p))
             for lo in range(0, len(rows), step):
                 part = rows[lo : lo + step]
@@ -119,6 +127,53 @@ class Bpe:
         ends = np.cumsum(alive.sum(axis=1))
         return np.split(sym[alive].astype(np.uint32), ends[:-1])
 
+    def _encode_one(self, raw: bytes, p: int) -> np.ndarray:
+        """One word with a tree of p leaves of its own; a path is renewed as far up as it changes."""
+        if self.rank_of is None:
+            self.rank_of = dict(zip(self.pair.tolist(), self.rank.tolist(), strict=True))
+            self.made_by = self.by_rank.tolist()
+        n, none, rank_of = len(raw), int(NONE), self.rank_of
+        sym = self.plain[np.frombuffer(raw, np.uint8)].tolist()
+        sym[-1] = int(self.final[raw[-1]])
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        tree = [none] * (2 * p)
+
+        def leaf(i: int, j: int) -> int:
+            rank = rank_of.get((sym[i] << 20) | sym[j])
+            return none if rank is None else (rank << 32) | i
+
+        def put(i: int, value: int) -> None:
+            k = i + p
+            tree[k] = value
+            while k > 1:
+                k >>= 1
+                least = min(tree[2 * k], tree[2 * k + 1])
+                if tree[k] == least:
+                    return
+                tree[k] = least
+
+        for i in range(n - 1):
+            tree[p + i] = leaf(i, i + 1)
+        for k in range(p - 1, 0, -1):
+            tree[k] = min(tree[2 * k], tree[2 * k + 1])
+        while tree[1] < none:
+            at, rank = tree[1] & 0xFFFFFFFF, tree[1] >> 32
+            gone, prv = after[at], before[at]
+            sym[at], nxt = self.made_by[rank], after[gone]
+            after[at] = nxt
+            if nxt < n:
+                before[nxt] = at
+            put(at, leaf(at, nxt) if nxt < n else none)
+            if gone < p:
+                put(gone, none)
+            if prv >= 0:
+                put(prv, leaf(prv, at))
+        ids, i = [], 0
+        while i < n:
+            ids.append(sym[i])
+            i = after[i]
+        return np.array(ids, np.uint32)
+
     def _leaf(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
         rank = self.ranks(left, right)
         return np.where(rank < NONE, (rank << 32) | at, NONE)
