@@ -1,23 +1,27 @@
 """HTML extraction by equivalence-class template deduction.
 
-Tokens of a page are its tags, told apart by their path of containers. Over the pages of a
-host each token has an occurrence vector: how often it stands on each page. Tokens with the
-same vector form a class; a class is valid if enough pages hold it and its tokens are nested
-in one order. Valid classes, nested, are the host's template; what stands between template
-tokens are its slots. Beyond what roles tell to be menu, notice or advert, text that is the
-same wherever its container stands is template too. The smallest container that holds all
-other text is the main slot, and extraction returns the blocks in it.
-
-Scale: pages are parsed twice, in narrow stages. Vectors are folded into one number by an
-order-free hash, so a host's tokens are aggregated on the map side, whichever share of all
-pages it has; only (host, path) rows move. Templates have one row a host; the join to pages is
-Spark's choice by their size.
+Tokens of a page are its containers, told apart by their path of tags and classes, and its text
+by the container it stands in: the words of short blocks, longer blocks as a whole. Over the
+pages of a host each token has an occurrence vector: how often it stands on each page. Tokens
+with the same vector form a class. A class is valid if enough pages hold it, it has several
+tokens, and these stand in one order on all its pages. Valid classes, nested, are the host's
+template; blocks all of whose tokens belong to it are template text, and what is left are its
+slots. The main slot is the template's article or main element if that holds most of the slots'
+text, or else the smallest container of the template that holds all of it; extraction returns the
+blocks in it. Last, elements whose role is menu, header, notice, advert or the like are left out.
+
+Scale: pages are parsed three times (vectors; order and slots; extraction), in narrow stages.
+Vectors are folded into one number by an order-free hash, so a host's tokens are aggregated on
+the map side, whichever share of all pages it has; only (host, token) rows move. What is
+gathered for a host is its template. The joins of templates to pages are Spark's choice by
+their size. Parsing takes time and memory in proportion to a page, however deep it is nested.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,13 +35,18 @@ from lexiflow.session import stash
 
 @dataclass(frozen=True)
 class Deduction:
-    """``support``: share of a host's pages that hold a class. ``main``: share of the text that must
-    differ between pages, or else none counts as template (pages that are copies but for a line).
-    ``pages``: pages a host needs for a template of its own."""
+    """``support``: share of a host's pages that hold a class, of ``pages`` pages at least, which is also
+    what a host needs for a template. ``size``: tokens of a class. ``slots``: share of the text that must be
+    left to slots, or else text does not count as template (pages that are copies but for a line).
+    ``words``: a block of more words is one token. ``article``: share of the slots' text that an article or main
+    element must hold to be the main slot."""
 
     support: float = 0.5
-    main: float = 0.7
     pages: int = 3
+    size: int = 2
+    slots: float = 0.3
+    words: int = 12
+    article: float = 0.5
 
 
 #: Fixed values of HTML: elements without content, inline ones, and those whose content is no text.
@@ -76,9 +85,9 @@ CONTENT = ("article", "main")
 
 @dataclass
 class Block:
-    """A run of text between block tags; ``outside``: some container's role is not main text."""
+    """A run of text between block tags in the container ``node``; ``outside``: some container's role is not main text."""
 
-    path: tuple[str, ...]
+    node: int
     text: str
     outside: bool
 
@@ -92,214 +101,325 @@ def _attributes(tag: str, raw: str) -> tuple[str, bool, bool]:
     hidden = "hidden" in got or got.get("aria-hidden", "").lower() == "true"
     told = () if tag in ROLELESS else (x for x in name.split() if not STATE.fullmatch(x))
     role = got.get("role", "").lower() in ROLE_ATTR or any(map(ROLE.search, told))
-    return re.sub("\\d+", "0", ".".join(name.split())[:80]), hidden, role
-
-
-def blocks(page: str) -> tuple[list[Block], dict[tuple[str, ...], int]]:
-    """(blocks in page order, how often each container path was opened)."""
-    stack: list[tuple[str, str, int]] = []  # tag, part of the path, number among the excluded elements or 0
-    out: list[Block] = []
-    within: list[set[int]] = []  # the excluded elements around each block
-    loose: dict[int, bool] = {}  # those that could be a wrapper, not menu or hidden; is it by their tag alone?
-    chief: set[int] = set()  # those that hold the page's first heading or main element
-    excluded = 0
-    opened: dict[tuple[str, ...], int] = {}
-    text: list[str] = []
-
-    def flush() -> None:
-        joined = " ".join(html.unescape("".join(text)).split())
-        text.clear()
-        if joined:
-            within.append({s[2] for s in stack if s[2]})
-            out.append(Block(tuple(s[1] for s in stack), joined, bool(within[-1])))
-
-    def pop_to(k: int) -> None:
-        flush()
-        del stack[k:]
-
-    at, raw_until = 0, None
-    for m in TOKEN.finditer(page):
-        if m.start() < at:
-            continue
-        if raw_until is None and m.start() > at:
-            text.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag, closing = m[2].lower(), bool(m[1])
-        if tag in INLINE:
-            if tag == "br":
-                text.append(" ")
-            continue
-        if closing:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None:
-                pop_to(k)
-            else:
-                flush()
-            continue
-        if tag in ENDS_P and (k := _open(stack, {"p"})) is not None:
-            pop_to(k)
-        elif tag in SIBLINGS and (k := _open(stack, SIBLINGS[tag])) is not None:
-            pop_to(k)
-        flush()
-        if tag in VOID:
-            continue
-        if tag in RAW:  # its text runs to its own end tag
-            end = re.compile(f"</{re.escape(tag)}\\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else len(page)
-            continue
-        if m[3].rstrip().endswith("/") and tag in ("svg", "math", "path"):
-            continue
-        name, hidden, role = _attributes(tag, m[3])
+    return re.sub("\\d+", "0", ".".join(name.split())), hidden, role
+
+
+class Page:
+    """A parsed page: its distinct container paths as nodes of a tree, and its blocks in order.
+
+    Of node k: ``up`` its parent, ``part`` its last tag and classes, ``name`` a hash of the whole path,
+    ``count`` how often it was opened, ``at`` where first (blocks and openings are counted through).
+    Node 0 is the page.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.up, self.part, self.name, self.count, self.at = [0], [""], [0], [1], [0]
+        self.blocks: list[Block] = []
+        self.places: list[int] = []  # of the blocks, in the same count as ``at``
+        self._number: dict[tuple[int, str], int] = {}
+        self._stack: list[tuple[str, int, int]] = []  # tag, node, innermost excluded element
+        self._where: dict[str, list[int]] = defaultdict(list)  # where each tag stands in the stack
+        self._around = [0]  # the excluded element around each excluded element
+        self._within: list[int] = []  # the innermost excluded element of each block
+        self._loose: dict[int, bool] = {}  # those that could be a wrapper, not menu or hidden; is it by their tag alone?
+        self._chief: set[int] = set()  # the innermost around the first heading or main element
+        self._text: list[str] = []
+        self._place = 0
+        self._parse(page)
+        self._unwrap()
+
+    def _parse(self, page: str) -> None:
+        at = 0
+        for m in TOKEN.finditer(page):
+            if m.start() < at:
+                continue
+            if m.start() > at:
+                self._text.append(page[at : m.start()])
+            at = m.end()
+            if m[2] is None:
+                continue
+            tag, closing = m[2].lower(), bool(m[1])
+            if tag in INLINE:
+                if tag == "br":
+                    self._text.append(" ")
+                continue
+            if closing:
+                self._pop_to(self._where[tag][-1] if self._where.get(tag) else len(self._stack))
+                continue
+            if tag in ENDS_P and (k := self._open({"p"})) >= 0:
+                self._pop_to(k)
+            elif tag in SIBLINGS and (k := self._open(SIBLINGS[tag])) >= 0:
+                self._pop_to(k)
+            self._flush()
+            if tag in VOID:
+                continue
+            if tag in RAW:  # its text runs to its own end tag
+                end = re.compile(f"</{re.escape(tag)}\\b[^>]*>?", re.I).search(page, at)
+                at = end.end() if end else len(page)
+                continue
+            if m[3].rstrip().endswith("/") and tag in ("svg", "math", "path"):
+                continue
+            self._push(tag, m[3])
+        if at < len(page):
+            self._text.append(page[at:])
+        self._flush()
+
+    def _push(self, tag: str, raw: str) -> None:
+        name, hidden, role = _attributes(tag, raw)
+        node, around = self._stack[-1][1:] if self._stack else (0, 0)
         if tag in CHIEF:
-            chief.update(s[2] for s in stack)
-        number = 0
+            self._chief.add(around)
         if hidden or role or tag in OUTSIDE:
-            number = excluded = excluded + 1
+            number = len(self._around)
+            self._around.append(around)
             if not hidden and (tag in WRAPS or tag not in OUTSIDE):
-                loose[number] = not role
-        stack.append((tag, f"{tag}.{name}" if name else tag, number))
-        path = tuple(s[1] for s in stack)
-        opened[path] = opened.get(path, 0) + 1
-    if at < len(page):
-        text.append(page[at:])
-    flush()
-    _unwrap(out, within, loose, chief)
-    return out, opened
-
-
-def _unwrap(found: list[Block], within: list[set[int]], loose: dict[int, bool], chief: set[int]) -> None:
-    """Where roles exclude most of a page's text, an element with most of it is a wrapper and its own role
-    doesn't count, if its tag is all that speaks for it, the first heading or main element is in it, or no
-    text is left without it. Elements in it keep theirs."""
-    whole = sum(len(b.text) for b in found)
-    left = sum(len(b.text) for b in found if not b.outside)
-    if 2 * left >= whole:
-        return
-    held = dict.fromkeys(loose, 0)
-    for b, numbers in zip(found, within, strict=True):
-        for k in numbers & loose.keys():
+                self._loose[number] = not role
+            around = number
+        part = f"{tag}.{name}" if name else tag
+        k = self._number.setdefault((node, part), len(self.up))
+        if k == len(self.up):
+            self.up.append(node)
+            self.part.append(part)
+            self.name.append(hashed(self.name[node], part))
+            self.count.append(0)
+            self.at.append(self._place)
+        self.count[k] += 1
+        self._place += 1
+        self._where[tag].append(len(self._stack))
+        self._stack.append((tag, k, around))
+
+    def _flush(self) -> None:
+        joined = " ".join(html.unescape("".join(self._text)).split())
+        self._text.clear()
+        if joined:
+            node, around = self._stack[-1][1:] if self._stack else (0, 0)
+            self._within.append(around)
+            self.blocks.append(Block(node, joined, bool(around)))
+            self.places.append(self._place)
+            self._place += 1
+
+    def _pop_to(self, k: int) -> None:
+        self._flush()
+        while len(self._stack) > k:
+            self._where[self._stack.pop()[0]].pop()
+
+    def _open(self, tags: set[str]) -> int:
+        """Where one of ``tags`` is open that a new sibling would end, or -1."""
+        last = lambda names: max((self._where[t][-1] for t in names if self._where.get(t)), default=-1)
+        k = last(tags)
+        return k if k >= last(SCOPES - tags) else -1
+
+    def _unwrap(self) -> None:
+        """Where roles exclude most of a page's text, an element with most of it is a wrapper and its own role
+        doesn't count, if its tag is all that speaks for it, the first heading or main element is in it, or no
+        text is left without it. Elements in it keep theirs."""
+        whole = sum(len(b.text) for b in self.blocks)
+        left = sum(len(b.text) for b in self.blocks if not b.outside)
+        if 2 * left >= whole:
+            return
+        held, chief = [0] * len(self._around), [k in self._chief for k in range(len(self._around))]
+        for b, k in zip(self.blocks, self._within, strict=True):
             held[k] += len(b.text)
-    lifted = {k for k, n in held.items() if 2 * n > whole and (loose[k] or k in chief or not left)}
-    for b, numbers in zip(found, within, strict=True):
-        b.outside = bool(numbers - lifted)
+        for k in range(len(held) - 1, 0, -1):  # an element comes after those around it
+            held[self._around[k]] += held[k]
+            chief[self._around[k]] |= chief[k]
+        free = [True]  # no role of this element or one around it counts
+        for k in range(1, len(held)):
+            lifted = k in self._loose and 2 * held[k] > whole and (self._loose[k] or chief[k] or not left)
+            free.append(lifted and free[self._around[k]])
+        for b, k in zip(self.blocks, self._within, strict=True):
+            b.outside = not free[k]
+
+    def tokens(self, block: Block, most: int) -> list[int]:
+        """The tokens of a block: its words, or if they are more than ``most`` all of it."""
+        found = block.text.split(" ")
+        return [hashed(self.name[block.node], f" {w}") for w in (found if len(found) <= most else [block.text])]
+
+    def inside(self, chars: list[int]) -> list[int]:
+        """Sums over each node and all below it."""
+        out = list(chars)
+        for k in range(len(out) - 1, 0, -1):
+            out[self.up[k]] += out[k]
+        return out
+
+    def below(self, name: int) -> list[bool]:
+        """Which nodes are the container of that name or stand in it."""
+        out: list[bool] = []
+        for k, own in enumerate(self.name):
+            out.append(own == name or k > 0 and out[self.up[k]])
+        return out
+
+
+def hashed(name: int, part: str) -> int:
+    return xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), seed=name & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+
+
+def main_text(page: str, slot: int | None) -> str:
+    """The blocks of the main slot, one a line; a page without the slot falls back to its own article or body."""
+    parsed = Page(page)
+    kept = [b for b in parsed.blocks if not b.outside]
+    choices = [] if slot is None else [parsed.below(slot)]
+    for tag in CONTENT:
+        inside: list[bool] = []
+        for k, part in enumerate(parsed.part):
+            inside.append(part.split(".", 1)[0] == tag or k > 0 and inside[parsed.up[k]])
+        choices.append(inside)
+    for inside in choices:
+        if found := [b.text for b in kept if inside[b.node]]:
+            return "\n".join(found)
+    return "\n".join(b.text for b in kept)
 
 
-def _open(stack: list[tuple[str, str, int]], tags: set[str]) -> int | None:
-    """Where one of ``tags`` is open that a new sibling would end."""
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i][0] in tags:
-            return i
-        if stack[i][0] in SCOPES:
-            return None
-    return None
+def host_of(url: Column) -> Column:
+    """The host of a URL; an empty one for null or without."""
+    return F.lower(F.coalesce(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def deduce(tokens: list[dict], pages: int, rule: Deduction) -> str | None:
-    """The main slot's container path of a host, or None.
+def _rows(kinds: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+    return pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)], names=list(kinds))
 
-    ``tokens``: path, support (pages that hold it), total, vector, chars (own text in reach of no
-    role), inside (that and such text of all containers below, rare ones too), told (pages with
-    such own text), lo and hi (ends of its hashes) of the host's paths; the empty path stands for
-    the page. Classes group equal vectors; the skeleton is made of valid classes whose tokens
-    stand once on each page that has them.
-    """
-    if pages < rule.pages:
-        return None
-    classes: dict[int, list[dict]] = {}
-    for t in tokens:
-        if t["support"] >= rule.support * pages:
-            classes.setdefault(t["vector"], []).append(t)
-    skeleton: set[str] = set()
-    for members in classes.values():
-        if all(t["total"] == t["support"] for t in members):
-            skeleton |= {t["path"] for t in members}
-    # nested: a container belongs to the template only below others of it
-    valid = {p for p in skeleton if all(q in skeleton for q in _above(p))}
-    inside = {t["path"]: t["inside"] for t in tokens}
-    need = inside.get("", 0)
-    fixed = [t for t in tokens if t["chars"] and t["lo"] == t["hi"] and t["told"] >= max(rule.pages, rule.support * pages)]
-    if sum(t["chars"] for t in fixed) <= (1 - rule.main) * need:
-        for t in fixed:
-            need -= t["chars"]
-            for p in {"", t["path"], *_above(t["path"])} & set(inside):
-                inside[p] -= t["chars"]
-    best = [p for p in valid if p and need and inside[p] == need and not _is_text(p)]
-    return max(best, key=lambda p: (p.count("/"), p), default=None)
-
-
-def _above(path: str) -> list[str]:
-    parts = path.split("/")
-    return ["/".join(parts[:k]) for k in range(1, len(parts))]
 
+TOKENS = {"host": pa.string(), "token": pa.int64(), "up": pa.int64(), "part": pa.string(), "rid": pa.int64(), "n": pa.int64()}
 
-def _is_text(path: str) -> bool:
-    """Blocks of running text are data, however regular; containers are template."""
-    return path.rsplit("/", 1)[-1].split(".")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "li", "td", "th", "tr")
 
+def _candidates(pages: DataFrame, rule: Deduction) -> DataFrame:
+    """(host, pages, tokens): tokens (token, up, part, vector, once) of classes that enough pages and tokens form, written down.
 
-def main_text(page: str, slot: str | None) -> str:
-    """The blocks of the main slot, one a line; a page without the slot falls back to its own article or body."""
-    found, _ = blocks(page)
-    kept = [b for b in found if not b.outside]
-    if slot is not None:
-        want = tuple(slot.split("/"))
-        inside = [b for b in kept if b.path[: len(want)] == want]
-        if inside:
-            return "\n".join(b.text for b in inside)
-    for tag in CONTENT:
-        inside = [b for b in kept if any(x.split(".")[0] == tag for x in b.path)]
-        if inside:
-            return "\n".join(b.text for b in inside)
-    return "\n".join(b.text for b in kept)
+    ``part`` is null for text; ``up`` is the container around.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for host, rid, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                page = Page(raw)
+                rows += [(host, page.name[k], page.name[page.up[k]], page.part[k], rid, page.count[k]) for k in range(1, len(page.up))]
+                text: dict[tuple[int, int], int] = {}
+                for b in page.blocks:
+                    for t in page.tokens(b, rule.words):
+                        text[t, page.name[b.node]] = text.get((t, page.name[b.node]), 0) + 1
+                rows += [(host, t, up, None, rid, n) for (t, up), n in text.items()]
+            yield _rows(TOKENS, rows)
 
-def host_of(url: Column) -> Column:
-    """The host of a URL; an empty one for null or without."""
-    return F.lower(F.coalesce(F.regexp_extract(url, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
+    found = pages.select("host", "rid", "html").mapInArrow(run, "host string, token long, up long, part string, rid long, n long")
+    stats = found.groupBy("host", "token", "up", "part").agg(F.count("*").alias("support"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("rid", "n")).alias("vector"))
+    n_pages = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= rule.pages)
+    common = stash(stats.join(n_pages, "host").where((F.col("support") >= rule.support * F.col("pages")) & (F.col("support") >= rule.pages)))
+    classes = common.groupBy("host", "vector").agg(F.count("*").alias("size")).where(F.col("size") >= rule.size).drop("size")
+    tokens = F.struct("token", "up", "part", "vector", (F.col("total") == F.col("support")).alias("once"))
+    return stash(common.join(classes, ["host", "vector"]).groupBy("host", "pages").agg(F.collect_list(tokens).alias("tokens")))
 
 
-def templates(pages: DataFrame, rule: Deduction = Deduction()) -> DataFrame:
-    """(host, slot): the main slot of each host that has a template; ``pages`` has host and html."""
+FACTS = {"host": pa.string(), "kind": pa.string(), "a": pa.int64(), "b": pa.int64(), "mark": pa.int64(), "chars": pa.int64()}
+
+
+def _facts(pages: DataFrame, candidates: DataFrame, rule: Deduction) -> DataFrame:
+    """(host, kind, a, b, lo, hi, chars), summed over a host's pages: ``order`` of class a, as the ends of its
+    hash; ``slot`` text in container a; ``text`` in container a of which all tokens belong to class b or others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], [], []]
-            for host, rid, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                found, opened = blocks(page)
-                texts: dict[tuple[str, ...], list[str]] = {}
-                for b in found:
-                    if not b.outside:
-                        texts.setdefault(b.path, []).append(b.text)
-                inside: dict[tuple[str, ...], int] = {}
-                for path, own in texts.items():
-                    for k in range(len(path) + 1):
-                        inside[path[:k]] = inside.get(path[:k], 0) + sum(map(len, own))
-                for path, n in [((), 1), *opened.items()]:
-                    own = texts.get(path, ())
-                    mark = xxhash.xxh3_64_intdigest("\n".join(own).encode("utf-8", "surrogatepass")) - (1 << 63) if own else None
-                    for c, v in zip(cols, (host, "/".join(path), rid, n, sum(map(len, own)), inside.get(path, 0), mark), strict=True):
-                        c.append(v)
-            kinds = (pa.string(), pa.string(), *[pa.int64()] * 5)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["host", "path", "rid", "n", "chars", "inside", "mark"])
-
-    tokens = pages.select("host", "rid", "html").mapInArrow(run, "host string, path string, rid long, n long, chars long, inside long, mark long")
-    stats = tokens.groupBy("host", "path").agg(
-        F.count("*").alias("support"), F.sum("n").alias("total"), F.bit_xor(F.xxhash64("rid", "n")).alias("vector"), F.sum("chars").alias("chars"), F.sum("inside").alias("inside"),
-        F.count("mark").alias("told"), F.min("mark").alias("lo"), F.max("mark").alias("hi"),
-    )
-    n_pages = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    # what too few pages hold can't be template; its text is in ``inside`` of the containers around it
-    common = stats.join(n_pages, "host").where(F.col("support") >= rule.support * F.col("pages"))
-    hosts = common.groupBy("host", "pages").agg(F.collect_list(F.struct("path", "support", "total", "vector", "chars", "inside", "told", "lo", "hi")).alias("tokens"))
+            rows: dict[tuple[str, str, int, int, int], int] = {}
+
+            def add(*key, chars: int = 0) -> None:
+                rows[key] = rows.get(key, 0) + chars
+
+            for host, raw, tokens in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                page, known = Page(raw), {t["token"]: t for t in tokens}
+                places: dict[int, int] = {}
+                slot, text = [0] * len(page.up), defaultdict(lambda: [0] * len(page.up))
+                for b, at in zip(page.blocks, page.places, strict=True):
+                    own = [known.get(t) for t in page.tokens(b, rule.words)]
+                    for k, t in enumerate(own):
+                        if t and t["once"]:
+                            places[t["token"]] = at * (rule.words + 1) + k
+                    if b.outside:
+                        continue
+                    if all(own):
+                        text[own[0]["vector"]][b.node] += len(b.text)
+                    else:
+                        slot[b.node] += len(b.text)
+                for k in range(1, len(page.up)):
+                    if (t := known.get(page.name[k])) and t["once"]:
+                        places[t["token"]] = page.at[k] * (rule.words + 1)
+                order = defaultdict(list)
+                for token in sorted(places, key=lambda t: (places[t], t)):
+                    order[known[token]["vector"]].append(token)
+                for c, members in order.items():
+                    add(host, "order", c, 0, xxhash.xxh3_64_intdigest(repr(members)) - (1 << 63))
+                for kind, c, sums in [("slot", 0, slot), *(("text", c, x) for c, x in text.items())]:
+                    for k, chars in enumerate(page.inside(sums)):
+                        if chars and (k == 0 or page.name[k] in known):
+                            add(host, kind, page.name[k], c, 0, chars=chars)
+            yield _rows(FACTS, [(*k, v) for k, v in rows.items()])
+
+    joined = pages.join(candidates.select("host", "tokens"), "host").select("host", "html", "tokens")
+    found = joined.mapInArrow(run, "host string, kind string, a long, b long, mark long, chars long")
+    return found.groupBy("host", "kind", "a", "b").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"), F.sum("chars").alias("chars"))
+
+
+def deduce(tokens: list[dict], facts: list[dict], rule: Deduction) -> tuple[int, str] | None:
+    """The main slot of a host, as name and path of its container, or None.
+
+    ``tokens``: candidates as ``_candidates`` has them; ``facts``: as ``_facts`` has them.
+    """
+    ordered = {f["a"] for f in facts if f["kind"] == "order" and f["lo"] == f["hi"]}
+    valid = {t["token"]: t for t in tokens if t["once"] and t["vector"] in ordered}
+    template: dict[int, str] = {0: ""}  # path of each container that stands once, below others of the template only
+
+    def path(token: int) -> str | None:
+        chain = []
+        while token not in template:
+            if token not in valid or valid[token]["part"] is None:
+                for k in chain:
+                    valid.pop(k, None)
+                return None
+            chain.append(token)
+            token = valid[token]["up"]
+        for k in reversed(chain):
+            template[k] = f"{template[token]}/{valid[k]['part']}".lstrip("/")
+            token = k
+        return template[token]
+
+    for t in list(valid):
+        if t in valid and valid[t]["part"] is not None:
+            path(t)
+    # text of classes that turned out invalid is slot text after all
+    inside, fixed = defaultdict(int), defaultdict(int)
+    repeated = {t["vector"] for t in tokens if t["part"] is None} - {t["vector"] for t in valid.values() if t["part"] is None}
+    for f in facts:
+        if f["kind"] == "slot" or f["kind"] == "text" and f["b"] in repeated:
+            inside[f["a"]] += f["chars"]
+        elif f["kind"] == "text":
+            fixed[f["a"]] += f["chars"]
+    if inside[0] < rule.slots * (inside[0] + fixed[0]):
+        inside = {k: inside[k] + fixed[k] for k in {*inside, *fixed}}
+    need = inside.get(0, 0)
+    able = [k for k, p in template.items() if k and need and not _is_text(p)]
+    chief = [k for k in able if template[k].rsplit("/", 1)[-1].split(".", 1)[0] in CONTENT and inside.get(k, 0) > rule.article * need]
+    best = chief or [k for k in able if inside.get(k, 0) == need]
+    slot = max(best, key=lambda k: (template[k].count("/"), template[k]), default=None)
+    return None if slot is None else (slot, template[slot])
+
+
+def _is_text(path: str) -> bool:
+    """Blocks of running text are data, however regular; containers are template."""
+    return path.rsplit("/", 1)[-1].split(".")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "li", "td", "th", "tr")
+
+
+def templates(pages: DataFrame, rule: Deduction = Deduction()) -> DataFrame:
+    """(host, slot, path): the main slot of each host that has a template; ``pages`` has host, rid and html."""
+    candidates = _candidates(pages, rule)
+    facts = _facts(pages, candidates, rule).groupBy("host").agg(F.collect_list(F.struct("kind", "a", "b", "lo", "hi", "chars")).alias("facts"))
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = [deduce(t.as_py(), n.as_py(), rule) for n, t in zip(batch.column(1), batch.column(2), strict=True)]
-            yield pa.record_batch([batch.column(0), pa.array(slots, pa.string())], names=["host", "slot"])
+            got = [deduce(t, f, rule) or (None, None) for t, f in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column(0), pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.string())], names=["host", "slot", "path"])
 
-    return hosts.select("host", "pages", "tokens").mapInArrow(settle, "host string, slot string").where("slot is not null")
+    joined = candidates.join(facts, "host").select("host", "tokens", "facts")
+    return joined.mapInArrow(settle, "host string, slot long, path string").where("slot is not null")
 
 
 def html_text(pages: DataFrame, rule: Deduction = Deduction()) -> DataFrame:
@@ -307,10 +427,11 @@ def html_text(pages: DataFrame, rule: Deduction = Deduction()) -> DataFrame:
 
     ``text`` has the blocks of the host's main slot in page order, one a line, without containers
     whose role is menu, header, footer, sidebar, notice, advert, form or comments; character
-    references are decoded and white space within a block is one space. Pages of hosts with fewer
-    than ``rule.pages`` pages, without a template or without its slot use their own article or
-    main element, or else all that no role excludes. Null or empty html gives an empty text, a
-    null url is a host of its own; repeated rows come out alike; other columns are left out.
+    references are decoded and white space within a block is one space. ``slot`` is the path of the
+    main slot's container. Pages of hosts with fewer than ``rule.pages`` pages, without a template or
+    without its slot use their own article or main element, or else all that no role excludes; so do
+    pages without a host (null url or one without). Null or empty html gives an empty text; repeated rows
+    come out alike; an empty table gives no rows; other columns are left out.
     """
     rows = pages.select(
         F.monotonically_increasing_id().alias("rid"), F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")
@@ -320,8 +441,8 @@ def html_text(pages: DataFrame, rule: Deduction = Deduction()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = [main_text(h, s) for h, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            cols = [batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64()), batch.column(3)]
+            cols = [batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64()), batch.column(4)]
             yield pa.record_batch(cols, names=["page_id", "url", "text", "n_chars", "slot"])
 
-    joined = rows.join(slots, "host", "left").select("page_id", "url", "html", "slot")
+    joined = rows.join(slots, "host", "left").select("page_id", "url", "html", "slot", "path")
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long, slot string")

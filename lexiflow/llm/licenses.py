@@ -80,6 +80,7 @@ class Finder:
     def find(self, norm: str) -> list[tuple[int, int, int, int]]:
         """(notice, start, end, errors) of the matches in text whose words one space parts."""
         windows: dict[int, set[tuple[int, int, int]]] = {}
+        padded = " " + norm  # a search takes no insertion at the place where it starts, so it starts a space before
         for end, (size, users) in self.seeds.iter(norm):
             for k, off in users:
                 n = self.notices[k]
@@ -98,9 +99,10 @@ class Finder:
                 rest = [(lo, hi)]
                 while rest:  # the best match of a window first, then what stands before and after it
                     lo, hi = rest.pop()
-                    if lo < hi and (m := self.fuzzy[k].search(norm, lo, hi)):
-                        matches.add((sum(m.fuzzy_counts), m.start(), m.end()))
-                        rest += [(lo, m.start() - 1), (max(m.end(), lo + 1), hi)]
+                    if lo < hi and (m := self.fuzzy[k].search(padded, lo, hi + 1)):
+                        a, b = m.start() - 1, m.end() - 1
+                        matches.add((sum(m.fuzzy_counts), a, b))
+                        rest += [(lo, a - 1), (max(b, lo + 1), hi)]
             starts: list[int] = []
             ends: list[int] = []
             for errors, a, b in sorted(matches):  # those with the fewest errors first; of what overlaps one stays
