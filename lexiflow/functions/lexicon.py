@@ -139,3 +139,5 @@ COMMON_ABBREVIATIONS = [
     "HR", "IRR", "IT", "KPI", "LLC", "LTV", "MVP", "NPV", "OPEX", "PR", "R&D", "ROI", "SEO", "SME", "SWOT", "UK", "URL", "USA", "USD", "VAT",
     "WACC", "ВВП", "ГОСТ", "ЕС", "ИП", "НДС", "ООО", "РФ", "СМИ", "США", "ЦБ",
 ]
+# Words that say nothing of a sentence's content.
+STOP_WORDS = frozenset("и в на с по для что как это все или the and for with that this from are was were has have".split())

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
 
+from lexiflow.functions import lexicon as L
 from lexiflow.functions import text as T
 
 
@@ -58,8 +59,6 @@ def select_best(candidates: DataFrame, key: str = "doc_id") -> DataFrame:
     return fine.groupBy(key).agg(F.min(F.struct("score", "cand_no", "text")).alias("b")).select(key, "b.cand_no", "b.text", "b.score")
 
 
-#: Words that say nothing of a sentence's content.
-STOP_WORDS = "и в на с по для что как это все или the and for with that this from are was were has have".split()
 #: Words of the edit passes; unlike ``T.WORD`` without the underscore.
 EDIT_WORD = "[\\p{L}\\p{N}-]+"
 #: The gap after a sentence; a closing quote or bracket belongs to it.
@@ -69,7 +68,7 @@ BOUNDARY = "(?<=[.!?…][\"»”')\\]]?)[\\s\\u00a0\\ufeff\\u1680\\u2000-\\u200a
 def content_words(text: Column) -> Column:
     """Distinct five-letter stems of words of four letters or more that are no stop words."""
     found = F.regexp_extract_all(F.lower(text), F.lit(EDIT_WORD), F.lit(0))
-    told = F.filter(found, lambda w: (F.length(w) >= 4) & ~w.isin(*STOP_WORDS))
+    told = F.filter(found, lambda w: (F.length(w) >= 4) & ~w.isin(*sorted(L.STOP_WORDS)))
     return F.array_distinct(F.transform(told, lambda w: F.left(w, F.lit(5))))
 
 
@@ -110,7 +109,7 @@ def lcs(a: list[str], b: list[str]) -> int:
 
 @F.pandas_udf(DoubleType())
 def lexical_novelty(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """1 - 2 LCS / (n + m) over lower-case words; 0 for two empty texts."""
+    """1 - 2 LCS / (n + m) over lower-case words; 0 if either text has none."""
     import regex
 
     word = regex.compile(T.WORD)
@@ -118,7 +117,7 @@ def lexical_novelty(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
         out = []
         for x, y in zip(left.fillna(""), right.fillna(""), strict=True):
             a, b = word.findall(x.lower()), word.findall(y.lower())
-            out.append(1 - 2 * lcs(a, b) / (len(a) + len(b)) if a or b else 0.0)
+            out.append(1 - 2 * lcs(a, b) / (len(a) + len(b)) if a and b else 0.0)
         yield pd.Series(out, dtype="float64")
 
 
