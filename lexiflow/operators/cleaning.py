@@ -1,60 +1,98 @@
-"""Cleaning, typography and removal of adjacent repeats: regex chains that stay in the JVM.
-
-URLs are set aside by cutting the text at them: pieces between URLs are cleaned, URLs stay.
-"""
+"""Cleaning, typography and removal of adjacent repeats."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiflow.functions import prose as P
 from lexiflow.functions import text as T
 
+#: Blanks as the steps mean them.
+_S = " \\t\\n\\x0b\\f\\r"
 # The order and form of the cleaning steps (pattern, replacement, counter).
 STEPS = [
     ("\r\n?", "\n", None),
-    ("[\\x{200B}-\\x{200F}\\x{2060}-\\x{2064}\\x{FEFF}\\x{00AD}]", "", "artifacts"),
-    ("(?i)(?:\\\\r\\\\n|\\\\rn|/rn)", "\n\n", "artifacts"),
-    ("(?i)(?<![A-Za-z0-9_])n[\\s\\x{00A0}]+n(?=[\\s\\x{00A0}]|\\p{L})", "\n\n", "artifacts"),
-    ("\\.\\s+\\.\\s+\\.(?:\\s+\\.)*", "…", "punctuation"),
-    ("\\.\\s+\\.(?=\\s*[а-яё])", ",", "punctuation"),
-    ("\\.\\s+\\.", ".", "punctuation"),
-    ("([!?])(?:\\s*\\1)+", "$1", "punctuation"),
-    ("[ \t]+([,.;:!?])", "$1", "spacing"),
-    ("([,;:!?])(?=[А-ЯЁа-яёA-Za-z])", "$1 ", "spacing"),
-    ("([.!?…])(?=[А-ЯЁ])", "$1 ", "spacing"),
+    ("[\u200b-\u200f\u2060-\u2064\ufeff\u00ad]+", "", "artifacts"),
+    ("(?:\\\\[rR]\\\\[nN]|\\\\[rR][nN]|/[rR][nN])", "\n\n", "artifacts"),
+    (f"(?<![A-Za-z0-9_])[nN][{_S}\u00a0]+[nN](?=[{_S}\u00a0]|\\p{{L}})", "\n\n", "artifacts"),
+    (f"\\.[{_S}]+\\.[{_S}]+\\.(?:[{_S}]+\\.)*", "…", "punctuation"),
+    (f"\\.[{_S}]+\\.(?=[{_S}]*[а-яё])", ",", "punctuation"),
+    (f"\\.[{_S}]+\\.", ".", "punctuation"),
+    (f"([!?])(?:[{_S}]*\\1)+", "\\1", "punctuation"),
+    ("[ \t]+([,.;:!?])", "\\1", "spacing"),
+    ("([,;:!?])(?=[А-ЯЁа-яёA-Za-z])", "\\1 ", "spacing"),
+    ("([.!?…])(?=[А-ЯЁ])", "\\1 ", "spacing"),
     ("[ \t]{2,}", " ", "spacing"),
     ("[ \t]+\n", "\n", "spacing"),
     ("\n[ \t]+", "\n", "spacing"),
     ("\n{3,}", "\n\n", "spacing"),
     ("-\n{1,2}(?=[а-яё])", "-", "joined_breaks"),
-    ("([^\\s.!?…:])\n{2,}(?=[а-яё])", "$1 ", "joined_breaks"),
-    ("([^\\s.!?…:])\n(?=[а-яё])", "$1 ", "joined_breaks"),
+    (f"([^{_S}.!?…:])\n{{2,}}(?=[а-яё])", "\\1 ", "joined_breaks"),
+    (f"([^{_S}.!?…:])\n(?=[а-яё])", "\\1 ", "joined_breaks"),
 ]
 URL = "(?i)https?://[^\\s<>()]+"
+_URL = regex.compile("(?i)https?://[^ \\t\\n\\x0b\\f\\r<>()]*[^ \\t\\n\\x0b\\f\\r<>().,!?;:]")
 #: A private-use letter that stands for a URL while its surroundings are cleaned.
 MARK = "\ue000"
 COUNTERS = ("artifacts", "punctuation", "spacing", "joined_breaks")
+_STEPS = [(regex.compile(p), to, counter) for p, to, counter in STEPS]
+#: A step that can't match without one of these is skipped; None: it is tried on every text.
+_NEEDS = [("\r",), None, ("\\", "/"), ("n", "N"), ("…", ".")] + [(".",)] * 2 + [("!", "?")] + [None] * 4 + [(" \n", "\t\n"), ("\n ", "\n\t"), ("\n\n\n",), ("-\n",), ("\n\n",), ("\n",)]
+
+
+def cleaned(text: str) -> tuple[str, dict[str, int]]:
+    """(a text after all steps, changes by kind); URLs become private-use tokens before the steps and come back after them."""
+    urls = _URL.findall(text) if "://" in text else []
+    if urls:
+        text = _URL.sub(MARK, text)
+    counts = dict.fromkeys(COUNTERS, 0)
+    for (pattern, to, counter), needs in zip(_STEPS, _NEEDS, strict=True):
+        if needs is None or any(x in text for x in needs):
+            # zero-width letters are dropped a run at a time but counted one by one
+            before = len(text)
+            text, n = pattern.subn(to, text)
+            if counter:
+                counts[counter] += before - len(text) if pattern is _STEPS[1][0] else n
+    text = regex.sub("^\\s+|\\s+$", "", text)
+    if urls:
+        parts = text.split(MARK)
+        text = "".join(p + (urls[k] if k < len(urls) else "") for k, p in enumerate(parts))
+    return text, counts
 
 
 def clean(docs: DataFrame, *carry: str) -> DataFrame:
     """doc_id, text and a counter per kind of change, with columns to ``carry``; a null text is empty.
 
-    URLs become private-use tokens before the steps and come back after them.
+    One narrow pass in Arrow batches: each step replaces and counts at once, which columns can't.
     """
-    raw = F.coalesce("text", F.lit(""))
-    urls = F.transform(F.regexp_extract_all(raw, F.lit(URL), F.lit(0)), lambda u: F.regexp_replace(u, "[.,!?;:]+$", ""))
-    now = docs.select("doc_id", *carry, raw.alias("t"), urls.alias("urls"), *(F.lit(0).cast("long").alias(c) for c in COUNTERS))
-    hidden = F.regexp_replace("t", "(?i)https?://[^\\s<>()]*[^\\s<>().,!?;:]", MARK)
-    now = now.withColumn("t", F.when(F.size("urls") > 0, hidden).otherwise(F.col("t")))
-    for pattern, to, counter in STEPS:
-        new = {"t": F.regexp_replace("t", pattern, to)}
-        if counter:
-            new[counter] = F.col(counter) + T.count(F.col("t"), pattern)
-        now = now.withColumns(new)
-    parts = F.split(T.strip(F.col("t")), MARK)
-    back = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get("urls", i), F.lit("")))), "")
-    return now.select("doc_id", F.when(F.size("urls") > 0, back).otherwise(T.strip(F.col("t"))).alias("text"), *COUNTERS, *carry)
+    kinds = dict(docs.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [cleaned(t) for t in batch.column(1).to_pylist()]
+            counts = [pa.array([c[k] for _, c in found], pa.int64()) for k in COUNTERS]
+            yield pa.record_batch([batch.column(0), pa.array([t for t, _ in found], pa.string()), *counts, *batch.columns[2:]], names=["doc_id", "text", *COUNTERS, *carry])
+
+    schema = f"doc_id {kinds['doc_id']}, text string, " + ", ".join(f"{k} long" for k in COUNTERS) + "".join(f", `{c}` {kinds[c]}" for c in carry)
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *carry).mapInArrow(run, schema)
+
+
+def typeset(text: str) -> str:
+    """Typographic marks by language, as ``typography`` and ``nonbreaking`` set them in columns."""
+    ru = P.language(text) == "ru"
+    text = text.replace("...", "…")
+    text = regex.sub("\"([^\"\n]{1,400})\"", "«\\1»" if ru else "“\\1”", text)
+    if not ru:
+        text = regex.sub("(\\p{L})'(\\p{L})", "\\1’\\2", text)
+    text = regex.sub("([0-9])\\s*[-—]\\s*([0-9])", "\\1–\\2", text)
+    for body in (UNIT_AFTER, NUMBER_SIGN):
+        text = regex.sub(body.replace("\\x{00A0}", "\u00a0"), "\\1\u00a0\\2", text)
+    return text
 
 
 def dedup_key(text: Column) -> Column:

@@ -8,25 +8,13 @@ from pyspark.sql import functions as F
 from lexiflow.functions import lexicon as L
 from lexiflow.functions import text as T
 from lexiflow.operators import spans
-
-#: Bounds of words by ASCII letters, whatever the regex engine takes \b for.
-EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+from lexiflow.operators.spans import dated, units
 
 
 def _text(docs: DataFrame) -> Column:
     return F.coalesce(docs["text"], F.lit(""))
 
 
-def dated(text: Column, kind: str) -> Column:
-    """All dates or versions of a text."""
-    return F.regexp_extract_all(text, F.lit("(?iu)" + L.EVIDENCE[kind].replace("\\b", EDGE).replace("\\s", "[\\s\\x{00A0}]")), F.lit(0))
-
-
-def units(text: Column) -> Column:
-    """Units and currencies that follow a digit."""
-    return F.regexp_extract_all(text, F.lit("(?iu)(?<=[0-9][\\s\\x{00A0}]?)(?:" + L.UNITS.replace("\\b", EDGE) + ")"), F.lit(0))
-
-
 def hard_anchors(text: Column) -> Column:
     """How many anchors but names a text holds."""
     plain = [T.count(text, p) for p in spans.ANCHORS.values()]

@@ -17,14 +17,35 @@ ANCHORS = {
 }
 
 
+#: Bounds of words by ASCII letters, whatever the regex engine takes \\b for.
+EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+GUARDED = ["url", "citation", "date", "version", "number", "unit"]
+
+
+def dated(text: Column, kind: str) -> Column:
+    """All dates or versions of a text."""
+    return F.regexp_extract_all(text, F.lit("(?iu)" + L.EVIDENCE[kind].replace("\\b", EDGE).replace("\\s", "[\\s\\x{00A0}]")), F.lit(0))
+
+
+def units(text: Column) -> Column:
+    """Units and currencies that follow a digit."""
+    return F.regexp_extract_all(text, F.lit("(?iu)(?<=[0-9][\\s\\x{00A0}]?)(?:" + L.UNITS.replace("\\b", EDGE) + ")"), F.lit(0))
+
+
 def anchors(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, type, value): one row per anchor, values normalised."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    """(doc_id, type, value, n): how often each anchor stands in a text, values normalised; a null text has none.
 
-    def found(kind: str) -> Column:
-        return F.transform(F.regexp_extract_all(t, F.lit(ANCHORS[kind]), F.lit(0)), lambda v: F.struct(F.lit(kind).alias("type"), anchor_value(v).alias("value")))
+    Types: url, citation, date, version, number, unit, and proper for names.
+    """
+    from lexiflow.operators.evidence import proper_nouns
 
-    return docs.select("doc_id", F.explode(F.concat(*map(found, ANCHORS))).alias("a")).select("doc_id", "a.type", "a.value")
+    t = F.coalesce(F.col(text), F.lit(""))
+    found = {k: F.regexp_extract_all(t, F.lit(p), F.lit(0)) for k, p in ANCHORS.items()} | {"date": dated(t, "date"), "version": dated(t, "version"), "unit": units(t)}
+    typed = lambda kind: lambda x: F.struct(F.lit(kind).alias("type"), anchor_value(x).alias("value"))
+    listed = F.concat(*(F.transform(v, typed(k)) for k, v in found.items()))
+    facts = docs.select("doc_id", F.explode(listed).alias("a")).groupBy("doc_id", "a.type", "a.value").agg(F.count("*").alias("n"))
+    names = proper_nouns(docs.select("doc_id", F.col(text).alias("text"))).select("doc_id", F.lit("proper").alias("type"), "value", F.col("n").cast("long").alias("n"))
+    return facts.where("value <> ''").unionByName(names)
 
 
 def anchor_value(value: Column) -> Column:
@@ -32,16 +53,19 @@ def anchor_value(value: Column) -> Column:
 
 
 def anchor_counts(docs: DataFrame) -> DataFrame:
-    return anchors(docs).groupBy("doc_id", "type").agg(F.count("*").alias("n"))
+    return anchors(docs).groupBy("doc_id", "type").agg(F.sum("n").alias("n"))
 
 
 def anchor_diff(source: DataFrame, candidate: DataFrame) -> DataFrame:
-    """(doc_id, type, value, lost, added): multiset difference of anchors; equal ones are left out."""
+    """(doc_id, type, value, lost, added, guarded): multiset difference of anchors; equal ones are left out.
+
+    ``guarded``: an edit may not change it; names are only noted.
+    """
     key = ["doc_id", "type", "value"]
-    a, b = (anchors(x).groupBy(*key).agg(F.count("*").alias(n)) for x, n in ((source, "a"), (candidate, "b")))
+    a, b = (anchors(x).withColumnRenamed("n", n) for x, n in ((source, "a"), (candidate, "b")))
     n = F.coalesce("a", F.lit(0)) - F.coalesce("b", F.lit(0))
     both = a.join(b, key, "full").select(*key, F.greatest(n, F.lit(0)).cast("long").alias("lost"), F.greatest(-n, F.lit(0)).cast("long").alias("added"))
-    return both.where("lost > 0 or added > 0")
+    return both.where("lost > 0 or added > 0").withColumn("guarded", F.col("type").isin(*GUARDED))
 
 
 def qualifiers_kept(pairs: DataFrame, source: str = "source", candidate: str = "candidate") -> DataFrame:
@@ -116,11 +140,3 @@ def cosine(a: Column, b: Column) -> Column:
     norm = F.sqrt(dot(a, a) * dot(b, b))
     fine = (F.size(a) == F.size(b)) & (F.size(a) > 0) & (norm > 0)
     return F.when(fine, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norm))).otherwise(F.lit(float("nan")))
-
-
-def terminology(docs: DataFrame) -> DataFrame:
-    """(key, forms, n): word pairs written with and without hyphen or in several forms over the corpus."""
-    w = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[\\p{L}\\p{N}-]{4,}"), F.lit(0))
-    t = docs.select(F.explode(w).alias("form")).groupBy("form").agg(F.count("*").alias("n"))
-    t = t.groupBy(F.replace("form", F.lit("-"), F.lit("")).alias("key")).agg(F.sort_array(F.collect_set("form")).alias("forms"), F.sum("n").alias("n"))
-    return t.where(F.size("forms") > 1)

@@ -7,6 +7,7 @@ import numpy as np
 import regex
 from pyspark.sql import functions as F
 
+from lexiflow.functions import lexicon
 from lexiflow.operators import edits, structure
 
 
@@ -43,7 +44,7 @@ def plain_repeats(text):
     word, out, at = regex.compile(r"[\p{L}\p{N}-]+"), [], 0
     for p in re.split("\n{2,}", text or ""):
         s = [x for x in regex.split("(?<=[.!?…][\"»”')\\]]?)\\s+", p) if x.strip()]
-        c = [{w[:5] for w in word.findall(x.lower()) if len(w) >= 4 and w not in edits.STOP_WORDS} for x in s]
+        c = [{w[:5] for w in word.findall(x.lower()) if len(w) >= 4 and w not in lexicon.STOP_WORDS} for x in s]
         long = [k for k, x in enumerate(s) if len(word.findall(x)) >= 8]
         out += [(at + i, at + j) for i in long for j in long if i < j and c[i] and c[j] and len(c[i] & c[j]) >= 0.6 * min(len(c[i]), len(c[j]))]
         at += len(s)
