@@ -9,6 +9,7 @@ from lexiflow.functions import lexicon as L
 from lexiflow.functions import text as T
 from lexiflow.operators import candidates, cleaning, edits, evidence, references, report, scores, spans, structure
 from lexiflow.plans import sql
+from lexiflow.session import spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -27,10 +28,8 @@ def query(oracle: str | None = None):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents table, dealt out anew only where a small file would leave most cores idle."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    """The documents table."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,16 +26,34 @@ def local_session(name: str = "lexiflow", cores: int = 8, partitions: int = 8) -
     )
 
 
+#: A table of up to so many bytes may be dealt out anew for the sake of idle cores; larger ones are read as they lie.
+SPREAD_BYTES = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where it is a scan of a few small files that would leave most of them idle.
+
+    One row group can't be split, whatever the scan's options. The shuffle is bounded by ``SPREAD_BYTES``, so
+    it never happens to a large table.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SPREAD_BYTES
+    return df.repartition(cores) if small and 0 < len(df.inputFiles()) < cores else df
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session leaves it unset (tests, notebooks) is a local folder used.
+    Only where a session that runs in one process leaves it unset (tests, notebooks) is a local folder used;
+    on a cluster that is an error, as executors don't see each other's folders.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = current.get() if current.isDefined() else None
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="lexiflow-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
