@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.session import stash
+from lexiflow.session import spread, stash
 
 #: Characters that part words: space and \x09-\x0D, the same set in every engine.
 SPACES = "[\\x09-\\x0D ]"
@@ -32,7 +32,8 @@ def identified(docs: DataFrame) -> DataFrame:
     numbers = docs.sparkSession.createDataFrame([(*x,) for x in spelt.items()], "_file string, _number long")
     rid = F.shiftleft("_number", 40) + F.col("_at")
     known = F.when(F.col("_number").isNull(), F.raise_error(F.concat(F.lit("not a file of the input: "), F.col("_file"))).cast("long")).otherwise(rid)
-    return rows.join(F.broadcast(numbers), "_file", "left").select(*docs.columns, known.alias("rid"))
+    out = rows.join(F.broadcast(numbers), "_file", "left").select(*docs.columns, known.alias("rid"))
+    return spread(out)
 
 
 def _place(docs: DataFrame) -> Column | None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,15 +17,17 @@ from lexiflow.llm.phrase_dedup import phrase_dedup
 from lexiflow.llm.quality_rules import quality_rules
 from lexiflow.llm.secrets import BASE, secret_spans
 from lexiflow.llm.suffix_dedup import suffix_dedup
+from lexiflow.session import spread
 
 
-def vocabulary(name: str = "word_bpe_49k.json") -> str:
-    """Where a public tokenizer file lies; the folder is a parameter of the environment."""
-    folder = os.environ.get("LEXIFLOW_TOKENIZERS")
-    if not folder:
-        spec = importlib.util.find_spec("public_tokenizers")
-        folder = os.path.dirname(spec.origin) if spec else "/opt/tokenizers"
-    return os.path.join(folder, name)
+def vocabulary(name: str = "word_bpe_49k.json", folder: str | None = None) -> str:
+    """Where a public tokenizer file lies: in ``folder``, the folder that LEXIFLOW_TOKENIZERS names, or the installed package."""
+    folder = folder or os.environ.get("LEXIFLOW_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,17 +47,17 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_documents(spark, sf_dir)).select(
+    return mix(spread(_documents(spark, sf_dir))).select(
         "doc_id", "cell_source", "cell_lang", "cell_topic", "n_tokens", "target_weight", "probability", "wanted", "reached", "sampled"
     )
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return html_text(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(_documents(spark, sf_dir))
+    return license_scan(spread(_documents(spark, sf_dir)))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +65,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_codec(_documents(spark, sf_dir), vocabulary()).select(
+    return bpe_codec(spread(_documents(spark, sf_dir)), vocabulary()).select(
         "doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
@@ -80,7 +81,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin(*names))
-    return secret_spans(_documents(spark, sf_dir)).select(
+    return secret_spans(spread(_documents(spark, sf_dir))).select(
         "doc_id", *map(count, names), F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans")
     )
 
