@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType
@@ -17,18 +19,20 @@ from lexiflow.functions import text as T
 def resolve(edits: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, start, end, priority, after): edits kept greedily by start, then size, then priority; none overlaps one kept before.
 
-    A fold over a document's own edits: each is sorted once and the last end is carried along.
+    A document's own edits are sorted once and the last end is carried along.
     """
-    order = F.struct("start", (-F.col("end")).alias("back"), "priority", "end", "after")
-    listed = edits.groupBy(key).agg(F.sort_array(F.collect_list(order)).alias("e"))
-    empty = F.struct(F.array().cast("array<struct<start:bigint,end:bigint,priority:int,after:string>>").alias("kept"), F.lit(-1).cast("bigint").alias("last"))
 
-    def step(a: Column, x: Column) -> Column:
-        own = F.struct(x["start"].alias("start"), x["end"].alias("end"), x["priority"].alias("priority"), x["after"].alias("after"))
-        return F.when(x["start"] >= a["last"], F.struct(F.concat(a["kept"], F.array(own)).alias("kept"), x["end"].alias("last"))).otherwise(a)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.append_column("size", pc.subtract(table["start"], table["end"]))
+        table = table.sort_by([("start", "ascending"), ("size", "ascending"), ("priority", "ascending")]).drop_columns("size")
+        keep, last = [], None
+        for start, end in zip(table["start"].to_pylist(), table["end"].to_pylist(), strict=True):
+            keep.append(last is None or start >= last)
+            last = end if keep[-1] else last
+        return table.filter(pa.array(keep, pa.bool_()))
 
-    folded = listed.select(key, F.aggregate("e", empty, step, lambda a: a["kept"]).alias("kept"))
-    return folded.select(key, F.explode("kept").alias("x")).select(key, "x.*")
+    plain = edits.select(key, *(F.col(c).cast("long") for c in ("start", "end")), F.col("priority").cast("int"), "after")
+    return plain.groupBy(key).applyInArrow(run, plain.schema)
 
 
 def apply_edits(docs: DataFrame, edits: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -121,18 +125,26 @@ def lexical_novelty(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
         yield pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf(LongType())
-def stable_hash(text: pd.Series) -> pd.Series:
-    """32-bit FNV-1a over UTF-16 code units."""
+def fnv1a(texts: list[str]) -> np.ndarray:
+    """32-bit FNV-1a over UTF-16 code units of each text: one step takes a unit of every text that is long enough."""
+    units = [np.frombuffer(t.encode("utf-16-le", "surrogatepass"), np.uint16) for t in texts]
+    size = np.array([len(u) for u in units], np.int64)
+    order = np.argsort(-size, kind="stable")
+    start = np.concatenate([[0], np.cumsum(size)])[:-1][order]
+    flat = np.concatenate(units) if units else np.empty(0, np.uint16)
+    live = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), side="left")  # texts with more than i units
+    h = np.full(len(texts), 2166136261, np.uint64)
+    for i, n in enumerate(live.tolist()):
+        h[:n] = ((h[:n] ^ flat[start[:n] + i]) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+    out = np.empty(len(texts), np.int64)
+    out[order] = h.astype(np.int64)
+    return out
 
-    def one(t: str | None) -> int:
-        h = 2166136261
-        raw = (t or "").encode("utf-16-le", "surrogatepass")
-        for i in range(0, len(raw), 2):
-            h = ((h ^ (raw[i] | raw[i + 1] << 8)) * 16777619) & 0xFFFFFFFF
-        return h
 
-    return text.map(one).astype("int64")
+@F.pandas_udf(LongType())
+def stable_hash(text: pd.Series) -> pd.Series:
+    """32-bit FNV-1a over UTF-16 code units; a null text is empty."""
+    return pd.Series(fnv1a([t or "" for t in text]), dtype="int64")
 
 
 def perplexity(logits: np.ndarray, ids: np.ndarray) -> float:

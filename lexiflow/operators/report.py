@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiflow.functions import lexicon as L
 from lexiflow.functions import text as T
+from lexiflow.operators import spans
 from lexiflow.operators.scores import RANGE, inventory
 
 EDGES = ("(?<![\\p{L}\\p{N}_-])", "(?![\\p{L}\\p{N}_-])")
@@ -73,9 +74,7 @@ def metrics_tall(wide: DataFrame) -> DataFrame:
     """One row per document and metric with its zone and status: unknown, low, high, overshoot or ok."""
     names = list(L.ZONES["en"])
     tall = wide.unpivot(["doc_id", "language", "n_words", "n_sentences"], names, "metric_id", "value")
-    zones = wide.sparkSession.createDataFrame(
-        [(lang, m, *z) for lang, t in L.ZONES.items() for m, z in t.items()], "language string, metric_id string, low double, high double, overshoot double"
-    )
+    zones = zone_table(wide.sparkSession)
     v = F.col("value")
     thin = F.col("metric_id").isin(L.NEEDS_MATERIAL) & ((F.col("n_words") < 120) | (F.col("n_sentences") < 5))
     down = F.col("metric_id").isin(L.DOWNWARD)
@@ -90,6 +89,40 @@ def metrics_tall(wide: DataFrame) -> DataFrame:
     return tall.join(F.broadcast(zones), ["language", "metric_id"], "left").select("doc_id", "language", "metric_id", "value", "low", "high", status.alias("status"))
 
 
+#: Texts that a calibration needs to be trusted.
+TRUSTED_FROM = 100
+
+
+def zone_table(spark: SparkSession, overlay: DataFrame | None = None) -> DataFrame:
+    """(language, metric_id, low, high, overshoot): the zones, with those of ``overlay`` (language, metric_id, low, high, overshoot) in their place.
+
+    Bounds that an overlay leaves null stay; metrics that have no zone yet get none. A null language overlays both.
+    """
+    zones = spark.createDataFrame([(lang, m, *z) for lang, t in L.ZONES.items() for m, z in t.items()], "language string, metric_id string, low double, high double, overshoot double")
+    if overlay is None:
+        return zones
+    names = ("low", "high", "overshoot")
+    new = overlay.select(F.coalesce("language", F.lit("*")).alias("_l"), "metric_id", *(F.col(c).alias(f"_{c}") for c in names))
+    own, both = new.where("_l <> '*'").withColumnRenamed("_l", "language"), new.where("_l = '*'").drop("_l").withColumnsRenamed({f"_{c}": f"_{c}0" for c in names})
+    joined = zones.join(F.broadcast(both), "metric_id", "left").join(F.broadcast(own), ["language", "metric_id"], "left")
+    return joined.select("language", "metric_id", *(F.coalesce(f"_{c}", f"_{c}0", c).alias(c) for c in names))
+
+
+def calibration_status(calibrated: DataFrame) -> DataFrame:
+    """``calibrated`` (language, metric_id, texts, ...) with ``applied``, whether there is such a zone, and ``trustworthy``."""
+    known = F.array(*(F.lit(f"{lang}:{m}") for lang, t in L.ZONES.items() for m in t))
+    applied = F.coalesce(F.array_contains(known, F.concat_ws(":", "language", "metric_id")), F.lit(False))
+    return calibrated.withColumns({"applied": applied, "trustworthy": F.col("texts") >= TRUSTED_FROM})
+
+
+def overshoot_warnings(wide: DataFrame, zones: DataFrame | None = None) -> DataFrame:
+    """(doc_id, metric_id, value, overshoot): metrics at or past the point where a text begins to pose."""
+    tall = wide.unpivot(["doc_id", "language"], list(L.ZONES["en"]), "metric_id", "value")
+    zones = zone_table(wide.sparkSession) if zones is None else zones
+    found = tall.join(F.broadcast(zones.select("language", "metric_id", "overshoot")), ["language", "metric_id"])
+    return found.where(F.col("value") >= F.col("overshoot")).select("doc_id", "metric_id", "value", "overshoot")
+
+
 def status_counts(tall: DataFrame) -> DataFrame:
     return tall.groupBy("doc_id").agg(*(F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("ok", "low", "high", "overshoot", "unknown")))
 
@@ -102,7 +135,21 @@ def report_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def calibration(wide: DataFrame, points: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
-    """Percentiles of each metric by language over the corpus."""
-    tall = wide.unpivot(["doc_id", "language"], list(L.ZONES["en"]), "metric_id", "value")
-    at = lambda p: F.percentile("value", F.lit(p)).alias(f"p{round(100 * p)}")
-    return tall.where("value is not null").groupBy("language", "metric_id").agg(F.count("*").alias("texts"), *map(at, points))
+    """Percentiles of each metric by language over the corpus, interpolated between neighbours.
+
+    Values are counted, ranked in ranges of the sort order, and only totals per range and metric meet; no
+    task holds all values of a metric.
+    """
+    keys = ["language", "metric_id"]
+    tall = wide.unpivot(["doc_id", "language"], list(L.ZONES["en"]), "metric_id", "value").where("value is not null")
+    ranked = spans.ranked_values(tall.withColumn("n", F.lit(1)), keys)
+    holds = lambda at: (F.col("below") <= at) & (at < F.col("below") + F.col("n"))
+    place = lambda p: (F.col("all") - 1) * F.lit(p)
+    aggs = {}
+    for p in points:
+        aggs[f"a{p}"] = F.max(F.when(holds(F.floor(place(p))), F.col("value")))
+        aggs[f"b{p}"] = F.max(F.when(holds(F.ceil(place(p))), F.col("value")))
+    wanted = ranked.groupBy(*keys).agg(F.max("all").alias("texts"), *(v.alias(k) for k, v in aggs.items()))
+    share = lambda p: (F.col("texts") - 1) * F.lit(p) - F.floor((F.col("texts") - 1) * F.lit(p))
+    between = lambda p: F.col(f"`a{p}`") + (F.col(f"`b{p}`") - F.col(f"`a{p}`")) * share(p)
+    return wanted.select(*keys, "texts", *(between(p).alias(f"p{round(100 * p)}") for p in points))

@@ -105,15 +105,13 @@ def sentence_table(docs: DataFrame) -> DataFrame:
     return s.withColumn("words", T.n_words(F.col("sentence")).cast("long"))
 
 
-def mid_rank(history: DataFrame, now: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
-    """(keys, id, value, median, share): where a value stands among its key's history; silent below ``least`` samples.
+def ranked_values(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, value, n, all, below): each distinct value of ``rows`` (keys, value, n), how many rows its key has, and how many of a smaller value.
 
     Values are counted first, then ranked in ranges of the sort order, so that a key with most rows is
-    never in one task: only totals per range and key meet. Null values are left out on both sides.
+    never in one task: only totals per range and key meet.
     """
-    mine = now.where("value is not null").select(*keys, "id", "value")
-    seen = history.where("value is not null").select(*keys, "value", F.lit(1).alias("n")).unionByName(mine.select(*keys, "value", F.lit(0).alias("n")))
-    counts = seen.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
+    counts = rows.groupBy(*keys, "value").agg(F.sum("n").alias("n"))
     parts = stash(counts.repartitionByRange(*keys, "value").withColumn("part", F.spark_partition_id()))
     totals = parts.groupBy(*keys, "part").agg(F.sum("n").alias("in_part"))
     by_key = Window.partitionBy(*keys)
@@ -121,7 +119,17 @@ def mid_rank(history: DataFrame, now: DataFrame, keys: list[str], least: int = 5
     totals = totals.select(*keys, "part", F.coalesce(F.sum("in_part").over(earlier), F.lit(0)).alias("base"), F.sum("in_part").over(by_key).alias("all"))
     inside = Window.partitionBy(*keys, "part").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
     ranked = parts.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(totals, [*keys, "part"])
-    ranked = stash(ranked.select(*keys, "value", "n", "all", (F.col("base") + F.col("inside")).alias("below")))
+    return stash(ranked.select(*keys, "value", "n", "all", (F.col("base") + F.col("inside")).alias("below")))
+
+
+def mid_rank(history: DataFrame, now: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
+    """(keys, id, value, median, share): where a value stands among its key's history; silent below ``least`` samples.
+
+    Null values are left out on both sides.
+    """
+    mine = now.where("value is not null").select(*keys, "id", "value")
+    seen = history.where("value is not null").select(*keys, "value", F.lit(1).alias("n")).unionByName(mine.select(*keys, "value", F.lit(0).alias("n")))
+    ranked = ranked_values(seen, keys)
     holds = lambda pos: (F.col("below") <= pos) & (pos < F.col("below") + F.col("n"))
     low, high = F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)
     middle = ranked.where(holds(low) | holds(high)).groupBy(*keys).agg(F.avg("value").alias("median"))

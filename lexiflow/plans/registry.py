@@ -53,8 +53,7 @@ for _name, _cols in {
 
 def _metric_query(name: str, metric: str) -> None:
     QUERIES[name] = lambda spark, sf_dir: report.metrics_wide(documents(spark, sf_dir)).select("doc_id", F.col(metric).alias("value"))
-    if metric != "nominalizationDensity":
-        ORACLES[name] = f'select doc_id, "{metric}" as value from ({sql.metric_sql()})'
+    ORACLES[name] = f'select doc_id, "{metric}" as value from ({sql.metric_sql()})'
 
 
 for _name, _metric in {
@@ -70,7 +69,7 @@ _TALL = sql.tall_sql()
 
 
 def _tall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.metrics_tall(report.metrics_wide(documents(spark, sf_dir))).where("metric_id <> 'nominalizationDensity'")
+    return report.metrics_tall(report.metrics_wide(documents(spark, sf_dir)))
 
 
 @query(_TALL)
@@ -87,7 +86,7 @@ def metric_status_counts(spark, sf_dir):
 
 @query(f"select language, metric_id, count(*) as texts, {', '.join(f'quantile_cont(value, {p}) as p{round(100 * p)}' for p in (0.1, 0.5, 0.9))} from ({_TALL}) where value is not null group by language, metric_id")
 def calibration_percentiles(spark, sf_dir):
-    return report.calibration(report.metrics_wide(documents(spark, sf_dir))).where("metric_id <> 'nominalizationDensity'")
+    return report.calibration(report.metrics_wide(documents(spark, sf_dir)))
 
 
 @query(f"""with t as ({_TALL}) select a.doc_id, a.metric_id, a.value as before, b.value as after, b.value - a.value as delta
@@ -131,25 +130,45 @@ def typography(spark, sf_dir):
     return cleaning.typography(documents(spark, sf_dir))
 
 
+def _names_sql(name: str) -> str:
+    """(doc_id, value, n) of acronyms and inner capitalised words that stand nowhere in small letters."""
+    return r"""with d as (select doc_id, coalesce(text, '') as t from TABLE),
+w as (select doc_id, unnest(regexp_extract_all(t, '[\p{L}\p{N}_-]+')) as w from d),
+s as (select doc_id, unnest(string_split(regexp_replace(t, '([.!?…])[\s\x{00A0}]+', '\1' || chr(1), 'g'), chr(1))) as s from d),
+i as (select doc_id, unnest(regexp_extract_all(s, '\p{L}[\p{L}\p{N}''’-]+')[2:]) as w from s),
+x as (select doc_id, lower(w) as value, 'a' as kind from w where regexp_full_match(w, '\p{Lu}{2,}(-\p{Lu}\p{N}*)?')
+union all select doc_id, lower(w), 's' from w where length(w) > 1 and left(w, 1) = lower(left(w, 1))
+union all select doc_id, lower(w), 'c' from i where left(w, 1) = upper(left(w, 1)) and w <> upper(w)),
+n as (select doc_id, value, count(*) filter (kind = 'a') as a, count(*) filter (kind = 's') as s, count(*) filter (kind = 'c') as c from x group by doc_id, value)
+select doc_id, value, a + case when s = 0 and value not in (STOP) then c else 0 end as n from n where a + case when s = 0 and value not in (STOP) then c else 0 end > 0""".replace(
+        "STOP", ", ".join(map(sql.q, L.OPENER_STOP))
+    ).replace("TABLE", name)
+
+
 def _anchors_sql(name: str = "documents") -> str:
+    """(doc_id, type, value, n) of all anchors; what stands between a digit and its unit is left out by a group."""
     norm = r"lower(regexp_replace(regexp_replace(regexp_replace(v, '[\s\x{00A0}]+', ' ', 'g'), '[«»\"''“”]', '', 'g'), '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g'))"
     norm = norm.replace('\\"', '"')
-    each = " union all ".join(f"select doc_id, '{k}' as type, unnest(regexp_extract_all(coalesce(text, ''), {sql.q(p)})) as v from {name}" for k, p in spans.ANCHORS.items())
-    return f"select doc_id, type, {norm} as value from ({each})"
+    found = {k: f"regexp_extract_all(coalesce(text, ''), {sql.q(p)})" for k, p in spans.ANCHORS.items()}
+    found |= {k: f"regexp_extract_all(coalesce(text, ''), {sql.q('(?i)' + p.replace(chr(92) + 's', '[' + chr(92) + 's' + chr(92) + 'x{00A0}]'))})" for k, p in L.EVIDENCE.items()}
+    unit = "(?i)[0-9][\\s\\x{00A0}]?(" + L.UNITS.replace("(?=\\b)", "\\b") + ")"
+    found["unit"] = f"regexp_extract_all(coalesce(text, ''), {sql.q(unit)}, 1)"
+    each = " union all ".join(f"select doc_id, '{k}' as type, unnest({p}) as v from {name}" for k, p in found.items())
+    facts = f"select doc_id, type, {norm} as value, count(*) as n from ({each}) group by all"
+    return f"select * from ({facts}) where value <> '' union all select doc_id, 'proper' as type, value, n from ({_names_sql(name)})"
 
 
-@query(f"select doc_id, type, count(*) as n from ({_anchors_sql()}) group by doc_id, type")
+@query(f"select doc_id, type, sum(n)::bigint as n from ({_anchors_sql()}) group by doc_id, type")
 def anchor_counts_by_type(spark, sf_dir):
     return spans.anchor_counts(documents(spark, sf_dir))
 
 
-@query(f"""with a as (select doc_id, type, value, count(*) as n from ({_anchors_sql()}) group by all), s as (select doc_id - 1 as doc_id, text from documents),
-b as (select doc_id, type, value, count(*) as n from ({_anchors_sql("s")}) group by all)
-select doc_id, type, value, greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0)::bigint as lost, greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0)::bigint as added
+@query(f"""with a as ({_anchors_sql()}), s as (select doc_id - 1 as doc_id, text from documents), b as ({_anchors_sql("s")})
+select doc_id, type, value, greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0)::bigint as lost, greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0)::bigint as added, type <> 'proper' as guarded
 from a full join b using (doc_id, type, value) where coalesce(a.n, 0) <> coalesce(b.n, 0)""")
 def anchor_multiset_diff(spark, sf_dir):
     """Each document against the next one."""
-    d = documents(spark, sf_dir)
+    d = documents(spark, sf_dir).select("doc_id", "text")
     return spans.anchor_diff(d, d.withColumn("doc_id", F.col("doc_id") - 1))
 
 
@@ -179,12 +198,11 @@ def merge_ranges_islands(spark, sf_dir):
     return spans.merge_ranges(_ranges(spark, sf_dir))
 
 
-@query(f"""with r as ({_RANGES}) select a.doc_id, a.s as "start", a.e as "end" from r a where not exists (select 1 from r b where b.doc_id = a.doc_id and b.s > a.s and a.s < b.e and a.e > b.s)""")
+@query(f"""with r as ({_RANGES}) select a.doc_id, a.s as "start", a.e as "end" from r a where a.e % 3 <> 0 and not exists (select 1 from r b where b.e % 3 = 0 and b.doc_id = a.doc_id and a.s < b.e and a.e > b.s)""")
 def interval_overlap_filter(spark, sf_dir):
-    """Ranges that overlap no range of their order that starts later."""
-    a, b = _ranges(spark, sf_dir).alias("a"), _ranges(spark, sf_dir).alias("b")
-    hit = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("b.start") > F.col("a.start")) & (F.col("a.start") < F.col("b.end")) & (F.col("a.end") > F.col("b.start"))
-    return a.join(b, hit, "left_anti")
+    """Ranges that overlap none of their order's frozen ones, which are those whose end is a multiple of three."""
+    r = _ranges(spark, sf_dir)
+    return spans.outside_ranges(r.where("end % 3 <> 0"), r.where("end % 3 = 0"))
 
 
 @query()
@@ -223,12 +241,6 @@ def embedding_cosine_pairs(spark, sf_dir):
     return e.join(nxt, "vec_id").select("vec_id", F.round(spans.cosine(F.col("embedding"), F.col("other")), 9).alias("similarity"))
 
 
-@query(r"""with w as (select unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}-]{4,}')) as form from documents), t as (select form, count(*) as n from w group by form)
-select replace(form, '-', '') as key, list_sort(list(form)) as forms, sum(n)::bigint as n from t group by 1 having count(*) > 1""")
-def terminology_drift(spark, sf_dir):
-    return spans.terminology(documents(spark, sf_dir))
-
-
 _GRAMS = r"select {id}, unnest(list_distinct(list_transform(range(1, greatest(len(ws) - 3, 1)), lambda i: array_to_string(ws[i:i + 4], ' ')))) as g from (select {id}, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_-]+') as ws from {t}) where len(ws) >= 5"
 
 
@@ -259,34 +271,6 @@ def segment_running_sum(spark, sf_dir):
     return structure.segments(c, F.col("role") == "user", "conv_id", "turn").select("conv_id", "turn", "segment")
 
 
-@query("select l_orderkey as doc_id, l_linenumber as pos, l_returnflag as kind, row_number() over (partition by l_orderkey, l_returnflag order by l_linenumber)::integer as number from lineitem")
-def caption_numbering(spark, sf_dir):
-    """Lines as captions, their flags as kinds."""
-    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.col("l_returnflag").alias("kind"))
-    return structure.number_captions(x)
-
-
-@query("""select l_orderkey as doc_id, l_linenumber as pos, row_number() over (partition by l_orderkey order by l_linenumber) <= greatest(1, floor(count(*) over (partition by l_orderkey) * 0.3::double + 0.5)) as kept_for_zone from lineitem""")
-def connective_budget_window(spark, sf_dir):
-    """The first third of each order's lines."""
-    x = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"))
-    return edits.within_budget(x, 0.3)
-
-
-@query("""select user_id as doc_id, event_id as cand_no, event_type as text, value::double as score from (select *, row_number() over (partition by user_id order by value, event_id) as k from events where value is not null and not isnan(value::double)) where k = 1""")
-def candidate_select(spark, sf_dir):
-    """The lowest value of each user's events."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return edits.select_best(e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("cand_no"), F.col("event_type").alias("text"), F.col("value").cast("double").alias("score")))
-
-
-@query()
-def edit_resolve(spark, sf_dir):
-    """Each order's ranges as edits, resolved greedily."""
-    r = _ranges(spark, sf_dir)
-    return edits.resolve(r.withColumns({"priority": F.lit(0), "after": F.lit("")})).select("doc_id", "start", "end")
-
-
 @query()
 def repeated_thesis_selfjoin(spark, sf_dir):
     return edits.repeated_thesis(documents(spark, sf_dir))
@@ -320,18 +304,7 @@ def anchor_units(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.size(evidence.units(F.coalesce("text", F.lit("")))).cast("long").alias("n_units"))
 
 
-_STOP = ", ".join(map(sql.q, L.OPENER_STOP))
-
-
-@query(r"""with d as (select doc_id, coalesce(text, '') as t from documents),
-w as (select doc_id, unnest(regexp_extract_all(t, '[\p{L}\p{N}_-]+')) as w from d),
-s as (select doc_id, unnest(string_split(regexp_replace(t, '([.!?…])[\s\x{00A0}]+', '\1' || chr(1), 'g'), chr(1))) as s from d),
-i as (select doc_id, unnest(regexp_extract_all(s, '\p{L}[\p{L}\p{N}''’-]+')[2:]) as w from s),
-x as (select doc_id, lower(w) as value, 'a' as kind from w where regexp_full_match(w, '\p{Lu}{2,}(-\p{Lu}\p{N}*)?')
-union all select doc_id, lower(w), 's' from w where length(w) > 1 and left(w, 1) = lower(left(w, 1))
-union all select doc_id, lower(w), 'c' from i where left(w, 1) = upper(left(w, 1)) and w <> upper(w)),
-n as (select doc_id, value, count(*) filter (kind = 'a') as a, count(*) filter (kind = 's') as s, count(*) filter (kind = 'c') as c from x group by doc_id, value)
-select doc_id, value, a + case when s = 0 and value not in (STOP) then c else 0 end as n from n where a + case when s = 0 and value not in (STOP) then c else 0 end > 0""".replace("STOP", _STOP))
+@query(_names_sql("documents"))
 def anchor_proper_nouns(spark, sf_dir):
     return evidence.proper_nouns(documents(spark, sf_dir))
 
@@ -447,3 +420,6 @@ w as (select *, len(regexp_extract_all(source, '[\p{L}\p{N}_-]+')) as m from t w
 select conv_id, turn, case when m > 0 and n::double / m < 0.85::double then 'shrunk' when m > 0 and n::double / m > 1.25::double then 'grown' end as issue from w""")
 def volume_guard(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", candidates.volume(F.col("source"), F.col("candidate")).alias("issue"))
+
+
+from lexiflow.plans import editing  # noqa: E402, F401  registers the queries on edits, documents, rewriting and selection

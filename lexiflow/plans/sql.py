@@ -102,6 +102,9 @@ def metric_sql() -> str:
     flat = _BASE.replace("list_filter(" + _SPLIT, f"list_filter(list_transform({_SPLIT.replace('regexp_replace(t,', 'regexp_replace(regexp_replace(t, ' + q(chr(92) + 'n+') + ', ' + q(' ') + ', ' + q('g') + '),')}, lambda x: {rm('x', f'^{S}+|{S}+$')})", 1)
     flat = flat.replace("list_transform(ss, lambda s: lower(regexp_extract(s, '[\\p{L}\\p{N}-]+'))) as op", "list_transform(ss, lambda s: array_to_string(regexp_extract_all(lower(s), '[\\p{L}\\p{N}-]+')[1:2], ' ')) as op, regexp_extract_all(lo, '[\\p{L}\\p{N}_-]+') as ws")
     shaped = lambda p: f"len(list_filter(regexp_extract_all(lo, {q(W)}), lambda x: regexp_matches(x, {q('^(?:' + p + ')$')})))"
+    # what bounds a word is doubled, so that one place can end a match and begin the next
+    apart = "regexp_replace(lo, '([^\\p{L}\\p{N}_-])', '\\1\\1', 'g')"
+    bounded = lambda p: n(apart, "(?:^|[^\\p{L}\\p{N}_-])(?:" + p.replace("\\s", "[\\s\\x{00A0}]") + ")(?:$|[^\\p{L}\\p{N}_-])")
     per = lambda x, base: f"(case when {base} > 0 then ({x}) / {base}::double else 0.0 end)"
     inv = f"({n('na', '[:;(?!]')} + {n('na', '[«»' + chr(34) + '“”]')} // 2)"
     cols = {
@@ -109,6 +112,7 @@ def metric_sql() -> str:
         "shortPerParagraph": per("len(list_filter(lens, lambda x: x < 6))", "len(ps)"),
         "discourseShare": per(pick(linked(L.DISCOURSE_RU), linked(L.DISCOURSE_EN)), "n"),
         "hedgeDensity": per(pick(hits("lo", L.HEDGE_RU), hits("lo", L.HEDGE_EN)) + " * 100", "w"),
+        "nominalizationDensity": per(pick(*(f"({shaped(L.NOMINAL[k])} + {bounded(L.PASSIVE[k])})" for k in ("ru", "en"))) + " * 100.0", "w"),
         "paragraphCv": variation("pl"),
         "openerRepeat": per(f"coalesce({repeats('op')}, 0)", "n"),
         "ngramRepeat": "coalesce(r.share, 0.0)",
@@ -127,8 +131,8 @@ select b.doc_id, lang as language, w::bigint as n_words, n::bigint as n_sentence
 
 
 def tall_sql() -> str:
-    """Tall metrics with statuses, over the metrics that SQL can express."""
-    names = [m for m in L.ZONES["en"] if m != "nominalizationDensity"]
+    """Tall metrics with statuses."""
+    names = list(L.ZONES["en"])
     num = lambda x: "null" if x is None else str(x)
     zones = ", ".join(f"({q(lang)}, {q(m)}, {num(a)}, {num(b)}, {num(c)})" for lang, t in L.ZONES.items() for m, (a, b, c) in t.items())
     listed = " union all ".join(f'select doc_id, language, n_words, n_sentences, {q(m)} as metric_id, "{m}" as value from m' for m in names)
