@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -39,9 +40,16 @@ def half_up(x: float) -> int:
     return math.floor(x + 0.5)
 
 
+#: Holds every Cyrillic letter, and is found fast.
+_MAYBE_CYRILLIC = re.compile("[\u0400-\u052f\u1c80-\u1c8f\u1d2b\u1d78\u2de0-\u2dff\ua640-\ua69f\ufe2e\ufe2f\U0001e030-\U0001e08f]")
+_CYRILLIC, _LATIN = (regex.compile(f"\\p{{Script={s}}}+") for s in ("Cyrillic", "Latin"))
+
+
 def language(text: str) -> str:
     """ru where Cyrillic letters outnumber Latin ones, else en."""
-    cyrillic, latin = (len(regex.findall(f"\\p{{Script={s}}}", text)) for s in ("Cyrillic", "Latin"))
+    if not _MAYBE_CYRILLIC.search(text):
+        return "en"
+    cyrillic, latin = (sum(map(len, p.findall(text))) for p in (_CYRILLIC, _LATIN))
     return "ru" if cyrillic > latin else "en"
 
 

@@ -2,72 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiflow.functions import lexicon as L
-from lexiflow.functions import text as T
+from lexiflow.functions import measure as M
 from lexiflow.operators import spans
-from lexiflow.operators.scores import RANGE, inventory
-
-EDGES = ("(?<![\\p{L}\\p{N}_-])", "(?![\\p{L}\\p{N}_-])")
-#: Three letters before the first comma are enough to look for: more would only make the search go back.
-TRIAD = "(?iU)[^,;:()]{3},[^,;:()]{3,},\\s*(?:and|or|и|или|а также)\\s"
-
-
-def shaped(text: Column, lang: Column, patterns: dict[str, str]) -> Column:
-    return T.by_language(lang, {k: T.count(text, "(?iU)" + EDGES[0] + "(?:" + p + ")" + EDGES[1]) for k, p in patterns.items()})
-
-
-def ngram_repeat(words: Column, size: int = 4) -> Column:
-    """Share of words inside n-grams that stand twice or more; 0 below two n-grams' worth of words."""
-
-    def covered(s: Column) -> Column:
-        twin = lambda x, i: F.when((F.get(s, i - 1)["g"] == x["g"]) | (F.get(s, i + 1)["g"] == x["g"]), x["i"])
-        at = F.array_sort(F.filter(F.transform(s, twin), lambda i: i.isNotNull()))
-        step = lambda a, i: F.struct((a["n"] + F.least(F.lit(size), i - a["last"])).alias("n"), i.alias("last"))
-        return F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(-size).alias("last")), step, lambda a: a["n"])
-
-    grams = lambda w: F.array_sort(F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.struct(F.array_join(F.slice(w, i, size), " ").alias("g"), i.alias("i"))))
-    return T.let(words, lambda w: F.when(F.size(w) >= 2 * size, T.let(grams(w), covered) / F.size(w)).otherwise(0.0))
-
-
-def metric_columns(text: Column) -> dict[str, Column]:
-    lang, ss, words = F.col("language"), F.col("_sentences"), F.col("n_words")
-    n = F.size(ss)
-    lens = F.filter(F.transform(ss, T.n_words), lambda x: x > 0)
-    per = lambda x, base: F.when(base > 0, x / base).otherwise(0.0)
-    par = T.paragraphs(text)
-    heads = F.transform(ss, T.head)
-    linked = lambda ws: F.size(F.filter(heads, lambda h: T.starts_with_any(h, ws)))
-    lower = F.lower(text)
-    hedges = T.by_language(lang, {"ru": T.phrase_hits(lower, L.HEDGE_RU), "en": T.phrase_hits(lower, L.HEDGE_EN)})
-    opener = F.transform(ss, lambda s: F.array_join(F.slice(F.regexp_extract_all(F.lower(s), F.lit(T.WORD_B), F.lit(0)), 1, 2), " "))
-    clean = F.regexp_replace(text, RANGE, "")
-    dash = T.count(clean, "(?U)[—–]|(?<=\\s)-(?=\\s)")
-    return {
-        "sentenceCv": T.variation(lens),
-        "shortPerParagraph": per(F.size(F.filter(lens, lambda x: x < 6)), F.size(par)),
-        "discourseShare": per(T.by_language(lang, {"ru": linked(L.DISCOURSE_RU), "en": linked(L.DISCOURSE_EN)}), n),
-        "hedgeDensity": per(hedges * 100, words),
-        "nominalizationDensity": per((shaped(text, lang, L.NOMINAL) + shaped(text, lang, L.PASSIVE)) * 100.0, words),
-        "paragraphCv": T.variation(F.transform(par, T.n_words)),
-        "openerRepeat": per(T.repeats(opener), n),
-        "ngramRepeat": ngram_repeat(F.regexp_extract_all(lower, F.lit(T.WORD), F.lit(0))),
-        "abstractShare": per(shaped(text, lang, L.ABSTRACT), words),
-        "dashShare": per(dash, dash + T.count(clean, "[,:;(]")),
-        "punctInventory": per(inventory(text), n),
-        "longSentences": per(F.size(F.filter(lens, lambda x: x >= 35)), F.size(lens)),
-        "triadShare": per(F.size(F.filter(ss, lambda s: s.rlike(TRIAD))), n),
-    }
-
+from lexiflow.operators.scores import FACTS, per_text
 
 def metrics_wide(docs: DataFrame) -> DataFrame:
     """doc_id, language, n_words, n_sentences and a column for each metric; null where it can't be measured."""
-    text = F.col("_text")
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
-    base = T.once(base, "doc_id", _text=text, language=T.language(text), n_words=T.n_words(text).cast("long"), _sentences=T.flat_sentences(text))
-    return base.select("doc_id", "language", "n_words", F.size("_sentences").cast("long").alias("n_sentences"), *(c.cast("double").alias(k) for k, c in metric_columns(text).items()))
+    return per_text(docs, M.measured, FACTS | dict.fromkeys(M.METRICS, pa.float64()))
 
 
 def metrics_tall(wide: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from lexiflow.functions import lexicon as L
 from lexiflow.functions import text as T
 from lexiflow.operators import candidates, cleaning, edits, evidence, references, report, scores, spans, structure
 from lexiflow.plans import sql
-from lexiflow.session import spread
+from lexiflow.session import spread, stash
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -93,7 +93,7 @@ def calibration_percentiles(spark, sf_dir):
 from t a join t b on b.doc_id = a.doc_id + 1 and b.metric_id = a.metric_id where abs(b.value - a.value) >= 1e-4""")
 def report_diff_join(spark, sf_dir):
     """Each document against the next one."""
-    tall = _tall(spark, sf_dir)
+    tall = stash(_tall(spark, sf_dir))
     return report.report_diff(tall, tall.withColumn("doc_id", F.col("doc_id") - 1))
 
 
@@ -252,7 +252,7 @@ def benchmark_overlap_ngrams(spark, sf_dir):
     grams = T.let(ws, lambda w: F.when(F.size(w) >= 5, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.array_join(F.slice(w, i, 5), " ")))))
     one = lambda df, key: df.select(key, F.explode(grams).alias("g"))
     d, b = one(documents(spark, sf_dir), "doc_id"), one(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id")
-    return d.join(b, "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    return d.join(stash(b), "g").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
 @query()
