@@ -1,11 +1,12 @@
 """Sources: files of many formats as text, read with binaryFile and decoded where needed.
 
-Plain formats stay in the JVM; packages and markup go through Arrow batches. A file that can't
-be read gives an ``error`` instead of failing the job.
+Contents go through Arrow batches, in one scan; of files that are refused only the listing is read. A
+file that can't be read gives an ``error`` instead of failing the job.
 """
 
 from __future__ import annotations
 
+import datetime
 import io
 import re
 import zipfile
@@ -25,13 +26,6 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, "\\.([^./]+)$", 1))
 
 
-def decoded(content: Column) -> Column:
-    """Strict UTF-8, else windows-1251, which ``decode`` lacks: Latin-1 with its upper half mapped."""
-    upper = bytes(b for b in range(128, 256) if b != 0x98)
-    cyrillic = F.translate(F.decode(content, "ISO-8859-1"), upper.decode("latin-1"), upper.decode("cp1251"))
-    return F.when(F.is_valid_utf8(content), F.decode(content, "UTF-8")).otherwise(cyrillic)
-
-
 def tidy(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[ \t]+\n", "\n"), "\n{3,}", "\n\n"))
 
@@ -100,6 +94,14 @@ def html_blocks(pages: DataFrame, key: str, column: str) -> DataFrame:
     return pages.select(F.col(key).cast("long"), column).mapInArrow(run, f"{key} long, pos int, type string, text string")
 
 
+def decode_bytes(raw: bytes) -> str:
+    """Plain text: UTF-8 if it is that, else windows-1251, whose one free byte stands for itself."""
+    try:
+        return raw.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return raw.decode("cp1251", "surrogateescape").replace("\udc98", "\x98")
+
+
 def rtf_text(raw: bytes) -> str:
     """Text of an RTF file: escapes, paragraphs, tabs; groups of tables and controls go."""
     s = re.sub(r"{\\(?:fonttbl|colortbl|stylesheet|info|\*)[^{}]*(?:{[^{}]*}[^{}]*)*}", "", raw.decode("latin-1"))
@@ -160,20 +162,73 @@ def epub_text(raw: bytes) -> str:
     return "\n\n".join(t for n in names for _, t in html_parts(z.read(n).decode("utf-8", "replace")))
 
 
+def _column(reference: str) -> int:
+    """The number from 0 of the column that a cell reference names, or -1."""
+    n = 0
+    for c in re.match("[A-Z]*", reference)[0]:
+        n = 26 * n + ord(c) - 64
+    return n - 1
+
+
+#: Number formats of the standard that show a date.
+DATE_FORMATS = frozenset((*range(14, 23), 27, 30, 36, *range(45, 48), 50, 57))
+
+
+def _dated_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show a date."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = _xml(z.read("xl/styles.xml"))
+    own = {int(e.get("numFmtId")) for e in root.iter() if _local(e) == "numFmt" and re.search("[dmyhs]", re.sub('"[^"]*"|\\[[^\\]]*\\]', "", e.get("formatCode", "")), re.I)}
+    formats = next((e for e in root if _local(e) == "cellXfs"), ())
+    return {k for k, e in enumerate(formats) if int(e.get("numFmtId", 0)) in own | DATE_FORMATS}
+
+
+def _as_date(value: str) -> str:
+    """A day number of a sheet as month/day/two-digit year."""
+    day = datetime.datetime(1899, 12, 30) + datetime.timedelta(days=float(value))
+    return f"{day.month}/{day.day}/{day.year % 100:02d}"
+
+
+def _csv_cell(value: str) -> str:
+    return '"' + value.replace('"', '""') + '"' if re.search('[\t\n"]', value) else value
+
+
 def xlsx_text(raw: bytes) -> str:
+    """Every sheet as tab-separated rows under its name, cells where their references put them; empty sheets are left out."""
     z = _package(raw)
-    shared = [] if "xl/sharedStrings.xml" not in z.namelist() else ["".join(e.itertext()) for e in _xml(z.read("xl/sharedStrings.xml")) if _local(e) == "si"]
-    names = [e.get("name", "") for e in _xml(z.read("xl/workbook.xml")).iter() if _local(e) == "sheet"]
+    shared = [] if "xl/sharedStrings.xml" not in z.namelist() else ["".join(t.text or "" for t in e.iter() if _local(t) == "t") for e in _xml(z.read("xl/sharedStrings.xml")) if _local(e) == "si"]
+    dated = _dated_styles(z)
+    targets = {}
+    if "xl/_rels/workbook.xml.rels" in z.namelist():
+        targets = {e.get("Id"): e.get("Target", "") for e in _xml(z.read("xl/_rels/workbook.xml.rels"))}
     out = []
-    for title, part in zip(names, _numbered(z, r"xl/worksheets/sheet(\d+)\.xml"), strict=False):
-        rows = []
+    for k, sheet in enumerate((e for e in _xml(z.read("xl/workbook.xml")).iter() if _local(e) == "sheet"), 1):
+        target = targets.get(next((v for a, v in sheet.attrib.items() if a.endswith("}id")), ""), f"worksheets/sheet{k}.xml")
+        part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+        if part not in z.namelist():
+            continue
+        rows: dict[int, dict[int, str]] = {}
         for row in (e for e in _xml(z.read(part)).iter() if _local(e) == "row"):
-            cells = []
+            at = int(row.get("r") or max(rows, default=0) + 1)
+            cells = rows.setdefault(at, {})
             for c in (e for e in row if _local(e) == "c"):
-                value = next((v.text or "" for v in c if _local(v) == "v"), "".join(c.itertext()))
-                cells.append(shared[int(value)] if c.get("t") == "s" and value.isdigit() else value)
-            rows.append("\t".join(cells))
-        out.append(f"[{title}]\n" + "\n".join(rows))
+                column = _column(c.get("r", ""))
+                value = next((v.text or "" for v in c if _local(v) == "v"), "".join(t.text or "" for t in c.iter() if _local(t) == "t"))
+                if c.get("t") == "s" and value.isdigit() and int(value) < len(shared):
+                    value = shared[int(value)]
+                elif c.get("t") == "b":
+                    value = "TRUE" if value == "1" else "FALSE"
+                elif c.get("t") in (None, "n") and value and int(c.get("s") or 0) in dated:
+                    value = _as_date(value)
+                if value:
+                    cells[column if column >= 0 else max(cells, default=-1) + 1] = _csv_cell(value)
+        filled = {k: v for k, v in rows.items() if v}
+        if not filled:
+            continue
+        left, width = min(min(c) for c in filled.values()), max(max(c) for c in filled.values())
+        lines = ["\t".join(rows.get(k, {}).get(c, "") for c in range(left, width + 1)) for k in range(min(filled), max(filled) + 1)]
+        out.append(f"[{sheet.get('name', '')}]\n" + "\n".join(lines).strip())
     return "\n\n".join(out)
 
 
@@ -188,26 +243,28 @@ READERS: dict[str, Callable[[bytes], str]] = {
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(path, extension, text, error): every file below ``path``; unknown extensions are read as plain text."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    files = files.select("path", extension(F.col("path")).alias("extension"), "length", "content")
-    refused = F.when(F.col("length") > MAX_FILE, "the file is too large").when(F.col("extension") == "doc", "legacy Word files are not read").when(F.col("extension") == "pdf", "no PDF reader is installed")
-    files = files.withColumn("error", refused)
-    plain = files.where(~F.col("extension").isin(*READERS)).select("path", "extension", F.when(F.col("error").isNull(), decoded(F.col("content"))).alias("text"), "error")
+    named = files.withColumn("extension", extension(F.col("path")))
+    # only the listing of what is refused is read
+    reasons = {"doc": "legacy Word files are not read", "pdf": "no PDF reader is installed"}
+    refused = F.when(F.col("length") > MAX_FILE, "the file is too large")
+    for kind, why in reasons.items():
+        refused = refused.when(F.col("extension") == kind, why)
+    bad = named.where((F.col("length") > MAX_FILE) | F.col("extension").isin(*reasons)).select("path", "extension", F.lit(None).cast("string").alias("text"), refused.alias("error"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, errors = [], []
-            for ext, raw, error in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                text = None
-                if error is None:
-                    try:
-                        text = READERS[ext](raw)
-                    except Exception as e:  # one bad file is a row, not a failed job
-                        error = f"{type(e).__name__}: {e}"[:200]
+            for ext, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                text = error = None
+                try:
+                    text = READERS.get(ext, decode_bytes)(raw)
+                except Exception as e:  # one bad file is a row, not a failed job
+                    error = f"{type(e).__name__}: {e}"[:200]
                 texts.append(text)
                 errors.append(error)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["path", "extension", "text", "error"])
 
-    rich = files.where(F.col("extension").isin(*READERS)).select("path", "extension", "content", "error").mapInArrow(run, "path string, extension string, text string, error string")
-    both = plain.unionByName(rich).withColumn("text", tidy(F.col("text")))
+    good = named.where((F.col("length") <= MAX_FILE) & ~F.col("extension").isin(*reasons)).select("path", "extension", "content")
+    both = good.mapInArrow(run, "path string, extension string, text string, error string").unionByName(bad).withColumn("text", tidy(F.col("text")))
     empty = F.col("error").isNull() & (F.coalesce("text", F.lit("")) == "")
     return both.withColumn("error", F.when(empty, "the file has no text").otherwise(F.col("error")))
