@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiflow.functions.text import strip
+
 MAX_FILE, MAX_EXPANDED = 20 << 20, 64 << 20
 TEXT = ["txt", "md", "markdown", "rst", "log", "csv", "tsv", "json", "jsonl", "yaml", "yml", "ini", "cfg", "conf", "tex", "srt", "vtt"]
 
@@ -27,7 +29,7 @@ def extension(path: Column) -> Column:
 
 
 def tidy(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[ \t]+\n", "\n"), "\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), "[ \t]+\n", "\n"), "\n{3,}", "\n\n"))
 
 
 class _Blocks(HTMLParser):
