@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexiflow.functions import lexicon as L
 from lexiflow.functions import text as T
 from lexiflow.operators import documents as docs_
-from lexiflow.operators import edits, elicit, passes, references, report, rewriting, selection, spans
+from lexiflow.operators import edits, elicit, layout, passes, references, report, rewriting, selection, spans
 from lexiflow.plans import sql
 from lexiflow.plans.registry import _TALL, _tall, documents, query
 
@@ -31,6 +31,8 @@ for _name, _operator in {
     "replacement_options": rewriting.option_rows, "rewrite_documents": rewriting.rewritten_documents, "humanize_documents": rewriting.humanized_documents,
     "revise_documents": rewriting.revised_documents, "paragraph_questions": elicit.questions, "candidate_set": selection.candidate_rows,
     "improved_documents": selection.improved_documents, "polished_documents": selection.polished_documents, "sentence_reorders": selection.reorder_rows,
+    "document_segments": layout.segment_rows, "section_readiness": layout.readiness, "inferred_sections": layout.inferred_sections,
+    "arranged_documents": layout.arranged_documents, "work_pieces": layout.work_pieces,
 }.items():
     _one(_name, _operator)
 for _kind in passes.METHOD:
