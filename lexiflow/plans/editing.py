@@ -10,6 +10,7 @@ from lexiflow.operators import documents as docs_
 from lexiflow.operators import edits, elicit, layout, passes, references, report, rewriting, selection, spans
 from lexiflow.plans import sql
 from lexiflow.plans.registry import _TALL, _tall, documents, query
+from lexiflow.session import spread
 
 _TEXTS = "select doc_id, coalesce(text, '') as t from documents"
 
@@ -167,3 +168,20 @@ def frozen_edits(spark, sf_dir):
     d = documents(spark, sf_dir)
     raw = passes._mapped(d, "doc_id long, start long, end long", lambda i, t: [(i, e.start, e.end) for e in passes.reduction(passes.Draft(t))])
     return spans.outside_ranges(raw, references.reference_ranges(d).select("doc_id", "start", "end"))
+
+
+@query()
+def page_blocks(spark, sf_dir):
+    """The blocks of every web page."""
+    from lexiflow.sources.pasted import page_blocks as blocks
+
+    return blocks(spread(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
+@query()
+def document_packages(spark, sf_dir):
+    """Every document as a Word package, read again: its blocks by kind."""
+    from lexiflow.sources.packages import docx_blocks, docx_files
+
+    files = docx_files(docs_.structured_blocks(documents(spark, sf_dir)).select("doc_id", "pos", "type", "level", F.when(F.col("type") == "paragraph", F.col("text")).otherwise(F.coalesce(F.nullif("text", F.lit("")), "title")).alias("text")))
+    return docx_blocks(files.selectExpr("cast(doc_id as string) as path", "content")).groupBy("path", "type").agg(F.count("*").alias("n"))
