@@ -350,7 +350,7 @@ COLOURS = {
     "black": "#000000", "white": "#ffffff", "red": "#ff0000", "blue": "#0000ff", "green": "#008000", "gray": "#808080", "grey": "#808080", "silver": "#c0c0c0",
     "navy": "#000080", "yellow": "#ffff00", "transparent": "transparent",
 }
-LENGTH = "[0-9]+(?:\\.[0-9]+)?(?:px|pt|cm|mm|in|%|em|rem)"
+LENGTH = "(?:0|[0-9]+(?:\\.[0-9]+)?(?:pt|px|cm|mm|in|%))"
 
 
 def plain_colour(value: str | None) -> str | None:
