@@ -13,11 +13,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexiflow.llm import common, html_extract, licenses, ngram_join, phrase_dedup, queries, secrets, suffix_dedup
+from lexiflow.llm import common, html_extract, licenses, ngram_join, phrase_dedup, queries, repeats, secrets, suffix_dedup
 from lexiflow.llm.bpe import Bpe, bpe_codec
 from lexiflow.llm.exact_dedup import exact_dedup
 from lexiflow.llm.mixing import LANGUAGES, SOURCES, TOPICS, calibrate, mix, rake
 from lexiflow.llm.quality_rules import LineRules, quality_rules
+from lexiflow.session import stash
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid string, kept string, n_words string, spans string"
@@ -64,6 +65,56 @@ def test_suffix_dedup(docs, change):
     assert got == brute.suffix_dedup([t for _, t in awkward()], w.length)
 
 
+@pytest.mark.parametrize("size", [700, 5000])
+def test_long_texts_in_segments(spark, size, monkeypatch):
+    """Texts cut into segments give the same keys, runs and sets as whole ones."""
+    r = random.Random(size)
+    words = [r.choice(["alpha", "be", "gämma", "d", "epsilonn"]) + str(r.randint(0, 9)) for _ in range(4000)]
+    text = " ".join(words) + "\t" + " \n ".join(words[500:1500])
+    raw = text.encode()
+    for unit, length in (("byte", 400), ("word", 20), ("word", 5)):
+        units = raw.split() if unit == "word" else raw
+        seen = []
+        for at, part in repeats.segments_of(raw, unit, length, size):
+            own = part.split() if unit == "word" else part
+            assert own == units[at : at + len(own)]
+            seen += range(at, at + len(own) - length + 1)
+        assert seen == list(range(len(units) - length + 1))
+    whole = list(ngram_join.shingle_sets([raw, b"", b"a b", raw[:3000]], 5))
+    monkeypatch.setattr(repeats, "SEGMENT", size)
+    assert [s.tolist() for s in ngram_join.shingle_sets([raw, b"", b"a b", raw[:3000]], 5)] == [s.tolist() for s in whole]
+
+
+def near_copies(spark, n: int, size: int = 60):
+    """One text of ``size`` words in ``n`` copies, each with a word of its own in another place."""
+    base = [f"w{k}" for k in range(size)]
+    rows = [(k, " ".join(base[: k % 50] + [f"own{k}"] + base[k % 50 :])) for k in range(n)]
+    return spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+
+
+def test_parts_of_a_hot_group_grow_in_proportion(spark, monkeypatch):
+    made = []
+    whole = repeats._parts
+    monkeypatch.setattr(repeats, "_parts", lambda *a: (made.append(out := stash(whole(*a))), out)[1])
+    sizes = []
+    for n in (200, 400, 800):
+        made.clear()
+        phrase_dedup.phrase_dedup(near_copies(spark, n), replace(phrase_dedup.WORDS, hot=20)).count()
+        sizes.append(sum(m.count() for m in made))
+        assert all("data" not in m.columns for m in made)
+    assert sizes[0] > 0 and sizes[2] < 2.6 * sizes[1] and sizes[1] < 2.6 * sizes[0]
+
+
+def test_marks_come_through_shards(spark, monkeypatch):
+    """The verdict on every marked window is the suffix order's, or the automaton's."""
+    docs = near_copies(spark, 60, 300).unionByName(near_copies(spark, 3, 300).withColumn("doc_id", F.col("doc_id") + 1000))
+    for module, run in ((phrase_dedup, phrase_dedup.phrase_dedup), (suffix_dedup, suffix_dedup.suffix_dedup)):
+        assert run(docs).agg(F.sum("n_removed")).first()[0] > 0
+        blind = lambda p, w: [(np.zeros(n, bool), np.zeros(n, bool)) for n in p.windows]
+        monkeypatch.setattr(module, "shard_masks", blind)
+        assert run(docs).agg(F.sum("n_removed")).first()[0] == 0
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_corpus_order(seed):
     r = random.Random(seed)
@@ -111,6 +162,21 @@ def test_exact_dedup(docs, block):
         assert r.text_sha256 == brute.sha((t or "").encode())
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01"), reason="needs the generated tables")
+def test_rules_work_on_a_real_table(spark):
+    """Blocks decide equal texts by pairs too, and the line rule fires and rejects."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = exact_dedup(table).collect()
+    texts = {r.doc_id: r.text or "" for r in table.collect()}
+    groups: dict = {}
+    for i, t in texts.items():
+        groups.setdefault(t, []).append(i)
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in rows} == {i: (max(g), len(g), i == max(g)) for g in groups.values() for i in g}
+    assert any(len(g) > 1 and len(t.encode()) > 512 for t, g in groups.items())
+    judged = quality_rules(table)
+    assert judged.where("boiler_words > 0").count() > 0 and judged.where("boiler_words > 0 and not kept and not base_failed").count() >= 0
+
+
 def test_quality_rules(docs):
     rules = LineRules(max_docs=2)
     rows = quality_rules(docs, rules=rules).orderBy("rid").collect()
@@ -196,6 +262,20 @@ def test_bpe_is_the_library(docs):
     assert [bytes(r.ids_le) for r in rows] == [x for x, _ in got][: len(rows)]
 
 
+def test_bpe_of_long_words_is_the_library():
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary()
+    ours, theirs = Bpe(path), Tokenizer.from_file(path)
+    r = random.Random(1)
+    words = ["".join(r.choice(a) for _ in range(n)) for a in ("ab", "abcdefghij", "éüß日本x", "a") for n in (129, 300, 2500)]
+    for w, (ids, _) in zip(words, ours.encode_batch(words), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == theirs.encode(w, add_special_tokens=False).ids
+    began = time.perf_counter()
+    ours.encode_batch(["".join(r.choice("abcde") for _ in range(40_000))])
+    assert time.perf_counter() - began < 10
+
+
 def test_secrets(spark):
     texts = [None, "", 'PassWord = "abc123"', "token: ab", "api_key=zzzzzz apikey:  'yyyyyyy", "AKIA" + "A" * 16 + " AKIA1", "f" * 24 + "g" + "0" * 23, "ghp_" + "a" * 36, "ſecret: abcdef"]
     rows = secrets.secret_spans(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()
@@ -280,6 +360,21 @@ def test_row_numbers_do_not_follow_splits(spark, tmp_path):
     assert parts[0] != parts[1] and len(seen[0]) == 20_000 and seen[0] == seen[1]
 
 
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_extra_columns_with_our_names(spark):
+    names = "n_words string, spans string, labels string, score string, rid string, text_2 string, n_base string, host string"
+    docs = spark.createDataFrame([(1, "under the mit license", *"abcdefgh"), (None, None, *[None] * 8)], "doc_id long, text string, " + names)
+    assert {r.labels for r in licenses.license_scan(docs).collect()} == {"mit", ""}
+    assert sorted(len(r.spans) for r in secrets.secret_spans(docs).collect()) == [0, 0]
+    assert bpe_codec(docs, queries.vocabulary()).count() == 2 and ngram_join.ngram_components(docs).count() == 2
+
+
 def test_near_keeps_one_of_each_group_whatever_the_ids(spark, tmp_path):
     """Unrelated texts without ids, and unrelated texts that share an id, all stay."""
     import corpus_pipeline
