@@ -59,6 +59,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return named
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there goes when the driver ends."""
+    path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _STASHED:
+        atexit.register(_sweep)
+    _STASHED.append((spark, path))
+    return path
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there.
 
@@ -66,11 +75,8 @@ def stash(df: DataFrame) -> DataFrame:
     facts on disk, so a lost executor can't change them. Files go when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/lexiflow-{uuid.uuid4().hex}"
+    path = scratch(spark, "lexiflow")
     df.write.parquet(path)
-    if not _STASHED:
-        atexit.register(_sweep)
-    _STASHED.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
