@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from lexiflow.llm.mixing import mix
 from lexiflow.llm.ngram_join import ngram_components
 from lexiflow.llm.quality_rules import clean_rows
 from lexiflow.llm.queries import vocabulary
-from lexiflow.session import scratch_dir, stash
+from lexiflow.session import scratch, stash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -62,8 +60,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet in the shared folder and read again."""
-    folder = f"{scratch_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``, each written as Parquet in the shared folder, which goes when the driver ends, and read again."""
+    folder = scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
