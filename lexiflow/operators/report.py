@@ -70,6 +70,7 @@ def overshoot_warnings(wide: DataFrame, zones: DataFrame | None = None) -> DataF
 
 
 def status_counts(tall: DataFrame) -> DataFrame:
+    """(doc_id, n_<status>...): how many metrics of a document have each status; a null status counts as none."""
     return tall.groupBy("doc_id").agg(*(F.count_if(F.col("status") == s).alias(f"n_{s}") for s in ("ok", "low", "high", "overshoot", "unknown")))
 
 

@@ -53,6 +53,7 @@ def anchor_value(value: Column) -> Column:
 
 
 def anchor_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, type, n): how many anchors of each type a text has; null and empty texts have no rows."""
     return anchors(docs).groupBy("doc_id", "type").agg(F.sum("n").alias("n"))
 
 

@@ -11,9 +11,19 @@ def segments(blocks: DataFrame, boundary: Column, key: str = "doc_id", order: st
     return blocks.withColumn("segment", F.sum(F.when(boundary, 1).otherwise(0)).over(Window.partitionBy(key).orderBy(order)))
 
 
-def number_captions(blocks: DataFrame, key: str = "doc_id", kind: str = "kind", order: str = "pos") -> DataFrame:
-    """``blocks`` with ``number``: counted per document and kind."""
-    return blocks.withColumn("number", F.row_number().over(Window.partitionBy(key, kind).orderBy(order)))
+def number_captions(blocks: DataFrame, key: str = "doc_id", kind: str = "kind", order: str = "pos", number: str = "number") -> DataFrame:
+    """``blocks`` with every ``number`` filled in per document and kind.
+
+    Numbers that are there stay, as texts refer to them; the others take the free ones in order. Numbers are
+    strings; one that is no plain integer, like 2.1, stays and takes no integer away.
+    """
+    per = Window.partitionBy(key, kind)
+    bare = F.coalesce(F.col(number).cast("string"), F.lit("")) == ""
+    used = F.collect_set(F.when(F.col(number).cast("string").rlike("^[0-9]{1,9}$"), F.col(number).cast("int"))).over(per)
+    nth = F.sum(F.when(bare, 1).otherwise(0)).over(per.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")
+    free = F.array_except(F.sequence(F.lit(1), F.col("_nth") + F.size("_used") + 1), F.col("_used"))
+    filled = F.when(bare, F.element_at(free, F.greatest(F.col("_nth"), F.lit(1))).cast("string")).otherwise(F.col(number).cast("string"))
+    return blocks.withColumns({"_used": used, "_nth": nth}).withColumn(number, filled).drop("_used", "_nth")
 
 
 def missing(required: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
@@ -27,6 +37,7 @@ def reference_gaps(docs: DataFrame, declared: str, mentioned: str) -> DataFrame:
 
 
 def block_counts(blocks: DataFrame, kinds: list[str], key: str = "doc_id") -> DataFrame:
+    """(key, n_<kind>...): how many blocks of each kind a document has; null types count as none of them, a null key is a group."""
     return blocks.groupBy(key).agg(*(F.count_if(F.col("type") == k).alias(f"n_{k}") for k in kinds))
 
 
