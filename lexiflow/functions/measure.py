@@ -22,6 +22,7 @@ _WORD, _FIRST = re.compile("[\\w-]+"), re.compile("(?:[^\\W_]|-)+")
 _RANGE, _RANGE_ANY = (re.compile(f"[0-9]{_GAP}*[{d}]{_GAP}*[0-9]") for d in ("—–", "—–-"))
 _CONNECTOR = re.compile(f"[—–]|(?<={_GAP})-(?={_GAP})")
 _AFTER, _BLANK, _PART, _LINES = re.compile(f"(?<=[.!?…]){_GAP}+"), re.compile(f"^{_GAP}+|{_GAP}+$"), re.compile("\n{2,}"), re.compile("\n+")
+_ITEM = re.compile(f"(?:[-*•▪◦]|[0-9]+[.)]){_GAP}+")
 _LETTERS = "[^\\W\\d_]"
 _NO_LETTERS = re.compile(f"^(?:(?!{_LETTERS})[\\s\\S])+")
 _TRIAD = re.compile(f"[^,;:()]{{3}},[^,;:()]{{3,}},{_GAP}*(?:and|or|и|или|а также){_GAP}", re.I)
@@ -138,7 +139,8 @@ def repeated_share(words: list[str], size: int = 4) -> float:
 
 
 def measured(text: str) -> dict:
-    """language, n_words, n_sentences and every metric of a text; None where it can't be measured."""
+    """language, n_words, n_sentences, every metric of a text (None where it can't be measured), and beside them
+    the longest sentence's words, the spread of list items, and whether three or more of them are even."""
     lang, lower = P.language(text), text.lower()
     ss = [s for x in _AFTER.split(_LINES.sub(" ", text)) if (s := strip(x))]
     par = [s for x in _PART.split(text) if (s := strip(x))]
@@ -150,9 +152,11 @@ def measured(text: str) -> dict:
     nominal, abstract = (sum(c for s, c in shapes.items() if s[k]) for k in (0, 1))
     openers = Counter(" ".join(found) for s in ss if (found := [m[0] for m in islice(_FIRST.finditer(s.lower()), 2)]))
     dash = dashes(text)
+    items = spread([n_words(x) for x in lines]) if len(lines := [x for x in map(strip, text.split("\n")) if _ITEM.match(x)]) >= 3 else None
     plain = _RANGE.sub("", text) if dash or any(c in text for c in "—–") else text
     return {
         "language": lang, "n_words": words, "n_sentences": n,
+        "longest": max(lens, default=0), "list_cv": items, "even_list": items is not None and items < 0.15,
         "sentenceCv": spread(lens),
         "shortPerParagraph": per(sum(x < 6 for x in lens), len(par)),
         "discourseShare": per(_linked(ss, lang), n),

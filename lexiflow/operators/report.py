@@ -12,8 +12,8 @@ from lexiflow.operators import spans
 from lexiflow.operators.scores import FACTS, per_text
 
 def metrics_wide(docs: DataFrame) -> DataFrame:
-    """doc_id, language, n_words, n_sentences and a column for each metric; null where it can't be measured."""
-    return per_text(docs, M.measured, FACTS | dict.fromkeys(M.METRICS, pa.float64()))
+    """doc_id, language, n_words, n_sentences, longest, list_cv, even_list and a column for each metric; null where it can't be measured."""
+    return per_text(docs, M.measured, FACTS | {"longest": pa.int64(), "list_cv": pa.float64(), "even_list": pa.bool_()} | dict.fromkeys(M.METRICS, pa.float64()))
 
 
 def metrics_tall(wide: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def per_text(docs: DataFrame, one: Callable[[str], dict], kinds: dict[str, pa.Da
             found = [one(t) for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), *(pa.array([f[k] for f in found], v) for k, v in kinds.items())], names=["doc_id", *kinds])
 
-    ddl = {pa.string(): "string", pa.int64(): "long", pa.float64(): "double"}
+    ddl = {pa.string(): "string", pa.int64(): "long", pa.float64(): "double", pa.bool_(): "boolean"}
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, " + ", ".join(f"{k} {ddl[v]}" for k, v in kinds.items())
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
 

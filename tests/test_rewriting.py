@@ -158,3 +158,9 @@ def test_tables(spark):
         assert f(docs.limit(0)).count() == 0
     assert R.document_variants(docs).count() >= 3 and R.option_rows(docs).where("doc_id = 2").count() == 0
     assert elicit.questions(docs).where("doc_id = 2").count() == 0 and elicit.checklist(docs).count() == 18 and elicit.terminology(docs).count() >= 0
+
+
+def test_lists_and_long_sentences_are_told():
+    m = M.measured("- one two\n- two three\n- four five\n\nHere are five words now.")
+    assert m["even_list"] and m["list_cv"] == 0.0 and m["longest"] == 14
+    assert M.measured("")["list_cv"] is None and not M.measured("- a")["even_list"] and M.measured("")["longest"] == 0
