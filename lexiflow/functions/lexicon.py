@@ -88,6 +88,27 @@ ZONES = {
         "triadShare": (None, 0.207, 0.331),
     },
 }
+# Zones (low, high, overshoot) of the other genres, for either language.
+GENRE_ZONES = {
+    "tech-post": {
+        "sentenceCv": (0.5, 0.85, 1.2), "shortPerParagraph": (0.5, 2, 3), "discourseShare": (None, 0.12, 0.4), "hedgeDensity": (None, 2, 5),
+        "nominalizationDensity": (None, 8, 18), "paragraphCv": (0.3, 1, 1.4), "openerRepeat": (0.1, 0.3, 0.6), "ngramRepeat": (0.01, 0.06, 0.15),
+        "abstractShare": (None, 0.08, 0.15), "dashShare": (None, 0.35, 0.5), "punctInventory": (0.15, 2.5, 4), "longSentences": (0.02, 0.35, 0.5),
+        "triadShare": (None, 0.2, 0.35),
+    },
+    "note": {
+        "sentenceCv": (0.5, 0.95, 1.3), "shortPerParagraph": (0.5, 2.5, 3.5), "discourseShare": (None, 0.12, 0.4), "hedgeDensity": (None, 2.5, 6),
+        "nominalizationDensity": (None, 7, 16), "paragraphCv": (0.3, 1.1, 1.5), "openerRepeat": (0.1, 0.35, 0.6), "ngramRepeat": (0.01, 0.07, 0.16),
+        "abstractShare": (None, 0.07, 0.14), "dashShare": (None, 0.4, 0.55), "punctInventory": (0.2, 3, 4.5), "longSentences": (0, 0.2, 0.35),
+        "triadShare": (None, 0.25, 0.4),
+    },
+    "landing": {
+        "sentenceCv": (0.5, 1, 1.4), "shortPerParagraph": (0.8, 3, 4), "discourseShare": (None, 0.1, 0.35), "hedgeDensity": (None, 1, 3),
+        "nominalizationDensity": (None, 6, 14), "paragraphCv": (0.3, 1.2, 1.6), "openerRepeat": (0.1, 0.3, 0.6), "ngramRepeat": (0.01, 0.08, 0.18),
+        "abstractShare": (None, 0.06, 0.12), "dashShare": (None, 0.4, 0.55), "punctInventory": (0.2, 3, 4.5), "longSentences": (0, 0.2, 0.35),
+        "triadShare": (None, 0.25, 0.4),
+    },
+}
 # Metrics for which less is better, and those that need 120 words and 5 sentences.
 DOWNWARD = ["discourseShare", "hedgeDensity", "nominalizationDensity", "abstractShare", "dashShare", "triadShare"]
 NEEDS_MATERIAL = ["sentenceCv", "shortPerParagraph", "paragraphCv", "openerRepeat", "ngramRepeat", "punctInventory", "longSentences", "triadShare"]

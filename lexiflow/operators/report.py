@@ -16,11 +16,11 @@ def metrics_wide(docs: DataFrame) -> DataFrame:
     return per_text(docs, M.measured, FACTS | {"longest": pa.int64(), "list_cv": pa.float64(), "even_list": pa.bool_()} | dict.fromkeys(M.METRICS, pa.float64()))
 
 
-def metrics_tall(wide: DataFrame) -> DataFrame:
-    """One row per document and metric with its zone and status: unknown, low, high, overshoot or ok."""
+def metrics_tall(wide: DataFrame, genre: str = "academic") -> DataFrame:
+    """One row per document and metric with its genre's zone and status: unknown, low, high, overshoot or ok."""
     names = list(L.ZONES["en"])
     tall = wide.unpivot(["doc_id", "language", "n_words", "n_sentences"], names, "metric_id", "value")
-    zones = zone_table(wide.sparkSession)
+    zones = zone_table(wide.sparkSession, genre=genre)
     v = F.col("value")
     thin = F.col("metric_id").isin(L.NEEDS_MATERIAL) & ((F.col("n_words") < 120) | (F.col("n_sentences") < 5))
     down = F.col("metric_id").isin(L.DOWNWARD)
@@ -39,12 +39,13 @@ def metrics_tall(wide: DataFrame) -> DataFrame:
 TRUSTED_FROM = 100
 
 
-def zone_table(spark: SparkSession, overlay: DataFrame | None = None) -> DataFrame:
-    """(language, metric_id, low, high, overshoot): the zones, with those of ``overlay`` (language, metric_id, low, high, overshoot) in their place.
+def zone_table(spark: SparkSession, overlay: DataFrame | None = None, genre: str = "academic") -> DataFrame:
+    """(language, metric_id, low, high, overshoot): the zones of a genre, with those of ``overlay`` (language, metric_id, low, high, overshoot) in their place.
 
     Bounds that an overlay leaves null stay; metrics that have no zone yet get none. A null language overlays both.
     """
-    zones = spark.createDataFrame([(lang, m, *z) for lang, t in L.ZONES.items() for m, z in t.items()], "language string, metric_id string, low double, high double, overshoot double")
+    tables = L.ZONES if genre == "academic" else dict.fromkeys(L.ZONES, L.GENRE_ZONES[genre])
+    zones = spark.createDataFrame([(lang, m, *(None if x is None else float(x) for x in z)) for lang, t in tables.items() for m, z in t.items()], "language string, metric_id string, low double, high double, overshoot double")
     if overlay is None:
         return zones
     names = ("low", "high", "overshoot")

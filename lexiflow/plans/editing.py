@@ -95,6 +95,17 @@ def calibration_trust(spark, sf_dir):
     return report.calibration_status(report.calibration(report.metrics_wide(documents(spark, sf_dir)))).select("language", "metric_id", "texts", "applied", "trustworthy")
 
 
+def _genre(genre: str) -> None:
+    def run(spark, sf_dir):
+        return report.metrics_tall(report.metrics_wide(documents(spark, sf_dir)), genre)
+
+    run.__name__, run.__doc__ = f"metrics_of_{genre.replace('-', '_')}", "The report by the zones of another genre."
+    query(sql.tall_sql(genre))(run)
+
+
+for _name in L.GENRE_ZONES:
+    _genre(_name)
+
 _PARTS = " union all ".join(f"select doc_id, {sql.q(p.title)} as part from d where not regexp_matches(t, {sql.q(p.found)})" for p in docs_.PARTS)
 
 

@@ -309,7 +309,8 @@ def anchor_proper_nouns(spark, sf_dir):
     return evidence.proper_nouns(documents(spark, sf_dir))
 
 
-@query()
+@query(rf"""with a as (select doc_id, sum(n) as n from ({_anchors_sql()}) group by doc_id), w as (select doc_id, len(regexp_extract_all(coalesce(text, ''), '[\p{{L}}\p{{N}}_-]+')) as w from documents)
+select doc_id, case when w > 0 then coalesce(n, 0) * 100.0::double / w end as value from w left join a using (doc_id)""")
 def metric_anchor_density(spark, sf_dir):
     return evidence.anchor_density(documents(spark, sf_dir))
 

@@ -130,11 +130,11 @@ select b.doc_id, lang as language, w::bigint as n_words, n::bigint as n_sentence
 {listed} from b left join r on r.doc_id = b.doc_id"""
 
 
-def tall_sql() -> str:
-    """Tall metrics with statuses."""
+def tall_sql(genre: str = "academic") -> str:
+    """Tall metrics with statuses, by the zones of a genre."""
     names = list(L.ZONES["en"])
     num = lambda x: "null" if x is None else str(x)
-    zones = ", ".join(f"({q(lang)}, {q(m)}, {num(a)}, {num(b)}, {num(c)})" for lang, t in L.ZONES.items() for m, (a, b, c) in t.items())
+    zones = ", ".join(f"({q(lang)}, {q(m)}, {num(a)}, {num(b)}, {num(c)})" for lang, t in (L.ZONES if genre == "academic" else dict.fromkeys(L.ZONES, L.GENRE_ZONES[genre])).items() for m, (a, b, c) in t.items())
     listed = " union all ".join(f'select doc_id, language, n_words, n_sentences, {q(m)} as metric_id, "{m}" as value from m' for m in names)
     down, thin = (", ".join(map(q, x)) for x in (L.DOWNWARD, L.NEEDS_MATERIAL))
     return f"""with m as ({metric_sql()}), z(language, metric_id, low, high, overshoot) as (values {zones}), t as ({listed})

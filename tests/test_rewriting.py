@@ -4,7 +4,7 @@ import random
 
 from lexiflow.functions import measure as M
 from lexiflow.functions import prose as P
-from lexiflow.operators import cleaning, elicit, scores
+from lexiflow.operators import cleaning, elicit, report, scores
 from lexiflow.operators import rewriting as R
 
 MACHINE = (
@@ -164,3 +164,11 @@ def test_lists_and_long_sentences_are_told():
     m = M.measured("- one two\n- two three\n- four five\n\nHere are five words now.")
     assert m["even_list"] and m["list_cv"] == 0.0 and m["longest"] == 14
     assert M.measured("")["list_cv"] is None and not M.measured("- a")["even_list"] and M.measured("")["longest"] == 0
+
+
+def test_zones_of_genres_and_overlays(spark):
+    zones = {(r.language, r.metric_id): (r.low, r.high, r.overshoot) for r in report.zone_table(spark, genre="note").collect()}
+    assert zones["en", "sentenceCv"] == zones["ru", "sentenceCv"] == (0.5, 0.95, 1.3)
+    over = spark.createDataFrame([("en", "sentenceCv", None, 9.0, None), (None, "sentenceCv", 0.1, 8.0, None), ("en", "none such", 1.0, 1.0, 1.0)], "language string, metric_id string, low double, high double, overshoot double")
+    got = {(r.language, r.metric_id): (r.low, r.high, r.overshoot) for r in report.zone_table(spark, over, "note").collect()}
+    assert got["en", "sentenceCv"] == (0.1, 9.0, 1.3) and got["ru", "sentenceCv"] == (0.1, 8.0, 1.3) and len(got) == len(zones)
