@@ -116,3 +116,37 @@ def volume(source: Column, candidate: Column, least: float = 0.85, most: float =
     """shrunk, grown or null: words of a candidate against its source's."""
     ratio = T.n_words(candidate) / T.n_words(source)
     return F.when(T.n_words(source) > 0, F.when(ratio < least, "shrunk").when(ratio > most, "grown"))
+
+
+# The similarity in meaning that a freer wording needs, and bounds of an author's profile and terms.
+SIMILAR = 0.86
+PROFILE = {"sentence_words": (1, 1000), "sentence_spread": (0, 20), "short_share": (0, 1), "paragraph_words": (1, 60_000)}
+PROFILE_WORDS, PROFILE_SENTENCES, TERM_LENGTH, TERMS = 200, 8, 80, 40
+
+
+def gated(pairs: DataFrame, a: str = "source_vector", b: str = "candidate_vector", terms: str | None = None) -> DataFrame:
+    """``pairs`` (source, candidate, and a vector of each) that pass the checks, with ``similarity`` and ``verified``.
+
+    ``verified`` tells that a candidate whose vocabulary differs means much the same; where it is false such a
+    candidate must keep the vocabulary. Null or unfit vectors verify nothing.
+    """
+    fine = check(pairs, terms=terms).where("ok").drop("ok", "reasons")
+    lang = T.language(F.col("source"))
+    moved = vocabulary(F.col("source"), lang) != vocabulary(F.col("candidate"), lang)
+    near = spans.cosine(F.col(a), F.col(b))
+    sure = near.isNotNull() & ~F.isnan(near) & (near >= SIMILAR) & (near <= 1)
+    return fine.withColumns({"similarity": near, "verified": F.coalesce(moved & sure, F.lit(False))})
+
+
+def valid_profiles(profiles: DataFrame) -> DataFrame:
+    """The rows of ``profiles`` (language, words, sentences and the measures of ``PROFILE``) that are fit to use; nulls and NaN are not."""
+    fit = F.col("language").isin("ru", "en") & (F.col("words") >= PROFILE_WORDS) & (F.col("sentences") >= PROFILE_SENTENCES)
+    for name, (low, high) in PROFILE.items():
+        fit = fit & ~F.isnan(F.col(name).cast("double")) & F.col(name).between(low, high)
+    return profiles.where(F.coalesce(fit, F.lit(False)))
+
+
+def plain_terms(terms: Column) -> Column:
+    """An array of terms trimmed, distinct, without marks of control or markup, of a bounded length and number."""
+    found = F.array_distinct(F.filter(F.transform(terms, T.strip), lambda t: t != ""))
+    return F.slice(F.filter(found, lambda t: (F.length(t) <= TERM_LENGTH) & ~t.rlike("[<>\\x00-\\x1f]")), 1, TERMS)

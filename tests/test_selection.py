@@ -79,3 +79,18 @@ def test_tables(spark):
     logits = spark.createDataFrame([(1, [0.0] * 21, [0.0] * 21, [0, 1, 2], 7), (2, [0.0] * 21, [0.0] * 14, [0, 1, 2], 7), (3, None, None, None, None)], "row_id long, observer array<double>, performer array<double>, ids array<int>, vocabulary int")
     got = {r.row_id: r.perplexity for r in S.logit_scores(logits).collect()}
     assert math.isclose(got[1], 7) and got[2] is None and got[3] is None
+
+
+def test_meaning_vouches_for_other_words(spark):
+    old, new = "The firm sold many useful books last summer.", "The firm sold many clever books last winter."
+    rows = [(1, old, new, [1.0, 0.0], [1.0, 0.1]), (2, old, new, [1.0, 0.0], [0.0, 1.0]), (3, old, new, None, [1.0, 0.0]), (4, old, old, [1.0], [1.0]), (5, old, "The firm never sold any books", [1.0], [1.0])]
+    pairs = spark.createDataFrame(rows, "i int, source string, candidate string, source_vector array<double>, candidate_vector array<double>")
+    assert {r.i: r.verified for r in candidates.gated(pairs).collect()} == {1: True, 2: False, 3: False, 4: False}
+
+
+def test_profiles_and_terms_are_checked(spark):
+    rows = [("en", 300, 10, 12.0, 0.5, 0.2, 80.0), ("en", 100, 10, 12.0, 0.5, 0.2, 80.0), ("de", 300, 10, 12.0, 0.5, 0.2, 80.0), ("ru", 300, 10, float("nan"), 0.5, 0.2, 80.0), ("ru", 300, 10, 12.0, 0.5, None, 80.0)]
+    frame = spark.createDataFrame(rows, "language string, words int, sentences int, sentence_words double, sentence_spread double, short_share double, paragraph_words double")
+    assert candidates.valid_profiles(frame).count() == 1
+    t = spark.createDataFrame([([" a ", "a", "", "<b>", "x" * 81, None, "c d"],), (None,)], "t array<string>")
+    assert [r.t for r in t.select(candidates.plain_terms(candidates.F.col("t")).alias("t")).collect()] == [["a", "c d"], None]
