@@ -2,29 +2,23 @@
 
 from __future__ import annotations
 
+# Verbs that contract with "not", and other words that contract, in order.
+NEGATED = "do does did is are was were can will would should could has have".split()
+SHORTENED = [("it", "is"), ("there", "is"), ("they", "are"), ("we", "are"), ("we", "will"), ("let", "us")]
+ENDINGS = {"is": "'s", "us": "'s", "are": "'re", "will": "'ll"}
+
+
+def _negated(verb: str) -> tuple[str, list[str]]:
+    """A contraction with "not" and what it stands for; "can" and "will" have forms of their own."""
+    stem = {"can": "ca", "will": "wo"}.get(verb, verb)
+    return f"{stem}n't", ["cannot" if verb == "can" else f"{verb} not"]
+
+
+CONTRACTIONS = [*map(_negated, NEGATED), *((a + ENDINGS[b], [f"{a} {b}"]) for a, b in SHORTENED)]
 # Patterns are bounded by words; capitals count where the last entry says so.
 PHRASES = {
     "en": [
-        ("don't", ["do not"]),
-        ("doesn't", ["does not"]),
-        ("didn't", ["did not"]),
-        ("isn't", ["is not"]),
-        ("aren't", ["are not"]),
-        ("wasn't", ["was not"]),
-        ("weren't", ["were not"]),
-        ("can't", ["cannot"]),
-        ("won't", ["will not"]),
-        ("wouldn't", ["would not"]),
-        ("shouldn't", ["should not"]),
-        ("couldn't", ["could not"]),
-        ("hasn't", ["has not"]),
-        ("haven't", ["have not"]),
-        ("it's", ["it is"]),
-        ("there's", ["there is"]),
-        ("they're", ["they are"]),
-        ("we're", ["we are"]),
-        ("we'll", ["we will"]),
-        ("let's", ["let us"]),
+        *CONTRACTIONS,
         ("it is important to note that", ["notably,", "importantly,"]),
         ("it should be noted that", ["notably,"]),
         ("it is worth noting that", ["notably,"]),
