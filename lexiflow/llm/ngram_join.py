@@ -15,16 +15,18 @@ other tokens for the sets that passed. Few but true near copies are left.
 Families: two sets that link share one of their first n - ceil(t n / 100) + 1 tokens in any
 order common to all sets. The order here is by hash, but tokens that are frequent in a bounded
 sample of the candidates come last; it only decides how much work there is. Connected
-components over shared first tokens are the families. No link can join two of them.
+components over shared first tokens are the families. No link can join two of them. Sets that link
+are of similar size, so a token only ties sets of neighbouring size bands: each set stands under
+its own band and the next. That keeps phrases that texts of all lengths share from chaining families.
 
 Scale: a part of each set is shuffled by token, pre-aggregated on the map side. Equal sets are
 one node, named by its first row, so names never clash. Text moves once, sets of candidates
-only. Links come back as spanning edges, never as all pairs. A family over ``family`` sets is
-no one task's work. Its sets are dealt to blocks of similar size, twice and differently, and
+only. Links come back as spanning edges, never as all pairs. A family over ``family`` tokens
+is no one task's work. It is dealt to blocks of sets of similar size, twice and differently, and
 each block is joined in itself; that grows large groups of copies together. What is in its
-family's largest group then need not meet others of that group, so only the remaining sets
-are paired with all blocks of compatible size. The work left is the number of such sets times
-the family, which is small where the family is one group of copies.
+family's largest group then need not meet others of that group, so only the remaining sets are
+paired with all blocks of compatible size. The work left is the number of such sets times the
+family, which is small where the family is one group of copies.
 """
 
 from __future__ import annotations
@@ -50,15 +52,15 @@ class Similar:
     """``gram`` words a shingle, links from ``percent`` of the union; ``share`` of the hash range that
     is counted for all; ``sample`` candidates, of
     which tokens with ``frequent`` or more (``last`` at most) come last in the order; ``family``
-    sets a task at most, ``bits`` of a bitmap, ``leaf`` sets a leaf, ``fan`` children a node."""
+    tokens a task at most (8 bytes each), ``bits`` of a bitmap, ``leaf`` sets a leaf, ``fan`` children a node."""
 
     gram: int = 5
     percent: int = 75
-    share: float = 0.34
+    share: float = 0.3
     sample: int = 10_000
     frequent: int = 6
     last: int = 50_000
-    family: int = 2_000
+    family: int = 6_000_000
     bits: int = 2048
     leaf: int = 16
     fan: int = 4
@@ -139,6 +141,16 @@ def prefix(s: np.ndarray, last: np.ndarray, percent: int) -> np.ndarray:
     return s[:n]
 
 
+def banded(s: np.ndarray, last: np.ndarray, percent: int) -> np.ndarray:
+    """A set's prefix under its size band and the next; sets whose sizes let them link share a band.
+
+    A band is a little wider than the sizes that link, so rounding can't part them.
+    """
+    first = prefix(s, last, percent)
+    band = int(math.log(max(1, len(s))) / (1.001 * math.log(100 / percent))) if percent < 100 else len(s)
+    return np.concatenate([_mixed(first + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) for k in (band, band + 1)])
+
+
 def _owned(docs: DataFrame, p: Similar) -> DataFrame:
     """(rid, own): tokens below ``p.share`` of the hash range that stand in this row alone."""
     cut = np.uint64(int(p.share * 2**64))
@@ -313,7 +325,7 @@ def _task(*parts) -> Column:
 
 def _joined(sets: DataFrame, members: DataFrame, p: Similar) -> DataFrame:
     """(a, b): spanning links of all ``members`` (sid, n, fam) of families."""
-    counts = stash(members.groupBy("fam").agg(F.count("*").alias("size")))
+    counts = stash(members.groupBy("fam").agg(F.sum("n").alias("size")))
     sized = members.join(counts, "fam")
     alone = F.lit(None).cast("boolean").alias("left")
     small = stash(sized.where(F.col("size") <= p.family).select(F.col("fam").cast("string").alias("task"), alone, F.col("sid").alias("grp"), "sid"))
@@ -328,7 +340,7 @@ def _joined(sets: DataFrame, members: DataFrame, p: Similar) -> DataFrame:
     for turn in (0, 1):
         band = F.floor((F.col("step") + 2 * turn) / 4).cast("int")
         rows = big.withColumn("band", band)
-        parts = stash(rows.groupBy("fam", "band").agg(F.ceil(F.count("*") / block).cast("long").alias("parts")))
+        parts = stash(rows.groupBy("fam", "band").agg(F.ceil(F.sum("n") / block).cast("long").alias("parts")))
         part = F.pmod(F.xxhash64("sid", F.lit(turn)), F.col("parts"))
         links = links.unionByName(_links(sets, stash(rows.join(parts, ["fam", "band"]).select(_task("fam", "band", part).alias("task"), alone, "grp", "sid")), p))
         big = _grouped(big, links)
@@ -344,7 +356,7 @@ def _grouped(big: DataFrame, links: DataFrame) -> DataFrame:
 
 def _pairs(big: DataFrame, reach: int, block: int) -> DataFrame:
     """(task, left, grp, sid): blocks of the ``rest`` of each family against each other and against blocks of its main group, by compatible size."""
-    parts = big.groupBy("fam", "rest", "step").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    parts = big.groupBy("fam", "rest", "step").agg(F.ceil(F.sum("n") / block).cast("int").alias("parts"))
     #: the steps of a family with their numbers of parts are a short list: sizes up to 1.15 ** 300
     around = stash(parts.groupBy("fam").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("rest", "step"), "parts"))).alias("parts")))
     dealt = big.join(around, "fam")
@@ -383,7 +395,7 @@ def ngram_components(docs: DataFrame, p: Similar = Similar()) -> DataFrame:
     same = stash(facts.where("n > 0").groupBy("sid", "sid2").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.count("*").alias("rows")))
     sets = _candidates(rows, same.select("rid", "n"), p)
     last = _frequent(sets, p)
-    tokens = _dealt(sets, lambda s: prefix(s, last, p.percent), True)
+    tokens = _dealt(sets, lambda s: banded(s, last, p.percent), True)
     ends = stash(tokens.groupBy("token").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b != top").select("token", "b"))
     fams = components(tokens.join(ends, "token").select(F.col("id").alias("a"), "b"))
     members = stash(sets.select("sid", "n").join(fams.select(F.col("node").alias("sid"), F.col("root").alias("fam")), "sid"))
