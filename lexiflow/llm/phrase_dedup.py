@@ -9,7 +9,8 @@ is streamed once: what is located in it holds for each of its places.
 
 from __future__ import annotations
 
-import hashlib
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,44 +27,47 @@ WORDS = Windows("word", length=20, reach=15, seed=4, fan=3, shard=1000)
 NO_ID = -(1 << 63)
 
 
-def recurring(texts: list[list[int]], times: list[int], length: int) -> dict[tuple[int, ...], int]:
+def recurring(texts: list[tuple[int, ...]], times: list[int], length: int) -> dict[tuple[int, ...], int]:
     """The word sequences of ``length`` that stand more than once, numbered; ``times``: how often each text stands."""
     seen: dict[tuple[int, ...], int] = {}
+    count = seen.get
     for t, n in zip(texts, times, strict=True):
         for i in range(len(t) - length + 1):
-            p = tuple(t[i : i + length])
-            seen[p] = seen.get(p, 0) + n
+            p = t[i : i + length]
+            seen[p] = count(p, 0) + n
     return {p: k for k, p in enumerate(p for p, n in seen.items() if n > 1)}
 
 
-def occurrences(texts: list[list[int]], passages: dict[tuple[int, ...], int], length: int) -> Iterator[tuple[int, int, int]]:
-    """(text, start, passage) of each place, found by one automaton over all passages."""
+def automaton(passages: dict[tuple[int, ...], int]) -> ahocorasick.Automaton | None:
+    """One automaton over all passages; None without any."""
     if not passages:
-        return
+        return None
     machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
     for p, k in passages.items():
         machine.add_word(p, k)
     machine.make_automaton()
-    for i, t in enumerate(texts):
-        for end, k in machine.iter(tuple(t)):
-            yield i, end - length + 1, k
+    return machine
 
 
 def shard_masks(p: Phrases, w: Windows) -> list[tuple[np.ndarray, np.ndarray]]:
     """The windows that the shard's automaton locates: at each text's first place those that stand earlier
-    somewhere, and all of them at its later places."""
-    numbers: dict[bytes, int] = {}
-    texts = [[numbers.setdefault(x, len(numbers)) for x in data.split(b" ")] for data in p.data]
-    located = list(occurrences(texts, recurring(texts, p.n, w.length), w.length))
-    at = lambda i, s: (*p.place[i][:2], p.place[i][2] + s)
-    first: dict[int, tuple] = {}
-    for i, s, k in located:
-        if k not in first or at(i, s) < first[k]:
-            first[k] = at(i, s)
+    somewhere, and all of them at its later places.
+
+    Texts are streamed through in the order of their first places, whose windows don't interleave, so a
+    passage stands earlier if it has been located before.
+    """
+    numbers: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
+    texts = [tuple(map(numbers.__getitem__, data.split(b" "))) for data in p.data]
+    machine = automaton(recurring(texts, p.n, w.length))
     out = [(np.zeros(n, bool), np.zeros(n, bool)) for n in p.windows]
-    for i, s, k in located:
-        out[i][0][s] = at(i, s) != first[k]
-        out[i][1][s] = True
+    seen: set[int] = set()
+    for i in sorted(range(len(texts)), key=p.place.__getitem__) if machine else ():
+        found = [(end - w.length + 1, k) for end, k in machine.iter(texts[i])]
+        if found:
+            starts, passages = zip(*found, strict=True)
+            # a passage may stand twice in one text too, so each is noted as it comes
+            out[i][0][list(starts)] = [bool(k in seen or seen.add(k)) for k in passages]
+            out[i][1][list(starts)] = True
     return out
 
 

@@ -103,6 +103,12 @@ class Batch:
         """The bytes of units lo to hi (exclusive)."""
         return self.data[lo:hi] if self.first is None else self.data[self.first[lo] : self.last[hi - 1]]
 
+    def cuts(self, lo: np.ndarray, hi: np.ndarray) -> Iterator[bytes]:
+        """The bytes of units lo to hi (exclusive) of many stretches."""
+        a, b = (lo, hi) if self.first is None else (self.first[lo], self.last[hi - 1])
+        data = self.data
+        return (data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True))
+
     def runs(self, w: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(text, first window, last window, trigger) of each run, in order; units count from the batch's start."""
         n = len(self.hash)
@@ -201,10 +207,10 @@ def run_keys(docs: DataFrame, w: Windows, places: bool) -> DataFrame:
             for own, base, texts in batches_of(batch.column(2).cast(pa.binary()).to_pylist(), w.unit, w.length):
                 b = Batch(texts, w.unit)
                 text, lo, hi, trigger = b.runs(w)
-                digest, cut = xxhash.xxh3_64_intdigest, b.cut
-                cols = [pa.array(_signed([digest(cut(t, t + core)) for t in trigger.tolist()]))]
+                digest = xxhash.xxh3_64_intdigest
+                cols = [pa.array(_signed(list(map(digest, b.cuts(trigger, trigger + core)))))]
                 if places:
-                    ctx = [digest(cut(x, y + w.length), seed=t - x) for x, y, t in zip(lo.tolist(), hi.tolist(), trigger.tolist(), strict=True)]
+                    ctx = list(map(digest, b.cuts(lo, hi + w.length), (trigger - lo).tolist()))
                     off, row = np.array(base, np.int64)[text] - b.base[text], pa.array(np.array(own, np.int64)[text])
                     cols += [pa.array(_signed(ctx)), batch.column(0).take(row), batch.column(1).take(row), pa.array((lo + off).astype(np.int32)), pa.array((hi + off).astype(np.int32))]
                 yield pa.record_batch(cols, names=names)
