@@ -13,6 +13,7 @@ from lexiflow.llm.html_extract import html_text
 from lexiflow.llm.licenses import license_scan
 from lexiflow.llm.mixing import mix
 from lexiflow.llm.ngram_join import ngram_components
+from lexiflow.llm.periodic import looped, periodic_runs, run_columns
 from lexiflow.llm.phrase_dedup import phrase_dedup
 from lexiflow.llm.quality_rules import quality_rules
 from lexiflow.llm.secrets import BASE, secret_spans
@@ -86,11 +87,16 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_columns(periodic_runs(spread(_documents(spark, sf_dir)).withColumn("text", looped("doc_id", "text"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup, op2_ngram_jaccard_join, op3_substring_dedup, op4_mixing, op5_html_extraction,
         op6_license_scan, op7_exact_dedup, op8_bpe_codec, op9_quality_rules, op10_secret_scan,
+        op11_periodic_runs,
     )
 }
 
@@ -133,4 +139,25 @@ m as (select w.doc_id, len(ws)::bigint as n_words, len(array_to_string(ws, '')):
 j as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and not (boiler_words > 0 and n_words - boiler_words < 0.3 * n_words) as kept, boiler_words from j""",
+    "op11_periodic_runs": r"""
+with recursive d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+c as (select doc_id, w, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda x: ord(x)::bigint)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0,0,0,0,0,0,0,0]::bigint[]), lambda v, z: case when v & 1 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end)) as r from d),
+h as (select doc_id, w, len(w) as n, xor(r, 4294967295::bigint) as h from c),
+a as (select *, h // 10 as g from h),
+p as (select *, case when n > 0 then g % n end as a, case when n > 0 then 1 + (n - g % n) // (3 + g % 8) end as p from a),
+t as (select doc_id, case when h % 10 = 0 and n > 0 then list_transform(range(0, n), lambda i: w[1 + case when i < a then i else a + (i - a) % p end]) else w end as w from p),
+u as (select doc_id, unnest(w) as x, unnest(range(0, len(w))) as i, len(w) as n from t),
+m as (select a.doc_id, b.i - a.i as q, a.i from u a join u b on a.doc_id = b.doc_id and a.x = b.x and b.i > a.i and 4 * (b.i - a.i) <= a.n),
+s as (select doc_id, q, i, i - row_number() over (partition by doc_id, q order by i) as k from m),
+v as (select doc_id, q, min(i) as s, count(*) + q as len from s group by doc_id, q, k having count(*) + q >= greatest(6, 4 * q)),
+z as (select doc_id, s, len, min(q) as q from v group by all),
+o as (select *, row_number() over (partition by doc_id order by len desc, s, q) as k from z),
+f as (select doc_id, count(*) as n_runs, min(case when k = 1 then s end) as start, min(case when k = 1 then len end) as length, min(case when k = 1 then q end) as period,
+      string_agg(s || ',' || len || ',' || q || chr(10), '' order by s, q) as lines from o group by doc_id),
+g as (select distinct doc_id, unnest(range(s + q, s + len)) as i from z),
+y as (select u.doc_id, string_agg(case when g.i is null then x end, ' ' order by u.i) as kept from u left join g on u.doc_id = g.doc_id and u.i = g.i group by u.doc_id)
+select t.doc_id, coalesce(n_runs, 0)::bigint as n_runs, start::bigint as start, length::bigint as length, period::bigint as period, (1000 * length // period)::bigint as exponent_milli,
+  sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256, len(w)::bigint as n_words
+from t left join f on f.doc_id = t.doc_id left join y on y.doc_id = t.doc_id""",
 }
