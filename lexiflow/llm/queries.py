@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiflow.llm.bpe import bpe_codec
+from lexiflow.llm.chosen_path import chosen_path_components
+from lexiflow.llm.collocations import collocations
 from lexiflow.llm.exact_dedup import exact_dedup
 from lexiflow.llm.html_extract import html_text
 from lexiflow.llm.licenses import license_scan
@@ -91,12 +93,20 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_columns(periodic_runs(spread(_documents(spark, sf_dir)).withColumn("text", looped("doc_id", "text"))))
 
 
+def op12_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path_components(_documents(spark, sf_dir)).drop("rid", "root")
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(spread(_documents(spark, sf_dir)))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup, op2_ngram_jaccard_join, op3_substring_dedup, op4_mixing, op5_html_extraction,
         op6_license_scan, op7_exact_dedup, op8_bpe_codec, op9_quality_rules, op10_secret_scan,
-        op11_periodic_runs,
+        op11_periodic_runs, op12_minhash_near_dedup, op13_phrase_collocations,
     )
 }
 
@@ -160,4 +170,32 @@ y as (select u.doc_id, string_agg(case when g.i is null then x end, ' ' order by
 select t.doc_id, coalesce(n_runs, 0)::bigint as n_runs, start::bigint as start, length::bigint as length, period::bigint as period, (1000 * length // period)::bigint as exponent_milli,
   sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(kept, '')) as collapsed_sha256, len(w)::bigint as n_words
 from t left join f on f.doc_id = t.doc_id left join y on y.doc_id = t.doc_id""",
+    "op12_minhash_near_dedup": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) >= 2 then list_transform(range(1, len(ws)), lambda i: md5(ws[i] || ' ' || ws[i + 1]))
+      when len(ws) > 0 then [md5(ws[1])] else [] end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+t as (select g, count(*) as often from s group by g),
+o as (select s.doc_id, s.g, n, row_number() over (partition by s.doc_id order by often, s.g) as k from s join n on n.doc_id = s.doc_id join t on t.g = s.g),
+p as (select distinct a.doc_id as x, b.doc_id as y from o a join o b on a.g = b.g and a.doc_id < b.doc_id
+      where 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) and a.k <= a.n - (80 * a.n + 99) // 100 + 1 and b.k <= b.n - (80 * b.n + 99) // 100 + 1),
+c as (select x, y, count(*) as c from p join s a on a.doc_id = x join s b on b.doc_id = y and b.g = a.g group by all),
+l as (select x, y from c join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * c >= 80 * (nx.n + ny.n - c)),
+e as (select x, y from l union all select y, x from l),
+r as (select doc_id, doc_id as root from documents union select e.y, r.root from r join e on e.x = r.doc_id)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(r.root)::bigint as component_id, d.doc_id = min(r.root) as kept
+from documents d join r on r.doc_id = d.doc_id left join n on n.doc_id = d.doc_id group by d.doc_id, n.n""",
+    "op13_phrase_collocations": r"""
+with p as (select doc_id, coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as t from documents),
+w as (select lang, regexp_extract_all(t, '[^\x20\x09]+') as ws from p),
+c as (select lang, sum(len(ws))::hugeint as n from w group by lang),
+g as (select lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i:i + k - 1])) as g from w, unnest([1, 2, 3, 4, 5]) as s(k) where len(ws) >= k),
+f as (select lang, k, g, count(*)::hugeint as f from g group by all having count(*) >= 100),
+x as (select a.lang, a.g, a.f as a, c.n, l.f as l, r.f as r, 1000 * a.f * c.n // (l.f * r.f) as score, s.k as cut
+      from f a, unnest([1, 2, 3, 4]) as s(k), f l, f r, c where a.k > s.k and l.lang = a.lang and r.lang = a.lang and c.lang = a.lang and l.g = a.g[1:s.k] and r.g = a.g[s.k + 1:]),
+b as (select *, row_number() over (partition by lang, g order by score, cut) as o from x),
+h as (select lang, sub, max(f) as longer from (select lang, f, unnest(flatten(list_transform(range(2, k), lambda m: list_transform(range(1, k - m + 2), lambda i: g[i:i + m - 1])))) as sub from f where k > 2) group by all),
+y as (select b.lang, array_to_string(b.g, ' ') as phrase, a, l, r, n, score from b left join h on h.lang = b.lang and h.sub = b.g where o = 1 and coalesce(longer < a, true)),
+z as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from y)
+select lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from z where rank <= 2000""",
 }

@@ -41,14 +41,14 @@ def phrase_dedup(docs: list[tuple], length: int) -> list[tuple]:
     return out
 
 
-def shingles(text: str | None) -> frozenset:
+def shingles(text: str | None, gram: int = 5) -> frozenset:
     w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
-    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i : i + gram]) for i in range(len(w) - gram + 1)) if len(w) >= gram else frozenset([tuple(w)] if w else [])
 
 
-def components(docs: list[tuple], pct: int = 75) -> dict:
+def components(docs: list[tuple], pct: int = 75, gram: int = 5) -> dict:
     """docs: (doc_id, text); component_id by doc_id."""
-    sets = {d: shingles(t) for d, t in docs}
+    sets = {d: shingles(t, gram) for d, t in docs}
     at = defaultdict(set)
     for d, s in sets.items():
         for x in s:
