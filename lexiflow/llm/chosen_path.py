@@ -55,8 +55,8 @@ class Paths:
     trees: int = 20
     depth: int = 3
     deepest: int = 10
-    small: int = 64
-    chunk: int = 1024
+    small: int = 1024
+    chunk: int = 2048
     slack: float = 5.5
 
     @property
@@ -75,7 +75,7 @@ class Paths:
 
 
 _RNG = np.random.default_rng(12)
-XORS, FACTORS = (_RNG.integers(1, 1 << 63, 1024, dtype=np.uint64) for _ in range(2))
+XORS, FACTORS = (_RNG.integers(1, 1 << 32, 1024, dtype=np.uint32) | np.uint32(1) for _ in range(2))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -85,12 +85,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def sketch(s: np.ndarray, values: int) -> np.ndarray:
-    """The first token of a set under each of ``values`` hash functions, as 32 bits of its hash."""
-    x, f = XORS[:values, None], FACTORS[:values, None] | np.uint64(1)
-    least = np.full(values, np.iinfo(np.uint64).max)
-    for lo in range(0, len(s), 4096):
-        least = np.minimum(least, ((s[lo : lo + 4096] ^ x) * f).min(axis=1))
-    return (mixed(least) >> np.uint64(32)).astype(np.uint32)
+    """The first token of a set under each of ``values`` hash functions, as its hash of 32 bits."""
+    s = (s >> np.uint64(32)).astype(np.uint32)
+    x, f = XORS[:values, None], FACTORS[:values, None]
+    least = np.full(values, np.iinfo(np.uint32).max, np.uint32)
+    for lo in range(0, len(s), 512):
+        least = np.minimum(least, ((s[lo : lo + 512] ^ x) * f).min(axis=1))
+    return least
 
 
 def branches(node: np.ndarray, sketches: np.ndarray, p: Paths) -> tuple[np.ndarray, np.ndarray]:
