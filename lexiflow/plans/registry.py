@@ -423,4 +423,4 @@ def volume_guard(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", candidates.volume(F.col("source"), F.col("candidate")).alias("issue"))
 
 
-from lexiflow.plans import editing  # noqa: E402, F401  registers the queries on edits, documents, rewriting and selection
+from lexiflow.plans import editing, projects  # noqa: E402, F401  registers the queries on edits, documents, rewriting, selection, works and tables
