@@ -36,6 +36,8 @@ class _Queue(StatefulProcessor):
         before = running
         for op, item, version, at in zip(frame["op"], frame["item"], frame["version"].astype("int64"), frame["at"], strict=True):
             now = int(at.value // 1_000_000)
+            while running and running[2] <= now:  # its time was up before this request
+                running = self._next(key[0], waiting, running, out)
             if op == "put":
                 known = [v for i, v in waiting if i == item] + ([running[1]] if running and running[0] == item else [])
                 newest = max(known, default=None)
@@ -66,15 +68,19 @@ class _Queue(StatefulProcessor):
             yield _frame([])
             return
         waiting = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
-        at = pd.Timestamp(until, unit="ms")
-        out = [(key[0], running[0], running[1], "given up", at)]
-        running = None
-        if waiting:
-            running = (*waiting.pop(0), until + self.limit)
-            out.append((key[0], running[0], running[1], "started", at))
-        self._keep(waiting, running, None)
+        out: list[tuple] = []
+        self._keep(waiting, self._next(key[0], waiting, running, out), None)
         yield _frame(out)
 
+    def _next(self, key: str, waiting: list[tuple], running: tuple, out: list[tuple]) -> tuple | None:
+        """Give up what runs and start the next, if any, at the moment its time was up."""
+        at = pd.Timestamp(running[2], unit="ms")
+        out.append((key, running[0], running[1], "given up", at))
+        if not waiting:
+            return None
+        out.append((key, *waiting[0], "started", at))
+        return (*waiting.pop(0), running[2] + self.limit)
+
     def _keep(self, waiting: list[tuple], running: tuple | None, before: tuple | None) -> None:
         if before and before != running:
             self.handle.deleteTimer(before[2])

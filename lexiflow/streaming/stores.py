@@ -84,7 +84,7 @@ def merge(store: Store, events: DataFrame, version: int) -> None:
     before = read(spark, store, version).where(F.col("bucket").isin(touched))
     none = F.array().cast(f"array<struct<{store.entry}>>")
     both = before.join(batch, [store.key, "bucket"], "full_outer")
-    entries = F.aggregate(F.coalesce("_events", F.array().cast(batch.schema["_events"].dataType)), F.coalesce("entries", none), store.step)
+    entries = F.aggregate(F.coalesce("_events", F.array().cast(batch.schema["_events"].dataType)), F.coalesce("entries", none), lambda so_far, e: store.step(so_far, e))
     if touched:
         rows = both.select(store.key, entries.alias("entries"), "bucket")
         rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{store.path}/rows/version={version}")
