@@ -14,14 +14,16 @@ Trees have ``depth`` levels. What shares a node then is settled in three steps:
    are confirmed on the full sets, and links give groups. So a large family of copies hangs together
    after work in proportion to its size, and is never compared with itself.
 2. In a node that holds several groups yet, the sets outside of its largest group (its rest) are compared
-   exhaustively with all of the node, by sketches; pairs that pass are confirmed on full sets in the end. The sketches' bar is
-   ``slack`` standard deviations below what the threshold gives.
+   exhaustively with all of the node, by sketches. The sketches' bar is ``slack`` standard deviations below what the threshold
+   gives. Each set's ``most`` most similar pairs are confirmed on full sets; what links is one group from then on and
+   asks for nothing more. Sets that have yet more similar sets of other groups (families whose
+   copies are just too unlike to link) meet those with their full sets at hand, block by block, so no pairs are written down.
 3. Nodes whose rest is over ``small`` sets branch one level further, to steps 1 and 2 again. Below
    ``deepest`` levels the rest is dealt in blocks of ``small`` sets, so nothing is cut off.
 
 Recall: with similarity s, a tree keeps a pair to the next level with chance 1 - E[(1 - s (1 - miss))^children].
 ``kept_by`` works that out; for the defaults at 80 percent it is 0.64 a tree and all but 1e-9 over 20 trees, were they
-independent; as they share the sketch's 128 functions, it is more like 1e-6. More similar pairs are safer yet, and a document
+independent; as they share the sketch's 128 functions, and the bar loses 3e-6, it is more like 1 - 1e-5. More similar pairs are safer yet, and a document
 is lost only if all its links are.
 
 Scale: sketches are 512 bytes a set and equal sets count once. Two shuffles of (node, set) names, 16 bytes each; text
@@ -57,7 +59,8 @@ class Paths:
     deepest: int = 10
     small: int = 1024
     chunk: int = 2048
-    slack: float = 5.5
+    slack: float = 4.5
+    most: int = 4
 
     @property
     def bar(self) -> int:
@@ -175,9 +178,10 @@ def _first_alike(members: DataFrame, sets: DataFrame, p: Paths) -> DataFrame:
 
 
 def _compared(rows: DataFrame, sets: DataFrame, p: Paths) -> DataFrame:
-    """(a, b): pairs of different groups that their sketches find similar, from ``rows`` (node, sid, grp, rest, chunks, blocks).
+    """(a, b, crowded): pairs of different groups that their sketches find similar, from ``rows`` (node, sid, grp, rest, chunks, blocks).
 
-    In each node the rest meets all: a block of the rest and a chunk of the node are one task.
+    In each node the rest meets all: a block of the rest and a chunk of the node are one task. A set of the rest gives its ``p.most`` most similar
+    pairs of a task; where it has others, ``crowded`` (one of the pair, else null) tells it.
     """
     part = lambda of: F.pmod(F.xxhash64("sid"), F.col(of))
     every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
@@ -190,44 +194,53 @@ def _compared(rows: DataFrame, sets: DataFrame, p: Paths) -> DataFrame:
         task, sid, grp, n, left = (table[c].to_numpy() for c in ("task", "sid", "grp", "n", "left"))
         # a byte of each token is enough to compare, and keeps the arrays small
         marks = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint32).reshape(-1, p.values).astype(np.uint8)
-        a, b = [], []
+        found: set[tuple] = set()
         edges = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist(), len(task)]
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
             own = np.arange(lo, hi)
             others = own[~left[lo:hi]]
             for k in own[left[lo:hi]].tolist():
                 fit = others[(grp[others] != grp[k]) & (100 * np.minimum(n[others], n[k]) >= p.percent * np.maximum(n[others], n[k]))]
-                fit = fit[(marks[fit] == marks[k]).sum(axis=1) >= p.bar]
-                a += [np.minimum(sid[fit], sid[k])]
-                b += [np.maximum(sid[fit], sid[k])]
-        none = [np.empty(0, np.int64)]
-        both = np.unique(np.stack([np.concatenate(none + a), np.concatenate(none + b)], axis=1), axis=0)
-        return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+                same = (marks[fit] == marks[k]).sum(axis=1)
+                good = np.flatnonzero(same >= p.bar)
+                order = good[np.lexsort((sid[fit[good]], -same[good]))][: p.most]
+                own_sid = int(sid[k])
+                found |= {(min(x, own_sid), max(x, own_sid), own_sid if len(good) > p.most else None) for x in sid[fit[order]].tolist()}
+        cols = list(zip(*found, strict=True)) or [()] * 3
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "b", "crowded"), cols, strict=True)})
 
     n_tasks = max(1, rows.count() // 8192)
     dealt = both.join(sets, "sid").withColumn("shard", F.pmod("task", F.lit(n_tasks)))
-    return dealt.select("shard", "task", "sid", "grp", "left", "n", "sketch").groupBy("shard").applyInArrow(run, "a long, b long").distinct()
+    found = dealt.select("shard", "task", "sid", "grp", "left", "n", "sketch").groupBy("shard").applyInArrow(run, "a long, b long, crowded long")
+    return found.distinct()
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, p: Paths) -> DataFrame:
-    """(a, b): the ``pairs`` that link by their full sets, written down."""
-    pairs = stash(pairs)
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / p.chunk).cast("long").alias("parts"))
-    task = lambda part: F.xxhash64("a", part)
-    firsts = parts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(F.col("a").alias("rid"), task(F.col("part")).alias("task"), F.lit(True).alias("left"))
-    others = pairs.join(parts, "a").select(F.col("b").alias("rid"), task(F.pmod(F.xxhash64("b"), F.col("parts"))).alias("task"), F.lit(False).alias("left"))
-    asked = firsts.unionByName(others).groupBy("rid").agg(F.collect_list(F.struct("task", "left")).alias("tasks"))
-    n_tasks = max(1, pairs.count() // 500)
+def _dealt(docs: DataFrame, tasks: DataFrame, n_tasks: int, p: Paths) -> DataFrame:
+    """(shard, task, left, grp, rid, tokens): the full sets of ``tasks`` (rid, task, left, grp)."""
+    asked = tasks.groupBy("rid").agg(F.collect_list(F.struct("task", "left", "grp")).alias("tasks"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(i, 128) for i in range(0, whole.num_rows, 128)):
                 for rid, tasks, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), p.gram), strict=True):
-                    tokens, named = s.tobytes(), [t["task"] for t in tasks]
-                    for lo in range(0, len(named), 64):
-                        own = named[lo : lo + 64]
-                        cols = [pa.array([t % n_tasks for t in own], pa.int64()), pa.array(own, pa.int64()), pa.array([t["left"] for t in tasks[lo : lo + 64]], pa.bool_())]
-                        yield pa.record_batch([*cols, pa.array([rid] * len(own), pa.int64()), pa.array([tokens] * len(own), pa.binary())], names=["shard", "task", "left", "rid", "tokens"])
+                    tokens = s.tobytes()
+                    for own in (tasks[lo : lo + 64] for lo in range(0, len(tasks), 64)):
+                        task, left, grp = ([t[c] for t in own] for c in ("task", "left", "grp"))
+                        cols = [pa.array([t % n_tasks for t in task], pa.int64()), pa.array(task, pa.int64()), pa.array(left, pa.bool_()), pa.array(grp, pa.int64())]
+                        yield pa.record_batch([*cols, pa.array([rid] * len(own), pa.int64()), pa.array([tokens] * len(own), pa.binary())], names=["shard", "task", "left", "grp", "rid", "tokens"])
+
+    texts = docs.select("rid", "text").join(asked, "rid").select("rid", "text", "tasks")
+    return texts.mapInArrow(cut, "shard long, task long, left boolean, grp long, rid long, tokens binary")
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, p: Paths) -> DataFrame:
+    """(a, b): the ``pairs`` that link by their full sets, written down."""
+    pairs = stash(pairs)
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / p.chunk).cast("long").alias("parts"))
+    task = lambda part: F.xxhash64("a", part).alias("task")
+    grp = F.lit(None).cast("long").alias("grp")
+    firsts = parts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(F.col("a").alias("rid"), task(F.col("part")), F.lit(True).alias("left"), grp)
+    others = pairs.join(parts, "a").select(F.col("b").alias("rid"), task(F.pmod(F.xxhash64("b"), F.col("parts"))), F.lit(False).alias("left"), grp)
 
     def run(table: pa.Table) -> pa.Table:
         first: dict[int, tuple] = {}
@@ -244,8 +257,64 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, p: Paths) -> DataFrame:
                     b.append(rid)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    texts = docs.select("rid", "text").join(asked, "rid").select("rid", "text", "tasks")
-    return stash(texts.mapInArrow(cut, "shard long, task long, left boolean, rid long, tokens binary").groupBy("shard").applyInArrow(run, "a long, b long"))
+    dealt = _dealt(docs, firsts.unionByName(others), max(1, pairs.count() // 500), p)
+    return stash(dealt.groupBy("shard").applyInArrow(run, "a long, b long"))
+
+
+def _settled(docs: DataFrame, rows: DataFrame, crowded: DataFrame, p: Paths) -> DataFrame:
+    """(a, b): links of the sets ``crowded`` (sid) with others in nodes of ``rows`` (node, sid, size, grp), written down.
+
+    Nodes that have a crowded set in common are one region; its crowded sets meet all of it, block by chunk, with their full sets at hand, so
+    only links leave a task. What is linked is one group within a task too.
+    """
+    shared = stash(rows.join(crowded, "sid", "left_semi").select("node").distinct())
+    own = rows.join(shared, "node").join(crowded.withColumn("crowded", F.lit(True)), "sid", "left")
+    own = stash(own.select("node", "sid", "grp", F.col("n"), F.coalesce("crowded", F.lit(False)).alias("crowded")))
+    first = own.groupBy("node").agg(F.min("sid").alias("b"))
+    region = components(own.join(first, "node").select(F.col("sid").alias("a"), "b")).select(F.col("node").alias("sid"), F.col("root").alias("region"))
+    sets = stash(own.drop("node").distinct().join(region, "sid"))
+    tokens = 4_000_000
+    of = lambda n, size, most: F.greatest(F.ceil(n / most), F.ceil(size / tokens)).cast("long")
+    c = F.col("crowded")
+    sizes = sets.groupBy("region").agg(of(F.count("*"), F.sum("n"), p.chunk).alias("chunks"), F.greatest(F.lit(1), of(F.count_if(c), F.sum(F.when(c, F.col("n")).otherwise(0)), p.small)).alias("blocks"))
+    sized = sets.join(sizes, "region")
+    part = lambda of: F.pmod(F.xxhash64("sid"), F.col(of))
+    every = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    left = sized.where(c).withColumns({"block": part("blocks"), "left": F.lit(True)}).withColumn("chunk", every("chunks"))
+    right = sized.withColumns({"chunk": part("chunks"), "left": F.lit(False)}).withColumn("block", every("blocks"))
+    tasks = stash(left.unionByName(right).select(F.col("sid").alias("rid"), F.xxhash64("region", "block", "chunk").alias("task"), "left", "grp"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("task").combine_chunks()
+        task, left, grp, rid = (table[c].to_numpy() for c in ("task", "left", "grp", "rid"))
+        sets = [np.frombuffer(t, np.uint64) for t in table["tokens"].to_pylist()]
+        n = np.array([len(s) for s in sets])
+        marks = np.stack([sketch(s, p.values).astype(np.uint8) for s in sets])
+        a, b = [], []
+        edges = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist(), len(task)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            own = np.arange(lo, hi)
+            others = own[~left[lo:hi]]
+            root: dict[int, int] = {}
+
+            def find(g: int, root: dict = root) -> int:
+                while root.get(g, g) != g:
+                    root[g] = root.get(root[g], root[g])
+                    g = root[g]
+                return g
+
+            for k in own[left[lo:hi]].tolist():
+                fit = others[(grp[others] != grp[k]) & (100 * np.minimum(n[others], n[k]) >= p.percent * np.maximum(n[others], n[k]))]
+                for x in fit[(marks[fit] == marks[k]).sum(axis=1) >= p.bar].tolist():
+                    g, h = find(int(grp[k])), find(int(grp[x]))
+                    if g != h and linked(sets[k], sets[x], p.percent):
+                        root[g] = h
+                        a.append(int(rid[k]))
+                        b.append(int(rid[x]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    n_tasks = tasks.select("task").distinct().count()
+    return stash(_dealt(docs, tasks, max(1, n_tasks), p).groupBy("shard").applyInArrow(run, "a long, b long"))
 
 
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -258,30 +327,40 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, sid, size, grp, rest, n_rest): the members of nodes that hold several groups yet; ``rest``: outside of the node's largest group."""
+    comp = components(links).select(F.col("node").alias("sid"), "root")
+    grouped = stash(members.join(comp, "sid", "left").select("node", "sid", "size", F.coalesce("root", "sid").alias("grp")))
+    open_ = grouped.groupBy("node").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo != hi").select("node")
+    counts = grouped.join(open_, "node").groupBy("node", "grp").agg(F.count("*").alias("own"))
+    main = counts.groupBy("node").agg(F.max(F.struct("own", "grp")).alias("main"), F.sum("own").alias("all"))
+    main = stash(main.select("node", F.col("main.grp").alias("main"), (F.col("all") - F.col("main.own")).alias("n_rest")))
+    return stash(grouped.join(main, "node").withColumn("rest", F.col("grp") != F.col("main")).drop("main"))
+
+
 def _links(docs: DataFrame, sets: DataFrame, p: Paths) -> DataFrame:
     """(a, b): links of ``sets`` (sid, n, sketch) that join all sets that links join."""
-    nodes, depth, links, pending = _planted(sets, p), p.depth, None, None
+    nodes, depth = _planted(sets, p), p.depth
+    links = tried = None
+    add = lambda x, y: y if x is None else x.unionByName(y)
     while True:
         shared = stash(nodes.groupBy("node").agg(F.count("*").alias("size"), F.min("sid").alias("first")).where("size > 1"))
         members = stash(nodes.join(shared, "node"))
-        found = _confirmed(docs, _first_alike(members, sets, p), p)
-        links = found if links is None else links.unionByName(found)
-        comp = components(links).select(F.col("node").alias("sid"), "root")
-        grouped = stash(members.join(comp, "sid", "left").select("node", "sid", "size", F.coalesce("root", "sid").alias("grp")))
-        open_ = grouped.groupBy("node").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo != hi").select("node")
-        # the largest group of each node, and how many sets are outside of it
-        counts = grouped.join(open_, "node").groupBy("node", "grp").agg(F.count("*").alias("own"))
-        main = stash(counts.groupBy("node").agg(F.max(F.struct("own", "grp")).alias("main"), F.sum("own").alias("all")).select("node", F.col("main.grp").alias("main"), (F.col("all") - F.col("main.own")).alias("n_rest")))
-        sized = grouped.join(main, "node").withColumn("rest", F.col("grp") != F.col("main"))
+        asked = stash(_first_alike(members, sets, p))
+        links, tried = add(links, _confirmed(docs, asked, p)), add(tried, asked)
+        sized = _open(members, links)
         now = F.col("n_rest") <= p.small if depth < p.deepest else F.lit(True)
-        rows = stash(
-            sized.where(now).select("node", "sid", "grp", "rest", F.ceil(F.col("size") / p.chunk).cast("long").alias("chunks"), F.ceil(F.col("n_rest") / p.small).cast("long").alias("blocks"))
-        )
+        chunks, blocks = F.ceil(F.col("size") / p.chunk).cast("long"), F.ceil(F.col("n_rest") / p.small).cast("long")
+        rows = stash(sized.where(now).select("node", "sid", "grp", "rest", chunks.alias("chunks"), blocks.alias("blocks")))
         found = stash(_compared(rows, sets, p))
-        pending = found if pending is None else pending.unionByName(found)
+        fresh = stash(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
+        links, tried = links.unionByName(_confirmed(docs, fresh, p)), tried.unionByName(fresh)
+        dense = stash(found.where("crowded is not null").select(F.col("crowded").alias("sid")).distinct())
+        if not dense.isEmpty():
+            links = links.unionByName(_settled(docs, _open(rows.select("node", "sid", F.lit(0).alias("size")), links).join(sets.select("sid", "n"), "sid"), dense, p))
         crowded = stash(sized.where(~now).select("node", "sid"))
         if crowded.isEmpty():
-            return links.unionByName(_confirmed(docs, pending.distinct(), p))
+            return links
         nodes, depth = _branched(crowded, sets, p), depth + 1
 
 

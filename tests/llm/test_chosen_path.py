@@ -45,7 +45,7 @@ def docs(spark):
     return spark.createDataFrame([(*x, "a", "b", 1, "c") for x in texts()], SCHEMA).coalesce(1)
 
 
-@pytest.mark.parametrize("change", [{}, {"depth": 1, "deepest": 3, "small": 2, "chunk": 5}])
+@pytest.mark.parametrize("change", [{}, {"depth": 1, "deepest": 3, "small": 2, "chunk": 5, "most": 1}])
 def test_components(docs, change):
     """Any way of branching and dealing gives the links of a plain search."""
     p = replace(Paths(), **change)
