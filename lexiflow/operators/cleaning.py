@@ -14,53 +14,57 @@ from lexiflow.functions import text as T
 
 #: Blanks as the steps mean them.
 _S = " \\t\\n\\x0b\\f\\r"
-# The order and form of the cleaning steps (pattern, replacement, counter).
+# The order and form of the cleaning steps: pattern, replacement, counter, and what a text must hold for the pattern to match (None: it is always tried).
 STEPS = [
-    ("\r\n?", "\n", None),
-    ("[\u200b-\u200f\u2060-\u2064\ufeff\u00ad]+", "", "artifacts"),
-    ("(?:\\\\[rR]\\\\[nN]|\\\\[rR][nN]|/[rR][nN])", "\n\n", "artifacts"),
-    (f"(?<![A-Za-z0-9_])[nN][{_S}\u00a0]+[nN](?=[{_S}\u00a0]|\\p{{L}})", "\n\n", "artifacts"),
-    (f"\\.[{_S}]+\\.[{_S}]+\\.(?:[{_S}]+\\.)*", "…", "punctuation"),
-    (f"\\.[{_S}]+\\.(?=[{_S}]*[а-яё])", ",", "punctuation"),
-    (f"\\.[{_S}]+\\.", ".", "punctuation"),
-    (f"([!?])(?:[{_S}]*\\1)+", "\\1", "punctuation"),
-    ("[ \t]+([,.;:!?])", "\\1", "spacing"),
-    ("([,;:!?])(?=[А-ЯЁа-яёA-Za-z])", "\\1 ", "spacing"),
-    ("([.!?…])(?=[А-ЯЁ])", "\\1 ", "spacing"),
-    ("[ \t]{2,}", " ", "spacing"),
-    ("[ \t]+\n", "\n", "spacing"),
-    ("\n[ \t]+", "\n", "spacing"),
-    ("\n{3,}", "\n\n", "spacing"),
-    ("-\n{1,2}(?=[а-яё])", "-", "joined_breaks"),
-    (f"([^{_S}.!?…:])\n{{2,}}(?=[а-яё])", "\\1 ", "joined_breaks"),
-    (f"([^{_S}.!?…:])\n(?=[а-яё])", "\\1 ", "joined_breaks"),
+    ("\r\n?", "\n", None, ("\r",)),
+    ("[\u200b-\u200f\u2060-\u2064\ufeff\u00ad]+", "", "artifacts", None),
+    ("(?:\\\\[rR]\\\\[nN]|\\\\[rR][nN]|/[rR][nN])", "\n\n", "artifacts", ("\\", "/")),
+    (f"(?<![A-Za-z0-9_])[nN][{_S}\u00a0]+[nN](?=[{_S}\u00a0]|\\p{{L}})", "\n\n", "artifacts", ("n", "N")),
+    (f"\\.[{_S}]+\\.[{_S}]+\\.(?:[{_S}]+\\.)*", "…", "punctuation", (".",)),
+    (f"\\.[{_S}]+\\.(?=[{_S}]*[а-яё])", ",", "punctuation", (".",)),
+    (f"\\.[{_S}]+\\.", ".", "punctuation", (".",)),
+    (f"([!?])(?:[{_S}]*\\1)+", "\\1", "punctuation", ("!", "?")),
+    ("[ \t]+([,.;:!?])", "\\1", "spacing", None),
+    ("([,;:!?])(?=[А-ЯЁа-яёA-Za-z])", "\\1 ", "spacing", None),
+    ("([.!?…])(?=[А-ЯЁ])", "\\1 ", "spacing", None),
+    ("[ \t]{2,}", " ", "spacing", None),
+    ("[ \t]+\n", "\n", "spacing", (" \n", "\t\n")),
+    ("\n[ \t]+", "\n", "spacing", ("\n ", "\n\t")),
+    ("\n{3,}", "\n\n", "spacing", ("\n\n\n",)),
+    ("-\n{1,2}(?=[а-яё])", "-", "joined_breaks", ("-\n",)),
+    (f"([^{_S}.!?…:])\n{{2,}}(?=[а-яё])", "\\1 ", "joined_breaks", ("\n\n",)),
+    (f"([^{_S}.!?…:])\n(?=[а-яё])", "\\1 ", "joined_breaks", ("\n",)),
 ]
 URL = "(?i)https?://[^\\s<>()]+"
 _URL = regex.compile("(?i)https?://[^ \\t\\n\\x0b\\f\\r<>()]*[^ \\t\\n\\x0b\\f\\r<>().,!?;:]")
-#: A private-use letter that stands for a URL while its surroundings are cleaned.
-MARK = "\ue000"
+#: Private-use letters; one that a text doesn't hold stands for its URLs while their surroundings are cleaned.
+MARKS = [chr(c) for c in range(0xE000, 0xF900)]
 COUNTERS = ("artifacts", "punctuation", "spacing", "joined_breaks")
-_STEPS = [(regex.compile(p), to, counter) for p, to, counter in STEPS]
-#: A step that can't match without one of these is skipped; None: it is tried on every text.
-_NEEDS = [("\r",), None, ("\\", "/"), ("n", "N"), ("…", ".")] + [(".",)] * 2 + [("!", "?")] + [None] * 4 + [(" \n", "\t\n"), ("\n ", "\n\t"), ("\n\n\n",), ("-\n",), ("\n\n",), ("\n",)]
+_STEPS = [(regex.compile(p), to, counter, needs) for p, to, counter, needs in STEPS]
 
 
 def cleaned(text: str) -> tuple[str, dict[str, int]]:
-    """(a text after all steps, changes by kind); URLs become private-use tokens before the steps and come back after them."""
+    """(a text after all steps, changes by kind); a private-use letter stands for each URL during the steps.
+
+    A text with URLs that holds every such letter itself is left as it is.
+    """
     urls = _URL.findall(text) if "://" in text else []
-    if urls:
-        text = _URL.sub(MARK, text)
     counts = dict.fromkeys(COUNTERS, 0)
-    for (pattern, to, counter), needs in zip(_STEPS, _NEEDS, strict=True):
+    mark = next((m for m in MARKS if m not in text), None) if urls else None
+    if urls:
+        if mark is None:
+            return text, counts
+        text = _URL.sub(mark, text)
+    for k, (pattern, to, counter, needs) in enumerate(_STEPS):
         if needs is None or any(x in text for x in needs):
             # zero-width letters are dropped a run at a time but counted one by one
             before = len(text)
             text, n = pattern.subn(to, text)
             if counter:
-                counts[counter] += before - len(text) if pattern is _STEPS[1][0] else n
+                counts[counter] += before - len(text) if k == 1 else n
     text = regex.sub("^\\s+|\\s+$", "", text)
     if urls:
-        parts = text.split(MARK)
+        parts = text.split(mark)
         text = "".join(p + (urls[k] if k < len(urls) else "") for k, p in enumerate(parts))
     return text, counts
 

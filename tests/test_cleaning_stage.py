@@ -67,3 +67,13 @@ def test_candidate_profile(spark):
     assert got[2].novelty == 0 and not got[2].safe and not got[3].safe
     sized = spark.createDataFrame([("a b c d", "a"), ("a b", "a b c"), ("a", "a"), ("", "a")], "s string, c string")
     assert [r.v for r in sized.select(candidates.volume(F.col("s"), F.col("c")).alias("v")).collect()] == ["shrunk", "grown", None, None]
+
+
+def test_urls_beside_private_use_letters():
+    """Letters of the text stay where they are, whatever stands for a URL meanwhile."""
+    from lexiflow.operators.cleaning import MARKS, cleaned
+
+    assert cleaned("a \ue000 b http://x.y/z c  d")[0] == "a \ue000 b http://x.y/z c d"
+    assert cleaned("\ue000\ue001 http://a.b/1 ,  http://a.b/2 .")[0] == "\ue000\ue001 http://a.b/1, http://a.b/2."
+    full = "".join(MARKS) + " http://a.b  x"
+    assert cleaned(full)[0] == full
