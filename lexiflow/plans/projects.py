@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiflow.operators import projects, styles
+from lexiflow.operators import projects, styles, tables
 from lexiflow.operators.projects import Outline, Section, TableForm
 from lexiflow.plans.registry import documents, query
 from lexiflow.plans.sql import q
+from lexiflow.session import scratch, stash
+from lexiflow.streaming import stores
 
 #: The outline of the queries. Subsections hold words that the tables' languages have.
 OUTLINE = Outline(
@@ -275,3 +277,60 @@ select d.project_id, d.pos, zone::integer as zone, type, kind, level::integer as
 def assembled_works(spark, sf_dir):
     """Each work as a whole document: front matter, sections with stubs for what is missing, closing parts, appendices; numbered through."""
     return projects.assembled(_works(spark, sf_dir), _blocks(spark, sf_dir), OUTLINE)
+
+
+def _revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as events on the versions of ten texts: saves, some removals of an earlier version, and a clearing."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    key = (F.col("conv_id") % 10).cast("string")
+    order = Window.partitionBy("key").orderBy("conv_id", "turn")
+    rows = turns.select(key.alias("key"), "conv_id", "turn", "role", F.substring("text", 1, 4).alias("text")).withColumns({"seq": F.row_number().over(order).cast("long"), "_old": F.lag("text", 3).over(order)})
+    op = F.when((F.col("key") == "3") & (F.col("seq") == 17), "clear").when((F.col("conv_id") + F.col("turn")) % 6 == 0, "remove").otherwise("save")
+    old = F.concat(F.lit("rev-"), (F.col("seq") - 3).cast("string"), F.lit("-"), F.length("_old").cast("string"))
+    none = F.lit(None).cast("double")
+    return rows.select("key", "seq", op.alias("op"), old.alias("id"), F.col("role").alias("label"), F.length("text").cast("long").alias("words"), none.alias("score"), none.alias("off_zone"), "text")
+
+
+@query("""with recursive t as (select (conv_id % 10)::varchar as key, conv_id, turn, role, left(text, 4) as text from conversations),
+s as (select *, row_number() over w as seq, lag(text, 3) over w as old from t window w as (partition by key order by conv_id, turn)),
+e as (select key, seq, case when key = '3' and seq = 17 then 'clear' when (conv_id + turn) % 6 = 0 then 'remove' else 'save' end as op, 'rev-' || (seq - 3) || '-' || length(old) as id, role, text from s),
+r as (select key, 0::bigint as seq, []::struct(id varchar, "at" bigint, label varchar, words bigint, text varchar)[] as v from (select distinct key from e)
+  union all select r.key, e.seq, case op when 'clear' then [] when 'remove' then list_filter(v, lambda x: x.id is distinct from e.id) else
+    list_prepend({'id': 'rev-' || e.seq || '-' || length(e.text), 'at': e.seq, 'label': e.role, 'words': length(e.text)::bigint, 'text': e.text}, list_filter(v, lambda x: x.text <> e.text))[1:20] end
+  from r join e on e.key = r.key and e.seq = r.seq + 1),
+z as (select key, arg_max(v, seq) as v from r group by key),
+u as (select key, unnest(range(1, len(v) + 1)) as place, v from z)
+select key, place::integer as place, v[place].id as id, v[place]."at" as "at", v[place].label as label, v[place].words as words, v[place].text as text from u""")
+def revision_history(spark, sf_dir):
+    """The versions that a store keeps of each text, merged in three batches, of which one comes twice."""
+    events = stash(_revisions(spark, sf_dir))
+    store = stores.Store(scratch(spark, "revisions"), stores.REVISION, stores.revision_step, buckets=4)
+    for version, batch in ((0, "seq <= 20"), (1, "seq > 20 and seq <= 40"), (1, "seq > 20 and seq <= 40"), (2, "seq > 40")):
+        stores.merge(store, events.where(batch), version)
+    return stores.entries(spark, store).select("key", "place", "id", "at", "label", "words", "text")
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as tables: a row a turn; the role reaches over two turns (over all where the id is a multiple of 5), a text over two columns at times."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    every, wide = F.col("conv_id") % 5 == 0, F.length("text") % 3 == 0
+    first = F.when(every, F.col("turn") == 0).otherwise(F.col("turn") % 2 == 0)
+    cell = lambda at, keep, cs, rs, text: F.when(keep, F.struct(F.lit(at).alias("at"), cs.alias("col_span"), rs.alias("row_span"), text.alias("text")))
+    one = F.lit(1)
+    cells = F.array(
+        cell(0, first, one, F.when(every, 0).otherwise(2), F.col("role")),
+        cell(1, F.lit(True), one, one, F.substring("text", 1, 5)),
+        cell(2, F.lit(True), F.when(wide, 2).otherwise(1), F.lit(None).cast("int"), F.substring("text", 6, 5)),
+        cell(3, ~wide, F.lit(None).cast("int"), one, F.substring("text", 11, 5)),
+    )
+    return turns.select("conv_id", F.col("turn").alias("row"), F.explode(F.filter(cells, lambda c: c.isNotNull())).alias("c")).select("conv_id", "row", "c.*")
+
+
+@query("""with t as (select *, count(*) over (partition by conv_id) as n from conversations),
+c as (select conv_id, turn, n, role, text, unnest(list_filter([0, 1, 2, 3], lambda a: case a when 0 then case when conv_id % 5 = 0 then turn = 0 else turn % 2 = 0 end when 3 then length(text) % 3 > 0 else true end)) as a from t),
+d as (select *, conv_id % 5 > 0 and n % 2 = 1 as bad from c)
+select conv_id, turn::integer as "row", a::integer as "at", case when not bad then a end::integer as "column", case when a = 2 and length(text) % 3 = 0 then 2 else 1 end::integer as col_span,
+  case when a > 0 then 1 when conv_id % 5 > 0 then 2 when bad then 0 else n end::integer as row_span, case a when 0 then role when 1 then text[1:5] when 2 then text[6:10] else text[11:15] end as text, case when bad then 'overlap' end as problem from d""")
+def table_grid(spark, sf_dir):
+    """Cells that span rows and columns, with the columns they stand in; a table whose spans leave it is told."""
+    return tables.placed(_cells(spark, sf_dir), ["conv_id"])
