@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiflow.operators import projects, styles, tables
+from lexiflow.operators import moves, projects, styles, tables
 from lexiflow.operators.projects import Outline, Section, TableForm
 from lexiflow.plans.registry import documents, query
 from lexiflow.plans.sql import q
@@ -334,3 +334,25 @@ select conv_id, turn::integer as "row", a::integer as "at", case when not bad th
 def table_grid(spark, sf_dir):
     """Cells that span rows and columns, with the columns they stand in; a table whose spans leave it is told."""
     return tables.placed(_cells(spark, sf_dir), ["conv_id"])
+
+
+@query(f"""with recursive {_BLOCKS_SQL.strip()},
+n as (select *, lag(type) over w as bt, lead(type) over w as nt from blocks window w as (partition by project_id order by pos)),
+u as (select *, type = 'docTable' and coalesce(bt = 'caption' and lag(kind) over (partition by project_id order by pos) = 'table', false) as joins from n),
+v as (select *, last_value(case when not joins then pos end ignore nulls) over (partition by project_id order by pos rows unbounded preceding) as unit from u),
+k as (select project_id, unit, coalesce(max(case when type = 'docTable' then 'table' end), max(case when pos = unit and type = 'heading' then 'heading' end)) as kind from v group by all),
+l as (select project_id, list(unit order by unit) as us, list(kind order by unit) as ks from k group by all),
+m as (select project_id, unit, row_number() over (partition by project_id order by pos) as seq, case when pos % 3 = 0 then 1 else -1 end as d from v where type = 'docTable'),
+r as (select project_id, 0::bigint as seq, us, ks from l union all
+  select project_id, seq, case when ok then list_transform(us, lambda x, i: case i when a then us[b] when b then us[a] else x end) else us end, case when ok then list_transform(ks, lambda x, i: case i when a then ks[b] when b then ks[a] else x end) else ks end
+  from (select *, b between 1 and len(us) and ks[b] is distinct from 'heading' as ok from (select r.project_id, m.seq, us, ks, list_position(us, m.unit) as a, list_position(us, m.unit) + m.d as b from r join m on m.project_id = r.project_id and m.seq = r.seq + 1))),
+z as (select project_id, arg_max(us, seq) as us from r group by all)
+select project_id, unnest(range(1, len(us) + 1)) as place, unnest(us)::bigint as unit from z""")
+def moved_units(spark, sf_dir):
+    """The order of each work's units after every table was moved up or down by a log."""
+    blocks = _blocks(spark, sf_dir)
+    tabled = moves.with_units(blocks, "project_id").where("type = 'docTable'")
+    seq = F.row_number().over(Window.partitionBy("project_id").orderBy("pos"))
+    log = tabled.select("project_id", seq.alias("seq"), F.lit("move").alias("op"), "unit", F.when(F.col("pos") % 3 == 0, 1).otherwise(-1).alias("direction"), F.lit(None).cast("string").alias("title"))
+    done = moves.replayed(moves.unit_lists(blocks, "project_id"), log, "project_id")
+    return done.select("project_id", F.posexplode("units").alias("place", "_u")).select("project_id", (F.col("place") + 1).cast("long").alias("place"), F.col("_u.unit").alias("unit"))
