@@ -135,8 +135,13 @@ s as (select doc_id, pos, regexp_replace(x, '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '',
 select doc_id, pos::integer as pos, item from s where regexp_matches(item, '^(?:[-*•▪◦]|[0-9]+[.)])[\s\x{00A0}]')""")
 def list_items(spark, sf_dir):
     """The lines of a document that are items of a list."""
+    return list_items_of(documents(spark, sf_dir))
+
+
+def list_items_of(docs):
+    """(doc_id, pos, item): the lines of ``docs`` that start with a mark of a list."""
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), T.strip)
-    return documents(spark, sf_dir).select("doc_id", F.posexplode(lines).alias("pos", "item")).where(F.col("item").rlike("(?U)^(?:[-*•▪◦]|[0-9]+[.)])\\s"))
+    return docs.select("doc_id", F.posexplode(lines).alias("pos", "item")).where(F.col("item").rlike("(?U)^(?:[-*•▪◦]|[0-9]+[.)])\\s"))
 
 
 @query()

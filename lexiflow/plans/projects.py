@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiflow.operators import moves, projects, styles, tables
+from lexiflow.operators import moves, projects, structure, styles, tables
 from lexiflow.operators.projects import Outline, Section, TableForm
+from lexiflow.plans.editing import list_items_of
 from lexiflow.plans.registry import documents, query
 from lexiflow.plans.sql import q
 from lexiflow.session import scratch, stash
@@ -356,3 +357,29 @@ def moved_units(spark, sf_dir):
     log = tabled.select("project_id", seq.alias("seq"), F.lit("move").alias("op"), "unit", F.when(F.col("pos") % 3 == 0, 1).otherwise(-1).alias("direction"), F.lit(None).cast("string").alias("title"))
     done = moves.replayed(moves.unit_lists(blocks, "project_id"), log, "project_id")
     return done.select("project_id", F.posexplode("units").alias("place", "_u")).select("project_id", (F.col("place") + 1).cast("long").alias("place"), F.col("_u.unit").alias("unit"))
+
+
+@query(f"""with {_BLOCKS_SQL.strip()},
+c as (select project_id, pos, kind, case when pos % 7 = 0 then (pos % 5 + 1)::varchar when pos % 11 = 0 then '2.1' end as given from blocks where type = 'caption'),
+f as (select project_id, kind, list(given::integer) filter (regexp_full_match(given, '[0-9]+')) as used, count(*) as n from c group by all),
+g as (select c.*, sum((given is null)::int) over (partition by project_id, kind order by pos) as nth from c),
+o as (select project_id, kind, list_filter(range(1, n + len(coalesce(used, [])) + 2), lambda x: not list_contains(coalesce(used, []), x)) as free from f)
+select g.project_id, pos, g.kind, coalesce(given, free[nth::bigint]::varchar) as number from g join o on o.project_id = g.project_id and o.kind = g.kind""")
+def caption_numbering(spark, sf_dir):
+    """Captions without a number take the free ones in order; those that have one keep it."""
+    captions = _blocks(spark, sf_dir).where("type = 'caption'")
+    given = F.when(F.col("pos") % 7 == 0, (F.col("pos") % 5 + 1).cast("string")).when(F.col("pos") % 11 == 0, "2.1")
+    return structure.number_captions(captions.select("project_id", "pos", "kind", given.alias("number")), "project_id")
+
+
+_LISTED_SQL = r"""l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as pos from documents),
+m as (select doc_id, pos, case pos % 5 when 0 then '- ' || x when 1 then (pos + 1) || ') ' || x when 2 then '  • ' || x when 3 then '-' || x else x end as x from l)"""
+
+
+@query(rf"""with {_LISTED_SQL}, s as (select doc_id, pos, regexp_replace(x, '^[\s\x{{00A0}}]+|[\s\x{{00A0}}]+$', '', 'g') as item from m)
+select doc_id, pos::integer as pos, item from s where regexp_matches(item, '^(?:[-*•▪◦]|[0-9]+[.)])[\s\x{{00A0}}]')""")
+def marked_list_items(spark, sf_dir):
+    """The items of lists in documents whose lines were given marks by a rule, as the table has few of its own."""
+    line = lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("- "), x)).when(i % 5 == 1, F.concat((i + 1).cast("string"), F.lit(") "), x)).when(i % 5 == 2, F.concat(F.lit("  • "), x)).when(i % 5 == 3, F.concat(F.lit("-"), x)).otherwise(x)
+    marked = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line), "\n")
+    return list_items_of(documents(spark, sf_dir).withColumn("text", marked))
