@@ -11,6 +11,7 @@ from lexiflow.plans.editing import list_items_of
 from lexiflow.plans.registry import documents, query
 from lexiflow.plans.sql import q
 from lexiflow.session import scratch, stash
+from lexiflow.sources import clipboard
 from lexiflow.streaming import stores
 
 #: The outline of the queries. Subsections hold words that the tables' languages have.
@@ -383,3 +384,44 @@ def marked_list_items(spark, sf_dir):
     line = lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("- "), x)).when(i % 5 == 1, F.concat((i + 1).cast("string"), F.lit(") "), x)).when(i % 5 == 2, F.concat(F.lit("  • "), x)).when(i % 5 == 3, F.concat(F.lit("-"), x)).otherwise(x)
     marked = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line), "\n")
     return list_items_of(documents(spark, sf_dir).withColumn("text", marked))
+
+
+def _pastes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Conversations as pastes: users' turns as rich blocks, some of them pictures or gaps, assistants' as plain ones, and photos by a rule."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("paste_id"), "turn", "role", F.substring("text", 1, 20).alias("text"))
+    i = F.col("paste_id")
+    pastes = turns.select("paste_id").distinct().withColumn("has_html", i % 3 > 0)
+    m = (i + F.col("turn")) % 4
+    kind = F.when(m == 0, "imageMissing").when(m == 2, "image").otherwise("paragraph")
+    none = F.lit(None).cast("string")
+    shape = lambda df, t: df.select("paste_id", F.col("turn").alias("pos"), t.alias("type"), F.when(t == "paragraph", F.col("text")).alias("text"), F.when(t == "image", F.concat(F.lit("data:"), (F.col("turn") % 3).cast("string"))).alias("data_url"), none.alias("alt"))
+    rich = shape(turns.where("role = 'user' and paste_id % 7 > 0"), kind)
+    plain = shape(turns.where("role = 'assistant' and paste_id % 6 > 0"), F.lit("paragraph"))
+    photos = pastes.select("paste_id", F.explode(F.sequence(F.lit(1), (i % 3).cast("int") + 1)).alias("nth")).where("nth <= paste_id % 4")
+    return pastes, rich, plain, photos.select("paste_id", "nth", F.concat(F.lit("data:"), (F.col("nth") % 3).cast("string")).alias("data_url"), F.concat(F.lit("photo "), F.col("nth").cast("string")).alias("alt"))
+
+
+_PASTES_SQL = """
+p as (select distinct conv_id as paste_id, conv_id % 3 > 0 as has_html from conversations),
+b as (select conv_id as paste_id, turn as pos, case when conv_id % 3 = 0 then 'paragraph' else case (conv_id + turn) % 4 when 0 then 'imageMissing' when 2 then 'image' else 'paragraph' end end as type, text[1:20] as text, 'data:' || turn % 3 as url
+  from conversations where case when conv_id % 3 > 0 then role = 'user' and conv_id % 7 > 0 else role = 'assistant' and conv_id % 6 > 0 end),
+f as (select paste_id, nth, 'data:' || nth % 3 as url, 'photo ' || nth as alt from (select paste_id, unnest(range(1, paste_id % 3 + 2)) as nth from p) where nth <= paste_id % 4),
+c as (select p.paste_id, (select count(*) from b where b.paste_id = p.paste_id) as n, (select count(*) from b where b.paste_id = p.paste_id and type = 'imageMissing') as gaps, (select count(*) from f where f.paste_id = p.paste_id) as photos,
+  (select count(*) from f where f.paste_id = p.paste_id and not exists (select 1 from b where b.paste_id = f.paste_id and b.type = 'image' and b.url = f.url)) as loose from p),
+j as (select *, case when n = 0 and photos = 0 then 'nothing to read' when not (gaps = 1 and photos = 1) and n > 0 and loose > 0 then 'photos without a place' end as problem from c)"""
+
+
+@query(f"""with {_PASTES_SQL.strip()}
+select b.paste_id, b.pos::bigint as pos, case when type = 'imageMissing' and gaps = 1 and photos = 1 then 'image' else type end as type, case when type = 'paragraph' then text end as text,
+  case when type = 'imageMissing' and gaps = 1 and photos = 1 then f.url when type = 'image' then b.url end as data_url, case when type = 'imageMissing' and gaps = 1 and photos = 1 then alt end as alt
+from b join j on j.paste_id = b.paste_id and problem is null left join f on f.paste_id = b.paste_id and photos = 1
+union all select f.paste_id, row_number() over (partition by f.paste_id order by nth), 'image', null, url, alt from f join j on j.paste_id = f.paste_id and problem is null and n = 0""")
+def merged_pastes(spark, sf_dir):
+    """The blocks of each paste, from the form that says most, photos in their places."""
+    return clipboard.merged_pastes(*_pastes(spark, sf_dir))
+
+
+@query(f"with {_PASTES_SQL.strip()} select paste_id, problem from j where problem is not null")
+def paste_problems(spark, sf_dir):
+    """The pastes that are refused, and why."""
+    return clipboard.paste_problems(*_pastes(spark, sf_dir))
