@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiflow.operators import moves, projects, structure, styles, tables
+from lexiflow.operators import evidence, moves, projects, structure, styles, tables
 from lexiflow.operators.projects import Outline, Section, TableForm
 from lexiflow.plans.editing import list_items_of
 from lexiflow.plans.registry import documents, query
@@ -425,3 +425,17 @@ def merged_pastes(spark, sf_dir):
 def paste_problems(spark, sf_dir):
     """The pastes that are refused, and why."""
     return clipboard.paste_problems(*_pastes(spark, sf_dir))
+
+
+@query(r"""with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as x, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as i from documents),
+m as (select doc_id, i, regexp_replace(array_to_string(string_split(regexp_replace(x, '[.!?…,]', '', 'g'), ' ')[1:1 + i % 4], ' '), '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g') as h from l),
+k as (select doc_id, i, lower(regexp_extract(h, '[\p{L}\p{N}-]+')) as w, len(regexp_extract_all(h, '[\p{L}\p{N}-]+')) as n from m where h <> '' and length(h) < 90 and not regexp_matches(h, '[.!?…]$') and len(regexp_extract_all(h, '[\p{L}\p{N}_-]+')) <= 12),
+s as (select doc_id, i, case when regexp_matches(w, '(ание|ение|ация|ость|ство)$') then 'nominal' when regexp_matches(w, '(ть|ing)$') then 'action' else 'name' end || ':' || case when n <= 2 then 'short' else 'long' end as k from k),
+t as (select doc_id, k, count(*) as c, min(i) as first from s group by all),
+d as (select doc_id, sum(c)::bigint as headings, arg_min(k, -c * 1000000 + first) as dominant, max(c) as c from t group by doc_id having sum(c) >= 3)
+select doc_id, headings, dominant, c / headings as share, c / headings >= 0.8 as parallel from d""")
+def shortened_heading_parallelism(spark, sf_dir):
+    """How alike headings are built, in documents whose lines were cut to a few words by a rule, as the table has few headings of its own."""
+    line = lambda x, i: F.array_join(F.slice(F.split(F.regexp_replace(x, "[.!?…,]", ""), " "), F.lit(1), i % 4 + 1), " ")
+    cut = F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), line), "\n")
+    return evidence.heading_schemas(documents(spark, sf_dir).withColumn("text", cut))
