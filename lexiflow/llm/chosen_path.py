@@ -229,7 +229,8 @@ def _dealt(docs: DataFrame, tasks: DataFrame, n_tasks: int, p: Paths) -> DataFra
                         cols = [pa.array([t % n_tasks for t in task], pa.int64()), pa.array(task, pa.int64()), pa.array(left, pa.bool_()), pa.array(grp, pa.int64())]
                         yield pa.record_batch([*cols, pa.array([rid] * len(own), pa.int64()), pa.array([tokens] * len(own), pa.binary())], names=["shard", "task", "left", "grp", "rid", "tokens"])
 
-    texts = docs.select("rid", "text").join(asked, "rid").select("rid", "text", "tasks")
+    # one plan whatever the number of sets: a broadcast of few would give way to this one as tables grow
+    texts = docs.select("rid", "text").join(asked.hint("merge"), "rid").select("rid", "text", "tasks")
     return texts.mapInArrow(cut, "shard long, task long, left boolean, grp long, rid long, tokens binary")
 
 
@@ -327,10 +328,21 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _hung(links: DataFrame) -> DataFrame:
+    """(sid, root): what each linked set hangs on, by its least partner and two steps further. Sets with one root hang together; not all that do have one root yet."""
+    least = stash(links.select(F.least("a", "b").alias("root"), F.greatest("a", "b").alias("sid")).groupBy("sid").agg(F.min("root").alias("root")))
+    for _ in range(2):
+        up = least.select(F.col("sid").alias("root"), F.col("root").alias("next"))
+        least = least.join(up, "root", "left").select("sid", F.coalesce("next", "root").alias("root"))
+    return least
+
+
 def _open(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, sid, size, grp, rest, n_rest): the members of nodes that hold several groups yet; ``rest``: outside of the node's largest group."""
-    comp = components(links).select(F.col("node").alias("sid"), "root")
-    grouped = stash(members.join(comp, "sid", "left").select("node", "sid", "size", F.coalesce("root", "sid").alias("grp")))
+    """(node, sid, size, grp, rest, n_rest): the members of nodes that hold several groups yet; ``rest``: outside of the node's largest group.
+
+    Groups are known links as ``_hung`` has them; they only save work, so they needn't be whole components.
+    """
+    grouped = stash(members.join(_hung(links), "sid", "left").select("node", "sid", "size", F.coalesce("root", "sid").alias("grp")))
     open_ = grouped.groupBy("node").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo != hi").select("node")
     counts = grouped.join(open_, "node").groupBy("node", "grp").agg(F.count("*").alias("own"))
     main = counts.groupBy("node").agg(F.max(F.struct("own", "grp")).alias("main"), F.sum("own").alias("all"))
