@@ -18,7 +18,8 @@ def _text(docs: DataFrame) -> Column:
 def hard_anchors(text: Column) -> Column:
     """How many anchors but names a text holds."""
     plain = [T.count(text, p) for p in spans.ANCHORS.values()]
-    return sum((F.size(x) for x in (dated(text, "date"), dated(text, "version"), units(text))), sum(plain, F.lit(0)))
+    found = sum((F.size(x) for x in (dated(text, "date"), dated(text, "version"), units(text))), sum(plain, F.lit(0)))
+    return F.when(text.rlike("(?i)[0-9]|://|www\\."), found).otherwise(0)  # what every anchor has one of
 
 
 def proper_nouns(docs: DataFrame) -> DataFrame:
@@ -68,7 +69,8 @@ def weak_spots(docs: DataFrame) -> DataFrame:
     """
     flat = F.regexp_replace(_text(docs), "\n+", " ")
     cut = F.filter(F.transform(F.split(flat, "(?<=[.!?…][\"»”')\\]]?)[\\s\\x{00A0}]+"), T.strip), lambda s: s != "")
-    rows = docs.select("doc_id", T.language(flat).alias("lang"), F.posexplode(cut).alias("pos", "sentence"))
+    # beside ``posexplode`` the language would be told from the whole text again for each of its sentences
+    rows = T.once(docs, "doc_id", lang=T.language(flat), cut=cut).select("doc_id", "lang", F.posexplode("cut").alias("pos", "sentence"))
     s, lang, lower = F.col("sentence"), F.col("lang"), F.lower("sentence")
     rows = rows.withColumns({"words": T.count(s, T.WORD_B).cast("long"), "opener": F.lower(F.regexp_extract(s, T.WORD_B, 0)), "hard": hard_anchors(s)})
     any_of = lambda phrases: F.size(F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(lower, p)))
