@@ -24,7 +24,9 @@ GUARDED = ["url", "citation", "date", "version", "number", "unit"]
 
 def dated(text: Column, kind: str) -> Column:
     """All dates or versions of a text."""
-    return F.regexp_extract_all(text, F.lit("(?iu)" + L.EVIDENCE[kind].replace("\\b", EDGE).replace("\\s", "[\\s\\x{00A0}]")), F.lit(0))
+    # both begin with a digit or letter, so their first bound is that none stands before
+    body = "(?<![A-Za-z0-9_])" + L.EVIDENCE[kind].removeprefix("\\b")
+    return F.regexp_extract_all(text, F.lit("(?iu)" + body.replace("\\b", EDGE).replace("\\s", "[\\s\\x{00A0}]")), F.lit(0))
 
 
 def units(text: Column) -> Column:
@@ -62,8 +64,13 @@ def anchor_diff(source: DataFrame, candidate: DataFrame) -> DataFrame:
 
     ``guarded``: an edit may not change it; names are only noted.
     """
+    return facts_diff(anchors(source), anchors(candidate))
+
+
+def facts_diff(source: DataFrame, candidate: DataFrame) -> DataFrame:
+    """``anchor_diff`` of two tables of anchors."""
     key = ["doc_id", "type", "value"]
-    a, b = (anchors(x).withColumnRenamed("n", n) for x, n in ((source, "a"), (candidate, "b")))
+    a, b = (x.withColumnRenamed("n", n) for x, n in ((source, "a"), (candidate, "b")))
     n = F.coalesce("a", F.lit(0)) - F.coalesce("b", F.lit(0))
     both = a.join(b, key, "full").select(*key, F.greatest(n, F.lit(0)).cast("long").alias("lost"), F.greatest(-n, F.lit(0)).cast("long").alias("added"))
     return both.where("lost > 0 or added > 0").withColumn("guarded", F.col("type").isin(*GUARDED))
@@ -71,9 +78,27 @@ def anchor_diff(source: DataFrame, candidate: DataFrame) -> DataFrame:
 
 def qualifiers_kept(pairs: DataFrame, source: str = "source", candidate: str = "candidate") -> DataFrame:
     """``pairs`` with ``changed``: the groups of qualifiers whose counts differ."""
-    one = lambda c, w: T.count(F.col(c), "(?iu)(?<![\\p{L}\\p{N}_-])\\Q" + w + "\\E(?![\\p{L}\\p{N}_-])")
-    differs = lambda ws: F.exists(F.array(*(one(source, w) != one(candidate, w) for w in ws)), lambda x: x)
-    return pairs.withColumn("changed", F.array_compact(F.array(*(F.when(differs(ws), F.lit(k)) for k, ws in L.QUALIFIERS.items()))))
+    counted = pairs.withColumns({"_a": qualifier_counts(F.col(source)), "_b": qualifier_counts(F.col(candidate))})
+    return counted.withColumn("changed", groups_changed("_a", "_b")).drop("_a", "_b")
+
+
+#: Letters that a search in either case takes for others, though their small letters differ.
+ODD = "[\\x{130}\\x{131}\\x{17f}\\x{1c80}-\\x{1c8a}\\x{212a}\\x{a64a}\\x{a64b}]"
+
+
+def qualifier_counts(text: Column) -> Column:
+    """How often each qualifier stands in a text, group by group; only those are searched whose letters it has."""
+
+    def counts(x: Column) -> Column:
+        one = lambda w: F.when(x["odd"] | F.contains(x["low"], F.lit(w)), T.count(x["text"], "(?iu)(?<![\\p{L}\\p{N}_-])\\Q" + w + "\\E(?![\\p{L}\\p{N}_-])")).otherwise(0)
+        return F.array(*(F.array(*map(one, ws)) for ws in L.QUALIFIERS.values()))
+
+    return F.when(text.isNotNull(), T.let(F.struct(text.alias("text"), F.lower(text).alias("low"), text.rlike(ODD).alias("odd")), counts))
+
+
+def groups_changed(source: str, candidate: str) -> Column:
+    """The groups of qualifiers whose counts (``qualifier_counts``) differ."""
+    return F.array_compact(F.array(*(F.when(F.get(source, F.lit(i)) != F.get(candidate, F.lit(i)), F.lit(k)) for i, k in enumerate(L.QUALIFIERS))))
 
 
 def merge_ranges(ranges: DataFrame, key: str = "doc_id") -> DataFrame:

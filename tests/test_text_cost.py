@@ -8,7 +8,7 @@ import regex
 from lexiflow.functions import edit_lexicon as E
 from lexiflow.functions import prose as P
 from lexiflow.functions.prose import pattern
-from lexiflow.operators import passes, rewriting, selection
+from lexiflow.operators import evidence, passes, rewriting, selection, spans
 
 
 def _took(work) -> float:
@@ -50,3 +50,29 @@ def test_fast_anchors_are_those_of_the_plain_patterns(text):
 def test_openers_are_counted_once():
     text = "\n\n".join(f"{w} goes on and on." for w in (chr(97 + k % 26) + str(k) for k in range(20_000)))
     assert _took(lambda: selection.weakness(text, "en")) < 8
+
+
+def test_weak_spots_tell_the_language_once_a_text(spark):
+    text = " ".join(f"Слово {k} тут стоит." for k in range(6_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    plan = evidence.weak_spots(docs)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate posexplode")]  # what is done to each sentence
+    assert "IsCyrillic" not in above
+    assert evidence.weak_spots(docs).count() == 6_000
+
+
+def test_qualifiers_are_counted_as_by_the_plain_patterns(spark):
+    pairs = spark.createDataFrame([("Only all of it. Can", "only ALL of it"), ("alwayſ", "x"), ("if", "IF if"), ("", "Прежде всего всё")], "source string, candidate string")
+    assert [r["changed"] for r in spans.qualifiers_kept(pairs).collect()] == [["ability"], ["universal"], ["condition"], ["accent"]]
+
+
+def test_a_table_of_one_large_row_group_is_dealt_out(spark, tmp_path, monkeypatch):
+    from lexiflow import session
+
+    spark.range(2_000).selectExpr("id as doc_id", "repeat('x', 50) as text").coalesce(1).write.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(session, "SPREAD_BYTES", 10)
+    df = spark.read.parquet(str(tmp_path / "t"))
+    cores = spark.sparkContext.defaultParallelism
+    dealt = session.spread(df, heavy=True)
+    assert dealt.rdd.getNumPartitions() >= cores and dealt.count() == 2_000
+    assert session.spread(dealt, heavy=True).rdd.getNumPartitions() == dealt.rdd.getNumPartitions()
