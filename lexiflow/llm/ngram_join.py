@@ -22,7 +22,9 @@ its own band and the next. That keeps phrases that texts of all lengths share fr
 Scale: a part of each set is shuffled by token, pre-aggregated on the map side. Equal sets are
 one node, named by its first row, so names never clash. Text moves once, sets of candidates
 only. Links come back as spanning edges, never as all pairs. A family over ``family`` tokens
-is no one task's work. It is dealt to blocks of sets of similar size, twice and differently, and
+is no one task's work. First it is parted again, with an order of tokens by how many of its sets have them: what few
+sets share comes first, so passages that many unlike texts hold no longer chain it, whatever the sample missed. That is
+done again while it helps. What stays over ``family`` is dealt to blocks of sets of similar size, twice and differently, and
 each block is joined in itself; that grows large groups of copies together. What is in its
 family's largest group then need not meet others of that group, so only the remaining sets are
 paired with all blocks of compatible size. The work left is the number of such sets times the
@@ -38,7 +40,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiflow.llm.common import numbered
@@ -47,6 +49,10 @@ from lexiflow.llm.repeats import Batch, batches_of
 from lexiflow.session import stash
 
 
+#: A list of tasks of up to so many rows may be broadcast, if Spark finds it small enough on disk.
+BROADCAST_ROWS = 300_000
+
+
 @dataclass(frozen=True)
 class Similar:
     """``gram`` words a shingle, links from ``percent`` of the union; ``share`` of the hash range that
@@ -152,19 +158,19 @@ def banded(s: np.ndarray, last: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _owned(docs: DataFrame, p: Similar) -> DataFrame:
-    """(rid, own): tokens below ``p.share`` of the hash range that stand in this row alone."""
+    """(id, own): tokens below ``p.share`` of the hash range that stand in the set of this name (``sid``) alone, however many rows have that set."""
     cut = np.uint64(int(p.share * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, rid = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(0).to_numpy(zero_copy_only=False)
+            texts = batch.column(0).cast(pa.binary()).to_pylist()
             for lo in range(0, len(texts), 256):
-                part = [s[: int(np.searchsorted(s, cut))] for s in shingle_sets(texts[lo : lo + 256], p.gram)]
-                yield pa.record_batch(
-                    [pa.array(np.concatenate(part).view(np.int64)), pa.array(np.repeat(rid[lo : lo + 256], [len(s) for s in part]))], names=["token", "id"]
-                )
+                sets = list(shingle_sets(texts[lo : lo + 256], p.gram))
+                part = [s[: int(np.searchsorted(s, cut))] for s in sets]
+                names = np.array([set_id(s)[0] for s in sets], np.int64)
+                yield pa.record_batch([pa.array(np.concatenate(part).view(np.int64)), pa.array(np.repeat(names, [len(s) for s in part]))], names=["token", "id"])
 
-    return _alone(docs.select("rid", "text").mapInArrow(run, "token long, id long"))
+    return _alone(docs.select("text").mapInArrow(run, "token long, id long"))
 
 
 def _alone(tokens: DataFrame) -> DataFrame:
@@ -188,9 +194,9 @@ def _dealt(sets: DataFrame, part, ids: bool) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, same: DataFrame, p: Similar) -> DataFrame:
-    """(sid, n, tokens): each of the sets ``same`` (rid, n) that has enough tokens in common with others to link, by the row that stands for it."""
+    """(sid, n, tokens): each of the sets ``same`` (rid, n, sid) that has enough tokens in common with others to link, by the row that stands for it."""
     spare = lambda own: 100 * own <= (100 - p.percent) * F.col("n")
-    first = same.join(_owned(docs, p).withColumnRenamed("id", "rid"), "rid", "left").select("rid", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    first = same.join(_owned(docs, p).withColumnRenamed("id", "sid"), "sid", "left").select("rid", "n", F.coalesce("own", F.lit(0)).alias("own"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,8 +320,10 @@ def _links(sets: DataFrame, tasks: DataFrame, p: Similar) -> DataFrame:
                 b.append(rows[j]["sid"])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    n_tasks = max(1, tasks.count() // 300)
-    dealt = sets.select("sid", "tokens").join(tasks, "sid").withColumn("shard", F.pmod(F.xxhash64("task"), F.lit(n_tasks)))
+    rows = tasks.count()
+    n_tasks = max(1, rows // 300)
+    # a list that is short on disk may be long in memory, so the number of rows decides whether the driver may hold it
+    dealt = sets.select("sid", "tokens").join(tasks if rows <= BROADCAST_ROWS else tasks.hint("merge"), "sid").withColumn("shard", F.pmod(F.xxhash64("task"), F.lit(n_tasks)))
     return stash(dealt.select("shard", "task", "left", "grp", "sid", "tokens").groupBy("shard").applyInArrow(run, "a long, b long"))
 
 
@@ -323,19 +331,50 @@ def _task(*parts) -> Column:
     return F.concat_ws(":", *parts)
 
 
+def _parted(sets: DataFrame, big: DataFrame, p: Similar) -> DataFrame:
+    """(sid, n, fam): the families ``big`` (sid, n, fam) parted into smaller ones that no link crosses; sets that link with nothing are left out.
+
+    Prefixes are as in ``prefix``, with the tokens that the fewest sets of the family have first. One that no other set of its
+    family has needs no place in the shuffle: how many there are of these tells how much of the prefix they fill.
+    """
+    fam = big.select("sid", "n", "fam")
+    tokens = _dealt(sets.join(fam.select("sid"), "sid", "left_semi"), lambda s: s, True).withColumnRenamed("id", "sid").join(fam.select("sid", "fam"), "sid")
+    counted = tokens.withColumn("c", F.count("*").over(Window.partitionBy("fam", "token"))).where("c > 1")
+    order = counted.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("order")).join(fam, "sid")
+    n = F.col("n")
+    first = n - F.ceil(p.percent * n / 100) + 1 - (n - F.size("order"))
+    band = F.floor(F.log(n.cast("double")) / (1.001 * math.log(100 / p.percent))).cast("long") if p.percent < 100 else n
+    shared = order.where(first > 0).select("sid", "fam", band.alias("band"), F.explode(F.slice("order", 1, first.cast("int"))).alias("t"))
+    keys = stash(shared.select("sid", F.explode(F.array(*(F.xxhash64("fam", "t.token", F.col("band") + k) for k in (0, 1)))).alias("key")))
+    ends = keys.groupBy("key").agg(F.min("sid").alias("b"), F.max("sid").alias("top")).where("b != top").select("key", "b")
+    found = components(keys.join(stash(ends), "key").select(F.col("sid").alias("a"), "b"))
+    return stash(fam.drop("fam").join(found.select(F.col("node").alias("sid"), F.col("root").alias("fam")), "sid"))
+
+
 def _joined(sets: DataFrame, members: DataFrame, p: Similar) -> DataFrame:
     """(a, b): spanning links of all ``members`` (sid, n, fam) of families."""
-    counts = stash(members.groupBy("fam").agg(F.sum("n").alias("size")))
-    sized = members.join(counts, "fam")
+
+    def divided(rows: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+        """Members of small families, those of large ones, and how many tokens these have."""
+        counts = stash(rows.groupBy("fam").agg(F.sum("n").alias("size")))
+        large = F.col("size") > p.family
+        sized = rows.join(counts, "fam")
+        return sized.where(~large), sized.where(large), counts.where(large).agg(F.sum("size")).first()[0] or 0
+
     alone = F.lit(None).cast("boolean").alias("left")
-    small = stash(sized.where(F.col("size") <= p.family).select(F.col("fam").cast("string").alias("task"), alone, F.col("sid").alias("grp"), "sid"))
-    links = _links(sets, small, p)
-    if counts.where(F.col("size") > p.family).isEmpty():
+    small, sized, size = divided(members)
+    before = math.inf
+    while size and size < 0.9 * before:
+        before = size
+        less, sized, size = divided(_parted(sets, sized, p))
+        small = small.select("sid", "fam").unionByName(less.select("sid", "fam"))
+    links = _links(sets, stash(small.select(F.col("fam").cast("string").alias("task"), alone, F.col("sid").alias("grp"), "sid")), p)
+    if not size:
         return links
     # sets that link differ in size by 100 / percent at most, which is so many steps of 15 percent
     reach = math.floor(math.log(100 / p.percent) / math.log(1.15)) + 1
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.15))).cast("int")
-    big = stash(sized.where(F.col("size") > p.family).select("sid", "n", "fam", step.alias("step"), F.col("sid").alias("grp")))
+    big = stash(sized.select("sid", "n", "fam", step.alias("step"), F.col("sid").alias("grp")))
     block = max(1, p.family // 2)
     for turn in (0, 1):
         band = F.floor((F.col("step") + 2 * turn) / 4).cast("int")
@@ -393,7 +432,7 @@ def ngram_components(docs: DataFrame, p: Similar = Similar()) -> DataFrame:
     facts = stash(_described(rows, p))
     # one row stands for each set; written down, so that joins with it deal their other side anew and can split a hot key
     same = stash(facts.where("n > 0").groupBy("sid", "sid2").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.count("*").alias("rows")))
-    sets = _candidates(rows, same.select("rid", "n"), p)
+    sets = _candidates(rows, same.select("rid", "n", "sid"), p)
     last = _frequent(sets, p)
     tokens = _dealt(sets, lambda s: banded(s, last, p.percent), True)
     ends = stash(tokens.groupBy("token").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b != top").select("token", "b"))
