@@ -118,3 +118,17 @@ def test_long_text_as_a_whole(spark):
     rows = [(1, " ".join(w)), (2, " ".join(w[:-30_000])), (3, " ".join(w[:-60_000] + [f"v{k}" for k in range(60_000)]))]
     got = chosen_path.chosen_path_components(spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1)))
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == [(1, 249_999, 1), (2, 219_999, 1), (3, 249_999, 3)]
+
+
+def test_texts_are_fetched_twice_whatever_the_levels(docs, monkeypatch):
+    """Levels below the first, and dense regions, read the candidates' texts and not the table again."""
+    fetched, levels, fetch, branched = [], [], chosen_path._texts, chosen_path._branched
+    monkeypatch.setattr(chosen_path, "_texts", lambda *a: fetched.append(1) or fetch(*a))
+    monkeypatch.setattr(chosen_path, "_branched", lambda *a: levels.append(1) or branched(*a))
+    rows = chosen_path.numbered(docs)
+    whole, asked = [], chosen_path._confirmed
+    monkeypatch.setattr(chosen_path, "_confirmed", lambda have, *a: whole.append(have is rows) or asked(have, *a))
+    monkeypatch.setattr(chosen_path, "numbered", lambda _: rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in chosen_path.chosen_path_components(docs, replace(Paths(), depth=1, deepest=4, small=2, chunk=5, most=1)).collect()}
+    assert got == brute.components(texts(), 80, 2)
+    assert len(levels) >= 2 and len(fetched) == 2 and not any(whole)
