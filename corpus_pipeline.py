@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexiflow.llm.bpe import bpe_codec
 from lexiflow.llm.common import identified
 from lexiflow.llm.exact_dedup import exact_dedup
+from lexiflow.llm.graph import among
 from lexiflow.llm.mixing import mix
 from lexiflow.llm.ngram_join import ngram_components
 from lexiflow.llm.quality_rules import clean_rows
@@ -18,9 +19,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def _without(docs: DataFrame, rids: DataFrame) -> DataFrame:
-    """``docs`` but the rows with these numbers, which follow file order. What goes is less than what
-    stays, so the join moves text only where even that list is too long for Spark to broadcast."""
-    return identified(docs).join(stash(rids.select("rid")), "rid", "left_anti").select(*COLUMNS)
+    """``docs`` but the rows with these numbers, which follow file order and go to all tasks as bits, so no text moves."""
+    return among(identified(docs), rids.select("rid"), "left_anti").select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Connected components over an edge table."""
+"""Connected components over an edge table, and joins with lists that go to all tasks."""
 
 from __future__ import annotations
 
@@ -17,6 +17,18 @@ def listed(rows: DataFrame) -> DataFrame:
     return rows.hint("broadcast") if rows.count() <= LISTED else rows
 
 
+def among(rows: DataFrame, rids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """``rows`` whose ``rid`` is one of ``rids`` (rid), or those whose isn't (``left_anti``).
+
+    Row numbers lie close together, so they go to all tasks as bits, 64 neighbours a number, and rows stay where
+    they are, whatever their texts weigh.
+    """
+    bits = F.bit_or(F.expr("shiftleft(1L, cast(rid & 63 AS int))")).alias("_bits")
+    words = stash(rids.groupBy(F.shiftright("rid", 6).alias("_word")).agg(bits))
+    own = F.getbit("_bits", F.col("rid").bitwiseAND(F.lit(63)).cast("int")) == 1
+    return rows.join(listed(words), (F.shiftright("rid", 6) == F.col("_word")) & own, how)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): the least node that links reach.
 

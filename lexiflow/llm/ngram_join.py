@@ -20,8 +20,8 @@ are of similar size, so a token only ties sets of neighbouring size bands: each
 its own band and the next. That keeps phrases that texts of all lengths share from chaining families.
 
 Scale: a part of each set is shuffled by token, pre-aggregated on the map side. Equal sets are
-one node, named by its first row, so names never clash. Text moves once, sets of candidates
-only. Links come back as spanning edges, never as all pairs. A family over ``family`` tokens
+one node, named by its first row, so names never clash. Candidates are told to all tasks as bits, so
+texts and sets stay where they are until families are joined. Links come back as spanning edges, never as all pairs. A family over ``family`` tokens
 is no one task's work. First it is parted again, with an order of tokens by how many of its sets have them: what few
 sets share comes first, so passages that many unlike texts hold no longer chain it, whatever the sample missed. That is
 done again while it helps. What stays over ``family`` is dealt to blocks of sets of similar size, twice and differently, and
@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiflow.llm.common import numbered
-from lexiflow.llm.graph import components
+from lexiflow.llm.graph import among, components
 from lexiflow.llm.repeats import Batch, batches_of
 from lexiflow.session import stash
 
@@ -196,20 +196,23 @@ def _dealt(sets: DataFrame, part, ids: bool) -> DataFrame:
 def _candidates(docs: DataFrame, same: DataFrame, p: Similar) -> DataFrame:
     """(sid, n, tokens): each of the sets ``same`` (rid, n, sid) that has enough tokens in common with others to link, by the row that stands for it."""
     spare = lambda own: 100 * own <= (100 - p.percent) * F.col("n")
-    first = same.join(_owned(docs, p).withColumnRenamed("id", "sid"), "sid", "left").select("rid", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    first = stash(same.join(_owned(docs, p).withColumnRenamed("id", "sid"), "sid", "left").select("rid", "n", F.coalesce("own", F.lit(0)).alias("own")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                sets = [s.tobytes() for s in shingle_sets(part.column(3).cast(pa.binary()).to_pylist(), p.gram)]
-                yield pa.record_batch([*part.columns[:3], pa.array(sets, pa.binary())], names=["sid", "n", "own", "tokens"])
+                sets = list(shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), p.gram))
+                cols = [part.column(0), pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.record_batch(cols, names=["rid", "n", "tokens"])
 
-    texts = docs.select("rid", "text").join(first.where(spare(F.col("own"))), "rid").select("rid", "n", "own", "text")
-    sets = stash(texts.mapInArrow(run, "sid long, n long, own long, tokens binary"))
+    texts = among(docs.select("rid", "text"), first.where(spare(F.col("own"))))
+    sets = stash(texts.mapInArrow(run, "rid long, n long, tokens binary"))
     cut = np.uint64(int(p.share * 2**64))
-    more = _alone(_dealt(sets, lambda s: s[int(np.searchsorted(s, cut)) :], True)).select(F.col("id").alias("sid"), F.col("own").alias("more"))
-    return stash(sets.join(more, "sid", "left").where(spare(F.col("own") + F.coalesce("more", F.lit(0)))).select("sid", "n", "tokens"))
+    named = sets.withColumnRenamed("rid", "sid")
+    more = _alone(_dealt(named, lambda s: s[int(np.searchsorted(s, cut)) :], True)).select(F.col("id").alias("rid"), F.col("own").alias("more"))
+    passed = first.join(more, "rid", "left").where(spare(F.col("own") + F.coalesce("more", F.lit(0))))
+    return stash(among(sets, passed).withColumnRenamed("rid", "sid"))
 
 
 class Tree:
