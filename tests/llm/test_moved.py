@@ -1,10 +1,10 @@
-"""What the joins of documents move: lists of rows as bits, no texts."""
+"""What the joins of documents move: lists of rows as bits, no texts, and short marks instead of sketches."""
 
 import random
 
 import pytest
 
-from lexiflow.llm import ngram_join
+from lexiflow.llm import chosen_path, ngram_join
 from lexiflow.llm.graph import among
 
 
@@ -52,3 +52,13 @@ def test_candidates_are_found_without_moving_texts_or_sets(docs, shuffling, monk
     assert {r.doc_id: r.component_id for r in rows} == {i: i - 1 if i % 4 == 3 else i for i in range(120)}
     own = [plan for columns, plan in seen if "tokens" in columns]
     assert len(own) == 2 and not any("SortMergeJoin" in p or "Exchange hashpartitioning" in p for p in own)
+
+
+def test_sketches_and_texts_stay_where_they_are(docs, shuffling, monkeypatch):
+    for name in ("_first_alike", "_compared"):
+        monkeypatch.setattr(chosen_path, name, lambda rows, sets, p, of=getattr(chosen_path, name): of(rows, sets.drop("sketch"), p))
+    seen = plans(monkeypatch, chosen_path)
+    rows = chosen_path.chosen_path_components(docs).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {i: i - 1 if i % 4 == 3 else i for i in range(120)}
+    texts = [plan for columns, plan in seen if columns == ["rid", "text"]]
+    assert texts and not any("SortMergeJoin" in p for p in texts)
