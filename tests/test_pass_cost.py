@@ -5,9 +5,11 @@ import time
 
 import pytest
 
+from lexiflow.functions import measure as M
 from lexiflow.functions import prose as P
-from lexiflow.operators import passes, references
+from lexiflow.operators import cleaning, passes, references
 from lexiflow.operators import rewriting as R
+from lexiflow.plans import registry
 
 TEXTS = [
     "First, the team sold 5 kg. Second, it grew, for example, in the north, and so on. This section describes the plan. It is basically very clear. Moreover, it works well for all of us here.",
@@ -67,3 +69,35 @@ def test_words_by_place_are_those_of_the_parts():
     for at in range(len(text)):
         spans = P.word_spans(text)
         assert sum(a < at for a, _ in spans) == P.n_words(text[:at]) and sum(b > at for _, b in spans) == P.n_words(text[at:])
+
+
+def test_revision_joins_nothing_and_scores_a_text_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "In order to win , we work.It works."), (1, "Plain."), (None, None), (2, "  ")], "doc_id long, text string")
+    found = R.revised_documents(docs)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("MapInPandas") == 1
+    want = [R.revised(t, cleaning.cleaned(t)[0], cleaning.typeset) for t in ("In order to win , we work.It works.", "Plain.", "", "  ")]
+    assert sorted((r["text"], r["language"], r["before"], r["after"], r["replacements"], r["reverted"]) for r in found.collect()) == sorted((r.text, r.lang, r.before, r.after, r.replaced, r.reverted) for r in want)
+    seen = []
+    monkeypatch.setattr(M, "scored", lambda t, lang=None, f=M.scored: seen.append(t) or f(t, lang))
+    M._lately.cache_clear()
+    R.revised("Cats sit here. Dogs run.", "Cats sit here. Dogs run.", cleaning.typeset)
+    assert len(seen) == 1
+
+
+@pytest.mark.parametrize("text", ["a  b", "a \tb ,c", "( a)", "x \n y", "\n\n\n", " a", "a ", "a\n", "", 'he said "yes" 5 - 6', "it's 5 kg № 4", "a\x1cb\x1c"])
+def test_tidied_and_typeset_as_by_all_patterns(text, monkeypatch):
+    plain = text
+    for body, to in P.TIDY:
+        plain = P.pattern(body, "").sub(to, plain)
+    assert P.tidy(text) == P.pattern(f"^{P.GAP}+|{P.GAP}+$", "").sub("", plain)
+    found = cleaning.cleaned(text)
+    monkeypatch.setattr(cleaning, "_STEPS", [(p, to, counter, None) for p, to, counter, _ in cleaning._STEPS])
+    assert cleaning.cleaned(text) == found
+
+
+def test_revised_texts_are_those_of_their_own_documents(spark, tmp_path):
+    rows = [(k, f"Document {k} says , in order to win, what number {k * 7} is.It works.") for k in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))  # one file, so it is dealt out
+    found = registry.QUERIES["revise_documents"](spark, str(tmp_path)).collect()
+    assert len(found) == 200 and all(f"{r.doc_id} says" in r.text and str(r.doc_id * 7) in r.text for r in found)
