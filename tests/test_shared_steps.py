@@ -2,6 +2,7 @@
 
 import pytest
 
+from lexiflow.functions import measure as M
 from lexiflow.functions import prose as P
 from lexiflow.operators import rewriting as R
 from lexiflow.operators import selection as S
@@ -46,3 +47,14 @@ def test_facts_are_compared_without_names(monkeypatch):
     want = [P.compare(a, b).ok for a, b in pairs]
     monkeypatch.setattr(P, "names", None)
     assert [P.intact(a, b) for a, b in pairs] == want == [True, False, False, True]
+
+
+def test_ranges_are_sought_only_in_texts_with_dashes(monkeypatch):
+    texts = [*TEXTS, "From 5 - 10 to 7–9 — or so. It goes on (5-6). It ends? It does!"]
+    want = [M.scored(t) for t in texts]
+    monkeypatch.setattr(M, "_dashed", lambda _: True)
+    assert [M.scored(t) for t in texts] == want
+    monkeypatch.undo()
+    monkeypatch.setattr(M, "_RANGE", None)
+    monkeypatch.setattr(M, "_RANGE_ANY", None)
+    assert S.improved("The man goes home. The dog goes, too. A cat sits there now. It is late.")[0]
